@@ -34,7 +34,7 @@ from .text import chunks
 _WHITE = r"\t-\r \x85\xa0  -     　"
 _WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_WHITE}\p{{L}}\p{{N}}]+")
 #: Words and pairs remembered by a worker; beyond it they are worked out anew each time.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
 CACHE_PAIRS = 400_000
 
 

@@ -24,6 +24,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import drop_ids
+
 WINDOW = 8
 COVERAGE = 0.4
 BROADCAST_WINDOWS = 1_000_000
@@ -145,5 +147,4 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents into which no item leaked; columns as in docs."""
-    gone = leaks(docs, benchmark).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    return drop_ids(docs, leaks(docs, benchmark))

@@ -194,14 +194,15 @@ def report(docs: DataFrame) -> DataFrame:
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs with the lines that go cut out of text, and n_chars (if there) counted anew; other columns unchanged."""
-    gone = removals(docs).groupBy("doc_id").agg(F.collect_set("line_no").alias("_removed")).withColumnRenamed("doc_id", "_id")
-    joined = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left")
-    parts = F.split("text", "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "_removed")
+    gone = removals(docs).groupBy("doc_id").agg(F.collect_set("line_no").alias("removed")).withColumnRenamed("doc_id", "id")
+    rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("key"))
+    joined = rows.join(gone, F.col("key").eqNullSafe(F.col("id")), "left")
+    parts = F.split("doc.text", "\n")
+    left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "removed")
     text = F.transform(F.array(parts), lambda p: F.array_join(F.transform(left, lambda i: p[i]), "\n"))[0]
-    text = F.when(F.col("_removed").isNull() | F.col("text").isNull(), F.col("text")).otherwise(text)
-    out = joined.withColumn("text", text)
+    changed = F.col("removed").isNotNull() & F.col("doc.text").isNotNull()
+    new = {"text": text}
     if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("_removed").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType)
+    columns = [F.when(changed, new[c]).otherwise(F.col(f"doc.{c}")).alias(c) if c in new else F.col(f"doc.`{c}`") for c in docs.columns]
+    return joined.select(*columns)

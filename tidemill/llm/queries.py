@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, html, langid, linededup, quality, simhash, syncmers, toxicity
+from . import bpe, decontam, html, langid, linededup, lm, quality, simhash, syncmers, toxicity
 from pyspark.sql import functions as F
 
 
@@ -53,6 +53,10 @@ def op7_language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
+def op8_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(_table(spark, sf_dir, "documents"), vocabulary_path())
+
+
 def op9_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.edited_fingerprints(_table(spark, sf_dir, "documents"))
 
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_simhash_anchors,
         op6_toxicity_ftrl,
         op7_language_ppm,
+        op8_attention_lm,
         op9_syncmer_fingerprints,
         op10_line_minhash,
     )

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _folder(spark: SparkSession) -> str:
+def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder of ``spark.checkpoint.dir``; a temporary one only where the session names none (tests)."""
     known = spark.conf.get("spark.checkpoint.dir", None)
     if not known:
@@ -20,7 +20,7 @@ def _folder(spark: SparkSession) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder as Parquet and read again: computed once, and kept if executors are lost."""
-    path = f"{_folder(df.sparkSession).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    path = f"{checkpoint_folder(df.sparkSession).rstrip('/')}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -33,3 +33,9 @@ def fold(doc_id: str, n: int) -> Column:
 def bounded_sample(df: DataFrame, bound: int, *keys: str) -> DataFrame:
     """At most ``bound`` rows of ``df``, those of the smallest hash of ``keys``: the same rows for any partitioning."""
     return df.orderBy(F.xxhash64(*keys), *keys).limit(bound)
+
+
+def drop_ids(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs without the rows whose doc_id is in gone (column doc_id); null ids stay, columns are untouched."""
+    rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("id"))
+    return rows.join(gone.select(F.col("doc_id").cast("long").alias("id")).distinct(), "id", "left_anti").select("doc.*")

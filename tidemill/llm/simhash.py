@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import cut
+from .shared import cut, drop_ids
 from .text import chunks
 
 SHINGLE = 3
@@ -124,6 +124,4 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
     Rows that repeat that doc_id all stay (they are one document), and so do rows with a null doc_id.
     """
-    where = components(docs, shingle)
-    gone = where.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    return drop_ids(docs, components(docs, shingle).where("doc_id <> component_id"))
