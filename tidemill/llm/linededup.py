@@ -1,8 +1,9 @@
 """Line deduplication: near-equal lines by MinHash, one line kept per component.
 
-1. Lines of at least ``MIN_CHARS`` characters (trimmed, lower-cased) are grouped by hash; each distinct line is one
-   row from here on, so a line that stands in a third of all documents is as cheap as any other.
-2. Each distinct line gets a one-permutation MinHash signature of ``SLOTS`` = 40 slots over its ``SHINGLE``-character
+1. Lines of at least ``MIN_CHARS`` characters (trimmed, lower-cased) are told apart by a 64-bit hash. A task works out
+   the signature of a line it meets again only once, and what is shuffled later are distinct (band, line) pairs, so a
+   line that stands in a third of all documents is as cheap as any other.
+2. Each line gets a one-permutation MinHash signature of ``SLOTS`` = 40 slots over its ``SHINGLE``-character
    shingles, empty slots filled from the next full one, cut into 10 bands of 4: a pair of Jaccard similarity 0.8
    shares a band with probability 0.995.
 3. Lines that share a band are candidates. Bands with the same members are compared once. A band of more than
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .shared import cut
-from .text import chunks, column_bytes, mix
+from .text import chunks, mix
 
 MIN_CHARS = 30
 SHINGLE = 8
@@ -35,6 +36,10 @@ SLOTS = 40
 BAND = 4
 SIMILARITY = 0.8
 BLOCK = 256
+#: Lines whose hash a task remembers; a line beyond them gets its signature again.
+MET_LINES = 500_000
+#: Candidate lines are broadcast to the scan that fetches their text up to this many, else joined by shuffle.
+BROADCAST_LINES = 1_000_000
 
 _PRIMES = [np.uint64(pow(0x9E3779B97F4A7C15, i + 1, 1 << 64)) for i in range(SHINGLE)]
 
@@ -71,17 +76,31 @@ def signatures(lines: list[str]) -> np.ndarray:
     return out
 
 
-def _bands(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(band, h): for each line the hash of each of its bands."""
+def _signed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, line_no, h, bands): each line's place and hash, and its band hashes where the task first meets it."""
     bands = SLOTS // BAND
     salt = np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    met: set[int] = set()
     for batch in chunks(batches, "line", 1 << 20):
-        sig = signatures(batch.column("line").to_pylist()).reshape(-1, bands, BAND)
-        key = np.broadcast_to(salt, sig.shape[:2]).copy()
-        for j in range(BAND):
-            key = mix(key ^ sig[:, :, j]) * np.uint64(5)
-        h = batch.column("h").to_numpy()
-        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64).ravel()), pa.array(np.repeat(h, bands))], names=["band", "h"])
+        hs = batch.column("h").to_pylist()
+        new = []
+        for i, h in enumerate(hs):
+            if h not in met:
+                new.append(i)
+                if len(met) < MET_LINES:
+                    met.add(h)
+        sizes = np.zeros(len(hs), dtype=np.int64)
+        sizes[new] = bands
+        key = np.zeros((0, bands), dtype=np.uint64)
+        if new:
+            sig = signatures(batch.column("line").take(pa.array(new)).to_pylist()).reshape(-1, bands, BAND)
+            key = np.broadcast_to(salt, sig.shape[:2]).copy()
+            for j in range(BAND):
+                key = mix(key ^ sig[:, :, j]) * np.uint64(5)
+        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(key.view(np.int64).ravel()))
+        columns = [batch.column("doc_id"), batch.column("line_no"), batch.column("h"), lists]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "line_no", "h", "bands"])
 
 
 def _links(lines: list[str]) -> Iterator[tuple[int, int]]:
@@ -144,37 +163,40 @@ def lines(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "line_no", "line", F.xxhash64("line").alias("h"))
 
 
-def links(distinct: DataFrame) -> DataFrame:
-    """Verified links (a, b) between the hashes of distinct lines (h, line)."""
-    rows = distinct.select("h", "line").mapInArrow(_bands, "band long, h long")
-    members = rows.distinct()  # a line of few shingles may have a band twice
+def links(docs: DataFrame, signed: DataFrame) -> DataFrame:
+    """Verified links (a, b) between the hashes of distinct lines; signed: the rows of _signed for docs."""
+    # One shuffle by band serves the count of its members and the join with it.
+    members = signed.select(F.explode("bands").alias("band"), "h").repartition("band").distinct()
     buckets = (
         members.groupBy("band")
-        .agg(F.count("*").alias("n"), F.sum(F.xxhash64("h").cast("decimal(38,0)")).alias("mark"))
+        .agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("h")).alias("mark"), F.bit_xor(F.xxhash64("h", F.lit(1))).alias("mask"))
         .where("n > 1")
-        .groupBy("n", "mark")
+        .groupBy("n", "mark", "mask")
         .agg(F.min("band").alias("band"))
     )
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("h", F.lit(1)), F.col("g")).cast("int")
-    dealt = (
+    dealt = cut(
         members.join(buckets.select("band", "n"), "band")
         .select("band", "h", blocks.alias("g"))
         .select("band", "h", "g", own.alias("own"))
         .select("band", "h", "own", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("other"))
         .select(F.col("band").alias("bucket"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "h")
     )
+    wanted = dealt.select("h").distinct()
+    if dealt.count() <= BROADCAST_LINES:
+        wanted = F.broadcast(wanted)
+    texts = lines(docs).select("h", "line").join(wanted, "h").groupBy("h").agg(F.min("line").alias("line"))
     keys = ["bucket", "i", "j"]
-    grouped = dealt.join(distinct.select("h", "line"), "h").select(*keys, "h", "line").repartition(*keys).sortWithinPartitions(*keys, "h")
+    grouped = dealt.join(texts, "h").select(*keys, "h", "line").repartition(*keys).sortWithinPartitions(*keys, "h")
     return grouped.mapInArrow(_verify, "a long, b long")
 
 
 def removals(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no) of every line that goes."""
-    found = lines(docs)
-    distinct = found.groupBy("h").agg(F.min(F.struct("doc_id", "line_no", "line")).alias("first")).select("h", "first.line")
-    roots = connected_components(links(distinct))
-    places = found.select("doc_id", "line_no", "h")
+    signed = cut(lines(docs).mapInArrow(_signed, "doc_id long, line_no int, h long, bands array<long>"))
+    roots = connected_components(links(docs, signed))
+    places = signed.select("doc_id", "line_no", "h")
     firsts = places.groupBy("h").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"))
     named = firsts.join(roots, firsts.h == roots.node, "left").select("h", "first", "n", F.coalesce("root", "h").alias("root"))
     kept = named.groupBy("root").agg(F.min("first").alias("kept"), F.sum("n").alias("all")).where("all > 1")
