@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemill.llm import bpe, decontam, langid, linededup, simhash
 from tidemill.llm.queries import vocabulary_path
-from tidemill.llm.shared import checkpoint_folder, fold
+from tidemill.llm.shared import checkpoint_folder, fold, release
 
 #: A document stays when a language was found and its posterior is at least this.
 MIN_LANGUAGE_SCORE = 0.5
@@ -69,5 +69,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES:
         out = stage(spark, docs, sf_dir)
         out.write.parquet(f"{folder}/{name}")
+        release()
         docs = spark.read.schema(out.schema).parquet(f"{folder}/{name}")
     return docs

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import cut
+from .shared import keep
 from .text import chunks, mix
 
 MIN_CHARS = 30
@@ -176,7 +176,7 @@ def links(docs: DataFrame, signed: DataFrame) -> DataFrame:
     )
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("h", F.lit(1)), F.col("g")).cast("int")
-    dealt = cut(
+    dealt = keep(
         members.join(buckets.select("band", "n"), "band")
         .select("band", "h", blocks.alias("g"))
         .select("band", "h", "g", own.alias("own"))
@@ -194,7 +194,7 @@ def links(docs: DataFrame, signed: DataFrame) -> DataFrame:
 
 def removals(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no) of every line that goes."""
-    signed = cut(lines(docs).mapInArrow(_signed, "doc_id long, line_no int, h long, bands array<long>"))
+    signed = keep(lines(docs).mapInArrow(_signed, "doc_id long, line_no int, h long, bands array<long>"))
     roots = connected_components(links(docs, signed))
     places = signed.select("doc_id", "line_no", "h")
     firsts = places.groupBy("h").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"))

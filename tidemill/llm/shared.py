@@ -25,6 +25,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_kept: list[DataFrame] = []
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """``df`` cached in memory and on disk, for a table used more than once; lost parts are worked out again."""
+    _kept.append(df.persist())
+    return df
+
+
+def release() -> None:
+    """Frees what ``keep`` cached, once the results that use it are written."""
+    while _kept:
+        _kept.pop().unpersist()
+
+
 def fold(doc_id: str, n: int) -> Column:
     """crc32 of the id as text, modulo n."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % n

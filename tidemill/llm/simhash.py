@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import cut, drop_ids
+from .shared import drop_ids, keep
 from .text import chunks
 
 SHINGLE = 3
@@ -104,7 +104,7 @@ def near_pairs(prints: DataFrame) -> DataFrame:
 
 def components(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp, component_id) for every row of docs; component_id is the smallest doc_id reachable."""
-    prints = cut(fingerprints(docs, shingle))
+    prints = keep(fingerprints(docs, shingle))
     groups = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
     pairs = near_pairs(prints)
     named = (
