@@ -3,9 +3,9 @@
 1. Lines of at least ``MIN_CHARS`` characters (trimmed, lower-cased) are told apart by a 64-bit hash. A task works out
    the signature of a line it meets again only once, and what is shuffled later are distinct (band, line) pairs, so a
    line that stands in a third of all documents is as cheap as any other.
-2. Each line gets a one-permutation MinHash signature of ``SLOTS`` = 40 slots over its ``SHINGLE``-character
-   shingles, empty slots filled from the next full one, cut into 10 bands of 4: a pair of Jaccard similarity 0.8
-   shares a band with probability 0.995.
+2. Each line gets a one-permutation MinHash signature of ``SLOTS`` = 36 slots over its ``SHINGLE``-character
+   shingles, empty slots filled from the next full one, cut into 9 bands of 4: a pair of Jaccard similarity 0.8
+   shares a band with probability 0.991.
 3. Lines that share a band are candidates. Bands with the same members are compared once. A band of more than
    ``BLOCK`` lines is dealt to tasks as pairs of blocks, so every pair still meets. Candidates are verified by exact
    Jaccard similarity of their shingle sets, at ``SIMILARITY`` or more; a pair already known to be connected within
@@ -32,7 +32,7 @@ from .text import chunks, mix
 
 MIN_CHARS = 30
 SHINGLE = 8
-SLOTS = 40
+SLOTS = 36
 BAND = 4
 SIMILARITY = 0.8
 BLOCK = 256
@@ -103,23 +103,33 @@ def _signed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "line_no", "h", "bands"])
 
 
-def _links(lines: list[str]) -> Iterator[tuple[int, int]]:
-    """A spanning forest of the pairs of lines with exact Jaccard similarity of at least SIMILARITY."""
-    sets = [{x[i : i + SHINGLE] for i in range(len(x) - SHINGLE + 1)} for x in lines]
+def _sets(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Each line's distinct shingles, by 48 bits of their hash and sorted, one line after the other; offsets."""
+    line, h = _shingle_hashes(lines)
+    key = np.unique(line.astype(np.uint64) << np.uint64(48) | h >> np.uint64(16))
+    offsets = np.searchsorted(key, np.arange(len(lines) + 1, dtype=np.uint64) << np.uint64(48))
+    return key & np.uint64((1 << 48) - 1), offsets
+
+
+def _similar(common: np.ndarray | int, a: np.ndarray | int, b: np.ndarray | int):
+    return common >= SIMILARITY * (a + b - common)
+
+
+def _group_links(members: range, keys: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+    """A spanning forest of the similar pairs among the members."""
+    sets = {i: keys[offsets[i] : offsets[i + 1]] for i in members}
     clusters: list[list[int]] = []
-    for i, s in enumerate(sets):
-        joined = None
-        left = []
+    for i in members:
+        s, joined, left = sets[i], None, []
         for cluster in clusters:
             hit = None
             for j in cluster:
                 t = sets[j]
-                small, large = (len(s), len(t)) if len(s) < len(t) else (len(t), len(s))
-                if small >= SIMILARITY * large:
-                    common = len(s & t)
-                    if common >= SIMILARITY * (len(s) + len(t) - common):
-                        hit = j
-                        break
+                if min(len(s), len(t)) < SIMILARITY * max(len(s), len(t)):
+                    continue
+                if _similar(len(np.intersect1d(s, t, assume_unique=True)), len(s), len(t)):
+                    hit = j
+                    break
             if hit is None:
                 left.append(cluster)
             else:
@@ -128,32 +138,52 @@ def _links(lines: list[str]) -> Iterator[tuple[int, int]]:
         clusters = [*left, [*(joined or ()), i]]
 
 
+def links_of_groups(lines: list[str], sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Spanning forests of the pairs of exact Jaccard similarity SIMILARITY or more, within each group of lines.
+
+    The groups follow each other in lines. Pairs of two-line groups are compared all at once.
+    """
+    keys, offsets = _sets(lines)
+    size = np.array(sizes)
+    start = np.cumsum(size) - size
+    twos = start[size == 2]
+    if len(twos):
+        count = np.diff(offsets)
+        line = np.repeat(np.arange(len(lines)), count)
+        pair = np.full(len(lines), -1)
+        pair[twos] = pair[twos + 1] = np.arange(len(twos))
+        use = pair[line] >= 0
+        both = np.sort(pair[line[use]].astype(np.uint64) << np.uint64(48) | keys[use])
+        same = both[1:][both[1:] == both[:-1]] >> np.uint64(48)
+        common = np.bincount(same.astype(np.int64), minlength=len(twos))
+        for at in twos[_similar(common, count[twos], count[twos + 1])]:
+            yield int(at), int(at) + 1
+    for at, n in zip(start[size > 2].tolist(), size[size > 2].tolist()):
+        yield from _group_links(range(at, at + n), keys, offsets)
+
+
 def _verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links (a, b) of each group of rows (bucket, i, j, h, line), which come sorted by group."""
-    key, hs, lines = None, [], []
+    key, hs, lines, sizes, chars = None, [], [], [], 0
 
     def finish():
-        pairs = [(hs[x], hs[y]) for x, y in _links(lines)]
+        pairs = [(hs[x], hs[y]) for x, y in links_of_groups(lines, sizes)]
         return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
 
-    waiting, count = [], 0
     for batch in batches:
         for *k, h, line in zip(*(batch.column(i).to_pylist() for i in range(5))):
             if k != key:
-                if len(hs) > 1:
-                    out = finish()
-                    if out.num_rows:
-                        waiting.append(out)
-                        count += out.num_rows
-                    if count > 10_000:
-                        yield from waiting
-                        waiting, count = [], 0
-                key, hs, lines = k, [], []
+                if chars > 1 << 20 or len(lines) > 50_000:  # whole groups only
+                    yield finish()
+                    hs, lines, sizes, chars = [], [], [], 0
+                key = k
+                sizes.append(0)
+            sizes[-1] += 1
             hs.append(h)
             lines.append(line)
-    if len(hs) > 1:
-        waiting.append(finish())
-    yield from waiting
+            chars += len(line)
+    if lines:
+        yield finish()
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -166,9 +196,10 @@ def lines(docs: DataFrame) -> DataFrame:
 def links(docs: DataFrame, signed: DataFrame) -> DataFrame:
     """Verified links (a, b) between the hashes of distinct lines; signed: the rows of _signed for docs."""
     # One shuffle by band serves the count of its members and the join with it.
-    members = signed.select(F.explode("bands").alias("band"), "h").repartition("band").distinct()
+    members = signed.select(F.explode("bands").alias("band"), "h").repartition("band")
     buckets = (
-        members.groupBy("band")
+        members.distinct()
+        .groupBy("band")
         .agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("h")).alias("mark"), F.bit_xor(F.xxhash64("h", F.lit(1))).alias("mask"))
         .where("n > 1")
         .groupBy("n", "mark", "mask")
@@ -177,7 +208,8 @@ def links(docs: DataFrame, signed: DataFrame) -> DataFrame:
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("h", F.lit(1)), F.col("g")).cast("int")
     dealt = keep(
-        members.join(buckets.select("band", "n"), "band")
+        members.join(buckets.select("band", "n").hint("shuffle_hash"), "band")
+        .distinct()
         .select("band", "h", blocks.alias("g"))
         .select("band", "h", "g", own.alias("own"))
         .select("band", "h", "own", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("other"))
