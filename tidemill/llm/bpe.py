@@ -34,8 +34,8 @@ from .text import chunks
 _WHITE = r"\t-\r \x85\xa0  -     　"
 _WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_WHITE}\p{{L}}\p{{N}}]+")
 #: Runs between white space, words and pairs remembered by a worker; beyond it they are worked out anew each time.
-CACHE_RUNS = 600_000
-CACHE_WORDS = 300_000
+CACHE_RUNS = 400_000
+CACHE_WORDS = 200_000
 CACHE_PAIRS = 300_000
 #: Separators of str.split that the vocabulary doesn't take for white space.
 _NOT_WHITE = "\x1c\x1d\x1e\x1f"
@@ -124,8 +124,18 @@ class Vocabulary:
 
     def _encode_word(self, word: str) -> list[int]:
         letters = self.letters
-        s = "".join([letters[b] for b in word.encode()]) + "\n"
+        s = (word if word.isascii() and word.isprintable() else "".join([letters[b] for b in word.encode()])) + "\n"
         n = len(s)
+        # Where the longest matches one after the other already fit each other, there is nothing to step back from.
+        greedy = [match for _, match in self.automaton.iter_long(s)]
+        if sum([size for size, _ in greedy]) == n:
+            known, last = self.pairs.get, -1
+            for _, token in greedy:
+                if last >= 0 and not (known((last, token)) or self.compatible(last, token)):
+                    break
+                last = token
+            else:
+                return [self.ids[token] for _, token in greedy]
         longest = [-1] * n
         for end, (size, token) in self.automaton.iter(s):
             longest[end - size + 1] = token

@@ -115,51 +115,55 @@ def _similar(common: np.ndarray | int, a: np.ndarray | int, b: np.ndarray | int)
     return common >= SIMILARITY * (a + b - common)
 
 
-def _group_links(members: range, keys: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int]]:
-    """A spanning forest of the similar pairs among the members."""
-    sets = {i: keys[offsets[i] : offsets[i + 1]] for i in members}
-    clusters: list[list[int]] = []
-    for i in members:
-        s, joined, left = sets[i], None, []
-        for cluster in clusters:
-            hit = None
-            for j in cluster:
-                t = sets[j]
-                if min(len(s), len(t)) < SIMILARITY * max(len(s), len(t)):
-                    continue
-                if _similar(len(np.intersect1d(s, t, assume_unique=True)), len(s), len(t)):
-                    hit = j
-                    break
-            if hit is None:
-                left.append(cluster)
-            else:
-                yield hit, i
-                joined = cluster if joined is None else joined + cluster
-        clusters = [*left, [*(joined or ()), i]]
-
-
 def links_of_groups(lines: list[str], sizes: list[int]) -> Iterator[tuple[int, int]]:
     """Spanning forests of the pairs of exact Jaccard similarity SIMILARITY or more, within each group of lines.
 
-    The groups follow each other in lines. Pairs of two-line groups are compared all at once.
+    The groups follow each other in lines. In each round every group that isn't one cluster yet compares its next line
+    with all lines of other clusters that it hasn't met, for all groups at once. So a group whose lines are all like
+    its first one takes one round, and no pair of lines of different clusters stays uncompared.
     """
     keys, offsets = _sets(lines)
+    count = np.diff(offsets)
     size = np.array(sizes)
+    group = np.repeat(np.arange(len(size)), size)
     start = np.cumsum(size) - size
-    twos = start[size == 2]
-    if len(twos):
-        count = np.diff(offsets)
-        line = np.repeat(np.arange(len(lines)), count)
+    cluster = np.arange(len(lines))
+    clusters = size.copy()
+    done = np.zeros(len(lines), dtype=bool)
+    line_of_key = np.repeat(np.arange(len(lines)), count)
+    while True:
+        at = np.flatnonzero(~done & (clusters > 1)[group])
+        if not len(at):
+            return
+        pivots = at[np.concatenate([[True], group[at][1:] != group[at][:-1]])]
+        done[pivots] = True
+        pivot = np.full(len(size), -1)
+        pivot[group[pivots]] = pivots
+        at = at[~done[at]]
+        mine = pivot[group[at]]
+        a, b = count[at], count[mine]
+        others = at[(cluster[at] != cluster[mine]) & (np.minimum(a, b) >= SIMILARITY * np.maximum(a, b))]
+        if not len(others):
+            continue
+        mine = pivot[group[others]]
         pair = np.full(len(lines), -1)
-        pair[twos] = pair[twos + 1] = np.arange(len(twos))
-        use = pair[line] >= 0
-        both = np.sort(pair[line[use]].astype(np.uint64) << np.uint64(48) | keys[use])
+        pair[others] = np.arange(len(others))
+        use = np.flatnonzero(pair[line_of_key] >= 0)
+        theirs = pair[line_of_key[use]].astype(np.uint64) << np.uint64(48) | keys[use]
+        length = count[mine]
+        index = np.arange(length.sum()) + np.repeat(offsets[mine] - (np.cumsum(length) - length), length)
+        ours = np.repeat(np.arange(len(others), dtype=np.uint64), length) << np.uint64(48) | keys[index]
+        both = np.sort(np.concatenate([theirs, ours]))
         same = both[1:][both[1:] == both[:-1]] >> np.uint64(48)
-        common = np.bincount(same.astype(np.int64), minlength=len(twos))
-        for at in twos[_similar(common, count[twos], count[twos + 1])]:
-            yield int(at), int(at) + 1
-    for at, n in zip(start[size > 2].tolist(), size[size > 2].tolist()):
-        yield from _group_links(range(at, at + n), keys, offsets)
+        common = np.bincount(same.astype(np.int64), minlength=len(others))
+        hits = np.flatnonzero(_similar(common, count[others], length))
+        for i, p in zip(others[hits].tolist(), mine[hits].tolist()):
+            if cluster[i] != cluster[p]:
+                g = group[p]
+                own = cluster[start[g] : start[g] + size[g]]
+                own[own == cluster[i]] = cluster[p]
+                clusters[g] -= 1
+                yield p, i
 
 
 def _verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
