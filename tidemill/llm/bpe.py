@@ -34,8 +34,8 @@ from .text import chunks
 _WHITE = r"\t-\r \x85\xa0  -     　"
 _WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_WHITE}\p{{L}}\p{{N}}]+")
 #: Runs between white space, words and pairs remembered by a worker; beyond it they are worked out anew each time.
-CACHE_RUNS = 400_000
-CACHE_WORDS = 200_000
+CACHE_RUNS = 500_000
+CACHE_WORDS = 100_000
 CACHE_PAIRS = 300_000
 #: Separators of str.split that the vocabulary doesn't take for white space.
 _NOT_WHITE = "\x1c\x1d\x1e\x1f"
@@ -61,7 +61,7 @@ class Vocabulary:
         base = [t for t in vocab if t not in rank]
         order = [*base, *rank]
         place = {t: i for i, t in enumerate(order)}
-        self.ids = [vocab[t] for t in order]
+        self.ids = [vocab[t].to_bytes(4, "little") for t in order]
         # left and right part by place; a base token is its own part
         self.left = list(range(len(base))) + [place[a] for a, _ in merges]
         self.right = list(range(len(base))) + [place[b] for _, b in merges]
@@ -122,7 +122,7 @@ class Vocabulary:
                 else:
                     return True
 
-    def _encode_word(self, word: str) -> list[int]:
+    def _encode_word(self, word: str) -> bytes:
         letters = self.letters
         s = (word if word.isascii() and word.isprintable() else "".join([letters[b] for b in word.encode()])) + "\n"
         n = len(s)
@@ -135,7 +135,7 @@ class Vocabulary:
                     break
                 last = token
             else:
-                return [self.ids[token] for _, token in greedy]
+                return b"".join([self.ids[token] for _, token in greedy])
         longest = [-1] * n
         for end, (size, token) in self.automaton.iter(s):
             longest[end - size + 1] = token
@@ -157,13 +157,13 @@ class Vocabulary:
                 alive[at] = 0
                 token = out.pop()
                 at -= length[token]
-        return [self.ids[t] for t in out]
+        return b"".join([self.ids[t] for t in out])
 
     def word_ids(self, word: str) -> bytes:
         """The ids of one word as little-endian unsigned 32-bit integers."""
         known = self.words.get(word)
         if known is None:
-            known = np.array(self._encode_word(word), dtype="<u4").tobytes()
+            known = self._encode_word(word)
             if len(self.words) < CACHE_WORDS:
                 self.words[word] = known
         return known
@@ -193,11 +193,14 @@ class Vocabulary:
         return known
 
     def _encode_run(self, text: str) -> bytes:
-        if not unicodedata.is_normalized("NFC", text):
+        if not (text.isascii() or unicodedata.is_normalized("NFC", text)):
             text = unicodedata.normalize("NFC", text)
         if "Σ" in text:
             text = text.replace("Σ", "σ")  # lower-cased letter by letter, without the final form
-        words, known, ids = _WORD.findall(text.lower()), self.words, self.word_ids
+        words = _WORD.findall(text.lower())
+        if len(words) == 1 and words[0] == text:  # the run is a word, and is remembered as a run
+            return self._encode_word(text)
+        known, ids = self.words, self.word_ids
         return b"".join([known.get(w) or ids(w) for w in words])
 
     def decode(self, ids: np.ndarray) -> bytes:
