@@ -36,6 +36,7 @@ SLOTS = 36
 BAND = 4
 SIMILARITY = 0.8
 BLOCK = 256
+BINS = 256
 #: Lines whose hash a task remembers; a line beyond them gets its signature again.
 MET_LINES = 500_000
 #: Candidate lines are broadcast to the scan that fetches their text up to this many, else joined by shuffle.
@@ -115,6 +116,13 @@ def _similar(common: np.ndarray | int, a: np.ndarray | int, b: np.ndarray | int)
     return common >= SIMILARITY * (a + b - common)
 
 
+def _tagged(keys: np.ndarray, offsets: np.ndarray, count: np.ndarray, lines: np.ndarray) -> np.ndarray:
+    """The keys of lines, one after the other, each with the place of its line in front."""
+    length = count[lines]
+    index = np.arange(length.sum()) + np.repeat(offsets[lines] - (np.cumsum(length) - length), length)
+    return np.repeat(np.arange(len(lines), dtype=np.uint64), length) << np.uint64(48) | keys[index]
+
+
 def links_of_groups(lines: list[str], sizes: list[int]) -> Iterator[tuple[int, int]]:
     """Spanning forests of the pairs of exact Jaccard similarity SIMILARITY or more, within each group of lines.
 
@@ -130,7 +138,8 @@ def links_of_groups(lines: list[str], sizes: list[int]) -> Iterator[tuple[int, i
     cluster = np.arange(len(lines))
     clusters = size.copy()
     done = np.zeros(len(lines), dtype=bool)
-    line_of_key = np.repeat(np.arange(len(lines)), count)
+    bin_of_key = np.repeat(np.arange(len(lines)) * BINS, count) + (keys & np.uint64(BINS - 1)).astype(np.int64)
+    bins = np.bincount(bin_of_key, minlength=len(lines) * BINS).reshape(-1, BINS).astype(np.int32)
     while True:
         at = np.flatnonzero(~done & (clusters > 1)[group])
         if not len(at):
@@ -146,17 +155,17 @@ def links_of_groups(lines: list[str], sizes: list[int]) -> Iterator[tuple[int, i
         if not len(others):
             continue
         mine = pivot[group[others]]
-        pair = np.full(len(lines), -1)
-        pair[others] = np.arange(len(others))
-        use = np.flatnonzero(pair[line_of_key] >= 0)
-        theirs = pair[line_of_key[use]].astype(np.uint64) << np.uint64(48) | keys[use]
-        length = count[mine]
-        index = np.arange(length.sum()) + np.repeat(offsets[mine] - (np.cumsum(length) - length), length)
-        ours = np.repeat(np.arange(len(others), dtype=np.uint64), length) << np.uint64(48) | keys[index]
-        both = np.sort(np.concatenate([theirs, ours]))
+        # What two lines share is at most what their shingles share bin by bin, so most unlike pairs need no more.
+        most = np.minimum(bins[others], bins[mine]).sum(axis=1)
+        may = _similar(most, count[others], count[mine])
+        others, mine = others[may], mine[may]
+        if not len(others):
+            continue
+        both = np.concatenate([_tagged(keys, offsets, count, others), _tagged(keys, offsets, count, mine)])
+        both.sort()
         same = both[1:][both[1:] == both[:-1]] >> np.uint64(48)
         common = np.bincount(same.astype(np.int64), minlength=len(others))
-        hits = np.flatnonzero(_similar(common, count[others], length))
+        hits = np.flatnonzero(_similar(common, count[others], count[mine]))
         for i, p in zip(others[hits].tolist(), mine[hits].tolist()):
             if cluster[i] != cluster[p]:
                 g = group[p]
@@ -177,7 +186,7 @@ def _verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for *k, h, line in zip(*(batch.column(i).to_pylist() for i in range(5))):
             if k != key:
-                if chars > 1 << 20 or len(lines) > 50_000:  # whole groups only
+                if chars > 1 << 20 or len(lines) > 8_000:  # whole groups only
                     yield finish()
                     hs, lines, sizes, chars = [], [], [], 0
                 key = k
