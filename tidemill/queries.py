@@ -4,11 +4,349 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .config import ForecastConfig
+from .functions import scalars as sc
+from .operators import daily, evaluate, features, models, weather
+from .plans import forecast as plan
+from .sources.readers import event_observations, order_days
+from .sources.writers import prediction_matrix
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
+_OBS = """obs AS (SELECT event_id, ts, event_type AS metric, 'site_' || (user_id % 3) AS site,
+  CASE WHEN event_id % 97 = 0 THEN NULL WHEN event_id % 89 = 0 THEN -9999 ELSE value END AS value FROM events),
+good AS (SELECT *, CAST(date_trunc('second', ts) + INTERVAL 43199 SECOND AS DATE) AS nd FROM obs WHERE value IS DISTINCT FROM -9999)"""
+_DAYS = """days AS (SELECT CAST(o_orderdate AS DATE) AS d, avg(o_totalprice) / 100000 AS y FROM orders GROUP BY 1),
+idx AS (SELECT *, row_number() OVER (ORDER BY d) - 1 AS row_idx FROM days)"""
+_AHEAD = "ahead AS (SELECT a.d AS origin_date, h, b.d AS forecast_date, b.y AS actual, a.y AS predicted FROM idx a, range(1, 11) t(h), idx b WHERE b.row_idx = a.row_idx + h)"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _r(c, n: int = 6):
+    return F.round(c, n)
+
+
+def _weather(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily weather made of readings: one metric for each variable."""
+    e = event_observations(spark, sf_dir).where(sc.valid(F.col("value")))
+    pick = lambda name: F.when(F.col("metric") == name, F.col("value"))
+    names = ["click", "view", "purchase", "error", "signup"]
+    return e.groupBy(F.to_date("ts").alias("date")).agg(*(F.avg(pick(n)).alias(n) for n in names))
+
+
+@query(f"WITH {_OBS} SELECT nd AS d, metric, site, round(avg(value), 6) AS mean_value FROM good WHERE metric IS NOT NULL AND site IS NOT NULL GROUP BY ALL")
+def noon_daily_mean(spark, sf_dir):
+    return daily.by_noon_day(event_observations(spark, sf_dir), "metric", "site").select("d", "metric", "site", _r("value").alias("mean_value"))
+
+
+@query(f"WITH {_OBS} SELECT nd AS d, round(avg(value), 6) AS target FROM good WHERE metric = 'error' GROUP BY ALL")
+def noon_daily_target(spark, sf_dir):
+    return daily.by_noon_day(event_observations(spark, sf_dir).where("metric = 'error'")).select("d", _r("value").alias("target"))
+
+
+@query(f"WITH {_OBS} SELECT nd AS d, metric, round(avg(value), 6) AS pooled FROM good GROUP BY ALL")
+def noon_daily_pooled(spark, sf_dir):
+    return daily.by_noon_day(event_observations(spark, sf_dir), "metric").select("d", "metric", _r("value").alias("pooled"))
+
+
+@query(f"WITH {_OBS} SELECT nd AS d, " + ", ".join(f"round(avg(value) FILTER (site = 'site_{i}'), 6) AS site_{i}" for i in range(3)) + " FROM good GROUP BY ALL")
+def daily_wide(spark, sf_dir):
+    rows = daily.by_noon_day(event_observations(spark, sf_dir), "site")
+    return daily.wide(rows, "site", ["site_0", "site_1", "site_2"]).select("d", *(_r(f"site_{i}").alias(f"site_{i}") for i in range(3)))
+
+
+@query(
+    f"WITH {_OBS}, f AS (SELECT nd AS d, metric, avg(value) AS v FROM good GROUP BY ALL), t AS (SELECT nd AS d, avg(value) AS y FROM good WHERE metric = 'error' GROUP BY ALL)"
+    " SELECT f.d, metric, round(v, 6) AS v, round(y, 6) AS y FROM f LEFT JOIN t ON f.d = t.d WHERE metric <> 'error'"
+)
+def features_with_target(spark, sf_dir):
+    obs = event_observations(spark, sf_dir)
+    t = daily.by_noon_day(obs.where("metric = 'error'")).select("d", F.col("value").alias("y"))
+    f = daily.by_noon_day(obs.where("metric <> 'error'"), "metric")
+    return f.join(t, "d", "left").select("d", "metric", _r("value").alias("v"), _r("y").alias("y"))
+
+
+@query(
+    f"WITH {_OBS} SELECT CAST(ts AS DATE) AS date, metric, site, round(avg(value), 6) AS mean, round(max(value), 6) AS max, round(min(value), 6) AS min,"
+    " round(coalesce(sum(value), 0), 4) AS sum, round(median(value), 6) AS median FROM good WHERE CAST(ts AS DATE) BETWEEN '2024-01-05' AND '2024-01-20' GROUP BY ALL"
+)
+def get_daily_statistics(spark, sf_dir):
+    obs = event_observations(spark, sf_dir)
+    out = None
+    for name in daily.STATISTICS:
+        one = daily.get_daily(obs, name, start="2024-01-05", end="2024-01-20").select("date", "metric", "site", _r("value", 4 if name == "sum" else 6).alias(name))
+        out = one if out is None else out.join(one, ["date", "metric", "site"])
+    return out
+
+
+@query(
+    f"WITH {_OBS}, k AS (SELECT *, abs(hour(ts) * 3600 + minute(ts) * 60 + second(ts) - 43200) AS dist FROM good),"
+    " n AS (SELECT *, row_number() OVER (PARTITION BY nd, metric, site ORDER BY dist, event_id) AS rn FROM k) SELECT nd AS date, metric, site, round(value, 6) AS value FROM n WHERE rn = 1"
+)
+def midday_reading(spark, sf_dir):
+    return daily.get_daily(event_observations(spark, sf_dir), "midday").select("date", "metric", "site", _r("value").alias("value"))
+
+
+@query(
+    "WITH k AS (SELECT DISTINCT o_orderpriority || '|' || c_mktsegment AS col_key FROM orders JOIN customer ON o_custkey = c_custkey),"
+    " o AS (SELECT *, row_number() OVER (ORDER BY col_key) - 1 AS ordinal, trim(lower(regexp_replace(replace(regexp_replace(regexp_replace(col_key, '[0-9()]', '', 'g'), '[ \\-|]', '_', 'g'), '%', 'pct'), '[^A-Za-z_]', '', 'g')), '_') AS name FROM k),"
+    " s AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY ordinal) - 1 AS n FROM o) SELECT ordinal, col_key, CASE WHEN n > 0 THEN name || '_' || n ELSE name END AS feature FROM s"
+)
+def feature_dictionary(spark, sf_dir):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_custkey", "o_orderpriority")
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_mktsegment")
+    keys = o.join(c, o.o_custkey == c.c_custkey).select(F.concat("o_orderpriority", F.lit("|"), "c_mktsegment").alias("col_key"))
+    return daily.feature_names(keys).select("ordinal", "col_key", "feature")
+
+
+@query(
+    f"WITH {_DAYS}, g AS (SELECT *, CASE WHEN row_idx % 7 IN (0, 2, 3) THEN NULL ELSE y END AS v FROM idx),"
+    " b AS (SELECT *, last_value(CASE WHEN v IS NOT NULL THEN row_idx END IGNORE NULLS) OVER p AS bi, last_value(v IGNORE NULLS) OVER p AS bv,"
+    " first_value(CASE WHEN v IS NOT NULL THEN row_idx END IGNORE NULLS) OVER n AS ai, first_value(v IGNORE NULLS) OVER n AS av FROM g"
+    " WINDOW p AS (ORDER BY row_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), n AS (ORDER BY row_idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))"
+    " SELECT d, row_idx, round(CASE WHEN bi IS NULL THEN av WHEN ai IS NULL THEN bv WHEN ai = bi THEN av ELSE bv + (av - bv) * (row_idx - bi) / (ai - bi) END, 6) AS v FROM b"
+)
+def interpolated_gaps(spark, sf_dir):
+    rows = features.with_row_index(order_days(spark, sf_dir), "series").withColumn("v", F.when(~(F.col("row_idx") % 7).isin(0, 2, 3), F.col("y")))
+    return features.interpolated(rows, "v", "series").select("d", "row_idx", _r("v").alias("v"))
+
+
+@query(
+    f"WITH {_DAYS} SELECT d, CASE WHEN count(y) OVER w = 7 THEN round(avg(y) OVER w, 6) END AS mean7, CASE WHEN count(y) OVER w = 7 THEN round(stddev_samp(y) OVER w, 6) END AS sd7,"
+    " round(lag(y, 3) OVER (ORDER BY row_idx), 6) AS lag3, CASE WHEN count(y) OVER l = 5 THEN round(avg(y) OVER l, 6) END AS mean7_3 FROM idx"
+    " WINDOW w AS (ORDER BY row_idx ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), l AS (ORDER BY row_idx ROWS BETWEEN 7 PRECEDING AND 3 PRECEDING)"
+)
+def rolling_features(spark, sf_dir):
+    rows = features.rolling(features.with_row_index(order_days(spark, sf_dir), "series"), "y", "series")
+    return rows.select("d", *(_r(c).alias(c) for c in ("mean7", "sd7", "lag3", "mean7_3")))
+
+
+@query(
+    f"WITH {_DAYS} SELECT d, "
+    + ", ".join(f"CAST(isodow(d) - 1 = {i} AS DOUBLE) AS dow_{i}" for i in range(6))
+    + ", "
+    + ", ".join(f"round({f}(2 * pi() * {k} * dayofyear(d) / 365.25), 6) AS {f}_{k}" for k in (1, 2) for f in ("sin", "cos"))
+    + ", d IN (DATE '1996-12-25', DATE '1997-01-01') AS holiday, d IN (DATE '1996-12-26', DATE '1997-01-02') AS after_holiday FROM days"
+)
+def calendar_features(spark, sf_dir):
+    d = F.col("d")
+    holidays = [F.lit(x).cast("date") for x in ("1996-12-25", "1997-01-01")]
+    rows = order_days(spark, sf_dir).select("d", *sc.weekday_dummies(d), *sc.fourier(d), d.isin(*holidays).alias("holiday"), F.date_sub(d, 1).isin(*holidays).alias("after_holiday"))
+    return rows.select("d", *(f"dow_{i}" for i in range(6)), *(_r(f"{f}_{k}").alias(f"{f}_{k}") for k in (1, 2) for f in ("sin", "cos")), "holiday", "after_holiday")
+
+
+@query(
+    f"WITH {_OBS}, f AS (SELECT nd AS d, metric, site, avg(value) AS v FROM good GROUP BY ALL), m AS (SELECT metric, site, avg(v) AS mu, min(v) AS low FROM f GROUP BY ALL),"
+    " s AS (SELECT f.metric, f.site, any_value(low) AS low, avg((v - mu) ** 3) / nullif(avg((v - mu) ** 2), 0) ** 1.5 AS skew FROM f JOIN m ON f.metric = m.metric AND f.site = m.site GROUP BY ALL)"
+    " SELECT d, f.metric, f.site, round(CASE WHEN skew > 1 AND low > 0 THEN ln(1 + v) WHEN skew > 1 THEN sqrt(v - low + 1) WHEN skew < -1 THEN v * v ELSE v END, 6) AS v FROM f JOIN s ON f.metric = s.metric AND f.site = s.site"
+)
+def skew_corrected(spark, sf_dir):
+    f = daily.by_noon_day(event_observations(spark, sf_dir), "metric", "site")
+    return features.skew_corrected(f, "metric", "site").select("d", "metric", "site", _r("value").alias("v"))
+
+
+@query(f"WITH {_DAYS} SELECT d, round(quantile_cont(y, 0.05) OVER (ORDER BY row_idx ROWS BETWEEN 92 PRECEDING AND 3 PRECEDING), 6) AS floor FROM idx")
+def trailing_floor(spark, sf_dir):
+    return features.trailing_floor(features.with_row_index(order_days(spark, sf_dir), "series"), "y", "series").select("d", _r("floor").alias("floor"))
+
+
+@query(
+    f"WITH {_DAYS}, n AS (SELECT max(row_idx) + 1 AS n FROM idx), w AS (SELECT s AS window_start FROM n, range(0, n - 100 + 1, 14) t(s))"
+    " SELECT CAST(window_start AS BIGINT) AS window_start, count(*) AS n_rows, round(avg(y), 6) AS mean, round(stddev_pop(y), 6) AS sd, stddev_samp(y) > 0 AS usable FROM w JOIN idx ON row_idx BETWEEN window_start AND window_start + 89 GROUP BY window_start"
+)
+def training_windows(spark, sf_dir):
+    rows = features.training_windows(features.with_row_index(order_days(spark, sf_dir), "series"), "series")
+    return rows.groupBy(F.col("window_start").cast("long").alias("window_start")).agg(
+        F.count("*").alias("n_rows"), _r(F.avg("y")).alias("mean"), _r(F.stddev_pop("y")).alias("sd"), (F.stddev_samp("y") > 0).alias("usable")
+    )
+
+
+_NAIVE = f"WITH {_DAYS}, {_AHEAD}, ids AS (SELECT DISTINCT origin_date FROM ahead), num AS (SELECT origin_date, row_number() OVER (ORDER BY origin_date) AS forecast_id FROM ids)"
+
+
+def _naive(spark, sf_dir):
+    return evaluate.forecast_ids(plan.naive(order_days(spark, sf_dir), ForecastConfig()))
+
+
+@query(_NAIVE + " SELECT CAST(forecast_id AS INT) AS forecast_id, origin_date, CAST(h AS INT) AS horizon, forecast_date, round(actual, 6) AS actual, round(predicted, 6) AS predicted FROM ahead JOIN num USING (origin_date)")
+def naive_detail(spark, sf_dir):
+    return _naive(spark, sf_dir).select("forecast_id", "origin_date", "horizon", "forecast_date", _r("actual").alias("actual"), _r("predicted").alias("predicted"))
+
+
+_BANDS = ", bands AS (SELECT forecast_id, origin_date, avg((actual - predicted) ** 2) FILTER (h <= 5) AS mse_1_5, avg((actual - predicted) ** 2) FILTER (h > 5) AS mse_6_10 FROM ahead JOIN num USING (origin_date) GROUP BY ALL)"
+
+
+@query(_NAIVE + _BANDS + " SELECT CAST(forecast_id AS INT) AS forecast_id, origin_date, round(mse_1_5, 6) AS mse_1_5, round(mse_6_10, 6) AS mse_6_10 FROM bands")
+def mse_summary(spark, sf_dir):
+    return evaluate.mse_bands(_naive(spark, sf_dir)).select("forecast_id", "origin_date", _r("mse_1_5").alias("mse_1_5"), _r("mse_6_10").alias("mse_6_10"))
+
+
+@query(_NAIVE + _BANDS + " SELECT " + ", ".join(f"round({n}({c}), 6) AS {m}_{c}" for c in ("mse_1_5", "mse_6_10") for m, n in (("mean", "avg"), ("median", "median"))) + " FROM bands")
+def mse_overall(spark, sf_dir):
+    out = evaluate.overall(evaluate.mse_bands(_naive(spark, sf_dir)))
+    return out.select(*(_r(c).alias(c) for c in out.columns))
+
+
+@query(_NAIVE + " SELECT CAST(forecast_id AS INT) AS forecast_id, " + ", ".join(f"round(max(predicted) FILTER (h = {h}), 6) AS day_{h}" for h in range(1, 11)) + " FROM ahead JOIN num USING (origin_date) GROUP BY forecast_id")
+def forecast_matrix(spark, sf_dir):
+    out = prediction_matrix(_naive(spark, sf_dir))
+    return out.select("forecast_id", *(_r(f"day_{h}").alias(f"day_{h}") for h in range(1, 11)))
+
+
+@query(
+    f"WITH {_DAYS}, {_AHEAD}, s AS (SELECT a.origin_date, a.h, a.actual, b.y AS predicted FROM ahead a JOIN idx o ON o.d = a.origin_date LEFT JOIN idx b ON b.row_idx = o.row_idx + a.h - 7 * ceil(a.h / 7.0))"
+    " SELECT CAST(a.h AS INT) AS horizon, round(avg((a.actual - a.predicted) ** 2), 6) AS w1, round((SELECT avg((actual - predicted) ** 2) FROM s WHERE s.h = a.h), 6) AS w7 FROM ahead a GROUP BY a.h"
+)
+def horizon_mse(spark, sf_dir):
+    days, cfg = order_days(spark, sf_dir), ForecastConfig()
+    both = plan.naive(days, cfg).withColumn("train_win", F.lit(1)).unionByName(plan.naive(days, cfg, 7).withColumn("train_win", F.lit(7)))
+    return evaluate.horizon_by_window(both, [1, 7]).select("horizon", _r("w1").alias("w1"), _r("w7").alias("w7"))
+
+
+@query(
+    f"WITH {_DAYS}, {_AHEAD} SELECT date, label, round(value, 6) AS value, CAST(ordinal AS INT) AS ordinal FROM (SELECT DISTINCT forecast_date AS date, 'Actual' AS label, actual AS value, 0 AS ordinal FROM ahead"
+    " UNION ALL SELECT forecast_date, 'h' || h, predicted, h FROM ahead)"
+)
+def forecast_series(spark, sf_dir):
+    return evaluate.forecast_series(plan.naive(order_days(spark, sf_dir), ForecastConfig())).select("date", "label", _r("value").alias("value"), "ordinal")
+
+
+_WX = f"WITH {_OBS}, wx AS (SELECT CAST(ts AS DATE) AS date, " + ", ".join(f"avg(value) FILTER (metric = '{m}') AS {m}" for m in ("click", "view", "purchase", "error", "signup")) + " FROM good GROUP BY 1)"
+
+
+@query(
+    _WX + " SELECT date, CASE WHEN click IS NOT NULL THEN round(greatest(45 - click, 0), 6) END AS coldness, CASE WHEN click IS NOT NULL THEN round(greatest(click - 50, 0), 6) END AS hotness,"
+    " CAST(coalesce(view < 0, false) AS DOUBLE) AS below, CASE WHEN purchase IS NOT NULL THEN round(least(purchase, 25), 6) END AS rain, CAST(coalesce(purchase >= 20, false) AS DOUBLE) AS heavy,"
+    " CASE WHEN signup IS NOT NULL THEN round(least(signup, 42), 6) END AS wind FROM wx"
+)
+def weather_terms(spark, sf_dir):
+    c = F.col
+    rows = _weather(spark, sf_dir).select("date", *sc.weather_terms(c("click"), c("view"), c("purchase"), c("error"), c("signup"), cold=45, hot=50))
+    return rows.select(
+        "date", _r("wx_coldness").alias("coldness"), _r("wx_hotness").alias("hotness"), c("wx_below_freezing").alias("below"), _r("wx_rain_sum").alias("rain"), c("wx_heavy_rain").alias("heavy"), _r("wx_wind_max").alias("wind")
+    )
+
+
+_FC = ", fc AS (SELECT date, l AS lead_day, click + l AS wx FROM wx, range(1, 8) t(l) WHERE (dayofyear(date) + l) % 3 <> 0), o AS (SELECT date AS d, h FROM wx, range(1, 11) t(h))"
+_AT = "(SELECT coalesce(max(f.wx), max(a.click)) FROM wx a LEFT JOIN fc f ON f.date = a.date AND f.lead_day = least(o.h - {k}, 7) WHERE a.date = o.d + CAST(o.h - {k} AS INT))"
+
+
+def _forecast_weather(spark, sf_dir):
+    wx = _weather(spark, sf_dir)
+    fc = wx.withColumn("lead_day", F.explode(F.sequence(F.lit(1), F.lit(7)))).where((F.dayofyear("date") + F.col("lead_day")) % 3 != 0)
+    origins = wx.select(F.col("date").alias("d")).withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(10))))
+    return wx, fc.select("date", "lead_day", (F.col("click") + F.col("lead_day")).alias("click")), origins
+
+
+@query(_WX + _FC + f", v AS (SELECT d, h, {_AT.format(k=0)} AS a0, {_AT.format(k=1)} AS a1, {_AT.format(k=2)} AS a2 FROM o) SELECT d, CAST(h AS INT) AS h, round(a0, 6) AS wx, round(list_avg(list_filter([a0, a1, a2], lambda x: x IS NOT NULL)), 6) AS wx_mean3 FROM v")
+def weather_at_target(spark, sf_dir):
+    wx, fc, origins = _forecast_weather(spark, sf_dir)
+    rows = weather.mean3(weather.at_offset(origins, wx, fc, "click"), wx, fc, "click")
+    return rows.select("d", "h", _r("wx").alias("wx"), _r("wx_mean3").alias("wx_mean3"))
+
+
+@query(
+    _WX + _FC + " SELECT date, " + ", ".join(f"round(max(wx) FILTER (lead_day = {k}), 6) AS wx_L{k}" for k in range(1, 8)) + " FROM fc GROUP BY date"
+)
+def weather_by_lead(spark, sf_dir):
+    _, fc, _ = _forecast_weather(spark, sf_dir)
+    out = weather.lead_wide(fc.withColumnRenamed("click", "wx"), "wx")
+    return out.select("date", *(_r(f"wx_L{k}").alias(f"wx_L{k}") for k in range(1, 8)))
+
+
+@query(
+    f"WITH {_DAYS}, {_AHEAD}, p AS (SELECT actual - predicted AS residual, predicted, CAST(h AS DOUBLE) AS horizon FROM ahead), u AS (SELECT 'predicted' AS variable, predicted AS x, residual AS y FROM p UNION ALL SELECT 'horizon', horizon, residual FROM p)"
+    " SELECT variable, round(corr(x, y), 6) AS r, count(*) AS n FROM u GROUP BY variable"
+)
+def residual_correlations(spark, sf_dir):
+    rows = plan.naive(order_days(spark, sf_dir), ForecastConfig()).withColumn("residual", F.col("actual") - F.col("predicted"))
+    return evaluate.correlations(rows, ["predicted", "horizon"]).select("variable", _r("r").alias("r"), "n")
+
+
+@query(
+    f"WITH {_DAYS}, k AS (SELECT *, greatest(20, (SELECT count(*) FROM idx) // 8) AS w, row_number() OVER (ORDER BY y, d) AS i FROM idx)"
+    " SELECT a.d, round(a.y, 6) AS x, round(avg(CAST(b.row_idx AS DOUBLE)), 4) AS trend FROM k a JOIN k b ON b.i BETWEEN a.i - a.w + 1 AND a.i WHERE a.i >= a.w GROUP BY ALL"
+)
+def trend_by_value(spark, sf_dir):
+    rows = features.with_row_index(order_days(spark, sf_dir), "series").withColumn("z", F.col("row_idx").cast("double"))
+    out = evaluate.rolling_by_x(rows, "y", "z", "series", tiebreak="d")
+    return out.select("d", _r("y").alias("x"), _r("trend", 4).alias("trend"))
+
+
+_COEF = "WITH c AS (SELECT event_type AS predictor, user_id % 10 + 1 AS horizon, avg(value) - 50 AS c FROM events WHERE user_id % 10 + 1 <> 4 OR event_type <> 'error' GROUP BY ALL)"
+
+
+def _coefficients(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("user_id % 10 + 1 <> 4 or event_type <> 'error'")
+    return e.groupBy(F.col("event_type").alias("predictor"), (F.col("user_id") % 10 + 1).cast("int").alias("horizon")).agg((F.avg("value") - 50).alias("coefficient"))
+
+
+@query(_COEF + " SELECT predictor, " + ", ".join(f"round(coalesce(max(c) FILTER (horizon = {h}), 0), 6) AS h{h}" for h in range(1, 11)) + ", round(sum(abs(c)) / 10, 6) AS mean_abs FROM c GROUP BY predictor")
+def coefficient_table(spark, sf_dir):
+    out = evaluate.coefficient_table(_coefficients(spark, sf_dir))
+    return out.select("predictor", *(_r(f"h{h}").alias(f"h{h}") for h in range(1, 11)), _r("mean_abs").alias("mean_abs"))
+
+
+@query(
+    "WITH c AS (SELECT l_returnflag || '|' || l_linenumber AS predictor, l_returnflag AS metric, count(*) FILTER (l_quantity > 30) AS n_selected, (SELECT count(*) FROM lineitem) // 49 AS total_slots FROM lineitem GROUP BY ALL),"
+    " r AS (SELECT *, row_number() OVER (ORDER BY n_selected DESC, predictor) AS rank FROM c), s AS (SELECT DISTINCT metric FROM r WHERE rank <= 5)"
+    " SELECT predictor, n_selected, rank <= 5 AS seed, rank <= 5 OR (metric IN (SELECT metric FROM s) AND n_selected >= 0.05 * total_slots) AS in_model FROM r"
+)
+def seed_expansion(spark, sf_dir):
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_returnflag", "l_linenumber", "l_quantity")
+    names = li.groupBy(F.concat("l_returnflag", F.lit("|"), F.col("l_linenumber").cast("string")).alias("predictor"), F.col("l_returnflag").alias("metric")).agg(F.count_if(F.col("l_quantity") > 30).alias("n_selected"))
+    counts = names.crossJoin(F.broadcast(li.agg(F.floor(F.count("*") / 49).alias("total_slots"))))
+    dictionary = names.select("predictor", "metric", F.row_number().over(Window.orderBy("predictor")).alias("ordinal"))
+    return models.seed_and_expand(counts, dictionary, ForecastConfig(top=5)).select("predictor", "n_selected", "seed", "in_model")
+
+
+@query(
+    f"WITH {_DAYS}, m AS (SELECT *, avg(y) OVER w AS mean7, stddev_samp(y) OVER w AS sd7, row_idx >= 7 AS ok FROM idx WINDOW w AS (ORDER BY row_idx ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)),"
+    " u AS (SELECT 'mean7' AS feature, mean7 AS v FROM m WHERE ok UNION ALL SELECT 'sd7', sd7 FROM m WHERE ok) SELECT feature, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS scale FROM u GROUP BY feature"
+)
+def scaler_statistics(spark, sf_dir):
+    m = plan.matrix(order_days(spark, sf_dir)).select(F.posexplode("features").alias("i", "v")).where(F.col("i").isin(1, 2))
+    return m.groupBy(F.element_at(F.array(*map(F.lit, plan.NAMES)), F.col("i") + 1).alias("feature")).agg(_r(F.avg("v")).alias("mean"), _r(F.stddev_pop("v")).alias("scale"))
+
+
+_CFG = ForecastConfig(cap=None, n_alphas=40)
+
+
+@query()
+def elastic_net_rolling(spark, sf_dir):
+    return models.rolling_forecast(plan.matrix(order_days(spark, sf_dir)), _CFG, every=100)
+
+
+@query()
+def elastic_net_selection(spark, sf_dir):
+    cfg = ForecastConfig(stride=140, n_alphas=40)
+    return models.selection_counts(plan.matrix(order_days(spark, sf_dir)), plan.NAMES, cfg)
+
+
+@query()
+def elastic_net_global(spark, sf_dir):
+    mask = [True] * len(plan.OWN) + [False] * len(plan.CALENDAR)
+    return models.global_models(plan.matrix(order_days(spark, sf_dir)), mask, _CFG)
+
+
+@query()
+def ensemble_forecast(spark, sf_dir):
+    return evaluate.forecast_ids(plan.forecast(order_days(spark, sf_dir), _CFG, every=100))
+
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").limit(10)
+    """The flagship: rolling forecasts of the daily order value."""
+    return models.rolling_forecast(plan.matrix(order_days(spark, sf_dir)), _CFG, every=200)
