@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import bounded_sample
-from .text import Words, chunks, column_bytes, mix
+from .text import Words, chunks, column_bytes, distinct, mix
 
 #: Turns a chunk's bytes and offsets into (row, feature) pairs, sorted by row then feature, each once.
 Featurizer = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
@@ -32,8 +32,7 @@ def pairs(parts: list[tuple[np.ndarray, np.ndarray]], bits: int) -> tuple[np.nda
     """Distinct (row, feature) pairs of hashed grams; features are ``bits`` bits."""
     rows = np.concatenate([r for r, _ in parts]).astype(np.int64)
     hashes = np.concatenate([h for _, h in parts])
-    key = rows << bits | (hashes >> np.uint64(64 - bits)).astype(np.int64)
-    key = np.unique(key)
+    key = distinct(rows << bits | (hashes >> np.uint64(64 - bits)).astype(np.int64))
     return key >> bits, key & ((1 << bits) - 1)
 
 

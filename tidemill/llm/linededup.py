@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .shared import keep
-from .text import chunks, mix
+from .text import chunks, distinct, mix
 
 MIN_CHARS = 30
 SHINGLE = 8
@@ -107,7 +107,7 @@ def _signed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sets(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Each line's distinct shingles, by 48 bits of their hash and sorted, one line after the other; offsets."""
     line, h = _shingle_hashes(lines)
-    key = np.unique(line.astype(np.uint64) << np.uint64(48) | h >> np.uint64(16))
+    key = distinct(line.astype(np.uint64) << np.uint64(48) | h >> np.uint64(16))
     offsets = np.searchsorted(key, np.arange(len(lines) + 1, dtype=np.uint64) << np.uint64(48))
     return key & np.uint64((1 << 48) - 1), offsets
 
