@@ -30,6 +30,8 @@ from .text import _LOWER, chunks, column_bytes
 TRAIN_DOCS = 1000
 MAX_GRAMS = 500_000
 TABLE_BYTES = 32 << 20
+#: Sampled ids are broadcast to the scan for their texts up to this many, else joined by shuffle.
+BROADCAST_IDS = 200_000
 _PAD = 32  # stands before a text's first byte
 
 
@@ -154,6 +156,8 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model | None:
         .select("lang", "doc_id")
         .distinct()
     )
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
     chosen = docs.where("text is not null").select("lang", "doc_id", "text").join(ids, ["lang", "doc_id"], "left_semi")
     grams = (
         chosen.mapInArrow(_count_grams, "lang string, gram long, n long")

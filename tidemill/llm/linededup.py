@@ -208,21 +208,20 @@ def lines(docs: DataFrame) -> DataFrame:
 
 def links(docs: DataFrame, signed: DataFrame) -> DataFrame:
     """Verified links (a, b) between the hashes of distinct lines; signed: the rows of _signed for docs."""
-    # One shuffle by band serves the count of its members and the join with it.
-    members = signed.select(F.explode("bands").alias("band"), "h").repartition("band")
+    # One shuffle by band serves the search for bands of several lines and the join with them.
+    spread = signed.select(F.explode("bands").alias("band"), "h").repartition("band")
+    several = spread.groupBy("band").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low < high").select("band")
+    members = keep(spread.join(several.hint("shuffle_hash"), "band").distinct())
     buckets = (
-        members.distinct()
-        .groupBy("band")
+        members.groupBy("band")
         .agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("h")).alias("mark"), F.bit_xor(F.xxhash64("h", F.lit(1))).alias("mask"))
-        .where("n > 1")
         .groupBy("n", "mark", "mask")
         .agg(F.min("band").alias("band"))
     )
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("h", F.lit(1)), F.col("g")).cast("int")
     dealt = keep(
-        members.join(buckets.select("band", "n").hint("shuffle_hash"), "band")
-        .distinct()
+        members.join(buckets.select("band", "n"), "band")
         .select("band", "h", blocks.alias("g"))
         .select("band", "h", "g", own.alias("own"))
         .select("band", "h", "own", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("other"))
