@@ -102,16 +102,16 @@ def _fit(langs: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray) ->
     contexts.append(_nodes(gram, n, 3, max(0, most - 257 - len(contexts[2]))))
     tables, parent_p = [], None
     for order, nodes in enumerate(contexts):
-        c = np.zeros((len(nodes), count, 256))
+        c = np.zeros((len(nodes), count, 256), dtype=np.float32)
         key = (gram >> 8) & ((1 << 8 * order) - 1)
         place = np.minimum(np.searchsorted(nodes, key), max(len(nodes) - 1, 0))
         if len(nodes):
             hit = nodes[place] == key
             np.add.at(c, (place[hit], lang[hit], gram[hit] & 255), n[hit])
         if order == 0:
-            parent = np.full((1, count, 256), 1 / 256)
+            parent = np.full((1, count, 256), 1 / 256, dtype=np.float32)
         else:  # the longest shorter context that has a node
-            parent = np.empty((len(nodes), count, 256))
+            parent = np.empty((len(nodes), count, 256), dtype=np.float32)
             for i, x in enumerate(nodes):
                 for o in range(order - 1, -1, -1):
                     y = int(x) & ((1 << 8 * o) - 1)
@@ -120,13 +120,17 @@ def _fit(langs: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray) ->
                         parent[i] = tables[o][j]
                         break
         total, seen = c.sum(axis=2, keepdims=True), c > 0
-        distinct = seen.sum(axis=2, keepdims=True)
-        left = np.where(seen, 0, parent)
+        distinct = seen.sum(axis=2, keepdims=True).astype(np.float32)
+        left = np.where(seen, np.float32(0), parent)
         mass = left.sum(axis=2, keepdims=True)
-        base = total + np.where(mass > 0, distinct, 0)
+        base = total + np.where(mass > 0, distinct, np.float32(0))
         with np.errstate(divide="ignore", invalid="ignore"):
-            p = np.where(seen, c / base, distinct / base * left / mass)
-        tables.append(np.where(total > 0, p, parent))
+            left *= distinct / base / mass
+            c /= base
+        np.copyto(c, left, where=~seen)
+        np.copyto(c, parent, where=total <= 0)
+        tables.append(c)
+        del c, left, seen, parent
     first = np.cumsum([0, *(len(x) for x in contexts)])
     pair_node = np.zeros(65536, np.int32)
     one = np.zeros(256, np.int32)
@@ -138,7 +142,9 @@ def _fit(langs: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray) ->
     pair_row[heads] = np.arange(len(heads))
     triple_node = np.full((len(heads) + 1) * 256, -1, np.int32)
     triple_node[row * 256 + (contexts[3] & 255)] = first[3] + np.arange(len(contexts[3]))
-    cost = -np.log2(np.concatenate(tables)).astype(np.float32)  # nodes, langs, bytes
+    cost = np.concatenate(tables)  # nodes, langs, bytes
+    np.log2(cost, out=cost)
+    np.negative(cost, out=cost)
     return Model(langs, np.ascontiguousarray(cost.transpose(1, 0, 2)).reshape(count, -1), pair_node, pair_row, triple_node)
 
 
