@@ -126,39 +126,52 @@ class Vocabulary:
         letters = self.letters
         s = (word if word.isascii() and word.isprintable() else "".join([letters[b] for b in word.encode()])) + "\n"
         n = len(s)
-        # Where the longest matches one after the other already fit each other, there is nothing to step back from.
-        greedy = [match for _, match in self.automaton.iter_long(s)]
-        if sum([size for size, _ in greedy]) == n:
-            known, last = self.pairs.get, -1
-            for _, token in greedy:
-                if last >= 0 and not (known((last, token)) or self.compatible(last, token)):
-                    break
-                last = token
-            else:
-                return b"".join([self.ids[token] for _, token in greedy])
-        longest = [-1] * n
-        for end, (size, token) in self.automaton.iter(s):
-            longest[end - size + 1] = token
-        length, shorter, compatible = self.length, self.shorter, self.compatible
-        alive = bytearray(b"\x01") * (n + 1)
+        length, shorter, known, compatible = self.length, self.shorter, self.pairs.get, self.compatible
+        # The longest matches one after the other are the path up to the first two that don't fit each other.
         out: list[int] = []
-        at, token = 0, longest[0]
+        at, last, token = 0, -1, -1
+        for end, (size, token) in self.automaton.iter_long(s):
+            if end - at + 1 != size:  # no token starts here
+                token = -1
+                break
+            if last >= 0:
+                fits = known((last, token))
+                if not (compatible(last, token) if fits is None else fits):
+                    token = shorter[token]
+                    break
+            out.append(token)
+            at += size
+            last = token
+        else:
+            token = -1
+        if at < n:
+            alive = bytearray(b"\x01") * (n + 1)
         while at < n:
-            last = out[-1] if out else -1
-            while token >= 0 and not (alive[at + length[token]] and (last < 0 or compatible(last, token))):
+            while token >= 0:
+                if alive[at + length[token]]:
+                    fits = known((last, token))
+                    if last < 0 or (compatible(last, token) if fits is None else fits):
+                        break
                 token = shorter[token]
             if token >= 0:
                 out.append(token)
                 at += length[token]
-                token = longest[at] if at < n else -1
+                last, token = token, self._longest(s, at) if at < n else -1
             else:
                 if not out:
                     raise ValueError(f"the vocabulary can't spell {word!r}")
                 alive[at] = 0
                 token = out.pop()
                 at -= length[token]
+                last = out[-1] if out else -1
         return b"".join([self.ids[t] for t in out])
 
+    def _longest(self, s: str, at: int) -> int:
+        """The longest token that starts at a place of s, -1 for none."""
+        for end, (size, token) in self.automaton.iter_long(s, at):
+            return token if end - size + 1 == at else -1
+        return -1
+
     def word_ids(self, word: str) -> bytes:
         """The ids of one word as little-endian unsigned 32-bit integers."""
         known = self.words.get(word)
