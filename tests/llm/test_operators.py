@@ -229,6 +229,36 @@ def test_lm_base(spark):
         assert np.isclose(r.base_score, sum(np.log10((c[w] + 1) / (n + v + 1)) for w in ws)) and r.score < 0
 
 
+def test_lm_counts_and_fit_cover_all_documents(spark):
+    path = queries.vocabulary_path()
+    vocab = bpe._vocabulary(open(path, encoding="utf-8").read())
+    begin, end = sorted(vocab.special.values())[:2]
+    texts = [*EDGES, *(prose(30, i) for i in range(30))]
+    rows = docs(spark, texts).select(F.col("doc_id").alias("row"), "doc_id", F.lit(False).alias("held_out"), "text").repartition(3)
+    train = lm.encoded(rows, path).persist()
+    ids = [np.frombuffer(vocab.encode(t), "<u4").astype(np.int64) if t else np.zeros(0, np.int64) for t in texts]
+    count = lm.id_counts(train, len(vocab.offset) - 1, end)
+    assert np.array_equal(count, np.bincount(np.concatenate([*ids, [end] * len(ids)]), minlength=len(count)))
+    of = attention.layout(count, begin, end)
+    n = np.zeros((attention.BEFORE + attention.CLASSES, attention.PAIRED))
+    for t in ids:
+        for a, b in itertools.pairwise([begin, *t, end]):
+            if of.to_column[b] >= 0:
+                n[of.to_before[a], of.to_column[b]] += 1
+    assert np.array_equal(lm.pair_counts(train, of), n)
+    # A fit that starts from one document learns from the others: with one round it is one step along the sum of all gradients.
+    model, alone = attention.untrained(of, n), attention.untrained(of, n)
+    lm.refine(model, of, train, rounds=1, rate=0.01)
+    targets, g = attention.summed_gradients(alone.p, of, ids)
+    assert targets == sum(len(t) + 1 for t in ids)
+    attention.Adam(alone.p, 1, 0.01).take(attention.unflatten(alone.p, g / targets))
+    assert all(np.allclose(model.p[k], alone.p[k], atol=1e-3) for k in model.p)
+    before = model.log10_probabilities(ids).sum()
+    lm.refine(model, of, train, rounds=4, rate=0.01)
+    assert model.log10_probabilities(ids).sum() > before
+    train.unpersist()
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

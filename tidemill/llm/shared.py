@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,9 +29,9 @@ def cut(df: DataFrame) -> DataFrame:
 _kept: list[DataFrame] = []
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """``df`` cached in memory and on disk, for a table used more than once; lost parts are worked out again."""
-    _kept.append(df.persist())
+def keep(df: DataFrame, level: StorageLevel | None = None) -> DataFrame:
+    """``df`` cached (in memory and on disk, or at ``level``), for a table used more than once; lost parts are worked out again."""
+    _kept.append(df.persist() if level is None else df.persist(level))
     return df
 
 
