@@ -259,6 +259,12 @@ def test_lm_counts_and_fit_cover_all_documents(spark):
     train.unpersist()
 
 
+def test_parameters_are_not_cut():
+    assert attention.WINDOW - attention.STRIDE >= 8  # inputs before a later window's first target, its own besides
+    assert attention.CLASSES >= 96 and attention.OWN_CLASS >= 64 and attention.BEFORE >= 768 and attention.PAIRED >= 8192
+    assert (1 - 0.8**linededup.BAND) ** (linededup.SLOTS // linededup.BAND) < 0.006
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
