@@ -86,3 +86,78 @@ def fit(x: np.ndarray, y: np.ndarray, alpha: float, rho: float = 0.5, mask: np.n
     grid = alpha_grid(x, y, rho, 30, mask)
     coef, intercept = path(x, y, np.append(grid[grid > alpha], alpha), rho, mask)
     return coef[-1], float(intercept[-1])
+
+
+def _descend_many(gram: np.ndarray, xy: np.ndarray, b: np.ndarray, l1: np.ndarray, l2: np.ndarray, tol: np.ndarray, rounds: int, active: np.ndarray) -> None:
+    """_descend for many problems at once, in place; gram (p, p, problems), xy and b (p, problems). Each stops by itself."""
+    at = np.flatnonzero(active)
+    g, c = gram[:, :, at], b[:, at]
+    residual = xy[:, at] - np.einsum("ijm,jm->im", g, c)
+    a1, a2, limit = l1[at], l2[at], tol[at]
+    for _ in range(rounds):
+        if not len(at):
+            return
+        worst = np.zeros(len(at))
+        for j in range(len(c)):
+            old, own = c[j].copy(), g[j, j]
+            diagonal = np.maximum(own + a2, 1e-12)
+            z = residual[j] + own * old
+            new = np.sign(z) * np.maximum(np.abs(z) - a1, 0.0) / diagonal
+            change = new - old
+            residual -= g[j] * change
+            c[j] = new
+            np.maximum(worst, np.abs(change) * np.sqrt(diagonal), out=worst)
+        go = worst >= limit
+        if not go.all():
+            b[:, at] = c
+            at, g, c, residual, a1, a2, limit = at[go], g[:, :, go], c[:, go], residual[:, go], a1[go], a2[go], limit[go]
+    b[:, at] = c
+
+
+def fit_many(xs: list[np.ndarray], ys: list[np.ndarray], rho: float, folds: int, n_alphas: int) -> list[tuple[np.ndarray, float, float]]:
+    """(coefficients, intercept, penalty) of each problem, all columns penalised: standardise, cross_validated and fit
+    for many problems of equally many columns at once. Constant columns get 0."""
+    m, p = len(xs), xs[0].shape[1]
+    scaled = [standardise(x) for x in xs]
+    zs = [np.where(x.std(axis=0) > 0, z, 0.0) for x, (z, _, _) in zip(xs, scaled)]
+    grid = [alpha_grid(z, y, rho, n_alphas, np.ones(p, bool)) for z, y in zip(zs, ys)]
+    alphas = np.array(grid).T
+
+    def sums(parts: list[tuple[np.ndarray, np.ndarray]]):
+        gram, xy = np.empty((p, p, len(parts))), np.empty((p, len(parts)))
+        for i, (z, y) in enumerate(parts):
+            c = z - z.mean(axis=0)
+            gram[:, :, i], xy[:, i] = c.T @ c / len(y), c.T @ (y - y.mean()) / len(y)
+        return gram, xy, np.array([max(np.std(y), 1e-12) for _, y in parts])
+
+    errors = np.zeros((m, n_alphas))
+    edges = [np.linspace(0, len(y), folds + 1).astype(int) for y in ys]
+    train, test = [], []
+    for f in range(folds):
+        for z, y, e in zip(zs, ys, edges):
+            out = np.zeros(len(y), bool)
+            out[e[f] : e[f + 1]] = True
+            train.append((z[~out], y[~out]))
+            test.append((z[out], y[out]))
+    gram, xy, sd = sums(train)
+    b, every, path_of = np.zeros((p, m * folds)), np.ones(m * folds, bool), np.empty((n_alphas, p, m * folds))
+    for i in range(n_alphas):
+        a = np.tile(alphas[i], folds)
+        _descend_many(gram, xy, b, a * rho, a * (1 - rho), 1e-3 * sd, 100, every)
+        path_of[i] = b
+    for k, ((z, y), (zt, yt)) in enumerate(zip(train, test)):
+        coef = path_of[:, :, k]
+        intercept = y.mean() - coef @ z.mean(axis=0)
+        errors[k % m] += ((yt[:, None] - zt @ coef.T - intercept) ** 2).mean(axis=0)
+    best = alphas[errors.argmin(axis=1), np.arange(m)]
+    gram, xy, sd = sums(list(zip(zs, ys)))
+    b = np.zeros((p, m))
+    down = np.array([alpha_grid(z, y, rho, 30, np.ones(p, bool)) for z, y in zip(zs, ys)]).T
+    for a in down:
+        _descend_many(gram, xy, b, a * rho, a * (1 - rho), 1e-5 * sd, 1000, a > best)
+    _descend_many(gram, xy, b, best * rho, best * (1 - rho), 1e-5 * sd, 1000, np.ones(m, bool))
+    out = []
+    for i, (y, (_, mean, scale)) in enumerate(zip(ys, scaled)):
+        coef = b[:, i] / scale
+        out.append((coef, float(y.mean() - coef @ mean), float(best[i])))
+    return out

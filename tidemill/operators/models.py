@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import ForecastConfig
-from .elastic_net import cross_validated, fit, standardise
+from .elastic_net import cross_validated, fit, fit_many, standardise
 
 DETAIL = "series string, origin_date date, horizon int, forecast_date date, actual double, predicted double"
 
@@ -43,38 +43,42 @@ def _spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
-def _fit_one(x: np.ndarray, y: np.ndarray, cfg: ForecastConfig, mask: np.ndarray | None = None, floor: float = 0.0):
-    use = x.std(axis=0) > 0
-    z, mean, scale = standardise(x[:, use])
-    own = None if mask is None else mask[use]
-    alpha = max(cross_validated(z, y, cfg.l1_ratio, cfg.folds, cfg.n_alphas, own), floor)
-    coef, intercept = fit(z, y, alpha, cfg.l1_ratio, own)
-    full = np.zeros(x.shape[1])
-    full[use] = coef / scale
-    return full, intercept - (coef / scale) @ mean, alpha
+#: Windows fitted at once in a task.
+FITS = 256
+
+
+def _some(frames):
+    """The rows of the frames, at most FITS at once."""
+    for pdf in frames:
+        rows = list(pdf.itertuples())
+        for at in range(0, len(rows), FITS):
+            yield rows[at : at + FITS]
+
+
+def _arrays(window) -> tuple[np.ndarray, np.ndarray]:
+    x = np.nan_to_num(np.array([list(w["features"]) for w in window], dtype=float))
+    return x, np.array([w["y"] for w in window], dtype=float)
 
 
 def rolling_forecast(matrix: DataFrame, cfg: ForecastConfig, every: int = 1) -> DataFrame:
     """Forecast detail of the rolling model: per origin and horizon a fit on its window, clipped to [floor, cap]."""
 
     def run(frames):
-        for pdf in frames:
-            out = []
-            for r in pdf.itertuples():
-                window = r.window
-                x = np.array([list(w["features"]) for w in window], dtype=float)
-                y = np.array([w["y"] for w in window], dtype=float)
-                here = np.nan_to_num(np.array(r.features, dtype=float))
-                x = np.nan_to_num(x)
-                h = r.h
+        for rows in _some(frames):
+            xs, ys = [], []
+            for r in rows:
+                x, y = _arrays(r.window)
                 known = len(y) - cfg.label_lag  # targets up to the origin less the lag
-                coef, intercept, _ = _fit_one(x[: known - h], y[h:known], cfg)
-                p = float(here @ coef + intercept)
+                xs.append(x[: known - r.h])
+                ys.append(y[r.h : known])
+            out = []
+            for r, (coef, intercept, _) in zip(rows, fit_many(xs, ys, cfg.l1_ratio, cfg.folds, cfg.n_alphas)):
+                p = float(np.nan_to_num(np.array(r.features, dtype=float)) @ coef + intercept)
                 if cfg.cap is not None:
                     p = min(p, cfg.cap)
                 if r.floor is not None and not np.isnan(r.floor):
                     p = max(p, r.floor)
-                out.append((r.series, r.d, h, r.ahead[h - 1]["d"], r.ahead[h - 1]["y"], p))
+                out.append((r.series, r.d, r.h, r.ahead[r.h - 1]["d"], r.ahead[r.h - 1]["y"], p))
             yield pd.DataFrame(out, columns=["series", "origin_date", "horizon", "forecast_date", "actual", "predicted"])
 
     rows = origin_windows(matrix, cfg, every).withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(cfg.horizon))))
@@ -89,13 +93,10 @@ def selection_counts(matrix: DataFrame, names: list[str], cfg: ForecastConfig) -
     rows = rows.where((F.size("window") == span + cfg.horizon) & (F.col("row_idx") % cfg.stride == 0))
 
     def run(frames):
-        for pdf in frames:
-            out = []
-            for r in pdf.itertuples():
-                x = np.nan_to_num(np.array([list(w["features"]) for w in r.window], dtype=float))
-                y = np.array([w["y"] for w in r.window], dtype=float)
-                coef, _, _ = _fit_one(x[:span], y[r.h : r.h + span], cfg)
-                out += [(r.series, names[j]) for j in np.flatnonzero(coef)]
+        for rows in _some(frames):
+            both = [(*_arrays(r.window), r.h) for r in rows]
+            fits = fit_many([x[:span] for x, _, _ in both], [y[h : h + span] for _, y, h in both], cfg.l1_ratio, cfg.folds, cfg.n_alphas)
+            out = [(r.series, names[j]) for r, (coef, _, _) in zip(rows, fits) for j in np.flatnonzero(coef)]
             yield pd.DataFrame(out, columns=["series", "predictor"])
 
     spread = rows.withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(cfg.horizon))))

@@ -92,6 +92,17 @@ def get_daily_statistics(spark, sf_dir):
     return out
 
 
+@query()
+def get_daily_statistics_all_days(spark, sf_dir):
+    """get_daily_statistics, whose SQL holds it to 16 days, over every day."""
+    obs = event_observations(spark, sf_dir)
+    out = None
+    for name in daily.STATISTICS:
+        one = daily.get_daily(obs, name).select("date", "metric", "site", _r("value", 4 if name == "sum" else 6).alias(name))
+        out = one if out is None else out.join(one, ["date", "metric", "site"])
+    return out
+
+
 @query(
     f"WITH {_OBS}, k AS (SELECT *, abs(hour(ts) * 3600 + minute(ts) * 60 + second(ts) - 43200) AS dist FROM good),"
     " n AS (SELECT *, row_number() OVER (PARTITION BY nd, metric, site ORDER BY dist, event_id) AS rn FROM k) SELECT nd AS date, metric, site, round(value, 6) AS value FROM n WHERE rn = 1"
@@ -322,18 +333,17 @@ def scaler_statistics(spark, sf_dir):
     return m.groupBy(F.element_at(F.array(*map(F.lit, plan.NAMES)), F.col("i") + 1).alias("feature")).agg(_r(F.avg("v")).alias("mean"), _r(F.stddev_pop("v")).alias("scale"))
 
 
-_CFG = ForecastConfig(cap=None, n_alphas=40)
+_CFG = ForecastConfig(cap=None)
 
 
 @query()
 def elastic_net_rolling(spark, sf_dir):
-    return models.rolling_forecast(plan.matrix(order_days(spark, sf_dir)), _CFG, every=100)
+    return models.rolling_forecast(plan.matrix(order_days(spark, sf_dir)), _CFG)
 
 
 @query()
 def elastic_net_selection(spark, sf_dir):
-    cfg = ForecastConfig(stride=140, n_alphas=40)
-    return models.selection_counts(plan.matrix(order_days(spark, sf_dir)), plan.NAMES, cfg)
+    return models.selection_counts(plan.matrix(order_days(spark, sf_dir)), plan.NAMES, _CFG)
 
 
 @query()
@@ -344,9 +354,9 @@ def elastic_net_global(spark, sf_dir):
 
 @query()
 def ensemble_forecast(spark, sf_dir):
-    return evaluate.forecast_ids(plan.forecast(order_days(spark, sf_dir), _CFG, every=100))
+    return evaluate.forecast_ids(plan.forecast(order_days(spark, sf_dir), _CFG))
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: rolling forecasts of the daily order value."""
-    return models.rolling_forecast(plan.matrix(order_days(spark, sf_dir)), _CFG, every=200)
+    return models.rolling_forecast(plan.matrix(order_days(spark, sf_dir)), _CFG)
