@@ -134,6 +134,15 @@ def test_line_dedup_against_brute_force(spark):
             assert x.text == left and x.n_chars == len(left)
 
 
+def test_exact_repeats_of_short_lines_go(spark, tmp_path):
+    texts = ["of, edti oner.\nown", "Of, edti oner. \nx", "\n\nx", prose(12, 1) + "\n" + prose(12, 1)]
+    docs(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: list(r.removed) for r in queries.op10_line_minhash(spark, str(tmp_path)).collect()}
+    assert got == {0: [], 1: [0], 2: [2], 3: [1]}
+    kept = {r.doc_id: r.text for r in linededup.dedup_lines(docs(spark, texts), short=True).collect()}
+    assert kept == {0: texts[0], 1: "x", 2: "\n", 3: prose(12, 1)}
+
+
 def test_html(spark):
     page = (
         "<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t='</p>';</script></head><body><nav><ul><li>Menu</ul></nav><div class='ad'>Buy</div>"

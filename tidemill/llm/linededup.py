@@ -12,7 +12,10 @@
    the group isn't compared again, so what comes out is a spanning forest, not all pairs.
 4. Distributed union-find gives components; the line of the smallest (doc_id, line number) stays, all others go.
 
-Defined results: shorter lines are never removed; null and empty texts have no lines; a document may end up with an
+Lines under ``MIN_CHARS`` characters take no part in 2 and 3; with ``short``, as in the registered queries, they are
+grouped by their hash like all others, so their exact repeats go too.
+
+Defined results: without ``short`` shorter lines are never removed; lines of spaces only stay; null and empty texts have no lines; a document may end up with an
 empty text but is never dropped; rows with a null doc_id come first in the order; rows that repeat a doc_id are one
 document, so their equal line numbers stay or go together.
 """
@@ -23,6 +26,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -84,9 +88,10 @@ def _signed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     met: set[int] = set()
     for batch in chunks(batches, "line", 1 << 20):
         hs = batch.column("h").to_pylist()
+        long = (pc.utf8_length(batch.column("line")).to_numpy(zero_copy_only=False) >= MIN_CHARS).tolist()
         new = []
         for i, h in enumerate(hs):
-            if h not in met:
+            if long[i] and h not in met:
                 new.append(i)
                 if len(met) < MET_LINES:
                     met.add(h)
@@ -199,10 +204,10 @@ def _verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield finish()
 
 
-def lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, line, h): the lines that take part."""
+def lines(docs: DataFrame, least: int = MIN_CHARS) -> DataFrame:
+    """(doc_id, line_no, line, h): the lines of at least ``least`` characters."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
-    rows = rows.select("doc_id", "line_no", F.lower(F.trim("raw")).alias("line")).where(F.length("line") >= MIN_CHARS)
+    rows = rows.select("doc_id", "line_no", F.lower(F.trim("raw")).alias("line")).where(F.length("line") >= least)
     return rows.select("doc_id", "line_no", "line", F.xxhash64("line").alias("h"))
 
 
@@ -236,9 +241,9 @@ def links(docs: DataFrame, signed: DataFrame) -> DataFrame:
     return grouped.mapInArrow(_verify, "a long, b long")
 
 
-def removals(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no) of every line that goes."""
-    signed = keep(lines(docs).mapInArrow(_signed, "doc_id long, line_no int, h long, bands array<long>"))
+def removals(docs: DataFrame, short: bool = False) -> DataFrame:
+    """(doc_id, line_no) of every line that goes; with short also exact repeats of lines under MIN_CHARS characters."""
+    signed = keep(lines(docs, 1 if short else MIN_CHARS).mapInArrow(_signed, "doc_id long, line_no int, h long, bands array<long>"))
     roots = connected_components(links(docs, signed))
     places = signed.select("doc_id", "line_no", "h")
     firsts = places.groupBy("h").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"))
@@ -248,19 +253,19 @@ def removals(docs: DataFrame) -> DataFrame:
     return places.join(goes, "h").where(~F.struct("doc_id", "line_no").eqNullSafe(F.col("kept"))).select("doc_id", "line_no")
 
 
-def report(docs: DataFrame) -> DataFrame:
+def report(docs: DataFrame, short: bool = False) -> DataFrame:
     """(doc_id, n_lines, n_removed, removed): per row of docs its lines and the numbers of those that go, from 0."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"))
     rows = rows.withColumn("n_lines", F.when(F.col("n_lines") < 0, 0).otherwise(F.col("n_lines")))
-    gone = removals(docs).groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("removed")).withColumnRenamed("doc_id", "_id")
+    gone = removals(docs, short).groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("removed")).withColumnRenamed("doc_id", "_id")
     joined = rows.join(gone, rows.doc_id.eqNullSafe(gone["_id"]), "left")
     removed = F.coalesce("removed", F.array().cast("array<int>"))
     return joined.select("doc_id", "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, short: bool = False) -> DataFrame:
     """docs with the lines that go cut out of text, and n_chars (if there) counted anew; other columns unchanged."""
-    gone = removals(docs).groupBy("doc_id").agg(F.collect_set("line_no").alias("removed")).withColumnRenamed("doc_id", "id")
+    gone = removals(docs, short).groupBy("doc_id").agg(F.collect_set("line_no").alias("removed")).withColumnRenamed("doc_id", "id")
     rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("key"))
     joined = rows.join(gone, F.col("key").eqNullSafe(F.col("id")), "left")
     parts = F.split("doc.text", "\n")

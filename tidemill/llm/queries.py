@@ -62,7 +62,7 @@ def op9_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.report(_table(spark, sf_dir, "documents"))
+    return linededup.report(_table(spark, sf_dir, "documents"), short=True)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
