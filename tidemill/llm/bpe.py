@@ -28,15 +28,20 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import small_batches
 from .text import chunks
 
 #: White space as the vocabulary's own normaliser has it.
 _WHITE = r"\t-\r \x85\xa0  -     　"
 _WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_WHITE}\p{{L}}\p{{N}}]+")
-#: Runs between white space, words and pairs remembered by a worker; beyond it they are worked out anew each time.
-CACHE_RUNS = 500_000
-CACHE_WORDS = 100_000
-CACHE_PAIRS = 300_000
+#: Bytes of runs between white space and of words, and pairs, that a worker remembers between texts and tasks; what comes
+#: beyond is worked out anew each time, and so is a run of more than LONG_RUN characters.
+CACHE_RUN_BYTES = 40 << 20
+CACHE_WORD_BYTES = 12 << 20
+CACHE_PAIRS = 150_000
+LONG_RUN = 64
+#: Bytes that a remembered string and its ids take besides their letters.
+ENTRY = 210
 #: Separators of str.split that the vocabulary doesn't take for white space.
 _NOT_WHITE = "\x1c\x1d\x1e\x1f"
 
@@ -83,6 +88,7 @@ class Vocabulary:
         self.offset = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
         self.runs: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.run_room, self.word_room = CACHE_RUN_BYTES, CACHE_WORD_BYTES
         self.pairs: dict[tuple[int, int], bool] = {}
 
     def _key(self, token: str) -> str:
@@ -177,8 +183,9 @@ class Vocabulary:
         known = self.words.get(word)
         if known is None:
             known = self._encode_word(word)
-            if len(self.words) < CACHE_WORDS:
+            if self.word_room > 0 and len(word) <= LONG_RUN:
                 self.words[word] = known
+                self.word_room -= ENTRY + len(word) + len(known)
         return known
 
     def encode(self, text: str) -> bytes:
@@ -201,8 +208,9 @@ class Vocabulary:
         known = self.runs.get(run)
         if known is None:
             known = self._encode_run(run)
-            if len(self.runs) < CACHE_RUNS:
+            if self.run_room > 0 and len(run) <= LONG_RUN:
                 self.runs[run] = known
+                self.run_room -= ENTRY + len(run) + len(known)
         return known
 
     def _encode_run(self, text: str) -> bytes:
@@ -240,7 +248,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = _vocabulary(source.value)
-        for batch in chunks(batches, "text"):
+        for batch in chunks(batches, "text", 1 << 20):
             ids = [vocab.encode(t) if t else b"" for t in batch.column("text").to_pylist()]
             decoded = [vocab.decode(np.frombuffer(i, "<u4").astype(np.int64)) for i in ids]
             counts = pa.array([len(i) // 4 for i in ids], pa.int64())
@@ -248,7 +256,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids", "decoded"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded string")
+    return small_batches(rows).mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded string")
 
 
 def digests(coded: DataFrame) -> DataFrame:

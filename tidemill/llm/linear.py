@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bounded_sample
+from .shared import bounded_sample, small_batches
 from .text import Words, chunks, column_bytes, distinct, mix
 
 #: Turns a chunk's bytes and offsets into (row, feature) pairs, sorted by row then feature, each once.
@@ -42,7 +42,8 @@ def labelled_features(docs: DataFrame, labels: DataFrame, label: str, train: Col
     The ids are chosen from ``labels`` alone, by the smallest hash. A document with several labels counts with the
     largest; one without a text counts as an empty text. Rows come in order of id.
     """
-    ids = labels.where(train & F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
+    y = F.max(F.col(label).cast("int")).alias("y")
+    ids = labels.where(train & F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(y)
     chosen = bounded_sample(ids, bound, "doc_id")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -53,11 +54,12 @@ def labelled_features(docs: DataFrame, labels: DataFrame, label: str, train: Col
             out = [feature[a:b].astype("<i4").tobytes() for a, b in zip(cuts, cuts[1:])]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(out, pa.binary())], names=["doc_id", "y", "features"])
 
-    # At most ``bound`` ids, so the broadcast side has a fixed size.
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    got = rows.select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, features binary").collect()
-    got = sorted({r.doc_id: r for r in sorted(got, key=lambda r: bytes(r.features))}.values(), key=lambda r: r.doc_id)
-    return [(r.y, np.frombuffer(r.features, "<i4").astype(np.int64)) for r in got]
+    # At most ``bound`` ids, so the broadcast side has a fixed size; rows that repeat an id are one document, whose
+    # smallest feature list stays, so the driver gets at most ``bound`` lists.
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text")
+    found = small_batches(rows).mapInArrow(run, "doc_id long, y int, features binary")
+    got = found.groupBy("doc_id", "y").agg(F.min("features").alias("features")).collect()
+    return [(r.y, np.frombuffer(r.features, "<i4").astype(np.int64)) for r in sorted(got, key=lambda r: r.doc_id)]
 
 
 def score_rows(docs: DataFrame, held_out: Column, weights: np.ndarray, featurize: Featurizer, finish: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
@@ -74,8 +76,8 @@ def score_rows(docs: DataFrame, held_out: Column, weights: np.ndarray, featurize
             columns = [batch.column("doc_id"), batch.column("held_out"), pa.array(score), pa.array((score >= 0.3).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "score", "predicted"])
 
-    rows = docs.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "text")
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), "text")
+    return small_batches(rows).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def platt(margin: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]:

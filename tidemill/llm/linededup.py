@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import keep
+from .shared import keep, small_batches
 from .text import chunks, distinct, mix
 
 MIN_CHARS = 30
@@ -243,7 +243,7 @@ def links(docs: DataFrame, signed: DataFrame) -> DataFrame:
 
 def removals(docs: DataFrame, short: bool = False) -> DataFrame:
     """(doc_id, line_no) of every line that goes; with short also exact repeats of lines under MIN_CHARS characters."""
-    signed = keep(lines(docs, 1 if short else MIN_CHARS).mapInArrow(_signed, "doc_id long, line_no int, h long, bands array<long>"))
+    signed = keep(small_batches(lines(docs, 1 if short else MIN_CHARS)).mapInArrow(_signed, "doc_id long, line_no int, h long, bands array<long>"))
     roots = connected_components(links(docs, signed))
     places = signed.select("doc_id", "line_no", "h")
     firsts = places.groupBy("h").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"))

@@ -1,7 +1,8 @@
-"""Lineage cuts, row selection and folds shared by the operators."""
+"""Lineage cuts, row selection, folds and ordered buckets shared by the operators."""
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
@@ -11,19 +12,38 @@ from pyspark.sql import functions as F
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where the session names none (tests)."""
+    """The shared folder of ``spark.checkpoint.dir``; a temporary one only in local mode where the session names none (tests)."""
     known = spark.conf.get("spark.checkpoint.dir", None)
     if not known:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         known = tempfile.mkdtemp(prefix="tidemill-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", known)
     return known
 
 
+#: Rows in an Arrow batch that Spark hands to a Python worker: whole texts, so that a batch is a few MB.
+BATCH_ROWS = 1000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df`` itself, with the session's Arrow batches held to BATCH_ROWS rows: a batch is in memory twice a task."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
+_cuts: list[tuple[SparkSession, str]] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder as Parquet and read again: computed once, and kept if executors are lost."""
-    path = f"{checkpoint_folder(df.sparkSession).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _cuts.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
 
 
 _kept: list[DataFrame] = []
@@ -36,9 +56,13 @@ def keep(df: DataFrame, level: StorageLevel | None = None) -> DataFrame:
 
 
 def release() -> None:
-    """Frees what ``keep`` cached, once the results that use it are written."""
+    """Frees what ``keep`` cached and deletes what ``cut`` wrote, once the results that use it are written."""
     while _kept:
         _kept.pop().unpersist()
+    while _cuts:
+        spark, path = _cuts.pop()
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def fold(doc_id: str, n: int) -> Column:
@@ -55,3 +79,29 @@ def drop_ids(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """docs without the rows whose doc_id is in gone (column doc_id); null ids stay, columns are untouched."""
     rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("id"))
     return rows.join(gone.select(F.col("doc_id").cast("long").alias("id")).distinct(), "id", "left_anti").select("doc.*")
+
+
+def sortable(value: Column) -> Column:
+    """A 64-bit integer as 16 hex digits in the same order."""
+    return F.lpad(F.hex(value.bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+
+
+def ordered_buckets(rows: DataFrame, key: str) -> tuple[DataFrame, list[str], list[str]]:
+    """(rows with a column ``bucket``, first keys, last keys): rows dealt by ranges of the string column ``key``.
+
+    The ranges come from one range partitioning of the keys alone; the driver gets two keys for each partition and no
+    more. A row finds its range among them by two steps of a nested search, so equal keys share a bucket and the rest
+    spread evenly, whatever their distribution.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = rows.select(key).repartitionByRange(n, key).groupBy(F.spark_partition_id()).agg(F.min(key).alias("a"), F.max(key).alias("b")).collect()
+    ends = sorted((r.a, r.b) for r in found)
+    firsts, lasts = [a for a, _ in ends], [b for _, b in ends]
+    step = max(1, int(len(firsts) ** 0.5))
+    groups = [firsts[i : i + step] for i in range(0, len(firsts), step)] or [[""]]
+    starts = F.from_json(F.lit(json.dumps([g[0] for g in groups])), "array<string>")
+    nested = F.from_json(F.lit(json.dumps(groups)), "array<array<string>>")
+    group = F.greatest(F.size(F.filter(starts, lambda x: x <= F.col(key))) - 1, F.lit(0))
+    inside = F.greatest(F.size(F.filter(nested[F.col("_group")], lambda x: x <= F.col(key))) - 1, F.lit(0))
+    out = rows.withColumn("_group", group).withColumn("bucket", (F.col("_group") * step + inside).cast("int")).drop("_group")
+    return out, firsts, lasts

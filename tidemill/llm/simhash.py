@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import drop_ids, keep
+from .shared import drop_ids, keep, small_batches
 from .text import chunks
 
 SHINGLE = 3
@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp)], names=["doc_id", "fp"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    return small_batches(rows).mapInArrow(run, "doc_id long, fp long")
 
 
 def _anchors(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -91,7 +91,9 @@ def near_pairs(prints: DataFrame) -> DataFrame:
             index, anchor = _anchors(np.ascontiguousarray(fp))
             yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(fp[index])], names=["anchor", "fp"])
 
-    distinct = prints.select("fp").distinct()
+    # A few bytes a row become 32 rows each, so the rows are dealt to all tasks instead of being merged by their bytes.
+    n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    distinct = prints.select("fp").distinct().repartition(n, "fp")
     balls = (
         distinct.mapInArrow(replicate, "anchor long, fp long")
         .groupBy("anchor")

@@ -66,12 +66,12 @@ def column_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def chunks(batches: Iterable[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about ``limit`` bytes of ``column``; a longer text is a batch of its own."""
+def chunks(batches: Iterable[pa.RecordBatch], column: str | int, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``limit`` bytes of ``column`` (name or place); a longer text is a batch of its own."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        _, off = column_bytes(batch.column(batch.schema.get_field_index(column)))
+        _, off = column_bytes(batch.column(column))
         start = 0
         while start < batch.num_rows:
             end = int(np.searchsorted(off, off[start] + limit, side="right")) - 1
