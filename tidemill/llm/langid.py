@@ -1,21 +1,28 @@
 """Language identification by prediction by partial matching (PPM).
 
 For each language a tree of byte contexts of up to three bytes is counted on a bounded sample of labelled documents
-(``TRAIN_DOCS`` of each language, whole texts, A-Z lower-cased). A byte's probability in its longest known context is
-its count over count plus distinct (method C); the escape share of a context is spread over the bytes it hasn't seen in
-proportion to the next shorter context, seen bytes excluded, so each context's probabilities add up to 1. Statistics
-are frozen after fitting: the code length of a text is a sum of table look-ups, the language is that of the shortest
-code, and the score is its posterior under equal priors.
+(at most ``TRAIN_DOCS`` of each language and, of those in order of their id's hash, as many as hold ``TRAIN_BYTES``;
+whole texts, A-Z lower-cased). A byte's probability in its longest known context is its count over count plus distinct
+(method C); the escape share of a context is spread over the bytes it hasn't seen in proportion to the next shorter
+context, seen bytes excluded, so each context's probabilities add up to 1. Statistics are frozen after fitting: the
+code length of a text is a sum of table look-ups, the language is that of the shortest code, and the score is its
+posterior under equal priors.
 
-Contexts are those with most occurrences, as many as fit in ``TABLE_BYTES`` over all languages, so that the broadcast
-table has a fixed bound; the grams gathered on the driver are at most ``MAX_GRAMS``.
+No gram or context of the sample is dropped: a language has a row of 256 code lengths for every context it has seen,
+and reads the row of the longest shorter one elsewhere. So the tables grow with the sample, whose size is bounded, and
+not with the corpus.
+
+``bits_per_byte`` of the chosen language beside ``limit`` (the model's own worst case over held-back sample texts of
+that language) tells text of no learned language from text of one.
 
 Defined results: ``und`` with score 0 for a null text, an empty one or one without a letter, or if no labelled row was
 there to learn from. Ties go to the language first by name. Repeated rows each give a row; texts are never cut.
+Columns that are already called ``lang_pred``, ``score`` or ``bits_per_byte`` are replaced by ``predict``.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -24,26 +31,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import fold
+from .shared import fold, small_batches
 from .text import _LOWER, chunks, column_bytes
 
 TRAIN_DOCS = 1000
-MAX_GRAMS = 500_000
-TABLE_BYTES = 32 << 20
+TRAIN_BYTES = 8 << 20
+#: Languages that the classifier tells apart: those with most labelled documents, if there are more.
+LANGUAGES = 1000
 #: Sampled ids are broadcast to the scan for their texts up to this many, else joined by shuffle.
 BROADCAST_IDS = 200_000
+#: One sampled text in so many is held back to learn how long codes of the language's own texts get.
+HELD_BACK = 8
+#: A text may take so many times the largest held-back bits per byte before it counts as of no learned language.
+SLACK = 2.0
+#: Bytes from which on a text's bits per byte are steady enough to count.
+STEADY = 64
+#: Bytes of text scored at once.
+CHUNK = 1 << 19
 _PAD = 32  # stands before a text's first byte
 
 
 @dataclass
 class Model:
-    """cost[lang][node * 256 + byte] in bits; node of the longest context by two look-ups."""
+    """cost[row * 256 + byte] in bits; row[lang][node] of the node of the longest context, found by two look-ups."""
 
     langs: list[str]
     cost: np.ndarray
+    row: np.ndarray
     pair_node: np.ndarray
     pair_row: np.ndarray
     triple_node: np.ndarray
+    limit: np.ndarray  # lang -> most bits per byte of its own texts
 
     def bits(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Code lengths (rows, languages) of the texts."""
@@ -63,16 +81,18 @@ class Model:
         b2, b1, b0 = before
         node = self.pair_node[b1 * 256 + b2]
         deep = self.triple_node[self.pair_row[b0 * 256 + b1] * 256 + b2]
-        at = np.where(deep >= 0, deep, node) * 256 + b
+        node = np.where(deep >= 0, deep, node)
         full = np.flatnonzero(np.diff(offsets))
-        for i in range(len(self.langs)):
-            out[full, i] = np.add.reduceat(self.cost[i][at], offsets[full], dtype=np.float64)
+        for i, row in enumerate(self.row):
+            at = row[node] * 256
+            at += b
+            out[full, i] = np.add.reduceat(self.cost[at], offsets[full], dtype=np.float64)
         return out
 
 
 def _count_grams(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, gram, n) of each batch: a gram is three bytes of context and the byte that follows."""
-    for batch in chunks(batches, "text"):
+    for batch in chunks(batches, "text", CHUNK):
         langs = np.array(batch.column("lang").to_pylist(), dtype=object)
         data, off = column_bytes(batch.column("text"))
         b = _LOWER[data].astype(np.int64)
@@ -86,125 +106,156 @@ def _count_grams(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram), pa.string()), pa.array(gram), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
 
 
-def _nodes(gram: np.ndarray, n: np.ndarray, order: int, most: int) -> np.ndarray:
-    """The contexts of ``order`` bytes with most occurrences, sorted."""
-    context, inverse = np.unique((gram >> 8) & ((1 << 8 * order) - 1), return_inverse=True)
-    total = np.bincount(inverse, weights=n)
-    return np.sort(context[np.lexsort((context, -total))[:most]])
-
-
 def _fit(langs: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray) -> Model:
     """The tables from grams of the languages (lang: index into langs)."""
     count = len(langs)
-    most = max(257, TABLE_BYTES // (1024 * count))
-    contexts = [np.zeros(1, np.int64), _nodes(gram, n, 1, 256)]
-    contexts.append(_nodes(gram, n, 2, max(0, (most - 257) // 3)))
-    contexts.append(_nodes(gram, n, 3, max(0, most - 257 - len(contexts[2]))))
-    tables, parent_p = [], None
-    for order, nodes in enumerate(contexts):
-        c = np.zeros((len(nodes), count, 256), dtype=np.float32)
-        key = (gram >> 8) & ((1 << 8 * order) - 1)
-        place = np.minimum(np.searchsorted(nodes, key), max(len(nodes) - 1, 0))
-        if len(nodes):
-            hit = nodes[place] == key
-            np.add.at(c, (place[hit], lang[hit], gram[hit] & 255), n[hit])
-        if order == 0:
-            parent = np.full((1, count, 256), 1 / 256, dtype=np.float32)
-        else:  # the longest shorter context that has a node
-            parent = np.empty((len(nodes), count, 256), dtype=np.float32)
-            for i, x in enumerate(nodes):
-                for o in range(order - 1, -1, -1):
-                    y = int(x) & ((1 << 8 * o) - 1)
-                    j = np.searchsorted(contexts[o], y)
-                    if j < len(contexts[o]) and contexts[o][j] == y:
-                        parent[i] = tables[o][j]
-                        break
-        total, seen = c.sum(axis=2, keepdims=True), c > 0
-        distinct = seen.sum(axis=2, keepdims=True).astype(np.float32)
-        left = np.where(seen, np.float32(0), parent)
-        mass = left.sum(axis=2, keepdims=True)
-        base = total + np.where(mass > 0, distinct, np.float32(0))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            left *= distinct / base / mass
-            c /= base
-        np.copyto(c, left, where=~seen)
-        np.copyto(c, parent, where=total <= 0)
-        tables.append(c)
-        del c, left, seen, parent
+    contexts = [np.unique((gram >> 8) & ((1 << 8 * order) - 1)) for order in range(4)]
     first = np.cumsum([0, *(len(x) for x in contexts)])
+    row = np.zeros((count, first[-1]), np.int32)
+    costs, rows = [], 0  # probabilities of all rows so far, order by order and language by language
+    for order, nodes in enumerate(contexts):
+        context = (gram >> 8) & ((1 << 8 * order) - 1)
+        shorter = nodes & ((1 << 8 * max(order - 1, 0)) - 1)
+        before = costs[0] if order else np.full((1, 256), 1 / 256, np.float32)
+        if order:  # every shorter context of one that was seen was seen as well
+            above = first[order - 1] + np.searchsorted(contexts[order - 1], shorter)
+        for i in range(count):
+            own = lang == i
+            seen_at, place = np.unique(np.searchsorted(nodes, context[own]), return_inverse=True)
+            c = np.zeros((len(seen_at), 256), dtype=np.float32)
+            np.add.at(c, (place, gram[own] & 255), n[own])
+            parent_row = row[i, above] if order else np.zeros(len(nodes), np.int32)
+            parent = before[parent_row[seen_at]]
+            total, seen = c.sum(axis=1, keepdims=True), c > 0
+            distinct = seen.sum(axis=1, keepdims=True).astype(np.float32)
+            left = np.where(seen, np.float32(0), parent)
+            mass = left.sum(axis=1, keepdims=True)
+            base = total + np.where(mass > 0, distinct, np.float32(0))
+            left *= np.divide(distinct / base, mass, out=np.zeros_like(mass), where=mass > 0)
+            c = np.where(seen, c / base, left)
+            row[i, first[order] : first[order + 1]] = parent_row
+            row[i, first[order] + seen_at] = rows + np.arange(len(seen_at))
+            costs.append(c)
+            rows += len(seen_at)
+        costs = [np.concatenate(costs)]
     pair_node = np.zeros(65536, np.int32)
     one = np.zeros(256, np.int32)
     one[contexts[1]] = first[1] + np.arange(len(contexts[1]))
     pair_node[:] = np.tile(one, 256)
     pair_node[contexts[2]] = first[2] + np.arange(len(contexts[2]))
-    heads, row = np.unique(contexts[3] >> 8, return_inverse=True)
+    heads, at = np.unique(contexts[3] >> 8, return_inverse=True)
     pair_row = np.full(65536, len(heads), np.int32)
     pair_row[heads] = np.arange(len(heads))
     triple_node = np.full((len(heads) + 1) * 256, -1, np.int32)
-    triple_node[row * 256 + (contexts[3] & 255)] = first[3] + np.arange(len(contexts[3]))
-    cost = np.concatenate(tables)  # nodes, langs, bytes
+    triple_node[at * 256 + (contexts[3] & 255)] = first[3] + np.arange(len(contexts[3]))
+    cost = costs[0]
     np.log2(cost, out=cost)
     np.negative(cost, out=cost)
-    return Model(langs, np.ascontiguousarray(cost.transpose(1, 0, 2)).reshape(count, -1), pair_node, pair_row, triple_node)
+    return Model(langs, cost.ravel(), row, pair_node, pair_row, triple_node, np.full(count, np.inf))
+
+
+def sample_ids(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_bytes: int = TRAIN_BYTES) -> DataFrame:
+    """(lang, doc_id) of the documents to learn from: of each language those of the smallest hash of their id.
+
+    A hash threshold from the languages' counts thins the rows before the ordered window, so that it gets a few
+    thousand rows a language from however many documents.
+    """
+    rows = docs.where("lang is not null and doc_id is not null and text is not null")
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    if not counts:
+        return rows.select("lang", "doc_id").limit(0)
+    share = F.from_json(F.lit(json.dumps({r.lang: min(1.0, (3 * train_docs + 100) / r.n) for r in counts})), "map<string,double>")
+    h = F.xxhash64("doc_id")
+    few = rows.select("lang", "doc_id", h.alias("h"), F.octet_length("text").alias("bytes"))
+    few = few.where((F.pmod(F.col("h"), F.lit(1 << 30)) / (1 << 30)) < share[F.col("lang")])
+    order = Window.partitionBy("lang").orderBy(F.pmod(F.col("h"), F.lit(1 << 30)), "h", "doc_id", "bytes")
+    ranked = few.select("lang", "doc_id", F.row_number().over(order).alias("n"), F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
+    return ranked.where((F.col("n") <= train_docs) & F.coalesce(F.col("before") < train_bytes, F.lit(True))).select("lang", "doc_id").distinct()
 
 
 def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model | None:
     """The model of the languages of docs (doc_id, text, lang); rows with a null in any of them aren't used.
 
-    Learns from at most train_docs documents of each language, those of the smallest hash of their id.
+    Seven of eight sampled texts are counted into the trees that set ``limit`` by the eighth's code lengths; the trees
+    that are returned count all of them.
     """
-    order = Window.partitionBy("lang").orderBy("h", "doc_id")
-    ids = (
-        docs.where("lang is not null and doc_id is not null")
-        .select("lang", "doc_id", F.xxhash64("doc_id").alias("h"))
-        .withColumn("n", F.row_number().over(order))
-        .where(F.col("n") <= train_docs)
-        .select("lang", "doc_id")
-        .distinct()
-    )
+    ids = sample_ids(docs, train_docs)
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     chosen = docs.where("text is not null").select("lang", "doc_id", "text").join(ids, ["lang", "doc_id"], "left_semi")
-    grams = (
-        chosen.mapInArrow(_count_grams, "lang string, gram long, n long")
-        .groupBy("lang", "gram")
-        .agg(F.sum("n").alias("n"))
-        .orderBy(F.desc("n"), "lang", "gram")
-        .limit(MAX_GRAMS)
-        .toPandas()
-    )
-    if grams.empty:
+    back = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(HELD_BACK)) == 0
+
+    def counted(part: DataFrame) -> DataFrame:
+        return small_batches(part).mapInArrow(_count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+
+    both = counted(chosen.where(~back)).withColumn("part", F.lit(0)).unionByName(counted(chosen.where(back)).withColumn("part", F.lit(1)))
+    grams = both.toArrow()  # as many as a sample of bounded size has
+    if not grams.num_rows:
         return None
-    langs = sorted(grams.lang.unique())
-    index = {x: i for i, x in enumerate(langs)}
-    return _fit(langs, grams.lang.map(index).to_numpy(), grams.gram.to_numpy(), grams.n.to_numpy())
+    codes = grams.column("lang").combine_chunks().dictionary_encode()
+    names = codes.dictionary.to_pylist()
+    langs = sorted(names)
+    rank = np.array([langs.index(x) for x in names])
+    lang, gram, n = rank[codes.indices.to_numpy()], grams.column("gram").to_numpy(), grams.column("n").to_numpy()
+    main = grams.column("part").to_numpy() == 0
+    model = _fit(langs, lang, gram, n)
+    learned = set(np.unique(lang[main]).tolist())
+    if learned == set(range(len(langs))):
+        partial = _fit(langs, lang[main], gram[main], n[main])
+        shared = docs.sparkSession.sparkContext.broadcast(partial)
+
+        def lengths(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            m = shared.value
+            for batch in chunks(batches, "text", CHUNK):
+                data, off = column_bytes(batch.column("text"))
+                own = np.array([m.langs.index(x) for x in batch.column("lang").to_pylist()])
+                size = np.diff(off)
+                rate = m.bits(data, off)[np.arange(len(own)), own] / np.maximum(size, 1)
+                use = size >= STEADY
+                yield pa.RecordBatch.from_arrays([pa.array(own[use]), pa.array(rate[use])], names=["lang", "rate"])
 
+        held = small_batches(chosen.where(back)).mapInArrow(lengths, "lang long, rate double").groupBy("lang").agg(F.max("rate").alias("rate")).collect()
+        for r in held:
+            model.limit[r.lang] = SLACK * r.rate
+        shared.unpersist()
+    return model
 
-def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """docs with lang_pred string and score double added; every whole text is scored."""
+
+def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
+    """docs with lang_pred string, score double and bits_per_byte double added; every whole text is scored.
+
+    bits_per_byte is the code length a byte divided by the language's limit (``Model.limit``), so above 1 the text is
+    none of that language; 0 under STEADY bytes or where the limit isn't known.
+    """
+    new = ["lang_pred", "score", "bits_per_byte"]
+    docs = docs.drop(*new)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = [*docs.columns, "lang_pred", "score"]
+    names = [*docs.columns, *new]
+    place = docs.columns.index(text)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in chunks(batches, "text"):
-            text = batch.column(batch.schema.get_field_index("text"))
-            data, off = column_bytes(text)
-            lettered = np.array([t is not None and any(map(str.isalpha, t)) for t in text.to_pylist()], dtype=bool)
+        for batch in chunks(batches, place, CHUNK):
+            texts = batch.column(place)
+            data, off = column_bytes(texts)
+            lettered = np.array([t is not None and any(map(str.isalpha, t)) for t in texts.to_pylist()], dtype=bool)
             if m is None:
                 lettered[:] = False
-            pred, score = ["und"] * len(text), np.zeros(len(text))
+            pred, score, rate = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
             if lettered.any():
                 bits = m.bits(data, off)
                 best = bits.argmin(axis=1)
                 gap = np.exp2(np.maximum(bits.min(axis=1, keepdims=True) - bits, -1000))
                 score[lettered] = (1 / gap.sum(axis=1))[lettered]
+                size = np.diff(off)
+                steady = lettered & (size >= STEADY)
+                rate[steady] = (bits.min(axis=1) / np.maximum(size, 1) / m.limit[best])[steady]
                 for i in np.flatnonzero(lettered):
                     pred[i] = m.langs[best[i]]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score)], names=names)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score), pa.array(rate)], names=names)
 
-    schema = docs.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
-    return docs.mapInArrow(run, schema)
+    schema = docs.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("bits_per_byte")).schema
+    return small_batches(docs).mapInArrow(run, schema)
 
 
 def identify(docs: DataFrame) -> DataFrame:
