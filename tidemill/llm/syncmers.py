@@ -2,25 +2,34 @@
 
 Tokens are the lower-cased words of a text. A window of ``K`` = 5 words is chosen when the smallest hash among its
 inner runs of ``S`` = 2 words is its first or last run: the choice depends on the window alone, so the same passage
-has the same anchors wherever it stands. ``anchors`` gives every chosen window with its position, for positional
-matching (``matches``); the fingerprint of a text is the sketch of its ``SKETCH`` smallest anchor hashes as hex.
+has the same anchors wherever it stands. ``anchors`` gives every chosen window with its position; ``matches`` compares
+whole tables of them.
+
+Two texts are compared by the positions of all their anchors: two anchors that follow each other make a step (both
+hashes and the words between their positions), so a step is common to two texts where both anchors stand at one shift
+of positions, and a passage moved as a whole keeps its steps. ``likeness`` is the share of the steps of either text
+that both have; nothing of it is sampled. The fingerprint column is a short sketch, the ``SKETCH`` smallest anchor
+hashes as hex, for equality and look-ups; likeness doesn't depend on it.
 
 Defined results: a null text is an empty one; a text without a chosen window (always so under five words) has one
-anchor at word 0, the hash of the whole text, so equal texts have equal fingerprints and likeness 1.
+anchor at word 0, the hash of the whole text, so equal texts have equal fingerprints and likeness 1; rows with a null
+doc_id come first in the order, rows that repeat a doc_id stand in the order of their text's hash, and each gives a row;
+other columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import ordered_buckets, sortable
+
 K = 5
 S = 2
 SKETCH = 32
-#: Ids that one block of the ordered pass may hold.
-BLOCK = 1024
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -55,16 +64,24 @@ def anchor_list(text: Column) -> Column:
     return _let(found, lambda a: F.when(F.size(a) > 0, a).otherwise(whole))
 
 
-def sketch(text: Column) -> Column:
-    """The smallest SKETCH distinct anchor hashes of a text, sorted."""
-    return F.slice(F.array_sort(F.array_distinct(anchor_list(text)["anchor"])), 1, SKETCH)
+def sketch(found: Column) -> Column:
+    """The smallest SKETCH distinct hashes of a text's anchors, sorted."""
+    return F.slice(F.array_sort(F.array_distinct(found["anchor"])), 1, SKETCH)
+
+
+def steps(found: Column) -> Column:
+    """array<bigint>: the distinct steps of a text's anchors, the last anchor counting as one by itself."""
+    n = F.size(found)
+    follow = F.zip_with(
+        F.slice(found, 1, n - 1), F.slice(found, 2, n), lambda a, b: F.xxhash64(a["anchor"], b["anchor"], b["pos"] - a["pos"])
+    )
+    return F.array_distinct(F.concat(F.filter(follow, lambda x: x.isNotNull()), F.array(F.xxhash64(F.element_at(found, -1)["anchor"]))))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of the smallest SKETCH hashes of both sketches together that both hold: 0 to 1."""
-    both = F.slice(F.array_sort(F.array_union(a, b)), 1, SKETCH)
-    common = F.array_intersect(F.array_intersect(both, a), b)
-    return F.size(common) / F.size(both)
+    """Share of the steps of two texts together that both have: 0 to 1."""
+    common = F.size(F.array_intersect(a, b))
+    return common / (F.size(a) + F.size(b) - common)
 
 
 def as_hex(values: Column) -> Column:
@@ -88,44 +105,31 @@ def matches(left: DataFrame, right: DataFrame) -> DataFrame:
     return joined.groupBy("left_id", "right_id", (F.col("q") - F.col("p")).alias("shift")).agg(F.count("*").alias("n"))
 
 
-def _next_block(blocks: DataFrame) -> DataFrame:
-    """(block, follows): the block before each block in ascending order, and the last block before the first.
-
-    Two levels: within groups of 1024 blocks, then over the groups, so the one task at the top gets a row for each
-    million ids.
-    """
-    groups = blocks.select("block", F.floor(F.col("block") / 1024).alias("upper"))
-    within = Window.partitionBy("upper").orderBy("block")
-    inside = groups.select("block", "upper", F.lag("block").over(within).alias("before"))
-    tops = groups.groupBy("upper").agg(F.max("block").alias("last"))
-    over = Window.orderBy("upper")
-    tops = tops.select("upper", F.lag("last").over(over).alias("above"))
-    end = tops.crossJoin(blocks.agg(F.max("block").alias("end")))
-    joined = inside.join(end.select("upper", F.coalesce("above", "end").alias("above")), "upper")
-    return joined.select("block", F.coalesce("before", "above").alias("follows"))
+def fingerprinted(text: Column) -> Column:
+    """struct<sketch, steps> of a text."""
+    return _let(anchor_list(text), lambda found: F.struct(sketch(found).alias("sketch"), steps(found).alias("steps")))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text, sketch) with next_text and next_sketch: those of the next doc_id, after the last the first.
+    """(doc_id, text, print, next_text, next_print) of docs (doc_id, text): those of the next doc_id, after the last the first.
 
-    Rows are dealt by blocks of BLOCK ids and ordered within them; only each block's first row crosses to the block
-    before. Equal ids are ordered by text; null ids come first.
+    Rows are dealt by ranges of doc_id and ordered within them; only each range's first row goes to the range before
+    as well. The work on a text is done once, after it was dealt.
     """
-    order = Window.partitionBy("block").orderBy("doc_id", "text")
-    block = F.coalesce(F.floor(F.col("doc_id") / BLOCK), F.lit(-(1 << 53)))
-    rows = docs.select("doc_id", "text", "sketch", block.alias("block"))
-    rows = rows.select(
-        "*",
-        F.row_number().over(order).alias("n"),
-        F.lead("text").over(order).alias("next_text"),
-        F.lead("sketch").over(order).alias("next_sketch"),
-    )
-    firsts = rows.where("n = 1").select("block", F.col("text").alias("t"), F.col("sketch").alias("s"))
-    firsts = firsts.join(_next_block(firsts.select("block")), "block").select(F.col("follows").alias("block"), "t", "s")
-    joined = rows.join(firsts, "block", "left")
-    return joined.select(
-        "doc_id", "text", "sketch", F.coalesce("next_text", "t").alias("next_text"), F.coalesce("next_sketch", "s").alias("next_sketch")
-    )
+    key = F.concat(F.coalesce(sortable(F.col("doc_id")), F.lit("")), sortable(F.xxhash64("text")))
+    rows, firsts, _ = ordered_buckets(docs.select("doc_id", "text", key.alias("key")), "key")
+    n = max(1, len(firsts))
+    first = F.from_json(F.lit(json.dumps(firsts)), "array<string>")[F.col("bucket")]
+    before = F.pmod(F.col("bucket") - 1, F.lit(n))
+    # The first row of all follows the last one, so it stands behind all others of that range.
+    at = F.array(F.struct(F.col("bucket").alias("at"), F.lit(0).alias("extra")))
+    both = F.array(F.struct(F.col("bucket").alias("at"), F.lit(0).alias("extra")), F.struct(before.alias("at"), F.lit(1).alias("extra")))
+    dealt = rows.select("doc_id", "text", "key", F.inline(F.when(F.col("key") == first, both).otherwise(at)))
+    dealt = dealt.repartition(n, "at").sortWithinPartitions("at", "extra", "key")
+    order = Window.partitionBy("at").orderBy("extra", "key")
+    made = dealt.select("doc_id", "text", "key", "at", "extra", fingerprinted(F.col("text")).alias("print"))
+    made = made.select("*", F.lead("text").over(order).alias("next_text"), F.lead("print").over(order).alias("next_print"))
+    return made.where("extra = 0").select("doc_id", "text", "print", "next_text", "next_print")
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
@@ -133,18 +137,17 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
 
     The edited text has its last floor(n_chars / 2) code points replaced by as many of the next document's first.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = with_next(rows.withColumn("sketch", sketch(F.col("text"))))
+    rows = with_next(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")))
     rows = rows.withColumn("n_chars", F.length("text").cast("long"))
     edited = F.expr("concat(left(text, cast(n_chars - n_chars div 2 as int)), left(next_text, cast(n_chars div 2 as int)))")
-    rows = rows.select("doc_id", "n_chars", "sketch", "next_sketch", edited.alias("edited"))
-    rows = rows.select("*", F.sha2("edited", 256).alias("edited_sha256"), sketch(F.col("edited")).alias("edited_sketch"))
+    rows = rows.select("doc_id", "n_chars", "print", "next_print", edited.alias("edited"))
+    rows = rows.select("*", F.sha2("edited", 256).alias("edited_sha256"), fingerprinted(F.col("edited")).alias("other"))
     return rows.select(
         "doc_id",
         "n_chars",
         "edited_sha256",
-        as_hex(F.col("sketch")).alias("fingerprint"),
-        as_hex(F.col("edited_sketch")).alias("edited_fingerprint"),
-        likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
-        likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+        as_hex(F.col("print.sketch")).alias("fingerprint"),
+        as_hex(F.col("other.sketch")).alias("edited_fingerprint"),
+        likeness(F.col("print.steps"), F.col("other.steps")).alias("near_edited"),
+        likeness(F.col("print.steps"), F.col("next_print.steps")).alias("near_next"),
     )
