@@ -93,7 +93,7 @@ def near_pairs(prints: DataFrame) -> DataFrame:
 
     # A few bytes a row become 32 rows each, so the rows are dealt to all tasks instead of being merged by their bytes.
     n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    distinct = prints.select("fp").distinct().repartition(n, "fp")
+    distinct = prints.select("fp").distinct().repartition(n, F.xxhash64("fp"))
     balls = (
         distinct.mapInArrow(replicate, "anchor long, fp long")
         .groupBy("anchor")
