@@ -86,7 +86,7 @@ def _signed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     bands = SLOTS // BAND
     salt = np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
     met: set[int] = set()
-    for batch in chunks(batches, "line", 1 << 20):
+    for batch in chunks(batches, "line", 1 << 19):
         hs = batch.column("h").to_pylist()
         long = (pc.utf8_length(batch.column("line")).to_numpy(zero_copy_only=False) >= MIN_CHARS).tolist()
         new = []
@@ -191,7 +191,7 @@ def _verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for *k, h, line in zip(*(batch.column(i).to_pylist() for i in range(5))):
             if k != key:
-                if chars > 1 << 20 or len(lines) > 8_000:  # whole groups only
+                if chars > 1 << 19 or len(lines) > 4_000:  # whole groups only
                     yield finish()
                     hs, lines, sizes, chars = [], [], [], 0
                 key = k
