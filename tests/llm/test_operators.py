@@ -202,30 +202,73 @@ def test_language_id(spark):
     assert langid.identify(d.where("doc_id < 0")).count() == 0
 
 
-def test_attention_gradients_and_total():
+def toy_model(texts, ids=60, passes=3):
+    count = np.bincount(np.concatenate([*texts, [ids - 1] * len(texts)]), minlength=ids).astype(float)
+    of = attention.layout(count, ids - 2, ids - 1)
+    fit = attention.Fit(attention.untrained(of), of, 0.01)
+    for _ in range(passes):
+        fit.learn(texts)
+    return attention.Model(of, fit.p)
+
+
+def plain_log10(model, text):
+    """The score of one text, place by place, as the module's docstring says it."""
+    of, p = model.of, {k: v.astype(np.float64) for k, v in model.p.items()}
+    inputs, targets = [of.begin, *text], [*text, of.end]
+    total = 0.0
+    for t in range(len(targets)):
+        k = 0 if t < attention.WINDOW else -(-(t + 1 - attention.WINDOW) // attention.STRIDE)
+        seen = inputs[k * attention.STRIDE : t + 1]
+        x = np.array([p["embed"][of.to_output[i]] + p["place"][n] for n, i in enumerate(seen)])
+        a = np.exp((x[-1] @ p["query"]) @ (x @ p["key"]).T)
+        h = np.append(x[-1] + (a / a.sum()) @ (x @ p["value"]) @ p["mix"], 1.0)
+        out = of.to_output[targets[t]]
+        c = of.of_output[out]
+        z, low = h @ p["top"], h @ p["low"][:, of.first[c] : of.first[c + 1]]
+        total += z[c] - np.log(np.exp(z).sum()) + low[out - of.first[c]] - np.log(np.exp(low).sum()) + of.share[targets[t]]
+    return total / np.log(10)
+
+
+def test_attention_gradients_and_total(monkeypatch):
+    monkeypatch.setattr(attention, "OUTPUTS", 40)
+    monkeypatch.setattr(attention, "OWN_CLASS", 8)
+    monkeypatch.setattr(attention, "CLASSES", 14)
+    monkeypatch.setattr(attention, "BANDS", 3)
     random_ids = np.random.default_rng(0)
-    texts = [random_ids.integers(0, 50, n) for n in (0, 3, 40, 100)]
-    model = attention.fit(texts, 60, 58, 59, steps=5, rows=4)
-    probabilities = [model.log10_probabilities([np.array([i])])[0] for i in range(3)]
-    assert all(p < 0 for p in probabilities)
-    assert np.allclose(model.log10_probabilities(texts), [model.log10_probabilities([t])[0] for t in texts])
-    inputs = model.to_input[random_ids.integers(0, 50, (2, attention.WINDOW))]
-    classes = model.to_class[random_ids.integers(0, 50, (2, attention.WINDOW))]
-    use = np.ones((2, attention.WINDOW), np.float32)
+    texts = [random_ids.integers(0, 57, n) for n in (0, 3, 31, 32, 40, 100)]
+    model = toy_model(texts)
+    of = model.of
+    assert np.allclose(model.log10_probabilities(texts), [plain_log10(model, t) for t in texts], rtol=1e-4)
+    # All ids after one context have a total probability of 1: outputs by class and member, ids by their share.
+    shares = np.bincount(of.to_output, weights=np.exp(of.share))
+    assert np.allclose(shares, 1) and of.first[-1] == len(of.total) and (np.diff(of.first) > 0).all()
+    inputs, targets, use = attention.windows(of, texts)
+    assert use.sum() == sum(len(t) + 1 for t in texts)
     p = {k: v.astype(np.float64) for k, v in model.p.items()}
-    _, g = attention.gradients(p, inputs, classes, use)
-    for name in ("query", "mix", "out"):
+    _, g = attention.gradients(p, of, inputs, targets, use)
+    for name in p:
         q = {k: v.copy() for k, v in p.items()}
         q[name][1, 2] += 1e-5
-        up = attention.gradients(q, inputs, classes, use)[0]
+        up = attention.gradients(q, of, inputs, targets, use)[0]
         q[name][1, 2] -= 2e-5
-        assert np.isclose((up - attention.gradients(q, inputs, classes, use)[0]) / 2e-5, g[name][1, 2], rtol=1e-3, atol=1e-6)
+        assert np.isclose((up - attention.gradients(q, of, inputs, targets, use)[0]) / 2e-5, g[name][1, 2], rtol=1e-3, atol=1e-6), name
+
+
+def test_attention_learns_more_than_counts():
+    """Ids that follow from those before: the network finds what counts of single ids can't."""
+    r = np.random.default_rng(3)
+    texts = [np.concatenate([[a, a + 1, a + 2, a + 3] for a in r.integers(0, 12, 30) * 4]) for _ in range(60)]
+    model = toy_model(texts[:50], passes=40)
+    held = texts[50:]
+    p = np.bincount(np.concatenate(texts[:50]), minlength=60) / sum(map(len, texts[:50]))
+    alone = sum(np.log10(p[t]).sum() for t in held)
+    assert model.log10_probabilities(held).sum() > 0.5 * alone
 
 
 def test_lm_base(spark):
     texts = [*EDGES, *(prose(30, i) for i in range(20))]
     d = docs(spark, texts)
-    got = {r.doc_id: r for r in lm.score(d, queries.vocabulary_path()).collect()}
+    got = {r.doc_id: r for r in lm.score(d, queries.byte_vocabulary_path()).collect()}
     held = {r.doc_id for r in d.where("crc32(cast(cast(doc_id as string) as binary)) % 7 = 2").collect()}
     words = [[w.lower() for w in (t or "").split()] + [""] for t in texts]
     from collections import Counter
@@ -238,39 +281,52 @@ def test_lm_base(spark):
         assert np.isclose(r.base_score, sum(np.log10((c[w] + 1) / (n + v + 1)) for w in ws)) and r.score < 0
 
 
-def test_lm_counts_and_fit_cover_all_documents(spark):
-    path = queries.vocabulary_path()
-    vocab = bpe._vocabulary(open(path, encoding="utf-8").read())
-    begin, end = sorted(vocab.special.values())[:2]
-    texts = [*EDGES, *(prose(30, i) for i in range(30))]
-    rows = docs(spark, texts).select(F.col("doc_id").alias("row"), "doc_id", F.lit(False).alias("held_out"), "text").repartition(3)
-    train = lm.encoded(rows, path).persist()
-    ids = [np.frombuffer(vocab.encode(t), "<u4").astype(np.int64) if t else np.zeros(0, np.int64) for t in texts]
-    count = lm.id_counts(train, len(vocab.offset) - 1, end)
-    assert np.array_equal(count, np.bincount(np.concatenate([*ids, [end] * len(ids)]), minlength=len(count)))
-    of = attention.layout(count, begin, end)
-    n = np.zeros((attention.BEFORE + attention.CLASSES, attention.PAIRED))
-    for t in ids:
-        for a, b in itertools.pairwise([begin, *t, end]):
-            if of.to_column[b] >= 0:
-                n[of.to_before[a], of.to_column[b]] += 1
-    assert np.array_equal(lm.pair_counts(train, of), n)
-    # A fit that starts from one document learns from the others: with one round it is one step along the sum of all gradients.
-    model, alone = attention.untrained(of, n), attention.untrained(of, n)
-    lm.refine(model, of, train, rounds=1, rate=0.01)
-    targets, g = attention.summed_gradients(alone.p, of, ids)
-    assert targets == sum(len(t) + 1 for t in ids)
-    attention.Adam(alone.p, 1, 0.01).take(attention.unflatten(alone.p, g / targets))
-    assert all(np.allclose(model.p[k], alone.p[k], atol=1e-3) for k in model.p)
-    before = model.log10_probabilities(ids).sum()
-    lm.refine(model, of, train, rounds=4, rate=0.01)
-    assert model.log10_probabilities(ids).sum() > before
-    train.unpersist()
+def test_lm_counts_and_rounds_cover_all_documents(spark):
+    source = open(queries.byte_vocabulary_path(), "rb").read()
+    vocab = lm.vocabulary(source)
+    ids = vocab.n_vocab + 2
+    texts = [*EDGES, *(prose(60, i) for i in range(30))]
+    assert [vocab.decode(lm.encode(vocab, t)) for t in texts] == [t or "" for t in texts]
+    rows = docs(spark, texts).select(F.col("doc_id").alias("row"), "doc_id", F.lit(False).alias("held_out"), "text")
+    coded = [lm.encode(vocab, t).astype(np.int64) for t in texts]
+    one, three = (lm.encoded(rows.repartition(n, "doc_id"), source).persist() for n in (1, 3))
+    count = lm.id_counts(three, ids, ids - 1)
+    assert np.array_equal(count, np.bincount(np.concatenate([*coded, [ids - 1] * len(coded)]), minlength=ids))
+    of = attention.layout(count, ids - 2, ids - 1)
+    start = attention.untrained(of)
+    # One task and one round is a plain fit over all texts in the task's order; more tasks give the weighted mean of theirs.
+    alone = attention.Fit(start, of, 0.01)
+    alone.learn([np.frombuffer(r.ids, "<u4").astype(np.int64) for r in one.select("ids").collect()])
+    assert alone.targets == sum(len(t) + 1 for t in coded)
+    got = lm.follow(start, of, one, rounds=1, rate=0.01, draw=1)
+    assert all(np.allclose(got[k], alone.p[k], atol=1e-5) for k in got)
+    parts = []
+    for part in range(3):
+        own = [np.frombuffer(r.ids, "<u4").astype(np.int64) for r in three.where(F.spark_partition_id() == part).select("ids").collect()]
+        if own:
+            f = attention.Fit(start, of, 0.01, seed=part)
+            f.learn(own)
+            parts.append(f)
+    got = lm.follow(start, of, three, rounds=1, rate=0.01, draw=1)
+    n = sum(f.targets for f in parts)
+    assert n == alone.targets
+    assert all(np.allclose(got[k], sum(f.p[k] * f.targets for f in parts) / n, atol=1e-5) for k in got)
+    before = attention.Model(of, start).log10_probabilities(coded).sum()
+    assert attention.Model(of, lm.follow(start, of, three, rounds=2, rate=0.01, draw=1)).log10_probabilities(coded).sum() > before
+    one.unpersist()
+    three.unpersist()
+
+
+def test_top_words_are_bounded(spark):
+    counts = spark.createDataFrame([(f"w{i}", 1000 // (i + 1) + 1) for i in range(500)], "word string, n long")
+    got = {w for w in lm.top_words(counts, 50).column("word").to_pylist()}
+    assert 10 < len(got) <= 50 and got == {f"w{i}" for i in range(len(got))}
+    assert lm.top_words(counts.where("n < 0"), 50).num_rows == 0
 
 
 def test_parameters_are_not_cut():
     assert attention.WINDOW - attention.STRIDE >= 8  # inputs before a later window's first target, its own besides
-    assert attention.CLASSES >= 96 and attention.OWN_CLASS >= 64 and attention.BEFORE >= 768 and attention.PAIRED >= 8192
+    assert attention.CLASSES >= 96 and attention.OWN_CLASS >= 64 and attention.OUTPUTS >= 4096
     assert (1 - 0.8**linededup.BAND) ** (linededup.SLOTS // linededup.BAND) < 0.006
 
 

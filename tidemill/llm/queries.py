@@ -6,9 +6,9 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import bpe, decontam, html, langid, linededup, lm, quality, simhash, syncmers, toxicity
-from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,15 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def byte_vocabulary_path() -> str:
+    """The public byte-level vocabulary for many languages; TIDEMILL_BYTE_BPE names another file."""
+    if path := os.environ.get("TIDEMILL_BYTE_BPE"):
+        return path
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
 def op1_decontam_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -54,7 +63,7 @@ def op7_language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.score(_table(spark, sf_dir, "documents"), vocabulary_path())
+    return lm.score(_table(spark, sf_dir, "documents"), byte_vocabulary_path())
 
 
 def op9_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
