@@ -1,14 +1,11 @@
 import datetime as dt
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import functions as F
 
-from tidemill.config import ForecastConfig
 from tidemill.functions import scalars as sc
-from tidemill.operators import daily, evaluate, features, models
-from tidemill.operators.elastic_net import cross_validated, fit, path, standardise
-from tidemill.plans import forecast as plan
+from tidemill.operators import daily, evaluate, features
+from tidemill.operators.elastic_net import cross_validated, fit_at, standardise
 
 
 def test_noon_edges(spark):
@@ -57,7 +54,7 @@ def test_solver_optimality():
     x, y = sample()
     rho = 0.5
     for alpha in (0.01, 0.1, 0.5):
-        b, a0 = fit(x, y, alpha, rho)
+        ((b, a0),) = fit_at([(x, y)], np.array([alpha]), rho)
         g = x.T @ (y - x @ b - a0) / len(y) - alpha * (1 - rho) * b
         on = b != 0
         assert np.allclose(g[on], alpha * rho * np.sign(b[on]), atol=1e-3) and (np.abs(g[~on]) <= alpha * rho + 1e-3).all()
@@ -65,40 +62,39 @@ def test_solver_optimality():
 
 def test_solver_limits():
     x, y = sample()
-    free, a0 = fit(x, y, 0.3, 0.5, np.zeros(12, bool))
+    ((free, a0),) = fit_at([(x, y)], np.array([0.3]), 0.5, np.zeros(12, bool))
     exact = np.linalg.lstsq(np.c_[x, np.ones(len(y))], y, rcond=None)[0]
     assert np.allclose(free, exact[:-1], atol=1e-2) and np.isclose(a0, exact[-1], atol=1e-2)
-    assert not fit(x, y, 1e3)[0].any()
-    ridge = path(x, y, np.array([0.2]), 1e-9, tol=1e-9)[0][0]
+    assert not fit_at([(x, y)], np.array([1e3]), 0.5)[0][0].any()
+    ridge = fit_at([(x, y)], np.array([0.2]), 1e-9, tol=1e-9)[0][0]
     n = len(y)
     assert np.allclose(ridge, np.linalg.solve(x.T @ x / n + 0.2 * np.eye(12), x.T @ (y - y.mean()) / n), atol=1e-5)
-    assert cross_validated(x, y, n_alphas=20) > 0
+    assert cross_validated([(x, y)], 0.5, 5, 20)[0] > 0
 
 
-def days(spark, n=130, change=None):
-    start = dt.date(2020, 1, 1)
-    y = 2 + np.sin(np.arange(n) / 5) + np.random.default_rng(0).standard_normal(n) / 10
-    if change:
-        y[change:] += 5
-    return spark.createDataFrame(pd.DataFrame({"series": "a", "d": [start + dt.timedelta(days=i) for i in range(n)], "y": y}), "series string, d date, y double")
+def test_mixed_times(spark):
+    from tidemill.sources.readers import mixed_time
 
+    texts = ["2024-01-02 10:00:05", "01/10/2023 00:05", "2 Jan 2024 10:00", "25/12/2023 07:30", "2024/3/4 5:06", "nonsense", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", mixed_time(F.col("t")).alias("ts"), mixed_time(F.col("t"), True).alias("day"))
+    got = rows.orderBy("i").collect()
+    assert [str(r.ts) for r in got] == ["2024-01-02 10:00:05", "2023-01-10 00:05:00", "2024-01-02 10:00:00", "2023-12-25 07:30:00", "2024-03-04 05:06:00", "None", "None"]
+    assert str(got[1].day) == "2023-10-01 00:05:00"
 
-def test_label_lag_reads_nothing_later(spark):
-    cfg = ForecastConfig(cap=None, n_alphas=10, horizon=2, train_window=60, label_lag=3, origin_start="2020-04-10", origin_end="2020-04-10")
-    a, b = plan.matrix(days(spark)), plan.matrix(days(spark))
-    late = F.col("d") > F.lit("2020-04-07").cast("date")
-    b = b.withColumn("y", F.when(late, F.col("y") + 9).otherwise(F.col("y")))
-    pa, pb = ({r.horizon: r.predicted for r in models.rolling_forecast(m, cfg).collect()} for m in (a, b))
-    assert len(pa) == 2 and all(abs(pa[h] - pb[h]) < 1e-9 for h in pa)
 
+def test_readers_and_writers(spark, tmp_path):
+    from tidemill.sources import readers, writers
 
-def test_selection_and_ensemble(spark):
-    cfg = ForecastConfig(cap=None, n_alphas=10, horizon=3, train_window=60, selection_window=60, stride=30, rolling_only=1)
-    m = plan.matrix(days(spark))
-    counts = models.selection_counts(m, plan.NAMES, cfg).collect()
-    assert counts and all(0 < r.n_selected <= r.total_slots for r in counts)
-    out = plan.forecast(days(spark), cfg, every=20).collect()
-    assert out and all(np.isfinite(r.predicted) for r in out)
+    assert readers.other_errors(spark, f"{tmp_path}/none.parquet") is None and readers.forecast_weather(spark, [f"{tmp_path}/none.parquet"]) is None
+    for i, hours in enumerate(((1, 2), (2, 3))):  # the second hour is in both chunks
+        rows = [(dt.datetime(2024, 1, 1, h), 1, float(h), None, None, 5.0) for h in hours]
+        spark.createDataFrame(rows, readers.HOURLY).write.parquet(f"{tmp_path}/c{i}.parquet")
+    r = readers.forecast_weather(spark, [f"{tmp_path}/c0.parquet", f"{tmp_path}/c1.parquet"]).first()
+    assert (r.t_mean, r.t_min, r.rain, r.snow, r.wind) == (2.0, 1.0, 0.0, 0.0, 5.0)
+    w = "date,temperature_2m_mean,temperature_2m_min,rain_sum,snowfall_sum,wind_speed_10m_max\n2024-01-01,1,2,3,4,5\n"
+    (tmp_path / "w.csv").write_text(w)
+    assert readers.weather(spark, f"{tmp_path}/w.csv").first().rain_sum == 3.0
+    assert [writers.model_name("basic", 90), writers.model_name("global", weather=False), writers.model_name("partial", 70, False, True)] == ["basic_w90", "nwx_global", "nwx_partial_esmooth_w70"]
 
 
 def test_streaming_noon(spark, tmp_path):

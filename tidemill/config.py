@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 
 @dataclass(frozen=True)
@@ -27,3 +27,6 @@ class ForecastConfig:
     rolling_only: int = 5
     origin_start: str | None = None
     origin_end: str | None = None
+
+    def with_(self, **changes) -> ForecastConfig:
+        return replace(self, **changes)

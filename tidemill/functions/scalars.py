@@ -69,22 +69,33 @@ def skew_transform(value: Column, skew: Column, low: Column) -> Column:
     )
 
 
-def weather_terms(t_mean: Column, t_min: Column, rain: Column, snow: Column, wind: Column, cold: float = 5, hot: float = 25, rain_cap: float = 25, wind_cap: float = 42, heavy: float = 20) -> list[Column]:
+def weather_terms(
+    t_mean: Column, t_min: Column, rain: Column, snow: Column, wind: Column, cold: float = 10, colder: float = 5, hot: float = 25, rain_cap: float = 25, wind_cap: float = 42, heavy: float = 20
+) -> list[Column]:
     """Derived daily weather; comparisons with missing values are 0."""
     flag = lambda c: F.coalesce(c.cast("double"), F.lit(0.0))
-    coldness = clip(F.lit(cold) - t_mean, 0.0)
     return [
-        coldness.alias("wx_coldness"),
+        clip(F.lit(cold) - t_mean, 0.0).alias("wx_coldness"),
         clip(t_mean - F.lit(hot), 0.0).alias("wx_hotness"),
-        (coldness * coldness).alias("wx_coldness2"),
+        clip(F.lit(colder) - t_mean, 0.0).alias("wx_coldness2"),
         flag(t_min < 0).alias("wx_below_freezing"),
         clip(rain, None, rain_cap).alias("wx_rain_sum"),
-        flag(rain >= heavy).alias("wx_heavy_rain"),
-        clip(snow, 0.0).alias("wx_snowfall_sum"),
+        flag(rain > heavy).alias("wx_heavy_rain"),
+        no_nan(snow).alias("wx_snowfall_sum"),
         clip(wind, None, wind_cap).alias("wx_wind_max"),
     ]
 
 
+def residual_terms(t_mean: Column, cold: float = 10, colder: float = 5, hot: float = 10, hotter: float = 25) -> list[Column]:
+    """The residual analysis' own temperature terms: two kinks on either side."""
+    return [
+        clip(F.lit(cold) - t_mean, 0.0).alias("wx_coldness"),
+        clip(t_mean - F.lit(hot), 0.0).alias("wx_hotness"),
+        clip(F.lit(colder) - t_mean, 0.0).alias("wx_coldness2"),
+        clip(t_mean - F.lit(hotter), 0.0).alias("wx_hotness2"),
+    ]
+
+
 def dot(values: Column, weights: Column, intercept: Column) -> Column:
     """Inner product of two arrays plus an intercept."""
     return F.aggregate(F.zip_with(values, weights, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x) + intercept

@@ -1,163 +1,172 @@
 """Elastic net in numpy, for the many small fits that run inside grouped tasks.
 
 Objective: 1/(2n) |y - Xb|^2 + a*rho*|b|_1 + a*(1-rho)/2*|b|^2, intercept by centring. Columns outside the penalty mask
-are unpenalised and fitted by least squares. All paths work on the Gram matrix, by cyclic coordinate descent with warm starts.
+are unpenalised and fitted by least squares. All paths work on Gram matrices with warm starts, for many problems of
+equally many columns at once: a few sweeps of cyclic coordinate descent find the signs, then the linear equations of
+the columns in use are solved and the solution is followed until the first sign would change. Only columns in use in
+one of the problems, or that ought to be by its optimality conditions, take part, and a problem that meets its
+conditions rests.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
+#: Bytes of Gram matrices worked on at once.
+GRAM_BYTES = 64 << 20
+#: Optimality conditions are met up to this share of the largest product of a column with y.
+TOL = 1e-6
+SWEEPS, ROUNDS = 4, 200
+
 
 def standardise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Columns to mean 0 and population deviation 1 (a constant column is only centred)."""
     mean, scale = x.mean(axis=0), x.std(axis=0)
-    scale = np.where(scale > 0, scale, 1.0)
+    scale = np.where(scale > 1e-12 * np.maximum(1, np.abs(mean)), scale, 1.0)
     return (x - mean) / scale, mean, scale
 
 
-def alpha_grid(x: np.ndarray, y: np.ndarray, rho: float, n: int, mask: np.ndarray) -> np.ndarray:
-    """n penalties, log-spaced from the smallest that zeroes all penalised columns down to a thousandth of it."""
-    yc = y - y.mean()
-    if not mask.all():  # what the unpenalised columns explain is no concern of the penalty
-        free = x[:, ~mask] - x[:, ~mask].mean(axis=0)
-        yc = yc - free @ np.linalg.lstsq(free, yc, rcond=None)[0]
-    top = np.abs((x[:, mask] - x[:, mask].mean(axis=0)).T @ yc).max(initial=0.0) / (len(y) * rho)
-    return np.logspace(np.log10(max(top, 1e-12)), np.log10(max(top, 1e-12) * 1e-3), n)
-
-
-def _descend(gram: np.ndarray, xy: np.ndarray, b: np.ndarray, l1: np.ndarray, l2: np.ndarray, tol: float, rounds: int) -> np.ndarray:
-    diagonal = np.maximum(gram.diagonal() + l2, 1e-12)
-    own = gram.diagonal()
-    residual = xy - gram @ b
-    everything = np.arange(len(b))
-    for _ in range(rounds):
-        worst = 0.0
-        for j in everything:
-            old = b[j]
-            z = residual[j] + own[j] * old
-            new = np.sign(z) * max(abs(z) - l1[j], 0.0) / diagonal[j]
-            if new != old:
-                residual -= gram[j] * (new - old)
-                b[j] = new
-                worst = max(worst, abs(new - old) * diagonal[j] ** 0.5)
-        if worst < tol:
-            break
-    return b
-
-
-def path(x: np.ndarray, y: np.ndarray, alphas: np.ndarray, rho: float, mask: np.ndarray | None = None, tol: float = 1e-5, rounds: int = 1000) -> tuple[np.ndarray, np.ndarray]:
-    """Coefficients (alphas, columns) and intercepts, each penalty started from the one before."""
-    n, p = x.shape
-    mask = np.ones(p, bool) if mask is None else mask
-    xm, ym = x.mean(axis=0), y.mean()
-    free, pen, yc = x[:, ~mask] - xm[~mask], x[:, mask] - xm[mask], y - ym
-    # The unpenalised columns are profiled out: what is left of the others and of y beside them is fitted first.
-    both = np.c_[pen, yc]
-    left = both - free @ np.linalg.lstsq(free, both, rcond=None)[0] if free.shape[1] else both
-    gram, xy = left[:, :-1].T @ left[:, :-1] / n, left[:, :-1].T @ left[:, -1] / n
-    b, out = np.zeros(pen.shape[1]), np.zeros((len(alphas), p))
-    limit = tol * max(np.std(y), 1e-12)
-    for i, a in enumerate(alphas):
-        b = _descend(gram, xy, b.copy(), np.full(len(b), a * rho), np.full(len(b), a * (1 - rho)), limit, rounds)
-        out[i, mask] = b
-    if free.shape[1]:
-        out[:, ~mask] = np.linalg.lstsq(free, yc[:, None] - pen @ out[:, mask].T, rcond=None)[0].T
-    return out, ym - out @ xm
-
-
-def cross_validated(x: np.ndarray, y: np.ndarray, rho: float = 0.5, folds: int = 5, n_alphas: int = 100, mask: np.ndarray | None = None) -> float:
-    """The penalty of least mean error over contiguous folds."""
-    mask = np.ones(x.shape[1], bool) if mask is None else mask
-    alphas = alpha_grid(x, y, rho, n_alphas, mask)
-    edges = np.linspace(0, len(y), folds + 1).astype(int)
-    errors = np.zeros(len(alphas))
-    for a, b in zip(edges, edges[1:]):
-        test = np.zeros(len(y), bool)
-        test[a:b] = True
-        coef, intercept = path(x[~test], y[~test], alphas, rho, mask, tol=1e-3, rounds=100)
-        errors += ((y[test][:, None] - x[test] @ coef.T - intercept) ** 2).mean(axis=0)
-    return float(alphas[errors.argmin()])
+def alpha_grid(x: np.ndarray, y: np.ndarray, rho: float, n: int, mask: np.ndarray | None = None) -> np.ndarray:
+    """n penalties, log-spaced from the smallest that zeroes all penalised columns (by themselves) to a thousandth of it."""
+    pen = x if mask is None else x[:, mask]
+    top = max(np.abs((pen - pen.mean(axis=0)).T @ (y - y.mean())).max(initial=0.0) / (len(y) * rho), 1e-12)
+    return np.logspace(np.log10(top), np.log10(top * 1e-3), n)
 
 
-def fit(x: np.ndarray, y: np.ndarray, alpha: float, rho: float = 0.5, mask: np.ndarray | None = None) -> tuple[np.ndarray, float]:
-    """Coefficients and intercept at one penalty, by the path down to it."""
-    mask = np.ones(x.shape[1], bool) if mask is None else mask
-    grid = alpha_grid(x, y, rho, 30, mask)
-    coef, intercept = path(x, y, np.append(grid[grid > alpha], alpha), rho, mask)
-    return coef[-1], float(intercept[-1])
+def fold_edges(n: int, folds: int) -> np.ndarray:
+    """Borders of contiguous folds; where n doesn't divide, the first folds are one longer."""
+    return np.concatenate([[0], np.cumsum([n // folds + (i < n % folds) for i in range(folds)])])
 
 
-def _descend_many(gram: np.ndarray, xy: np.ndarray, b: np.ndarray, l1: np.ndarray, l2: np.ndarray, tol: np.ndarray, rounds: int, active: np.ndarray) -> None:
-    """_descend for many problems at once, in place; gram (p, p, problems), xy and b (p, problems). Each stops by itself."""
-    at = np.flatnonzero(active)
-    g, c = gram[:, :, at], b[:, at]
-    residual = xy[:, at] - np.einsum("ijm,jm->im", g, c)
-    a1, a2, limit = l1[at], l2[at], tol[at]
-    for _ in range(rounds):
-        if not len(at):
+def _descend(gram: np.ndarray, xy: np.ndarray, residual: np.ndarray, b: np.ndarray, l1: np.ndarray, l2: np.ndarray, slack: np.ndarray) -> None:
+    """Minimises in place: gram (problems, p, p); xy, residual = xy - gram b, and b (problems, p); the rest by problem."""
+    l1, l2, slack = l1[:, None], l2[:, None], slack[:, None]
+    for _ in range(ROUNDS):
+        on = b != 0
+        off = np.where(on, np.abs(residual - l2 * b - l1 * np.sign(b)), np.abs(residual) - l1) > slack
+        go = np.flatnonzero(off.any(axis=1))
+        if not len(go):
             return
-        worst = np.zeros(len(at))
-        for j in range(len(c)):
-            old, own = c[j].copy(), g[j, j]
-            diagonal = np.maximum(own + a2, 1e-12)
-            z = residual[j] + own * old
-            new = np.sign(z) * np.maximum(np.abs(z) - a1, 0.0) / diagonal
-            change = new - old
-            residual -= g[j] * change
-            c[j] = new
-            np.maximum(worst, np.abs(change) * np.sqrt(diagonal), out=worst)
-        go = worst >= limit
-        if not go.all():
-            b[:, at] = c
-            at, g, c, residual, a1, a2, limit = at[go], g[:, :, go], c[:, go], residual[:, go], a1[go], a2[go], limit[go]
-    b[:, at] = c
-
-
-def fit_many(xs: list[np.ndarray], ys: list[np.ndarray], rho: float, folds: int, n_alphas: int) -> list[tuple[np.ndarray, float, float]]:
-    """(coefficients, intercept, penalty) of each problem, all columns penalised: standardise, cross_validated and fit
-    for many problems of equally many columns at once. Constant columns get 0."""
-    m, p = len(xs), xs[0].shape[1]
-    scaled = [standardise(x) for x in xs]
-    zs = [np.where(x.std(axis=0) > 0, z, 0.0) for x, (z, _, _) in zip(xs, scaled)]
-    grid = [alpha_grid(z, y, rho, n_alphas, np.ones(p, bool)) for z, y in zip(zs, ys)]
-    alphas = np.array(grid).T
-
-    def sums(parts: list[tuple[np.ndarray, np.ndarray]]):
-        gram, xy = np.empty((p, p, len(parts))), np.empty((p, len(parts)))
-        for i, (z, y) in enumerate(parts):
-            c = z - z.mean(axis=0)
-            gram[:, :, i], xy[:, i] = c.T @ c / len(y), c.T @ (y - y.mean()) / len(y)
-        return gram, xy, np.array([max(np.std(y), 1e-12) for _, y in parts])
-
-    errors = np.zeros((m, n_alphas))
-    edges = [np.linspace(0, len(y), folds + 1).astype(int) for y in ys]
+        use = np.flatnonzero((on | off)[go].any(axis=0))
+        g = gram[np.ix_(go, use, use)]
+        x, c, r, a1, a2 = b[np.ix_(go, use)], xy[np.ix_(go, use)], residual[np.ix_(go, use)], l1[go, 0], l2[go, 0]
+        own = np.einsum("mii->mi", g)
+        for _ in range(SWEEPS):
+            for j in range(len(use)):
+                old = x[:, j].copy()
+                z = r[:, j] + own[:, j] * old
+                x[:, j] = np.sign(z) * np.maximum(np.abs(z) - a1, 0.0) / np.maximum(own[:, j] + a2, 1e-12)
+                r -= g[:, j] * (x[:, j] - old)[:, None]
+        sign = np.sign(x)
+        on = sign != 0
+        equations = g * (on[:, :, None] & on[:, None, :])
+        np.einsum("mii->mi", equations)[...] += np.where(on, a2[:, None] + 1e-10, 1.0)
+        aim = np.linalg.solve(equations, np.where(on, c - a1[:, None] * sign, 0.0)[:, :, None])[:, :, 0]
+        turns = on & (aim * sign <= 0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            reach = np.where(turns, x / (x - aim), np.inf)
+        step = np.minimum(reach.min(axis=1, initial=np.inf), 1.0)[:, None]
+        x += step * (aim - x)
+        x[turns & (reach <= step)] = 0.0
+        b[np.ix_(go, use)] = x
+        residual[go] = xy[go] - np.einsum("mpu,mu->mp", gram[np.ix_(go, np.arange(gram.shape[1]), use)], x, optimize=True)
+
+
+def _sums(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Gram matrices (parts, p, p) and products with y (parts, p), all centred."""
+    p = parts[0][0].shape[1]
+    gram, xy = np.empty((len(parts), p, p)), np.empty((len(parts), p))
+    for i, (x, y) in enumerate(parts):
+        c = x - x.mean(axis=0)
+        gram[i], xy[i] = c.T @ c / len(y), c.T @ (y - y.mean()) / len(y)
+    return gram, xy
+
+
+def _path_many(parts: list[tuple[np.ndarray, np.ndarray]], alphas: np.ndarray, rho: float, tol: float) -> np.ndarray:
+    """Coefficients (alphas, p, parts) of centred problems for penalties (alphas, parts), each started from the one before."""
+    p = parts[0][0].shape[1]
+    out = np.empty((len(alphas), p, len(parts)))
+    some = max(1, GRAM_BYTES // (8 * p * p))
+    for at in range(0, len(parts), some):
+        gram, xy = _sums(parts[at : at + some])
+        residual, b = xy.copy(), np.zeros_like(xy)
+        slack = tol * np.maximum(np.abs(xy).max(axis=1, initial=0.0), 1e-12)
+        for i, a in enumerate(alphas[:, at : at + some]):
+            _descend(gram, xy, residual, b, a * rho, a * (1 - rho), slack)
+            out[i, :, at : at + some] = b.T
+    return out
+
+
+def cross_validated(problems: list[tuple[np.ndarray, np.ndarray]], rho: float, folds: int, n_alphas: int, tol: float = 1e-3) -> np.ndarray:
+    """The penalty of least mean error over contiguous folds, of each (x, y); all columns penalised, x standardised."""
+    m = len(problems)
+    alphas = np.array([alpha_grid(x, y, rho, n_alphas) for x, y in problems]).T
     train, test = [], []
     for f in range(folds):
-        for z, y, e in zip(zs, ys, edges):
+        for x, y in problems:
+            edges = fold_edges(len(y), folds)
             out = np.zeros(len(y), bool)
-            out[e[f] : e[f + 1]] = True
-            train.append((z[~out], y[~out]))
-            test.append((z[out], y[out]))
-    gram, xy, sd = sums(train)
-    b, every, path_of = np.zeros((p, m * folds)), np.ones(m * folds, bool), np.empty((n_alphas, p, m * folds))
-    for i in range(n_alphas):
-        a = np.tile(alphas[i], folds)
-        _descend_many(gram, xy, b, a * rho, a * (1 - rho), 1e-3 * sd, 100, every)
-        path_of[i] = b
-    for k, ((z, y), (zt, yt)) in enumerate(zip(train, test)):
-        coef = path_of[:, :, k]
-        intercept = y.mean() - coef @ z.mean(axis=0)
-        errors[k % m] += ((yt[:, None] - zt @ coef.T - intercept) ** 2).mean(axis=0)
-    best = alphas[errors.argmin(axis=1), np.arange(m)]
-    gram, xy, sd = sums(list(zip(zs, ys)))
-    b = np.zeros((p, m))
-    down = np.array([alpha_grid(z, y, rho, 30, np.ones(p, bool)) for z, y in zip(zs, ys)]).T
-    for a in down:
-        _descend_many(gram, xy, b, a * rho, a * (1 - rho), 1e-5 * sd, 1000, a > best)
-    _descend_many(gram, xy, b, best * rho, best * (1 - rho), 1e-5 * sd, 1000, np.ones(m, bool))
+            out[edges[f] : edges[f + 1]] = True
+            train.append((x[~out], y[~out]))
+            test.append((x[out], y[out]))
+    coef = _path_many(train, np.tile(alphas, folds), rho, tol)
+    errors = np.zeros((n_alphas, m))
+    for k, ((x, y), (xt, yt)) in enumerate(zip(train, test)):
+        b = coef[:, :, k]
+        intercept = y.mean() - b @ x.mean(axis=0)
+        errors[:, k % m] += ((yt[:, None] - xt @ b.T - intercept) ** 2).mean(axis=0)
+    return alphas[errors.argmin(axis=0), np.arange(m)]
+
+
+def fit_at(problems: list[tuple[np.ndarray, np.ndarray]], alphas: np.ndarray, rho: float, mask: np.ndarray | None = None, tol: float = TOL) -> list[tuple[np.ndarray, float]]:
+    """(coefficients, intercept) of each (x, y) at its penalty, by a path down to it."""
+    free = np.zeros(problems[0][0].shape[1], bool) if mask is None else ~mask
+    left = []
+    for x, y in problems:  # the unpenalised columns are profiled out of the others and of y
+        pen, yc = x[:, ~free] - x[:, ~free].mean(axis=0), y - y.mean()
+        if free.any():
+            f = x[:, free] - x[:, free].mean(axis=0)
+            both = np.c_[pen, yc]
+            both = both - f @ np.linalg.lstsq(f, both, rcond=None)[0]
+            pen, yc = both[:, :-1], both[:, -1]
+        left.append((pen, yc))
+    down = np.array([np.maximum(alpha_grid(x, y, rho, 30), a) for (x, y), a in zip(left, alphas)]).T
+    coef = _path_many(left, np.concatenate([down, [alphas]]), rho, tol)[-1] if left[0][0].shape[1] else np.zeros((0, len(left)))
+    out = []
+    for i, (x, y) in enumerate(problems):
+        b = np.zeros(x.shape[1])
+        b[~free] = coef[:, i]
+        if free.any():
+            f = x[:, free] - x[:, free].mean(axis=0)
+            b[free] = np.linalg.lstsq(f, y - y.mean() - (x[:, ~free] - x[:, ~free].mean(axis=0)) @ coef[:, i], rcond=None)[0]
+        out.append((b, float(y.mean() - x.mean(axis=0) @ b)))
+    return out
+
+
+def partial_cross_validated(x: np.ndarray, y: np.ndarray, mask: np.ndarray, rho: float = 0.5, folds: int = 5, n_alphas: int = 50) -> float:
+    """The penalty of least mean error for a partially penalised model; folds of n // folds rows, the last takes the rest."""
+    alphas = alpha_grid(x, y, rho, n_alphas, mask)
+    edges = [*(i * (len(y) // folds) for i in range(folds)), len(y)]
+    errors = np.zeros(n_alphas)
+    for a, b in zip(edges, edges[1:]):
+        out = np.zeros(len(y), bool)
+        out[a:b] = True
+        fits = fit_at([(x[~out], y[~out])] * n_alphas, alphas, rho, mask)
+        errors += [((y[out] - x[out] @ c - i) ** 2).mean() for c, i in fits]
+    return float(alphas[errors.argmin()])
+
+
+def fit_many(xs: list[np.ndarray], ys: list[np.ndarray], rho: float, folds: int, n_alphas: int, mask: np.ndarray | None = None) -> list[tuple[np.ndarray, float, float, np.ndarray]]:
+    """(coefficients, intercept, penalty, coefficients of standardised columns) of each problem.
+
+    Columns are standardised, the penalty is that of the fully penalised model by cross-validation, and the fit at it
+    leaves the columns outside ``mask`` unpenalised. Constant columns get 0.
+    """
+    scaled = [standardise(x) for x in xs]
+    problems = [(np.where(x.std(axis=0) > 1e-12 * np.maximum(1, np.abs(mean)), z, 0.0), y) for x, (z, mean, _), y in zip(xs, scaled, ys)]
+    best = cross_validated(problems, rho, folds, n_alphas)
     out = []
-    for i, (y, (_, mean, scale)) in enumerate(zip(ys, scaled)):
-        coef = b[:, i] / scale
-        out.append((coef, float(y.mean() - coef @ mean), float(best[i])))
+    for (b, _), a, (_, mean, scale), y in zip(fit_at(problems, best, rho, mask), best, scaled, ys):
+        coef = b / scale
+        out.append((coef, float(y.mean() - coef @ mean), float(a), b))
     return out

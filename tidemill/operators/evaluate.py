@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+
 def square() -> Column:
     return F.pow(F.col("actual") - F.col("predicted"), 2)
 
@@ -26,6 +30,69 @@ def horizon_by_window(detail: DataFrame, windows: list[int]) -> DataFrame:
     return out.withColumnsRenamed({str(w): f"w{w}" for w in windows})
 
 
+def since(rows: DataFrame, start: str, inclusive: bool = True) -> DataFrame:
+    """rows whose origin is on or after a day, or after it: the holdout."""
+    day = F.lit(start).cast("date")
+    return rows.where(F.col("origin_date") >= day if inclusive else F.col("origin_date") > day)
+
+
+def compare(bands: DataFrame, other: DataFrame | None, name: str = "own", other_name: str = "other") -> DataFrame:
+    """Mean and median errors of two models over the origins that both have, a row each; of one where the other isn't there."""
+    if other is None:
+        return overall(bands).withColumn("model", F.lit(name))
+    mine, theirs = (a.join(b.select("origin_date").distinct(), "origin_date", "left_semi") for a, b in ((bands, other), (other, bands)))
+    return overall(mine).withColumn("model", F.lit(name)).unionByName(overall(theirs).withColumn("model", F.lit(other_name)))
+
+
+def with_weather(detail: DataFrame, weather: DataFrame) -> DataFrame:
+    """detail with the weather (date, ...) of its forecast date and the residual."""
+    w = weather.withColumnRenamed("date", "_date")
+    return detail.join(w, detail.forecast_date == w["_date"], "left").drop("_date").withColumn("residual", F.col("actual") - F.col("predicted"))
+
+
+def nonzero_per_window(coefficients: DataFrame, *keys: str) -> DataFrame:
+    """Weights that aren't 0 for each forecast, on average."""
+    return coefficients.groupBy(*keys).agg((F.count("*") / F.countDistinct("forecast_id")).alias("per_window"))
+
+
+def by_magnitude(table: DataFrame) -> DataFrame:
+    """A coefficient table with ``rank``, the largest mean magnitude first, and in that order; one row a predictor."""
+    order = Window.orderBy(F.desc("mean_abs"), "predictor")
+    return table.withColumn("rank", F.row_number().over(order)).orderBy("rank")
+
+
+def t_probability(t: float, df: float) -> float:
+    """The two-sided probability of a t as large, by the incomplete beta function's continued fraction."""
+    if t is None or df <= 0 or math.isnan(t):
+        return math.nan
+    x = df / (df + t * t)
+    return _incomplete_beta(df / 2, 0.5, x)
+
+
+def _incomplete_beta(a: float, b: float, x: float) -> float:
+    if x <= 0 or x >= 1:
+        return 0.0 if x <= 0 else 1.0
+    if x > (a + 1) / (a + b + 2):
+        return 1 - _incomplete_beta(b, a, 1 - x)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log(1 - x)) / a
+    tiny, c, d = 1e-300, 1.0, 1 / max(abs(1 - (a + b) * x / (a + 1)), 1e-300)
+    out = d
+    for m in range(1, 300):
+        for n in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 / (1 + n * d or tiny)
+            c = 1 + n / c or tiny
+            out *= c * d
+        if abs(c * d - 1) < 1e-14:
+            break
+    return front * out
+
+
+def significance(correlated: DataFrame, level: float = 0.05) -> DataFrame:
+    """rows of ``correlations`` with p (two-sided) and whether it is under ``level``; a row a variable."""
+    p = F.pandas_udf(lambda t, n: pd.Series([t_probability(a, b - 2) for a, b in zip(t, n)]), "double")
+    return correlated.withColumn("p", p("t", "n")).withColumn("significant", F.col("p") < level)
+
+
 def forecast_ids(detail: DataFrame) -> DataFrame:
     """1-based forecast_id over origins by date; the origins are a short list beside the detail."""
     ids = detail.select("origin_date").distinct().withColumn("forecast_id", F.row_number().over(Window.orderBy("origin_date")))

@@ -51,10 +51,11 @@ def trailing_floor(df: DataFrame, value: str, *keys: str, lookback: int = 90, q:
     return df.withColumn("floor", F.expr(f"percentile({value}, {q})").over(w))
 
 
-def targets_ahead(df: DataFrame, value: str, *keys: str, horizon: int = 10, order: str = "row_idx") -> DataFrame:
-    """One row for each row and horizon whose target row exists: h, target, target_date."""
+def targets_ahead(df: DataFrame, value: str, *keys: str, horizon: int = 10, order: str = "row_idx", others: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each row and horizon whose target row exists: h, target, target_date, and target_x of each x of others."""
     base = Window.partitionBy(*keys).orderBy(order)
-    ahead = [F.struct(F.lit(h).alias("h"), F.lead(value, h).over(base).alias("target"), F.lead("d", h).over(base).alias("target_date")) for h in range(1, horizon + 1)]
+    taken = {"target": value, "target_date": "d", **{f"target_{c}": c for c in others}}
+    ahead = [F.struct(F.lit(h).alias("h"), *(F.lead(c, h).over(base).alias(n) for n, c in taken.items())) for h in range(1, horizon + 1)]
     rows = df.select("*", F.array(*ahead).alias("_ahead"))
     return rows.select(*df.columns, F.inline("_ahead")).where("target_date is not null")
 
@@ -78,9 +79,43 @@ def skew_corrected(daily: DataFrame, *keys: str, value: str = "value") -> DataFr
     return daily.join(stats, list(keys)).withColumn(value, skew_transform(F.col(value), F.col("skew"), F.col("low")))
 
 
-def as_vectors(daily: DataFrame, dictionary: DataFrame, *keys: str) -> DataFrame:
-    """(keys, d, features array<double>) in the dictionary's order; days that lack a feature are left out."""
-    n = dictionary.count()
-    rows = daily.join(dictionary.select("metric", "ordinal"), "metric").where("value is not null")
+def predictors(names: DataFrame, calendar: list[str]) -> DataFrame:
+    """The feature dictionary (series, ordinal, predictor, metric, kind, col_key, base, variant, penalised).
+
+    names: (series, ordinal, col_key, feature) of ``daily.feature_names``. First come the features, then their rolling
+    terms, two each, then the target's own lags; calendar columns have ordinals of their own. base is the ordinal of
+    the feature that a term is made of (-1 for the target's), variant what it is, and only kind "op" is penalised.
+    """
+    each = Window.partitionBy("series")
+    base = names.select("series", "col_key", "feature", F.col("ordinal").alias("base"), F.count("*").over(each).alias("n"), F.substring_index("col_key", "|", 1).alias("metric"))
+
+    def term(ordinal: Column, predictor: Column, metric: Column, key: Column, of: Column, variant: str, kind: str = "op") -> Column:
+        fields = {"ordinal": ordinal.cast("int"), "predictor": predictor, "metric": metric, "kind": F.lit(kind), "col_key": key.cast("string"), "base": of.cast("int"), "variant": F.lit(variant)}
+        return F.struct(*(c.alias(name) for name, c in fields.items()))
+
+    own = [F.col(c) for c in ("metric", "col_key", "base")]
+    terms = [
+        term(F.col("base"), F.col("feature"), *own, "value"),
+        term(F.col("n") + 2 * F.col("base"), F.concat("feature", F.lit("_roll_mean7")), *own, "roll_mean7"),
+        term(F.col("n") + 2 * F.col("base") + 1, F.concat("feature", F.lit("_roll_sd7")), *own, "roll_sd7"),
+    ]
+    none = [F.lit(None), F.lit(-1)]
+    once = [term(3 * F.col("n") + i, F.lit(name), F.lit("target"), *none, name) for i, name in enumerate(("lag3", "mean7_3"))]
+    once += [term(F.lit(i), F.lit(name), F.lit(name), *none, name, "weather" if name.startswith("wx_") else "calendar") for i, name in enumerate(calendar)]
+    # What a series has once stands beside its first feature.
+    rows = base.select("series", F.inline(F.when(F.col("base") == 0, F.array(*terms, *once)).otherwise(F.array(*terms))))
+    return rows.withColumn("penalised", F.col("kind") == "op")
+
+
+def complete_days(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows (keys, d, ordinal, value) of the days that have every predictor; one without any value is no predictor."""
+    used = rows.groupBy(*keys, "ordinal").agg(F.count("value").alias("_k")).where("_k > 0").groupBy(*keys).agg(F.count("*").alias("_n"))
+    have = rows.where("value is not null")
+    full = have.groupBy(*keys, "d").agg(F.count("*").alias("_m")).join(used, list(keys)).where("_m = _n").select(*keys, "d")
+    return have.join(full, [*keys, "d"], "left_semi")
+
+
+def as_vectors(rows: DataFrame, *keys: str) -> DataFrame:
+    """(keys, d, features array<double>) of rows (keys, d, ordinal, value), in the order of the ordinals."""
     out = rows.groupBy(*keys, "d").agg(F.array_sort(F.collect_list(F.struct("ordinal", "value"))).alias("x"))
-    return out.where(F.size("x") == n).select(*keys, "d", F.col("x.value").alias("features"))
+    return out.select(*keys, "d", F.col("x.value").alias("features"))

@@ -1,6 +1,8 @@
 """Fits over many (series, origin, horizon) groups: rolling and global models, selection, ensemble.
 
-The relational part builds one row of arrays for each fit's window; the fits run as grouped Python workers.
+A matrix is (series, d, row_idx, y, op, cal): ``op`` is known at the row, ``cal`` (calendar) in advance, so models take
+``op`` at row t and ``cal`` at the target's row t + h. A group of work is a block of consecutive origins of a series
+with the rows their windows need, so a row is copied a few times however many origins and horizons use it.
 """
 
 from __future__ import annotations
@@ -11,159 +13,187 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import ForecastConfig
-from .elastic_net import cross_validated, fit, fit_many, standardise
+from ..functions.scalars import clip
+from .elastic_net import cross_validated, fit_at, fit_many, standardise
+from .features import trailing_floor
 
-DETAIL = "series string, origin_date date, horizon int, forecast_date date, actual double, predicted double"
+DETAIL = "series string, train_win int, origin_date date, horizon int, forecast_date date, actual double, predicted double, floor double, alpha double, coef array<double>"
+#: Origins of a block, and origins whose fits run at once.
+BLOCK, AT_ONCE = 64, 16
 
 
-def origin_windows(matrix: DataFrame, cfg: ForecastConfig, every: int = 1) -> DataFrame:
-    """matrix (series, d, row_idx, y, features) to one row for each origin: its window and what lies ahead.
+def _blocks(rows: DataFrame, before: int, after: int, size: int) -> DataFrame:
+    """rows with ``block``: each block's ``size`` rows, ``before`` rows before and ``after`` behind them, dealt to all tasks.
 
-    The window is the last train_window rows whose targets may be known; a window frame gathers them.
+    Blocks are few and their fits long, so they aren't to be merged by their bytes.
     """
-    base = Window.partitionBy("series").orderBy("row_idx")
-    past, ahead = base.rowsBetween(1 - cfg.train_window, 0), base.rowsBetween(1, cfg.horizon)
-    late = base.rowsBetween(-cfg.floor_lookback - 2, -3)
-    row = F.struct("row_idx", "y", "features")
-    out = matrix.select(
-        "series", "d", "row_idx", "features",
-        F.collect_list(row).over(past).alias("window"),
-        F.collect_list(F.struct("d", "y")).over(ahead).alias("ahead"),
-        F.expr(f"percentile(y, {cfg.floor_quantile})").over(late).alias("floor"),
-    ).where((F.size("window") == cfg.train_window) & (F.size("ahead") == cfg.horizon))
-    if cfg.origin_start:
-        out = out.where(F.col("d") >= F.lit(cfg.origin_start).cast("date"))
-    if cfg.origin_end:
-        out = out.where(F.col("d") <= F.lit(cfg.origin_end).cast("date"))
-    return out.where(F.col("row_idx") % every == 0)
-
-
-def _spread(df: DataFrame, *keys: str) -> DataFrame:
-    """df dealt to as many tasks as shuffles have: fits are few and long, so they aren't to be merged by their bytes."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
-
-
-#: Windows fitted at once in a task.
-FITS = 256
-
-
-def _some(frames):
-    """The rows of the frames, at most FITS at once."""
-    for pdf in frames:
-        rows = list(pdf.itertuples())
-        for at in range(0, len(rows), FITS):
-            yield rows[at : at + FITS]
-
-
-def _arrays(window) -> tuple[np.ndarray, np.ndarray]:
-    x = np.nan_to_num(np.array([list(w["features"]) for w in window], dtype=float))
-    return x, np.array([w["y"] for w in window], dtype=float)
-
-
-def rolling_forecast(matrix: DataFrame, cfg: ForecastConfig, every: int = 1) -> DataFrame:
-    """Forecast detail of the rolling model: per origin and horizon a fit on its window, clipped to [floor, cap]."""
-
-    def run(frames):
-        for rows in _some(frames):
-            xs, ys = [], []
-            for r in rows:
-                x, y = _arrays(r.window)
-                known = len(y) - cfg.label_lag  # targets up to the origin less the lag
-                xs.append(x[: known - r.h])
-                ys.append(y[r.h : known])
-            out = []
-            for r, (coef, intercept, _) in zip(rows, fit_many(xs, ys, cfg.l1_ratio, cfg.folds, cfg.n_alphas)):
-                p = float(np.nan_to_num(np.array(r.features, dtype=float)) @ coef + intercept)
-                if cfg.cap is not None:
-                    p = min(p, cfg.cap)
-                if r.floor is not None and not np.isnan(r.floor):
-                    p = max(p, r.floor)
-                out.append((r.series, r.d, r.h, r.ahead[r.h - 1]["d"], r.ahead[r.h - 1]["y"], p))
-            yield pd.DataFrame(out, columns=["series", "origin_date", "horizon", "forecast_date", "actual", "predicted"])
-
-    rows = origin_windows(matrix, cfg, every).withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(cfg.horizon))))
-    return _spread(rows, "series", "row_idx", "h").mapInPandas(run, DETAIL)
+    low = F.greatest(F.ceil((F.col("row_idx") - after - size + 1) / size), F.lit(0)).cast("int")
+    high = F.floor((F.col("row_idx") + before) / size).cast("int")
+    spread = rows.withColumn("block", F.explode(F.sequence(low, high)))
+    return spread.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "series", "block")
 
 
-def selection_counts(matrix: DataFrame, names: list[str], cfg: ForecastConfig) -> DataFrame:
-    """(series, predictor, n_selected, total_slots): how often each predictor is kept over windows and horizons."""
-    span = cfg.selection_window
-    base = Window.partitionBy("series").orderBy("row_idx")
-    rows = matrix.select("series", "row_idx", F.collect_list(F.struct("y", "features")).over(base.rowsBetween(0, span + cfg.horizon - 1)).alias("window"))
-    rows = rows.where((F.size("window") == span + cfg.horizon) & (F.col("row_idx") % cfg.stride == 0))
-
-    def run(frames):
-        for rows in _some(frames):
-            both = [(*_arrays(r.window), r.h) for r in rows]
-            fits = fit_many([x[:span] for x, _, _ in both], [y[h : h + span] for _, y, h in both], cfg.l1_ratio, cfg.folds, cfg.n_alphas)
-            out = [(r.series, names[j]) for r, (coef, _, _) in zip(rows, fits) for j in np.flatnonzero(coef)]
-            yield pd.DataFrame(out, columns=["series", "predictor"])
-
-    spread = rows.withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(cfg.horizon))))
-    kept = _spread(spread, "series", "row_idx", "h").mapInPandas(run, "series string, predictor string").groupBy("series", "predictor").agg(F.count("*").alias("n_selected"))
-    slots = spread.groupBy("series").agg(F.count("*").alias("total_slots"))
-    return kept.join(slots, "series")
+def _arrays(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(op, cal, y) of a group's rows in order."""
+    op, cal = (np.nan_to_num(np.array(pdf[c].tolist(), dtype=float).reshape(len(pdf), -1)) for c in ("op", "cal"))
+    return op, cal, pdf.y.to_numpy(dtype=float)
 
 
-def seed_and_expand(counts: DataFrame, dictionary: DataFrame, cfg: ForecastConfig) -> DataFrame:
-    """Every predictor of dictionary (ordinal, predictor, metric) with counts, seed, expanded and in_model.
+def rolling_forecast(matrix: DataFrame, cfg: ForecastConfig, partial: bool = False, calendar_at_target: bool = True, stride: int = 1) -> DataFrame:
+    """Forecast detail of the rolling model, not clipped yet: for each origin and horizon a fit on its own window.
 
-    The most frequent predictors are seeds; all variants of a seed's metric in at least min_frequency of the slots join.
+    Columns that don't vary in the window get no weight. ``partial`` leaves the calendar unpenalised; without
+    ``calendar_at_target`` all columns are taken at the row (the baseline). ``coef`` is that of standardised columns,
+    op first. Origins are rows with a full window behind and all targets ahead, every ``stride`` of them.
     """
-    rows = dictionary.join(counts.select("predictor", "n_selected", "total_slots"), "predictor", "left")
-    rows = rows.withColumn("n_selected", F.coalesce("n_selected", F.lit(0))).withColumn("total_slots", F.coalesce("total_slots", F.max("total_slots").over(Window.partitionBy(F.lit(1)))))
-    ranked = rows.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n_selected"), "ordinal")))
-    seeds = ranked.where((F.col("rank") <= cfg.top) & (F.col("n_selected") > 0)).select("metric", F.lit(True).alias("hit")).distinct()
-    out = ranked.join(seeds, "metric", "left").withColumn("seed", (F.col("rank") <= cfg.top) & (F.col("n_selected") > 0))
-    expanded = F.coalesce("hit", F.lit(False)) & (F.col("n_selected") >= cfg.min_frequency * F.col("total_slots"))
-    return out.withColumn("in_model", F.col("seed") | expanded).withColumn("pct_selected", F.bround(100 * F.col("n_selected") / F.col("total_slots"), 2)).drop("hit", "rank")
+    window, horizon, lag = cfg.train_window, cfg.horizon, cfg.label_lag
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("row_idx", ignore_index=True)
+        op, cal, y = _arrays(pdf)
+        n_op = op.shape[1]
+        mask = np.arange(n_op + cal.shape[1]) < n_op if partial and calendar_at_target else None
+        first = int(pdf.row_idx[0])
+        own = pdf.row_idx // BLOCK == pdf.block[0]
+        fits = own & (pdf.row_idx >= window - 1) & ((pdf.row_idx - window + 1) % stride == 0)
+        if cfg.origin_start:
+            fits &= pdf.d >= pd.Timestamp(cfg.origin_start).date()
+        if cfg.origin_end:
+            fits &= pdf.d <= pd.Timestamp(cfg.origin_end).date()
+        origins = [o for o in np.flatnonzero(fits) if o + horizon < len(pdf) and pdf.row_idx[o + horizon] == first + o + horizon]
+        out = []
+        for at in range(0, len(origins), AT_ONCE):
+            keys, xs, ys, news = [], [], [], []
+            for o in origins[at : at + AT_ONCE]:
+                start = o - window + 1
+                varies = op[start : o + 1].std(axis=0) > 0
+                for h in range(1, horizon + 1):
+                    known = o + 1 - lag  # targets up to the origin less the lag
+                    x = np.where(varies, op[start : known - h], 0.0)
+                    c = cal[start + h : known] if calendar_at_target else cal[start : known - h]
+                    keys.append((o, h))
+                    xs.append(np.hstack([x, c]))
+                    ys.append(y[start + h : known])
+                    news.append(np.concatenate([np.where(varies, op[o], 0.0), cal[o + h] if calendar_at_target else cal[o]]))
+            for (o, h), x, (coef, intercept, alpha, scaled) in zip(keys, news, fit_many(xs, ys, cfg.l1_ratio, cfg.folds, cfg.n_alphas, mask)):
+                out.append((pdf.series[0], window, pdf.d[o], h, pdf.d[o + h], y[o + h], float(x @ coef + intercept), pdf.floor[o], alpha, scaled.tolist()))
+        return pd.DataFrame(out, columns=[c.split()[0] for c in DETAIL.split(", ")])
+
+    rows = trailing_floor(matrix, "y", "series", lookback=cfg.floor_lookback, q=cfg.floor_quantile)
+    dealt = _blocks(rows.select("series", "d", "row_idx", "y", "op", "cal", "floor"), window - 1, horizon, BLOCK)
+    return dealt.groupBy("series", "block").applyInPandas(run, DETAIL)
+
+
+def clipped(detail: DataFrame, cfg: ForecastConfig) -> DataFrame:
+    """The predictions held to [floor, cap]; a missing floor or cap holds nothing."""
+    p = F.greatest(F.col("predicted"), F.coalesce("floor", "predicted"))
+    return detail.withColumn("predicted", clip(p, None, cfg.cap))
+
+
+def window_sweep(matrix: DataFrame, cfg: ForecastConfig, windows: list[int], **options) -> DataFrame:
+    """Clipped forecast detail for each training window, told apart by train_win."""
+    out = None
+    for w in windows:
+        one = clipped(rolling_forecast(matrix, cfg.with_(train_window=w), **options), cfg)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def coefficient_detail(detail: DataFrame, names: list[str]) -> DataFrame:
+    """(series, train_win, origin_date, horizon, predictor, coefficient): the weights of detail that aren't 0."""
+    rows = detail.select("series", "train_win", "origin_date", "horizon", F.posexplode("coef").alias("i", "coefficient")).where("coefficient <> 0")
+    predictor = F.array(*map(F.lit, names))[F.col("i")]
+    return rows.select("series", "train_win", "origin_date", "horizon", predictor.alias("predictor"), "coefficient")
 
 
-def global_models(matrix: DataFrame, penalised: list[bool], cfg: ForecastConfig, until: str | None = None) -> DataFrame:
-    """(series, horizon, alpha, intercept, coef): one partially penalised model per horizon over all rows to ``until``.
+def selection_counts(matrix: DataFrame, names: list[str], cfg: ForecastConfig) -> DataFrame:
+    """(series, predictor, n_selected, total_slots): how often each predictor is kept over windows and horizons.
 
-    Penalised columns are taken at the row, the others (calendar) at the target's row. The penalty of each horizon is
-    at least that of horizon 1. A series is one group: its rows are one series' days.
+    names: those of op, then of cal; all columns are taken at the row, and a window's fits see its own rows only.
+    Predictors that are never kept have 0.
+    """
+    span, block = cfg.selection_window, 2 * cfg.stride
+    last = F.max("row_idx").over(Window.partitionBy("series"))
+    rows = matrix.select("series", "row_idx", "y", "op", "cal", (last + 1 - span - cfg.horizon).alias("last"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("row_idx", ignore_index=True)
+        op, cal, y = _arrays(pdf)
+        x = np.hstack([op, cal])
+        starts = np.flatnonzero((pdf.row_idx // block == pdf.block[0]) & (pdf.row_idx % cfg.stride == 0) & (pdf.row_idx <= pdf["last"]))
+        kept, slots = np.zeros(len(names), np.int64), 0
+        for i in starts:
+            train = np.where(x[i : i + span].std(axis=0) > 0, x[i : i + span], 0.0)
+            hs = range(1, cfg.horizon + 1)
+            fits = fit_many([train[: span - h] for h in hs], [y[i + h : i + span] for h in hs], cfg.l1_ratio, cfg.folds, cfg.n_alphas)
+            kept += sum((b != 0).astype(np.int64) for _, _, _, b in fits)
+            slots += len(fits)
+        out = [(pdf.series[0], name, int(n), slots) for name, n in zip(names, kept)] if slots else []
+        return pd.DataFrame(out, columns=["series", "predictor", "n", "slots"])
+
+    found = _blocks(rows, 0, span - 1, block).groupBy("series", "block").applyInPandas(run, "series string, predictor string, n long, slots long")
+    return found.groupBy("series", "predictor").agg(F.sum("n").alias("n_selected"), F.sum("slots").alias("total_slots"))
+
+
+def seed_and_expand(counts: DataFrame, dictionary: DataFrame, cfg: ForecastConfig, always: tuple[str, ...] = ()) -> DataFrame:
+    """Every predictor of dictionary (ordinal, predictor, metric, kind) with counts, seed, forced, expanded and in_model.
+
+    The most frequent predictors of kind "op" are seeds; all variants of a seed's metric in at least min_frequency of
+    the slots join; other kinds are forced, and ``always`` names predictors that join in any case. rank numbers the
+    predictors by frequency. The dictionary is as small as the number of metrics, so one window ranks it.
+    """
+    one = Window.partitionBy(F.lit(1))
+    kind = F.col("kind") if "kind" in dictionary.columns else F.lit("op")
+    rows = dictionary.withColumn("forced", kind != "op").join(counts.select("predictor", "n_selected", "total_slots"), "predictor", "left")
+    rows = rows.withColumn("n_selected", F.coalesce("n_selected", F.lit(0))).withColumn("total_slots", F.coalesce("total_slots", F.max("total_slots").over(one)))
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("forced").orderBy(F.desc("n_selected"), "ordinal")))
+    seed = ~F.col("forced") & (F.col("rank") <= cfg.top) & (F.col("n_selected") > 0)
+    seeds = ranked.where(seed).select("metric").distinct()
+    enough = ~F.col("forced") & (F.col("n_selected") >= cfg.min_frequency * F.col("total_slots"))
+    expanded = ranked.where(enough).join(seeds, "metric", "left_semi").select("predictor", F.lit(True).alias("hit"))
+    out = ranked.join(expanded, "predictor", "left").withColumn("seed", seed).withColumn("expanded", F.coalesce("hit", F.lit(False)))
+    in_model = F.col("forced") | F.col("seed") | F.col("expanded") if "kind" not in dictionary.columns else F.col("forced") | F.col("expanded") | F.col("predictor").isin(*always)
+    return out.withColumn("in_model", in_model).withColumn("pct_selected", F.bround(100 * F.col("n_selected") / F.col("total_slots"), 2)).drop("hit")
+
+
+def chosen(matrix: DataFrame, selection: DataFrame) -> tuple[DataFrame, list[str]]:
+    """matrix with only the selected columns of op, by frequency, and their names; the list is as short as a model."""
+    rows = selection.where("in_model and not forced").orderBy(F.desc("n_selected"), "ordinal").select("ordinal", "predictor").collect()
+    at = F.array(*[F.lit(int(r.ordinal)) for r in rows]).cast("array<int>")
+    return matrix.withColumn("op", F.transform(at, lambda i: F.col("op")[i])), [r.predictor for r in rows]
+
+
+def global_models(matrix: DataFrame, cfg: ForecastConfig, until: str | None = None) -> DataFrame:
+    """(series, horizon, alpha, cv_alpha, intercept, coef, scaled, n_nonzero): one partially penalised model per horizon over all rows to ``until``.
+
+    The penalty is the fully penalised model's by cross-validation and that of horizon 1 at least. A series is one
+    group: its rows are one series' days.
     """
-    mask = np.array(penalised)
-    base = Window.partitionBy("series").orderBy("row_idx")
     rows = matrix if until is None else matrix.where(F.col("d") <= F.lit(until).cast("date"))
-    ahead = [
-        rows.select("series", "row_idx", "features", F.lead("features", h).over(base).alias("later"), F.lead("y", h).over(base).alias("target"), F.lit(h).alias("horizon"))
-        for h in range(1, cfg.horizon + 1)
-    ]
-    spread = ahead[0]
-    for a in ahead[1:]:
-        spread = spread.unionByName(a)
-
-    def matrices(pdf):
-        pdf = pdf.sort_values("row_idx")
-        x = np.where(mask, np.array(pdf.features.tolist(), dtype=float), np.array(pdf.later.tolist(), dtype=float))
-        return np.nan_to_num(x), pdf.target.to_numpy(dtype=float)
-
-    def alphas(pdf):
-        x, y = matrices(pdf)
-        z, _, _ = standardise(x)
-        return pd.DataFrame([(pdf.series.iloc[0], int(pdf.horizon.iloc[0]), cross_validated(z, y, cfg.l1_ratio, cfg.folds, 50, mask))], columns=["series", "horizon", "alpha"])
-
-    def fits(pdf):
-        x, y = matrices(pdf)
-        z, mean, scale = standardise(x)
-        alpha = float(pdf.alpha.iloc[0])
-        coef, intercept = fit(z, y, alpha, cfg.l1_ratio, mask)
-        raw = coef / scale
-        return pd.DataFrame([(pdf.series.iloc[0], int(pdf.horizon.iloc[0]), alpha, float(intercept - raw @ mean), raw.tolist())], columns=["series", "horizon", "alpha", "intercept", "coef"])
-
-    usable = spread.where("target is not null")
-    found = usable.groupBy("series", "horizon").applyInPandas(alphas, "series string, horizon int, alpha double")
-    first = found.where("horizon = 1").select("series", F.col("alpha").alias("a1"))
-    floored = found.join(first, "series").select("series", "horizon", F.greatest("alpha", "a1").alias("alpha"))
-    return usable.join(floored, ["series", "horizon"]).groupBy("series", "horizon").applyInPandas(fits, "series string, horizon int, alpha double, intercept double, coef array<double>")
+    schema = "series string, horizon int, alpha double, cv_alpha double, intercept double, coef array<double>, scaled array<double>, n_nonzero int"
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("row_idx", ignore_index=True)
+        op, cal, y = _arrays(pdf)
+        mask = np.arange(op.shape[1] + cal.shape[1]) < op.shape[1]
+        hs = [h for h in range(1, cfg.horizon + 1) if len(y) - h >= cfg.folds]
+        scaled = [standardise(np.hstack([op[: len(y) - h], cal[h:]])) for h in hs]
+        problems = [(z, y[h:]) for h, (z, _, _) in zip(hs, scaled)]
+        best = cross_validated(problems, cfg.l1_ratio, cfg.folds, cfg.n_alphas) if hs else np.zeros(0)
+        alphas = np.maximum(best, best[:1]) if len(best) else best
+        out = []
+        for h, a, cv, (b, intercept), (_, mean, scale) in zip(hs, alphas, best, fit_at(problems, alphas, cfg.l1_ratio, mask) if hs else [], scaled):
+            coef = b / scale
+            out.append((pdf.series[0], h, a, cv, float(intercept - coef @ mean), coef.tolist(), b.tolist(), int((b[mask] != 0).sum())))
+        return pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
+
+    return rows.select("series", "row_idx", "y", "op", "cal").groupBy("series").applyInPandas(run, schema)
 
 
 def ensemble(rolling: DataFrame, general: DataFrame, cfg: ForecastConfig) -> DataFrame:
-    """Rolling up to horizon rolling_only, beyond it the mean of rolling and global predictions."""
+    """Rolling up to horizon rolling_only, beyond it the mean of rolling and global predictions; then held to [floor, cap]."""
     keys = ["series", "origin_date", "horizon"]
-    g = general.select(*keys, F.col("predicted").alias("g"))
-    joined = rolling.join(g, keys, "left")
-    return joined.withColumn("predicted", F.when((F.col("horizon") <= cfg.rolling_only) | F.col("g").isNull(), F.col("predicted")).otherwise((F.col("g") + F.col("predicted")) / 2)).drop("g")
+    joined = rolling.join(general.select(*keys, F.col("predicted").alias("g")), keys, "left")
+    alone = (F.col("horizon") <= cfg.rolling_only) | F.col("g").isNull()
+    mixed = joined.withColumn("predicted", F.when(alone, F.col("predicted")).otherwise((F.col("g") + F.col("predicted")) / 2))
+    return clipped(mixed.drop("g"), cfg)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import weather_terms
+
 MAX_LEAD = 7
 
 
@@ -21,6 +23,20 @@ def lead_wide(forecast: DataFrame, value: str) -> DataFrame:
     return forecast.groupBy("date").pivot("lead_day", list(range(1, MAX_LEAD + 1))).agg(F.first(value)).withColumnsRenamed({str(k): f"{value}_L{k}" for k in range(1, MAX_LEAD + 1)})
 
 
+def forecast_wide(forecast: DataFrame, **thresholds: float) -> DataFrame:
+    """(date, wx_..._L1 .. wx_..._L7): the derived weather terms of forecasts (date, lead_day, t_mean, t_min, rain, snow, wind) by lead."""
+    terms = weather_terms(*(F.col(c) for c in ("t_mean", "t_min", "rain", "snow", "wind")), **thresholds)
+    rows = forecast.select("date", "lead_day", *terms)
+    names = [c for c in rows.columns if c.startswith("wx_")]
+    at = lambda c, k: F.max(F.when(F.col("lead_day") == k, F.col(c))).alias(f"{c}_L{k}")
+    return rows.groupBy("date").agg(*(at(c, k) for c in names for k in range(1, MAX_LEAD + 1)))
+
+
+def joined(features: DataFrame, weather: DataFrame, day: str = "d") -> DataFrame:
+    """features with the weather (date, ...) of their day; days without weather keep nulls."""
+    return features.join(weather.withColumnRenamed("date", day), day, "left")
+
+
 def at_offset(origins: DataFrame, actual: DataFrame, forecast: DataFrame | None, value: str, offset: int = 0, name: str = "wx") -> DataFrame:
     """origins (d, h, ...) with the weather of day d + h - offset: the forecast of lead min(h - offset, 7), else the actual."""
     rows = origins.withColumn("_day", F.expr(f"date_add(d, h - {offset})")).withColumn("_lead", F.least(F.col("h") - offset, F.lit(MAX_LEAD)))

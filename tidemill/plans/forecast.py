@@ -1,4 +1,4 @@
-"""End-to-end plans: a series' feature matrix, naive forecasts, global predictions, the ensemble."""
+"""End-to-end plans: feature matrices, naive forecasts, selection, global predictions, the ensemble, the holdout."""
 
 from __future__ import annotations
 
@@ -7,19 +7,61 @@ from pyspark.sql import functions as F
 
 from ..config import ForecastConfig
 from ..functions.scalars import dot, fourier, weekday_dummies
+from ..operators import evaluate
 from ..operators import features as ft
 from ..operators import models
 
 CALENDAR = [*(f"dow_{i}" for i in range(6)), "sin_1", "cos_1", "sin_2", "cos_2"]
+HOLIDAYS = ["is_holiday", "is_day_after_holiday"]
 OWN = ["y0", "mean7", "sd7", "lag3", "mean7_3"]
 NAMES = [*OWN, *CALENDAR]
 
 
 def matrix(days: DataFrame) -> DataFrame:
-    """(series, d, row_idx, y, features) from days (series, d, y): own history and calendar, complete rows only."""
+    """(series, d, row_idx, y, op, cal) from days (series, d, y): own history and calendar, complete rows only."""
     rows = ft.rolling(ft.with_row_index(days, "series"), "y", "series").where("mean7 is not null and mean7_3 is not null")
     rows = rows.select("series", "d", "y", F.col("y").alias("y0"), "mean7", "sd7", "lag3", "mean7_3", *weekday_dummies(F.col("d")), *fourier(F.col("d")))
-    return ft.with_row_index(rows.select("series", "d", "y", F.array(*NAMES).alias("features")), "series")
+    return ft.with_row_index(rows.select("series", "d", "y", F.array(*OWN).alias("op"), F.array(*CALENDAR).alias("cal")), "series")
+
+
+def wide_features(daily: DataFrame, target: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """(series, d, ordinal, value, y): every predictor of every day with a target, in long form, skew-corrected.
+
+    daily (series, d, col_key, value) and target (series, d, y) by noon day; dictionary of ``ft.predictors``. Days are
+    those of the features; missing values are filled by position before days without a target go, rolling terms come
+    after that; days that lack a predictor go.
+    """
+    days = daily.select("series", "d").distinct().join(target, ["series", "d"], "left")
+    base = dictionary.where("kind = 'op' and variant = 'value'").select("series", "col_key", F.col("ordinal").alias("base"))
+    # The grid of days and features is the table that models read; it is as large as they need and no larger.
+    grid = days.join(base, "series").join(daily, ["series", "d", "col_key"], "left")
+    grid = ft.interpolated(ft.with_row_index(grid, "series", "base"), "value", "series", "base").where("y is not null")
+    grid = ft.rolling(ft.with_row_index(grid, "series", "base"), "value", "series", "base").select("series", "d", "base", "value", F.col("mean7").alias("roll_mean7"), F.col("sd7").alias("roll_sd7"))
+    own = ft.rolling(ft.with_row_index(days.where("y is not null"), "series"), "y", "series").select("series", "d", "lag3", "mean7_3")
+    stacked = grid.select("series", "d", F.col("base"), F.expr("stack(3, 'value', value, 'roll_mean7', roll_mean7, 'roll_sd7', roll_sd7) as (variant, value)"))
+    stacked = stacked.unionByName(own.select("series", "d", F.lit(-1).alias("base"), F.expr("stack(2, 'lag3', lag3, 'mean7_3', mean7_3) as (variant, value)")))
+    rows = stacked.join(dictionary.where("kind = 'op'").select("series", "base", "variant", "ordinal"), ["series", "base", "variant"])
+    whole = ft.complete_days(rows.select("series", "d", "ordinal", "value"), "series")
+    corrected = ft.skew_corrected(whole, "series", "ordinal")
+    return corrected.join(target, ["series", "d"]).select("series", "d", "ordinal", "value", "y")
+
+
+def wide_matrix(daily: DataFrame, target: DataFrame, dictionary: DataFrame, weather: DataFrame | None = None, holidays: list | None = None) -> DataFrame:
+    """(series, d, row_idx, y, op, cal): the predictors of wide_features as vectors, and the calendar.
+
+    weather (d, wx_...) and holidays add columns to the calendar; where they aren't given (the models without weather),
+    it is weekday and season alone. Missing weather is 0, as missing values are in the fits.
+    """
+    op = ft.as_vectors(wide_features(daily, target, dictionary), "series", "y")
+    cal = [*weekday_dummies(F.col("d")), *fourier(F.col("d"))]
+    if holidays is not None:
+        days = [F.lit(x).cast("date") for x in holidays]
+        cal += [F.col("d").isin(*days).cast("double"), F.date_sub("d", 1).isin(*days).cast("double")]
+    if weather is not None:
+        names = [c for c in weather.columns if c.startswith("wx_")]
+        op = op.join(weather, "d", "left")
+        cal += [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in names]
+    return ft.with_row_index(op.select("series", "d", "y", F.col("features").alias("op"), F.array(*cal).alias("cal")), "series")
 
 
 def naive(days: DataFrame, cfg: ForecastConfig, season: int | None = None) -> DataFrame:
@@ -35,18 +77,49 @@ def naive(days: DataFrame, cfg: ForecastConfig, season: int | None = None) -> Da
     return ahead.select("series", F.col("d").alias("origin_date"), F.col("h").alias("horizon"), F.col("target_date").alias("forecast_date"), F.col("target").alias("actual"), value.alias("predicted"))
 
 
+def model_inputs(m: DataFrame, horizon: int = 10) -> DataFrame:
+    """(series, origin_date, horizon, forecast_date, actual, op, later): op of the origin and cal of the target's row."""
+    ahead = ft.targets_ahead(m, "y", "series", horizon=horizon, others=("cal",))
+    return ahead.select("series", F.col("d").alias("origin_date"), F.col("h").alias("horizon"), F.col("target_date").alias("forecast_date"), F.col("target").alias("actual"), "op", F.col("target_cal").alias("later"))
+
+
 def global_forecast(m: DataFrame, fitted: DataFrame, cfg: ForecastConfig) -> DataFrame:
     """Forecast detail of global models: penalised columns at the origin, calendar columns at the target."""
-    n = len(OWN)
-    ahead = ft.targets_ahead(m, "y", "series", horizon=cfg.horizon)
-    later = m.select("series", F.col("d").alias("target_date"), F.slice("features", n + 1, len(CALENDAR)).alias("later"))
-    rows = ahead.join(later, ["series", "target_date"]).withColumnRenamed("h", "horizon").join(fitted, ["series", "horizon"])
-    x = F.concat(F.slice("features", 1, n), F.col("later"))
-    return rows.select("series", F.col("d").alias("origin_date"), "horizon", F.col("target_date").alias("forecast_date"), F.col("target").alias("actual"), dot(x, F.col("coef"), F.col("intercept")).alias("predicted"))
-
-
-def forecast(days: DataFrame, cfg: ForecastConfig, every: int = 1) -> DataFrame:
-    """The ensemble's forecast detail for days (series, d, y)."""
-    m = matrix(days)
-    fitted = models.global_models(m, [True] * len(OWN) + [False] * len(CALENDAR), cfg)
-    return models.ensemble(models.rolling_forecast(m, cfg, every), global_forecast(m, fitted, cfg), cfg)
+    # A model is one row for each series and horizon.
+    rows = model_inputs(m, cfg.horizon).join(fitted.select("series", "horizon", "coef", "intercept"), ["series", "horizon"])
+    x = F.concat("op", "later")
+    return rows.select("series", "origin_date", "horizon", "forecast_date", "actual", dot(x, F.col("coef"), F.col("intercept")).alias("predicted"))
+
+
+def forecast(m: DataFrame, cfg: ForecastConfig, until: str | None = None, rolling_matrix: DataFrame | None = None, **options) -> DataFrame:
+    """The ensemble's forecast detail for a matrix; global models see rows to ``until``.
+
+    rolling_matrix: the rolling model's own columns (those of a second selection), if they differ.
+    """
+    rolling = models.rolling_forecast(m if rolling_matrix is None else rolling_matrix, cfg, **options)
+    return models.ensemble(rolling, global_forecast(m, models.global_models(m, cfg, until), cfg), cfg)
+
+
+def selected_forecast(m: DataFrame, dictionary: DataFrame, names: list[str], cfg: ForecastConfig, until: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(forecast detail, selection summary): selection to ``until`` for the global models, over all rows for the rolling one.
+
+    Without ``until`` both use one selection. ``mean7_3`` always joins.
+    """
+    n_op = dictionary.where("kind = 'op'").count()
+    every = [*names[:n_op], *names[n_op:]]
+
+    def select(rows: DataFrame) -> DataFrame:
+        return models.seed_and_expand(models.selection_counts(rows, every, cfg), dictionary, cfg, ("mean7_3",))
+
+    early = select(m if until is None else m.where(F.col("d") <= F.lit(until).cast("date")))
+    one, _ = models.chosen(m, early)
+    two = one if until is None else models.chosen(m, select(m))[0]
+    return forecast(one, cfg, until, two), early
+
+
+def holdout(m: DataFrame, cfg: ForecastConfig, until: str) -> DataFrame:
+    """Error bands of global models refitted to rows up to ``until``, on the origins after it."""
+    fitted = models.global_models(m, cfg, until)
+    detail = global_forecast(m, fitted, cfg).where(F.col("origin_date") > F.lit(until).cast("date"))
+    floors = ft.trailing_floor(m, "y", "series", lookback=cfg.floor_lookback, q=cfg.floor_quantile).select("series", F.col("d").alias("origin_date"), "floor")
+    return evaluate.mse_bands(evaluate.forecast_ids(models.clipped(detail.join(floors, ["series", "origin_date"]), cfg)), "series")

@@ -11,7 +11,7 @@ from .config import ForecastConfig
 from .functions import scalars as sc
 from .operators import daily, evaluate, features, models, weather
 from .plans import forecast as plan
-from .sources.readers import event_observations, order_days
+from .sources.readers import chunk_bounds, event_observations, order_days, order_observations, priority_days
 from .sources.writers import prediction_matrix
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,23 +84,22 @@ def features_with_target(spark, sf_dir):
     " round(coalesce(sum(value), 0), 4) AS sum, round(median(value), 6) AS median FROM good WHERE CAST(ts AS DATE) BETWEEN '2024-01-05' AND '2024-01-20' GROUP BY ALL"
 )
 def get_daily_statistics(spark, sf_dir):
-    obs = event_observations(spark, sf_dir)
-    out = None
-    for name in daily.STATISTICS:
-        one = daily.get_daily(obs, name, start="2024-01-05", end="2024-01-20").select("date", "metric", "site", _r("value", 4 if name == "sum" else 6).alias(name))
-        out = one if out is None else out.join(one, ["date", "metric", "site"])
-    return out
+    out = _statistics(spark, sf_dir)
+    return out.where(F.col("date").between(F.lit("2024-01-05").cast("date"), F.lit("2024-01-20").cast("date")))
 
 
-@query()
+def _statistics(spark, sf_dir):
+    rows = daily.daily_statistics(event_observations(spark, sf_dir))
+    return rows.select("date", "metric", "site", *(_r(n, 4 if n == "sum" else 6).alias(n) for n in daily.STATISTICS))
+
+
+@query(
+    f"WITH {_OBS} SELECT CAST(ts AS DATE) AS date, metric, site, round(avg(value), 6) AS mean, round(max(value), 6) AS max, round(min(value), 6) AS min,"
+    " round(coalesce(sum(value), 0), 4) AS sum, round(median(value), 6) AS median FROM good GROUP BY ALL"
+)
 def get_daily_statistics_all_days(spark, sf_dir):
     """get_daily_statistics, whose SQL holds it to 16 days, over every day."""
-    obs = event_observations(spark, sf_dir)
-    out = None
-    for name in daily.STATISTICS:
-        one = daily.get_daily(obs, name).select("date", "metric", "site", _r("value", 4 if name == "sum" else 6).alias(name))
-        out = one if out is None else out.join(one, ["date", "metric", "site"])
-    return out
+    return _statistics(spark, sf_dir)
 
 
 @query(
@@ -240,12 +239,12 @@ _WX = f"WITH {_OBS}, wx AS (SELECT CAST(ts AS DATE) AS date, " + ", ".join(f"avg
 
 @query(
     _WX + " SELECT date, CASE WHEN click IS NOT NULL THEN round(greatest(45 - click, 0), 6) END AS coldness, CASE WHEN click IS NOT NULL THEN round(greatest(click - 50, 0), 6) END AS hotness,"
-    " CAST(coalesce(view < 0, false) AS DOUBLE) AS below, CASE WHEN purchase IS NOT NULL THEN round(least(purchase, 25), 6) END AS rain, CAST(coalesce(purchase >= 20, false) AS DOUBLE) AS heavy,"
+    " CAST(coalesce(view < 0, false) AS DOUBLE) AS below, CASE WHEN purchase IS NOT NULL THEN round(least(purchase, 25), 6) END AS rain, CAST(coalesce(purchase > 20, false) AS DOUBLE) AS heavy,"
     " CASE WHEN signup IS NOT NULL THEN round(least(signup, 42), 6) END AS wind FROM wx"
 )
 def weather_terms(spark, sf_dir):
     c = F.col
-    rows = _weather(spark, sf_dir).select("date", *sc.weather_terms(c("click"), c("view"), c("purchase"), c("error"), c("signup"), cold=45, hot=50))
+    rows = _weather(spark, sf_dir).select("date", *sc.weather_terms(c("click"), c("view"), c("purchase"), c("error"), c("signup"), cold=45, colder=40, hot=50))
     return rows.select(
         "date", _r("wx_coldness").alias("coldness"), _r("wx_hotness").alias("hotness"), c("wx_below_freezing").alias("below"), _r("wx_rain_sum").alias("rain"), c("wx_heavy_rain").alias("heavy"), _r("wx_wind_max").alias("wind")
     )
@@ -329,16 +328,279 @@ def seed_expansion(spark, sf_dir):
     " u AS (SELECT 'mean7' AS feature, mean7 AS v FROM m WHERE ok UNION ALL SELECT 'sd7', sd7 FROM m WHERE ok) SELECT feature, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS scale FROM u GROUP BY feature"
 )
 def scaler_statistics(spark, sf_dir):
-    m = plan.matrix(order_days(spark, sf_dir)).select(F.posexplode("features").alias("i", "v")).where(F.col("i").isin(1, 2))
+    m = plan.matrix(order_days(spark, sf_dir)).select(F.posexplode("op").alias("i", "v")).where(F.col("i").isin(1, 2))
     return m.groupBy(F.element_at(F.array(*map(F.lit, plan.NAMES)), F.col("i") + 1).alias("feature")).agg(_r(F.avg("v")).alias("mean"), _r(F.stddev_pop("v")).alias("scale"))
 
 
+# Selection in order, holdout, comparison, residuals with weather.
+
+_SEL = (
+    "WITH c AS (SELECT l_returnflag || '|' || l_linenumber AS predictor, l_returnflag AS metric, count(*) FILTER (l_quantity > 30) AS n_selected, (SELECT count(*) FROM lineitem) // 49 AS total_slots FROM lineitem GROUP BY ALL),"
+    " r AS (SELECT *, row_number() OVER (ORDER BY n_selected DESC, predictor) AS rank FROM c), s AS (SELECT DISTINCT metric FROM r WHERE rank <= 5)"
+)
+
+
+@query(
+    _SEL + " SELECT CAST(rank AS INT) AS rank, predictor, metric, n_selected, total_slots, round_even(100.0 * n_selected / total_slots, 2) AS pct_selected, rank <= 5 AS seed,"
+    " metric IN (SELECT metric FROM s) AND n_selected >= 0.05 * total_slots AS expanded, false AS forced FROM r"
+)
+def selection_summary(spark, sf_dir):
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_returnflag", "l_linenumber", "l_quantity")
+    names = li.groupBy(F.concat("l_returnflag", F.lit("|"), F.col("l_linenumber").cast("string")).alias("predictor"), F.col("l_returnflag").alias("metric")).agg(F.count_if(F.col("l_quantity") > 30).alias("n_selected"))
+    counts = names.crossJoin(F.broadcast(li.agg(F.floor(F.count("*") / 49).alias("total_slots"))))
+    dictionary = names.select("predictor", "metric", F.row_number().over(Window.orderBy("predictor")).alias("ordinal"), F.lit("op").alias("kind"))
+    out = models.seed_and_expand(counts, dictionary, ForecastConfig(top=5))
+    return out.orderBy("rank").select("rank", "predictor", "metric", "n_selected", "total_slots", "pct_selected", "seed", "expanded", "forced")
+
+
+@query(_NAIVE + _BANDS + " SELECT CAST(forecast_id AS INT) AS forecast_id, origin_date, round(mse_1_5, 6) AS mse_1_5, round(mse_6_10, 6) AS mse_6_10 FROM bands WHERE origin_date > DATE '2000-09-30'")
+def holdout_bands(spark, sf_dir):
+    held = evaluate.since(_naive(spark, sf_dir), "2000-09-30", inclusive=False)
+    return evaluate.mse_bands(held).select("forecast_id", "origin_date", _r("mse_1_5").alias("mse_1_5"), _r("mse_6_10").alias("mse_6_10"))
+
+
+@query(
+    f"WITH {_DAYS}, {_AHEAD}, b AS (SELECT a.*, l.y AS seasonal FROM ahead a JOIN idx o ON o.d = a.origin_date LEFT JOIN idx l ON l.row_idx = o.row_idx + a.h - 7 * ceil(a.h / 7.0)),"
+    " e AS (SELECT origin_date, avg((actual - predicted) ** 2) FILTER (h <= 5) AS n1, avg((actual - predicted) ** 2) FILTER (h > 5) AS n2, avg((actual - seasonal) ** 2) FILTER (h <= 5) AS s1, avg((actual - seasonal) ** 2) FILTER (h > 5) AS s2"
+    " FROM b WHERE origin_date >= DATE '1999-01-01' GROUP BY 1) SELECT 'last' AS model, round(avg(n1), 6) AS mean_mse_1_5, round(median(n1), 6) AS median_mse_1_5, round(avg(n2), 6) AS mean_mse_6_10, round(median(n2), 6) AS median_mse_6_10 FROM e"
+    " UNION ALL SELECT 'season', round(avg(s1), 6), round(median(s1), 6), round(avg(s2), 6), round(median(s2), 6) FROM e"
+)
+def model_comparison(spark, sf_dir):
+    days, cfg = order_days(spark, sf_dir), ForecastConfig()
+    one = evaluate.mse_bands(evaluate.forecast_ids(plan.naive(days, cfg)))
+    two = evaluate.mse_bands(evaluate.forecast_ids(evaluate.since(plan.naive(days, cfg, 7), "1999-01-01")))
+    out = evaluate.compare(one, two, "last", "season")
+    return out.select("model", *(_r(c).alias(c) for c in out.columns if c != "model"))
+
+
+_OWX = "owx AS (SELECT CAST(o_orderdate AS DATE) AS date, avg(o_custkey % 45 - 8) AS t_mean FROM orders WHERE o_orderkey % 3 <> 0 GROUP BY 1)"
+
+
+def _order_weather(spark, sf_dir):
+    """Daily temperatures made of orders; some days have none."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey % 3 <> 0")
+    return o.groupBy(F.to_date("o_orderdate").alias("date")).agg(F.avg(F.col("o_custkey") % 45 - 8).alias("t_mean"))
+
+
+_TERMS = " CASE WHEN t_mean IS NOT NULL THEN round(greatest(10 - t_mean, 0), 6) END AS wx_coldness, CASE WHEN t_mean IS NOT NULL THEN round(greatest(t_mean - 10, 0), 6) END AS wx_hotness, CASE WHEN t_mean IS NOT NULL THEN round(greatest(5 - t_mean, 0), 6) END AS wx_coldness2, CASE WHEN t_mean IS NOT NULL THEN round(greatest(t_mean - 25, 0), 6) END AS wx_hotness2"
+
+
+@query(f"WITH {_DAYS}, {_AHEAD}, {_OWX} SELECT origin_date, CAST(h AS INT) AS horizon, forecast_date, round(actual - predicted, 6) AS residual,{_TERMS} FROM ahead LEFT JOIN owx ON date = forecast_date")
+def residuals_with_weather(spark, sf_dir):
+    rows = evaluate.with_weather(plan.naive(order_days(spark, sf_dir), ForecastConfig()), _order_weather(spark, sf_dir))
+    rows = rows.select("origin_date", "horizon", "forecast_date", "residual", *sc.residual_terms(F.col("t_mean")))
+    return rows.select("origin_date", "horizon", "forecast_date", *(_r(c).alias(c) for c in rows.columns[3:]))
+
+
+@query(
+    f"WITH {_DAYS}, {_AHEAD}, {_OWX}, r AS (SELECT actual - predicted AS residual, greatest(10 - t_mean, 0) AS cold, greatest(t_mean - 10, 0) AS hot FROM ahead JOIN owx ON date = forecast_date),"
+    " u AS (SELECT 'wx_coldness' AS variable, cold AS x, residual AS y FROM r UNION ALL SELECT 'wx_hotness', hot, residual FROM r), k AS (SELECT variable, corr(x, y) AS r, count(*) AS n FROM u GROUP BY 1)"
+    " SELECT variable, round(r, 6) AS r, n, round(r * sqrt((n - 2) / (1 - r * r)), 4) AS t FROM k"
+)
+def residual_significance(spark, sf_dir):
+    rows = evaluate.with_weather(plan.naive(order_days(spark, sf_dir), ForecastConfig()), _order_weather(spark, sf_dir))
+    rows = rows.select("residual", *sc.residual_terms(F.col("t_mean")))
+    return evaluate.correlations(rows, ["wx_coldness", "wx_hotness"]).select("variable", _r("r").alias("r"), "n", _r("t", 4).alias("t"))
+
+
+@query(f"WITH {_DAYS}, {_OWX} SELECT d, round(y, 6) AS y, round(t_mean, 6) AS t_mean,{_TERMS} FROM days LEFT JOIN owx ON date = d")
+def features_with_weather(spark, sf_dir):
+    rows = weather.joined(order_days(spark, sf_dir), _order_weather(spark, sf_dir)).select("d", "y", "t_mean", *sc.residual_terms(F.col("t_mean")))
+    return rows.select("d", *(_r(c).alias(c) for c in rows.columns[1:]))
+
+
+# Forecast weather: hours to days by lead, chunks, derived terms by lead.
+
+_HOURS = "hr AS (SELECT ts, CAST(event_id % 7 + 1 AS INT) AS lead_day, CASE WHEN event_id % 11 <> 0 THEN value - 40 END AS temp, CASE WHEN event_id % 5 <> 0 THEN value / 10 END AS rain, CASE WHEN event_id % 13 = 0 THEN value / 50 END AS snow, value AS wind FROM events)"
+_FDAYS = "fd AS (SELECT CAST(ts AS DATE) AS date, lead_day, avg(temp) AS t_mean, min(temp) AS t_min, coalesce(sum(rain), 0) AS rain, coalesce(sum(snow), 0) AS snow, max(wind) AS wind FROM hr GROUP BY ALL)"
+
+
+def _forecast_days(spark, sf_dir):
+    e, v = spark.read.parquet(f"{sf_dir}/events.parquet"), F.col("value")
+    part = lambda cond, value: F.when(F.expr(cond), value)
+    hours = e.select(
+        "ts", (F.col("event_id") % 7 + 1).cast("int").alias("lead_day"), part("event_id % 11 <> 0", v - 40).alias("temp"), part("event_id % 5 <> 0", v / 10).alias("rain"), part("event_id % 13 = 0", v / 50).alias("snow"), v.alias("wind")
+    )
+    return weather.hourly_to_daily(hours)
+
+
+@query(f"WITH {_HOURS}, {_FDAYS} SELECT date, lead_day, round(t_mean, 6) AS t_mean, round(t_min, 6) AS t_min, round(rain, 6) AS rain, round(snow, 6) AS snow, round(wind, 6) AS wind FROM fd")
+def hourly_forecast_to_daily(spark, sf_dir):
+    return _forecast_days(spark, sf_dir).select("date", "lead_day", *(_r(c).alias(c) for c in ("t_mean", "t_min", "rain", "snow", "wind")))
+
+
+_BY_LEAD = {
+    "wx_coldness": "greatest(10 - t_mean, 0)", "wx_coldness2": "greatest(5 - t_mean, 0)", "wx_hotness": "greatest(t_mean - 25, 0)", "wx_below_freezing": "CAST(t_min < 0 AS DOUBLE)",
+    "wx_rain_sum": "least(rain, 25)", "wx_heavy_rain": "CAST(rain > 20 AS DOUBLE)", "wx_snowfall_sum": "snow", "wx_wind_max": "least(wind, 42)",
+}
+
+
+@query(f"WITH {_HOURS}, {_FDAYS} SELECT date, " + ", ".join(f"round(max(CASE WHEN t_mean IS NOT NULL THEN {x} END) FILTER (lead_day = {k}), 6) AS {n}_L{k}" for n, x in _BY_LEAD.items() for k in range(1, 8)) + " FROM fd GROUP BY date")
+def forecast_weather_wide(spark, sf_dir):
+    out = weather.forecast_wide(_forecast_days(spark, sf_dir).where("t_mean is not null"))
+    return out.select("date", *(_r(f"{n}_L{k}").alias(f"{n}_L{k}") for n in _BY_LEAD for k in range(1, 8)))
+
+
+@query("SELECT CAST(first AS DATE) AS first, CAST(least(first + INTERVAL 3 MONTH - INTERVAL 1 DAY, DATE '2025-02-10') AS DATE) AS last FROM generate_series(TIMESTAMP '2023-11-15', TIMESTAMP '2025-02-10', INTERVAL 3 MONTH) t(first)")
+def weather_chunks(spark, sf_dir):
+    return chunk_bounds(spark, "2023-11-15", "2025-02-10", 3)
+
+
+# Daily values for charts.
+
+@query(f"WITH {_OBS} SELECT CAST(ts AS DATE) AS date, metric, site, round(max(value), 6) AS value FROM good WHERE metric IN ('click', 'view') AND CAST(ts AS DATE) <= '2024-01-25' GROUP BY ALL")
+def daily_until_cutoff(spark, sf_dir):
+    out = daily.get_daily(event_observations(spark, sf_dir), "max", metrics=["click", "view"], cutoff="2024-01-25", ordered=True)
+    return out.select("date", "metric", "site", _r("value").alias("value"))
+
+
+_LABEL = "SELECT date, CASE WHEN (SELECT count(DISTINCT metric) FROM q) = 1 THEN site WHEN (SELECT count(DISTINCT site) FROM q) = 1 THEN metric ELSE metric || ' \u00b7 ' || site END AS series, round(value, 6) AS value FROM q"
+
+
+@query(f"WITH {_OBS}, q AS (SELECT CAST(ts AS DATE) AS date, metric, site, avg(value) AS value FROM good GROUP BY ALL) {_LABEL}")
+def series_labels(spark, sf_dir):
+    return daily.series_labels(daily.get_daily(event_observations(spark, sf_dir))).select("date", "series", _r("value").alias("value"))
+
+
+@query(f"WITH {_OBS}, q AS (SELECT CAST(ts AS DATE) AS date, metric, site, avg(value) AS value FROM good WHERE metric = 'view' GROUP BY ALL) {_LABEL}")
+def series_labels_of_one_metric(spark, sf_dir):
+    return daily.series_labels(daily.get_daily(event_observations(spark, sf_dir), metrics=["view"])).select("date", "series", _r("value").alias("value"))
+
+
+@query(
+    f"WITH {_OBS}, q AS (SELECT CAST(ts AS DATE) AS date, metric || '|' || site AS label, avg(value) AS value FROM good WHERE metric IN ('click', 'view') GROUP BY ALL), n AS (SELECT label, row_number() OVER (ORDER BY label) AS ordinal FROM (SELECT DISTINCT label FROM q))"
+    " SELECT date, label, round(value, 6) AS value, CAST(ordinal AS INT) AS ordinal FROM q JOIN n USING (label) UNION ALL SELECT CAST(ts AS DATE), 'target', round(avg(value), 6), 0 FROM good WHERE metric = 'error' GROUP BY 1"
+)
+def target_with_metrics(spark, sf_dir):
+    obs = event_observations(spark, sf_dir)
+    target = daily.cleaned(obs).where("metric = 'error'").groupBy(F.to_date("ts").alias("date")).agg(F.avg("value").alias("value"))
+    return daily.with_target(daily.get_daily(obs, metrics=["click", "view"]), target).select("date", "label", _r("value").alias("value"), "ordinal")
+
+
+# Coefficients.
+
+_DETAIL = "c AS (SELECT event_type AS predictor, user_id % 10 + 1 AS horizon, user_id % 7 AS forecast_id, CASE WHEN count(*) % 3 <> 0 THEN avg(value) - 50 ELSE 0 END AS c FROM events GROUP BY ALL)"
+
+
+def _coefficient_rows(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    keys = [F.col("event_type").alias("predictor"), (F.col("user_id") % 10 + 1).cast("int").alias("horizon"), (F.col("user_id") % 7).alias("forecast_id")]
+    return e.groupBy(*keys).agg(F.when(F.count("*") % 3 != 0, F.avg("value") - 50).otherwise(0.0).alias("coefficient"))
+
+
+@query(f"WITH {_DETAIL} SELECT forecast_id, CAST(horizon AS INT) AS horizon, predictor, round(c, 6) AS coefficient FROM c WHERE c <> 0")
+def coefficient_detail(spark, sf_dir):
+    names = ["click", "error", "purchase", "signup", "view"]
+    at = [F.max(F.when(F.col("predictor") == n, F.col("coefficient"))) for n in names]
+    wide = _coefficient_rows(spark, sf_dir).groupBy("forecast_id", "horizon").agg(F.array(*(F.coalesce(x, F.lit(0.0)) for x in at)).alias("coef"))
+    detail = wide.select(F.lit("s").alias("series"), F.lit(90).alias("train_win"), F.col("forecast_id").alias("origin_date"), "horizon", "coef")
+    out = models.coefficient_detail(detail, names)
+    return out.select(F.col("origin_date").alias("forecast_id"), "horizon", "predictor", _r("coefficient").alias("coefficient"))
+
+
+@query(f"WITH {_DETAIL} SELECT CAST(horizon AS INT) AS horizon, round(count(*) / count(DISTINCT forecast_id), 6) AS per_window FROM c WHERE c <> 0 GROUP BY 1")
+def nonzero_per_window(spark, sf_dir):
+    return evaluate.nonzero_per_window(_coefficient_rows(spark, sf_dir).where("coefficient <> 0"), "horizon").select("horizon", _r("per_window").alias("per_window"))
+
+
+@query(f"WITH {_DETAIL} SELECT forecast_id, CAST(horizon AS INT) AS horizon, CAST(count(*) FILTER (c <> 0) AS INT) AS n_nonzero FROM c GROUP BY 1, 2")
+def nonzero_by_model(spark, sf_dir):
+    wide = _coefficient_rows(spark, sf_dir).groupBy("forecast_id", "horizon").agg(F.collect_list("coefficient").alias("coef"))
+    return wide.select("forecast_id", "horizon", F.size(F.filter("coef", lambda c: c != 0)).cast("int").alias("n_nonzero"))
+
+
+@query(_COEF + ", m AS (SELECT predictor, sum(abs(c)) / 10 AS mean_abs FROM c GROUP BY 1) SELECT CAST(row_number() OVER (ORDER BY mean_abs DESC, predictor) AS INT) AS rank, predictor, round(mean_abs, 6) AS mean_abs FROM m")
+def coefficients_by_magnitude(spark, sf_dir):
+    return evaluate.by_magnitude(evaluate.coefficient_table(_coefficients(spark, sf_dir))).select("rank", "predictor", _r("mean_abs").alias("mean_abs"))
+
+
+# What models are fitted to: the wide matrix, the inputs of a horizon, and the ensemble's arithmetic.
+
+_WIDE = (
+    "WITH o AS MATERIALIZED (SELECT CAST(o_orderdate AS DATE) AS d, o_orderpriority AS metric, o_orderpriority || '|' || c_mktsegment AS col_key, o_totalprice / 100000 AS value FROM orders JOIN customer ON o_custkey = c_custkey),"
+    " f AS (SELECT d, col_key, avg(value) AS v FROM o GROUP BY ALL), t AS (SELECT CAST(o_orderdate AS DATE) AS d, avg(o_totalprice) / 100000 AS y FROM orders WHERE o_orderkey % 50 <> 0 GROUP BY 1),"
+    " k AS MATERIALIZED (SELECT col_key, any_value(metric) AS metric, row_number() OVER (ORDER BY col_key) - 1 AS base, trim(lower(regexp_replace(replace(regexp_replace(regexp_replace(col_key, '[0-9()]', '', 'g'), '[ \\-|]', '_', 'g'), '%', 'pct'), '[^A-Za-z_]', '', 'g')), '_') AS name FROM o GROUP BY col_key),"
+    " dict AS MATERIALIZED (SELECT *, CASE WHEN row_number() OVER (PARTITION BY name ORDER BY base) > 1 THEN name || '_' || (row_number() OVER (PARTITION BY name ORDER BY base) - 1) ELSE name END AS feature, (SELECT count(*) FROM k) AS n FROM k)"
+)
+_PREDICTORS = (
+    ", p AS (SELECT base AS ordinal, feature AS predictor, metric, 'op' AS kind, true AS penalised FROM dict UNION ALL SELECT n + 2 * base, feature || '_roll_mean7', metric, 'op', true FROM dict UNION ALL SELECT n + 2 * base + 1, feature || '_roll_sd7', metric, 'op', true FROM dict"
+    " UNION ALL SELECT 3 * max(n), 'lag3', 'target', 'op', true FROM dict UNION ALL SELECT 3 * max(n) + 1, 'mean7_3', 'target', 'op', true FROM dict"
+)
+
+
+def _wide(spark, sf_dir, calendar=None):
+    """(daily, target, dictionary) of order values by priority and segment; some days have no target."""
+    obs = order_observations(spark, sf_dir)
+    rows = obs.groupBy("series", "d", F.concat("metric", F.lit("|"), "site").alias("col_key")).agg(F.avg("value").alias("value"))
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey % 50 <> 0")
+    target = o.groupBy(F.lit("orders").alias("series"), F.to_date("o_orderdate").alias("d")).agg((F.avg("o_totalprice") / 100000).alias("y"))
+    return rows, target, features.predictors(daily.feature_names(rows, "col_key", "series"), plan.CALENDAR if calendar is None else calendar)
+
+
+@query(_WIDE + _PREDICTORS + " UNION ALL SELECT i - 1, name, name, CASE WHEN name LIKE 'wx%' THEN 'weather' ELSE 'calendar' END, false FROM (SELECT unnest(" + str([*plan.CALENDAR, "wx_t"]) + ") AS name, unnest(range(1, 12)) AS i)) SELECT CAST(ordinal AS INT) AS ordinal, predictor, metric, kind, penalised FROM p")
+def predictor_dictionary(spark, sf_dir):
+    return _wide(spark, sf_dir, [*plan.CALENDAR, "wx_t"])[2].select("ordinal", "predictor", "metric", "kind", "penalised")
+
+
+@query(
+    _WIDE + ", days AS MATERIALIZED (SELECT DISTINCT f.d, y FROM f LEFT JOIN t USING (d)), di AS (SELECT *, row_number() OVER (ORDER BY d) AS i FROM days), grid AS MATERIALIZED (SELECT di.d, y, i, base, n, v FROM di CROSS JOIN dict LEFT JOIN f ON f.d = di.d AND f.col_key = dict.col_key),"
+    " b AS (SELECT *, last_value(CASE WHEN v IS NOT NULL THEN i END IGNORE NULLS) OVER p AS bi, last_value(v IGNORE NULLS) OVER p AS bv, first_value(CASE WHEN v IS NOT NULL THEN i END IGNORE NULLS) OVER q AS ai, first_value(v IGNORE NULLS) OVER q AS av FROM grid"
+    " WINDOW p AS (PARTITION BY base ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), q AS (PARTITION BY base ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),"
+    " g AS (SELECT d, base, n, CASE WHEN bi IS NULL THEN av WHEN ai IS NULL THEN bv WHEN ai = bi THEN av ELSE bv + (av - bv) * (i - bi) / (ai - bi) END AS v FROM b WHERE y IS NOT NULL),"
+    " r AS MATERIALIZED (SELECT *, CASE WHEN count(v) OVER w = 7 THEN avg(v) OVER w END AS m, CASE WHEN count(v) OVER w = 7 THEN stddev_samp(v) OVER w END AS s FROM g WINDOW w AS (PARTITION BY base ORDER BY d ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)),"
+    " own AS (SELECT d, lag(y, 3) OVER (ORDER BY d) AS l, CASE WHEN count(y) OVER z = 5 THEN avg(y) OVER z END AS m FROM days WHERE y IS NOT NULL WINDOW z AS (ORDER BY d ROWS BETWEEN 7 PRECEDING AND 3 PRECEDING)),"
+    " u AS MATERIALIZED (SELECT d, base AS ordinal, v FROM r UNION ALL SELECT d, n + 2 * base, m FROM r UNION ALL SELECT d, n + 2 * base + 1, s FROM r UNION ALL SELECT d, 3 * (SELECT max(n) FROM dict), l FROM own UNION ALL SELECT d, 3 * (SELECT max(n) FROM dict) + 1, m FROM own),"
+    " bad AS MATERIALIZED (SELECT DISTINCT d FROM u WHERE v IS NULL), h AS MATERIALIZED (SELECT u.* FROM u ANTI JOIN bad ON u.d = bad.d), mu AS (SELECT ordinal, avg(v) AS mu, min(v) AS low FROM h GROUP BY 1), sk AS (SELECT h.ordinal, any_value(low) AS low, avg((v - mu) ** 3) / nullif(avg((v - mu) ** 2), 0) ** 1.5 AS skew FROM h JOIN mu ON h.ordinal = mu.ordinal GROUP BY 1)"
+    " SELECT h.d, CAST(h.ordinal AS INT) AS ordinal, round((CASE WHEN skew > 1 AND low > 0 THEN ln(1 + v) WHEN skew > 1 THEN sqrt(v - low + 1) WHEN skew < -1 THEN v * v ELSE v END) * pi(), 5) AS value_pi, round(y, 6) AS y FROM h JOIN sk ON h.ordinal = sk.ordinal JOIN t ON h.d = t.d"
+)
+def wide_feature_matrix(spark, sf_dir):
+    """Values times pi, so that rounding meets no ties: prices have few decimals."""
+    return plan.wide_features(*_wide(spark, sf_dir)).select("d", "ordinal", _r(F.col("value") * F.pi(), 5).alias("value_pi"), _r("y").alias("y"))
+
+
+_INPUTS = (
+    f"WITH {_DAYS}, a AS (SELECT *, lag(y, 3) OVER (ORDER BY row_idx) AS lag3 FROM idx), m AS (SELECT *, row_number() OVER (ORDER BY d) - 1 AS i FROM a WHERE row_idx >= 7)"
+    " SELECT o.d AS origin_date, CAST(h AS INT) AS horizon, t.d AS forecast_date, round(t.y, 6) AS actual, round(o.y, 6) AS y0, round(o.lag3, 6) AS lag3, CAST(isodow(t.d) = 1 AS DOUBLE) AS dow_0, round(sin(2 * pi() * dayofyear(t.d) / 365.25), 6) AS sin_1"
+    " FROM m o, range(1, 11) r(h), m t WHERE t.i = o.i + h"
+)
+
+
+@query(_INPUTS)
+def model_inputs(spark, sf_dir):
+    rows = plan.model_inputs(plan.matrix(order_days(spark, sf_dir)))
+    at = lambda a, names, n: F.col(a)[names.index(n)]
+    return rows.select(
+        "origin_date", "horizon", "forecast_date", _r("actual").alias("actual"), _r(at("op", plan.OWN, "y0")).alias("y0"), _r(at("op", plan.OWN, "lag3")).alias("lag3"), at("later", plan.CALENDAR, "dow_0").alias("dow_0"), _r(at("later", plan.CALENDAR, "sin_1")).alias("sin_1")
+    )
+
+
+@query(
+    f"WITH {_DAYS}, {_AHEAD}, fl AS (SELECT d, quantile_cont(y, 0.05) OVER (ORDER BY row_idx ROWS BETWEEN 92 PRECEDING AND 3 PRECEDING) AS floor FROM idx),"
+    " b AS (SELECT a.*, l.y AS seasonal, floor FROM ahead a JOIN idx o ON o.d = a.origin_date JOIN fl ON fl.d = a.origin_date LEFT JOIN idx l ON l.row_idx = o.row_idx + a.h - 7 * ceil(a.h / 7.0)),"
+    " e AS (SELECT *, CASE WHEN h <= 5 OR seasonal IS NULL THEN predicted ELSE (predicted + seasonal) / 2 END AS p FROM b) SELECT origin_date, CAST(h AS INT) AS horizon, round(least(greatest(p, coalesce(floor, p)), 1.6), 6) AS predicted FROM e"
+)
+def ensemble_arithmetic(spark, sf_dir):
+    days, cfg = order_days(spark, sf_dir), ForecastConfig(cap=1.6)
+    floors = features.trailing_floor(features.with_row_index(days, "series"), "y", "series").select("series", F.col("d").alias("origin_date"), "floor")
+    one = plan.naive(days, cfg).join(floors, ["series", "origin_date"])
+    two = plan.naive(days, cfg, 7).where("predicted is not null")
+    return models.ensemble(one, two, cfg).select("origin_date", "horizon", _r("predicted").alias("predicted"))
+
+
+# Models.
+
 _CFG = ForecastConfig(cap=None)
 
 
 @query()
 def elastic_net_rolling(spark, sf_dir):
-    return models.rolling_forecast(plan.matrix(order_days(spark, sf_dir)), _CFG)
+    return models.clipped(models.rolling_forecast(plan.matrix(order_days(spark, sf_dir)), _CFG), _CFG)
+
+
+@query()
+def elastic_net_rolling_series(spark, sf_dir):
+    """The rolling model for each of five series at once."""
+    return models.clipped(models.rolling_forecast(plan.matrix(priority_days(spark, sf_dir)), _CFG), _CFG)
 
 
 @query()
@@ -348,15 +610,51 @@ def elastic_net_selection(spark, sf_dir):
 
 @query()
 def elastic_net_global(spark, sf_dir):
-    mask = [True] * len(plan.OWN) + [False] * len(plan.CALENDAR)
-    return models.global_models(plan.matrix(order_days(spark, sf_dir)), mask, _CFG)
+    return models.global_models(plan.matrix(order_days(spark, sf_dir)), _CFG)
 
 
 @query()
 def ensemble_forecast(spark, sf_dir):
-    return evaluate.forecast_ids(plan.forecast(order_days(spark, sf_dir), _CFG))
+    return evaluate.forecast_ids(plan.forecast(plan.matrix(order_days(spark, sf_dir)), _CFG))
+
+
+@query()
+def partial_rolling(spark, sf_dir):
+    """The rolling model with an unpenalised calendar."""
+    return models.clipped(models.rolling_forecast(plan.matrix(order_days(spark, sf_dir)), _CFG, partial=True), _CFG)
+
+
+@query()
+def baseline_forecast(spark, sf_dir):
+    """The baseline: every column at the origin, each tenth window, nothing clipped."""
+    return models.rolling_forecast(plan.matrix(order_days(spark, sf_dir)), _CFG, calendar_at_target=False, stride=10)
+
+
+@query()
+def window_sweep(spark, sf_dir):
+    """Errors by horizon for training windows of 70, 90, 110 and 130 rows, each tenth window."""
+    windows = [70, 90, 110, 130]
+    return evaluate.horizon_by_window(models.window_sweep(plan.matrix(order_days(spark, sf_dir)), _CFG, windows, stride=10), windows)
+
+
+@query()
+def holdout_errors(spark, sf_dir):
+    return plan.holdout(plan.matrix(order_days(spark, sf_dir)), _CFG, "2000-09-30")
+
+
+def _wide_model(spark, sf_dir):
+    rows, target, dictionary = _wide(spark, sf_dir)
+    names = [r.predictor for r in dictionary.orderBy(F.desc("penalised"), "ordinal").select("predictor").collect()]
+    return plan.wide_matrix(rows, target, dictionary), dictionary, names
+
+
+@query()
+def wide_selection(spark, sf_dir):
+    """Selection from the wide features: counts over all windows and horizons, seeds, expansion, in order."""
+    m, dictionary, names = _wide_model(spark, sf_dir)
+    return models.seed_and_expand(models.selection_counts(m, names, _CFG), dictionary, _CFG, ("mean7_3",)).orderBy("forced", "rank")
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: rolling forecasts of the daily order value."""
-    return models.rolling_forecast(plan.matrix(order_days(spark, sf_dir)), _CFG)
+    return elastic_net_rolling(spark, sf_dir)

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import no_nan, valid
+from ..operators.weather import hourly_to_daily
 
 OBSERVATIONS = "dt string, metric_name string, coverage string, value double, coverage_label string, variable_type string"
 DETAIL = "forecast_id int, origin_date date, horizon int, forecast_date date, actual double, predicted double"
 SELECTION = "predictor string, metric_name string, n_selected long, total_slots long, pct_selected double, forced boolean, in_model boolean"
+ERRORS = "forecast_id int, origin_date date, mse_1_5 double, mse_6_10 double"
+HOURLY = "ts timestamp, lead_day int, temp double, rain double, snow double, wind double"
 WEATHER = "date date, temperature_2m_mean double, temperature_2m_min double, rain_sum double, snowfall_sum double, wind_speed_10m_max double"
 
 
@@ -19,18 +22,61 @@ def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).csv(path)
 
 
-def observations(spark: SparkSession, path: str, until: str | None = None, until_is_date: bool = False) -> DataFrame:
-    """(ts, metric, site, value): the sentinel dropped, NaN made null, unreadable times null.
+# Ways in which times come; a date whose first part can be a month is read month first.
+TIME_FORMATS = ["M/d/yyyy H:m:s", "M/d/yyyy H:m", "M/d/yyyy", "d/M/yyyy H:m:s", "d/M/yyyy H:m", "d/M/yyyy", "d MMM yyyy H:m:s", "d MMM yyyy H:m", "d MMM yyyy", "d-M-yyyy H:m:s", "d-M-yyyy H:m", "yyyy/M/d H:m:s", "yyyy/M/d H:m"]
+
+
+def mixed_time(text: Column, day_first: bool = False) -> Column:
+    """A timestamp from text in any of several formats, ISO first; null if none fits."""
+    formats = sorted(TIME_FORMATS, key=lambda f: f.startswith("M/")) if day_first else TIME_FORMATS
+    return F.coalesce(F.try_to_timestamp(text), *(F.try_to_timestamp(text, F.lit(f)) for f in formats))
+
+
+def observations(spark: SparkSession, path: str, until: str | None = None, until_is_date: bool = False, day_first: bool = False) -> DataFrame:
+    """(ts, date, metric, site, value): the sentinel dropped, NaN made null, times of mixed formats, unreadable ones null.
 
     until cuts at a timestamp, or keeps the whole of that day with until_is_date.
     """
     rows = _read(spark, path, OBSERVATIONS).where(valid(F.col("value")))
-    rows = rows.select(F.expr("try_to_timestamp(dt)").alias("ts"), F.col("metric_name").alias("metric"), F.col("coverage").alias("site"), no_nan(F.col("value")).alias("value"))
+    rows = rows.select(mixed_time(F.col("dt"), day_first).alias("ts"), F.col("metric_name").alias("metric"), F.col("coverage").alias("site"), no_nan(F.col("value")).alias("value"))
+    rows = rows.select("ts", F.to_date("ts").alias("date"), "metric", "site", "value")
     if until is not None:
-        rows = rows.where((F.to_date("ts") if until_is_date else F.col("ts")) <= F.lit(until).cast("date" if until_is_date else "timestamp"))
+        rows = rows.where((F.col("date") if until_is_date else F.col("ts")) <= F.lit(until).cast("date" if until_is_date else "timestamp"))
     return rows
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def other_errors(spark: SparkSession, path: str) -> DataFrame | None:
+    """Error bands that another model has written, or None where there are none."""
+    return _read(spark, path, ERRORS) if exists(spark, path) else None
+
+
+def chunk_bounds(spark: SparkSession, start: str, end: str, months: int = 3) -> DataFrame:
+    """(first, last) of the chunks of ``months`` months from start that make up start to end, both inclusive."""
+    one = spark.range(1).select(F.explode(F.expr(f"sequence(date'{start}', date'{end}', interval {months} months)")).alias("first"))
+    last = F.date_sub(F.add_months("first", months), 1)
+    return one.select("first", F.least(last, F.lit(end).cast("date")).alias("last"))
+
+
+def forecast_weather(spark: SparkSession, paths: list[str]) -> DataFrame | None:
+    """Daily forecast weather by lead from hourly files, a file or folder for each chunk; None if none is there.
+
+    A file has (ts, lead_day, temp, rain, snow, wind); hours that two chunks hold count once, rain and snow that are
+    missing count as 0.
+    """
+    found = [_read(spark, p, HOURLY) for p in paths if exists(spark, p)]
+    if not found:
+        return None
+    rows = found[0]
+    for part in found[1:]:
+        rows = rows.unionByName(part, allowMissingColumns=True)
+    return hourly_to_daily(rows.dropDuplicates(["ts", "lead_day"]))
+
+
 def weather(spark: SparkSession, path: str) -> DataFrame:
     """Observed daily weather; a file with other columns than the six is refused."""
     names = [c.split()[0] for c in WEATHER.split(", ")]
@@ -61,3 +107,17 @@ def order_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(series, d, y): mean order value by day, one series; a day without orders has no row."""
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
     return o.groupBy(F.to_date("o_orderdate").alias("d")).agg((F.avg("o_totalprice") / 100000).alias("y")).select(F.lit("orders").alias("series"), "d", "y")
+
+
+def order_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(series, d, metric, site, value): order values by priority and market segment, as many metrics of several sites."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_custkey", "o_orderdate", "o_orderpriority", "o_totalprice")
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_mktsegment")
+    joined = o.join(c, o.o_custkey == c.c_custkey)
+    return joined.select(F.lit("orders").alias("series"), F.to_date("o_orderdate").alias("d"), F.col("o_orderpriority").alias("metric"), F.col("c_mktsegment").alias("site"), (F.col("o_totalprice") / 100000).alias("value"))
+
+
+def priority_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(series, d, y): mean order value by day, a series for each order priority."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return o.groupBy(F.col("o_orderpriority").alias("series"), F.to_date("o_orderdate").alias("d")).agg((F.avg("o_totalprice") / 100000).alias("y"))
