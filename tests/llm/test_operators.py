@@ -287,6 +287,7 @@ def test_lm_counts_and_rounds_cover_all_documents(spark):
     ids = vocab.n_vocab + 2
     texts = [*EDGES, *(prose(60, i) for i in range(30))]
     assert [vocab.decode(lm.encode(vocab, t)) for t in texts] == [t or "" for t in texts]
+    assert all(np.array_equal(lm.unpack(lm.pack(x)), x) for x in (np.array([], "<u4"), np.array([1, 65535], "<u4"), np.array([1, 65536], "<u4")))
     rows = docs(spark, texts).select(F.col("doc_id").alias("row"), "doc_id", F.lit(False).alias("held_out"), "text")
     coded = [lm.encode(vocab, t).astype(np.int64) for t in texts]
     one, three = (lm.encoded(rows.repartition(n, "doc_id"), source).persist() for n in (1, 3))
@@ -296,13 +297,13 @@ def test_lm_counts_and_rounds_cover_all_documents(spark):
     start = attention.untrained(of)
     # One task and one round is a plain fit over all texts in the task's order; more tasks give the weighted mean of theirs.
     alone = attention.Fit(start, of, 0.01)
-    alone.learn([np.frombuffer(r.ids, "<u4").astype(np.int64) for r in one.select("ids").collect()])
+    alone.learn([lm.unpack(r.ids) for r in one.select("ids").collect()])
     assert alone.targets == sum(len(t) + 1 for t in coded)
     got = lm.follow(start, of, one, rounds=1, rate=0.01, draw=1)
     assert all(np.allclose(got[k], alone.p[k], atol=1e-5) for k in got)
     parts = []
     for part in range(3):
-        own = [np.frombuffer(r.ids, "<u4").astype(np.int64) for r in three.where(F.spark_partition_id() == part).select("ids").collect()]
+        own = [lm.unpack(r.ids) for r in three.where(F.spark_partition_id() == part).select("ids").collect()]
         if own:
             f = attention.Fit(start, of, 0.01, seed=part)
             f.learn(own)
@@ -330,7 +331,115 @@ def test_parameters_are_not_cut():
     assert (1 - 0.8**linededup.BAND) ** (linededup.SLOTS // linededup.BAND) < 0.006
 
 
+def test_decontamination_edges(spark):
+    benchmark = spark.createDataFrame([(1, "42"), (2, "Rome"), (3, "It has 12 legs"), (4, "")], "item_id long, text string")
+    texts = ["we saw 42 of them in Rome", "42", "Look: it has 12 legs and it runs", "It has 13 legs", *EDGES]
+    got = {(r.doc_id, r.item_id) for r in decontam.leaks(docs(spark, texts), benchmark).collect()}
+    assert got == {(1, 1), (2, 3)}  # a number or name alone is an item only where nothing else is said
+    assert decontam.leaks(docs(spark, texts), benchmark.where("item_id < 0")).count() == 0
+    assert decontam.clean(docs(spark, texts), benchmark).count() == len(texts) - 2
+
+
+def test_next_document_with_sparse_null_and_repeated_ids(spark):
+    r = random.Random(9)
+    rows = [(r.getrandbits(62) - (1 << 61), prose(30, i)) for i in range(60)] + [(None, prose(20, 70)), (None, None), (5, "a b"), (5, "a b"), (5, "c d")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    got = syncmers.with_next(d.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))).collect()
+    assert len(got) == len(rows)
+    ids = [x.doc_id for x in got]
+    ordered = sorted(got, key=lambda x: (x.doc_id is not None, x.doc_id or 0))
+    by_id = {}
+    for x in ordered:
+        by_id.setdefault(x.doc_id, set()).add(x.text)
+    keys = list(by_id)
+    for k, after in zip(keys, keys[1:] + keys[:1]):
+        last = [x.next_text for x in got if x.doc_id == k]
+        assert all(t in by_id[k] | by_id[after] for t in last) and sum(t in by_id[after] - by_id[k] or after == k for t in last) >= 1
+    assert sorted(map(str, ids)) == sorted(str(i) for i, _ in rows)
+
+
+def test_pages_do_not_depend_on_partitions(spark):
+    """Old pages without article: the shared lines go, whatever the partitions, and every page loses its template."""
+    def body(i, host):
+        lines = [f"Welcome to {host}", "Latest news", *(f"Story {i} of {host} part {k} " + prose(6, 100 * i + k) for k in range(3)), f"All about {host}", "Write to us"]
+        return "<body>" + "".join(f"<div>{x}</div>" for x in lines) + "</body>"
+
+    rows = [(100 * h + i, f"http://h{h}.x/a/{i}", body(i, f"h{h}")) for h in range(3) for i in range(20)] + [(999, "http://h0.x/a/3", body(3, "h0"))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    found = []
+    for n in ("1", "3", "50"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        found.append(sorted(tuple(r) for r in html.extract(pages).collect()))
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[1] == found[2] and len(found[0]) == 61
+    for page_id, _, text, n in found[0]:
+        assert "Welcome" not in text and "Write to us" not in text and "Latest" not in text and text.count("Story") == 3 and n == len(text)
+
+
+def test_shared_lines_against_brute_force():
+    r = random.Random(1)
+
+    def lcs(a, b):
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        return best[-1][-1]
+
+    for _ in range(200):
+        a, b = (r.sample("abcdefghij", r.randint(0, 9)) for _ in range(2))
+        assert len(html.shared_lines(a, b)) == lcs(a, b)
+
+
+@pytest.mark.parametrize("module,label", [(quality, "quality"), (toxicity, "toxic")])
+def test_classifier_edges(spark, module, label):
+    d, y = labelled(spark, lambda i: prose(40, i) + " you idiot", lambda i: prose(40, i), label, 40)
+    more = spark.createDataFrame([(None, "x", 1.0), (7, prose(30, 7), 1.0), (7, prose(30, 7), 1.0), (900, "long words here " * 20000, 1.0)], "doc_id int, text string, score double")
+    both = d.select(F.col("doc_id").cast("int").alias("doc_id"), "text", F.lit(0.0).alias("score")).unionByName(more)
+    got = module.classify(both, y).collect()
+    assert len(got) == 46 and all(0 <= r.score <= 1 for r in got)
+    assert module.classify(both.where("doc_id < -5"), y).count() == 0
+
+
+def test_language_edges(spark):
+    d = spark.createDataFrame([(i, prose(50, i), "aa") for i in range(40)] + [(90, "long text again " * 20000, "aa")], "doc_id long, text string, lang string")
+    model = langid.fit(d)
+    clash = d.withColumn("score", F.lit(7)).withColumn("lang_pred", F.lit("zz"))
+    got = langid.predict(clash, model)
+    assert got.columns == ["doc_id", "text", "lang", "lang_pred", "score", "bits_per_byte"] and {r.lang_pred for r in got.collect()} == {"aa"}
+    foreign = spark.createDataFrame([(1, "\u0440\u0443\u0441\u0441\u043a\u0438\u0439 \u0442\u0435\u043a\u0441\u0442 " * 20)], "doc_id long, text string")
+    assert langid.predict(foreign, model).first().bits_per_byte > 1
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 100
+
+
+def test_pipeline_contents(spark, tmp_path):
+    """Each stage's decision on a small table: who goes, who stays, and that all columns pass."""
+    import corpus_pipeline
+
+    same = prose(120, 500)
+    item = prose(40, 600)
+    rows = [(i, prose(80, i), "en") for i in range(40)] + [(50, None, "en"), (51, "", "en"), (52, "12 34 !", "en"), (60, same, "en"), (61, same, "en"), (70, f"{prose(30, 71)}\n{item}\n{prose(30, 72)}", "en"), (80, "very long words " * 9000, "en")]
+    d = spark.createDataFrame([(i, t, x, 1.5, "doc", len(t or "")) for i, t, x in rows], "doc_id long, text string, lang string, score double, id string, n_chars int")
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    left, seen = d, {}
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, left, str(tmp_path))
+        assert i == 4 or out.columns == d.columns
+        out.write.parquet(f"{tmp_path}/{name}")
+        left = spark.read.parquet(f"{tmp_path}/{name}")
+        seen[name] = {r.doc_id for r in left.select("doc_id").collect()}
+    everyone = {i for i, _, _ in rows}
+    assert seen["language_id"] == everyone - {50, 51, 52}
+    assert seen["line_dedup"] == seen["language_id"]
+    lines = {r.doc_id: r.text for r in spark.read.parquet(f"{tmp_path}/line_dedup").collect()}
+    assert lines[60] == same and lines[61] == "" and lines[70].count("\n") == 2
+    assert seen["simhash_dedup"] == seen["line_dedup"] and seen["decontaminate"] == seen["simhash_dedup"] - {70}
+    assert seen["bpe"] == seen["decontaminate"]
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(seen["bpe"])
