@@ -19,7 +19,9 @@ from .text import Words, mix
 
 BITS = 20
 TRAIN_ROWS = 6000
-ALPHA, BETA, L1, L2 = 0.2, 1.0, 2.0, 1.0
+ALPHA, BETA, L2 = 0.2, 1.0, 1.0
+#: L1 is this times the square root of the number of training rows of the rarer label, as a feature's noise grows with it.
+SPARSITY = 0.5
 EPOCHS = 3
 STEMS = (4, 6)
 
@@ -39,11 +41,13 @@ def featurize(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 def fit(sample: list[tuple[int, np.ndarray]], epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
     """(weights, bias) by FTRL-proximal over the sample, in a fixed order; the bias has no L1 term."""
     size = 1 << BITS
+    toxic = sum(y == 1 for y, _ in sample)
+    strength = SPARSITY * min(toxic, len(sample) - toxic) ** 0.5
     z, n = np.zeros(size + 1), np.zeros(size + 1)  # the last is the bias
 
     def weight(i: np.ndarray) -> np.ndarray:
         zi = z[i]
-        l1 = np.where(i == size, 0.0, L1)
+        l1 = np.where(i == size, 0.0, strength)
         return np.where(np.abs(zi) <= l1, 0.0, -(zi - np.sign(zi) * l1) / ((BETA + np.sqrt(n[i])) / ALPHA + L2))
 
     order = np.random.default_rng(0)
