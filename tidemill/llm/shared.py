@@ -5,9 +5,10 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
+from contextvars import ContextVar
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -34,7 +35,38 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-_cuts: list[tuple[SparkSession, str]] = []
+class Scope:
+    """What was cached and cut while it was entered, to be freed once the results that use it are written.
+
+    Only that: tables of other calls, whose results may not have been read yet, stay. Outside any scope caches and cuts
+    belong to the session.
+    """
+
+    def __init__(self) -> None:
+        self._kept: list[DataFrame] = []
+        self._cuts: list[tuple[SparkSession, str]] = []
+
+    def __enter__(self) -> Scope:
+        self._token = _scope.set(self)
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        _scope.reset(self._token)
+
+    def release(self) -> None:
+        while self._kept:
+            self._kept.pop().unpersist()
+        while self._cuts:
+            delete(*self._cuts.pop())
+
+
+_scope: ContextVar[Scope | None] = ContextVar("scope", default=None)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Removes a folder of the shared file system, if it is there."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -42,27 +74,34 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_folder(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _cuts.append((spark, path))
+    if scope := _scope.get():
+        scope._cuts.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
-_kept: list[DataFrame] = []
-
-
 def keep(df: DataFrame, level: StorageLevel | None = None) -> DataFrame:
     """``df`` cached (in memory and on disk, or at ``level``), for a table used more than once; lost parts are worked out again."""
-    _kept.append(df.persist() if level is None else df.persist(level))
-    return df
+    if scope := _scope.get():
+        scope._kept.append(df)
+    return df.persist() if level is None else df.persist(level)
+
 
+def running(rows: DataFrame, order: list[Column], value: Column, name: str) -> DataFrame:
+    """rows with ``name``: the sum of the integer ``value`` over all rows before, in the total order ``order``.
 
-def release() -> None:
-    """Frees what ``keep`` cached and deletes what ``cut`` wrote, once the results that use it are written."""
-    while _kept:
-        _kept.pop().unpersist()
-    while _cuts:
-        spark, path = _cuts.pop()
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    Rows are dealt by ranges and cut there, so that each range keeps its number; the driver gets one sum a range, and
+    a window within each range does the rest. Add an id of the row to ``order`` where equal keys can be many.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cut(rows.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()))
+    sums = {r[0]: r[1] for r in dealt.groupBy("_range").agg(F.sum(value)).collect()}
+    before, total = [], 0
+    for i in range(max(sums, default=-1) + 1):
+        before.append(total)
+        total += sums.get(i) or 0
+    start = F.from_json(F.lit(json.dumps(before)), "array<long>")[F.col("_range")]
+    inside = F.sum(value).over(Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    return dealt.withColumn(name, (start + F.coalesce(inside, F.lit(0))).cast("long")).drop("_range")
 
 
 def fold(doc_id: str, n: int) -> Column:
