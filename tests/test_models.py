@@ -165,11 +165,132 @@ def test_selection_against_plain_solver(spark, history):
 
 
 def test_label_lag_reads_nothing_later(spark):
+    """The days themselves change, so own columns change as well where they look too far."""
     cfg = ForecastConfig(cap=None, n_alphas=10, horizon=2, train_window=60, label_lag=3, origin_start="2020-03-20", origin_end="2020-03-20")
-    a, b = plan.matrix(days(spark)), plan.matrix(days(spark))
-    b = b.withColumn("y", F.when(F.col("d") > F.lit("2020-03-17").cast("date"), F.col("y") + 9).otherwise(F.col("y")))
-    pa, pb = ({r.horizon: r.predicted for r in models.rolling_forecast(m, cfg).collect()} for m in (a, b))
+    a = days(spark)
+    b = a.withColumn("y", F.when(F.col("d") > F.lit("2020-03-17").cast("date"), F.col("y") + 9).otherwise(F.col("y")))
+    c = a.withColumn("y", F.when(F.col("d") <= F.lit("2020-03-17").cast("date"), F.col("y")))  # not reported yet at all
+    pa, pb, pc = ({r.horizon: r.predicted for r in models.rolling_forecast(plan.matrix(x, lag=3), cfg).collect()} for x in (a, b, c.where("d <= '2020-03-22'")))
     assert len(pa) == 2 and all(abs(pa[h] - pb[h]) < 1e-9 for h in pa)
+    assert pc == {} and plan.matrix(c, lag=3).where("y is null").count() == 3
+    ahead = plan.matrix(c.where("d <= '2020-03-20'"), lag=3, ahead=2)
+    pd_ = {r.horizon: r.predicted for r in models.rolling_forecast(ahead, cfg).collect()}
+    assert all(abs(pa[h] - pd_[h]) < 1e-9 for h in pa)
+
+
+def test_days_to_come_against_plain_solver(spark, history):
+    _, op, cal, y, d = history
+    m = plan.matrix(days(spark), ahead=3)
+    full = m.orderBy("row_idx").toPandas()
+    assert full.d.tolist() == d + [d[-1] + dt.timedelta(days=i) for i in (1, 2, 3)] and full.op.isna().sum() == 3
+    late = np.array(full.cal.tolist())
+    assert np.allclose(late[: len(y)], cal) and late[-1][:6].tolist() == [float(full.d.iloc[-1].weekday() == i) for i in range(6)]
+    got = {(r.origin_date, r.horizon): r for r in plan.future(m, CFG).collect()}
+    n = len(y)
+    assert set(got) == {(d[n - 1 - k], h) for k in range(3) for h in range(k + 1, 4)}
+    models_of = {r.horizon: r for r in models.global_models(plan.matrix(days(spark)), CFG).collect()}
+    for (origin, h), r in got.items():
+        o = d.index(origin)
+        x = np.hstack([op[o - 39 : o + 1 - h], cal[o - 39 + h : o + 1]])
+        z, mean, sd = scaled(x)
+        b, c = slow_enet(z, y[o - 39 + h : o + 1], slow_alpha(z, y[o - 39 + h : o + 1], 8))
+        new = np.append(op[o], late[o + h])
+        want = (new - mean) / sd @ b + c
+        if h > 1:
+            want = (want + new @ np.array(models_of[h].coef) + models_of[h].intercept) / 2
+        assert r.actual is None and r.forecast_date == origin + dt.timedelta(days=h)
+        assert np.isclose(r.predicted, min(max(want, r.floor), 1.9), atol=2e-3)
+    plain = {(r.origin_date, r.horizon): r.predicted for r in models.rolling_forecast(plan.matrix(days(spark)), CFG).collect()}
+    same = {(r.origin_date, r.horizon): r.predicted for r in models.rolling_forecast(m, CFG).collect() if r.origin_date <= d[n - 4]}
+    assert same == pytest.approx(plain)
+
+
+def test_weather_by_horizon(spark, history):
+    m, op, cal, y, d = history
+    from tidemill.operators import weather
+
+    r = np.random.default_rng(6)
+    every = [d[0] + dt.timedelta(days=i) for i in range(-3, len(d) + 4)]
+    actual = {x: [float(v), float(v) * 2] for x, v in zip(every, r.standard_normal(len(every))) if r.random() > 0.1}
+    ahead = {(x, k): [float(r.standard_normal()), None] for x in every for k in range(1, 8) if r.random() > 0.3}
+    a = spark.createDataFrame([(x, *v) for x, v in actual.items()], "date date, one double, two double")
+    f = spark.createDataFrame([(x, k, *v) for (x, k), v in ahead.items()], "date date, lead_day int, one double, two double")
+
+    def at(day, k):
+        none = [None, None]
+        x, z = actual.get(day + dt.timedelta(days=k), none), ahead.get((day + dt.timedelta(days=k), min(k, 7)), none) if k > 0 else none
+        return [q if q is not None else p for p, q in zip(x, z)]
+
+    def known(day, h):
+        three = [v for v in (at(day, h - j)[0] for j in range(3)) if v is not None]
+        return [*at(day, h), np.mean(three) if three else None]
+
+    got = {x.d: x.wx for x in weather.by_horizon(m, a, f, ["one", "two"], ["one"], 9).collect()}
+    for day in d:
+        for h in range(1, 10):
+            assert [None if v is None else round(v, 9) for v in got[day][h - 1]] == [None if v is None else round(v, 9) for v in known(day, h)]
+    both = plan.with_weather(m, a, f, ["one", "two"], ["one"], 3)
+    rows = {(x.origin_date, x.horizon): x for x in models.rolling_forecast(both, CFG, stride=15).collect()}
+    fitted = {x.horizon: x for x in models.global_models(both, CFG).collect()}
+    whole = {(x.origin_date, x.horizon): x.predicted for x in plan.global_forecast(both, models.global_models(both, CFG), CFG).collect()}
+    wx = np.array([[[0.0 if v is None else v for v in known(day, h)] for h in (1, 2, 3)] for day in d])
+    for o in (39, 54):
+        for h in (1, 3):
+            x = np.hstack([op[o - 39 : o + 1 - h], cal[o - 39 + h : o + 1], wx[o - 39 : o + 1 - h, h - 1]])
+            z, mean, sd = scaled(x)
+            t = y[o - 39 + h : o + 1]
+            b, c = slow_enet(z, t, slow_alpha(z, t, 8))
+            new = np.concatenate([op[o], cal[o + h], wx[o, h - 1]])
+            assert np.isclose(rows[d[o], h].predicted, (new - mean) / sd @ b + c, atol=2e-3)
+            assert len(fitted[h].coef) == len(new) and np.isclose(whole[d[o], h], new @ np.array(fitted[h].coef) + fitted[h].intercept)
+    # Changing the observed weather of a later day changes nothing where there is a forecast of it.
+    full = spark.createDataFrame([(x, k, 1.0, 1.0) for x in every for k in range(1, 8)], f.schema)
+    moved = a.withColumn("one", F.when(F.col("date") > F.lit(d[54]), F.col("one") + 9).otherwise(F.col("one")))
+    one, two = ({x.d: x.wx for x in weather.by_horizon(m, w, full, ["one", "two"], ["one"], 9).collect()}[d[54]] for w in (a, moved))
+    assert one == two
+
+
+def fits_of(df):
+    """Grouped fits in the physical plan, without those that a cache holds."""
+    return df._jdf.queryExecution().executedPlan().toString().count("FlatMapGroupsInPandas")
+
+
+def test_every_model_is_fitted_once(spark, history):
+    m, *_ = history
+    assert fits_of(plan.numbered_forecast(m, CFG)) == 3  # rolling; penalties and weights of the global models
+    assert fits_of(plan.holdout(m, CFG, "2020-03-01")) == 2
+    assert fits_of(models.window_sweep(m, CFG, [30, 40])) == 1
+    dictionary = spark.createDataFrame([(i, n, n, "op" if n in plan.OWN else "calendar") for i, n in enumerate(plan.NAMES)], "ordinal int, predictor string, metric string, kind string")
+    assert fits_of(models.seed_and_expand(models.selection_counts(m, plan.NAMES, CFG), dictionary, CFG)) == 1
+
+
+def test_ledger_serves_both_phases(spark, history):
+    m, op, cal, y, d = history
+    cfg = CFG.with_(horizon=2, stride=7)
+    ledger = models.selection_ledger(m, plan.NAMES, cfg).persist()
+    show = lambda df: sorted((r.predictor, r.n_selected, r.total_slots) for r in df.collect())
+    assert show(models.ledger_counts(ledger)) == show(models.selection_counts(m, plan.NAMES, cfg))
+    cut = d[60]
+    early = m.where(F.col("d") <= F.lit(cut))
+    assert show(models.ledger_counts(ledger, str(cut))) == show(models.selection_counts(early, plan.NAMES, cfg))
+    old = models.selection_ledger(early, plan.NAMES, cfg).persist()
+    done = old.agg(F.max("window_start")).first()[0]
+    new = models.selection_ledger(m, plan.NAMES, cfg, done)
+    assert new.count() > 0 and sorted(map(tuple, old.unionByName(new).collect())) == sorted(map(tuple, ledger.collect()))
+    ahead = models.selection_ledger(plan.matrix(days(spark), ahead=10), plan.NAMES, cfg)
+    assert sorted(map(tuple, ahead.collect())) == sorted(map(tuple, ledger.collect()))
+
+
+def test_seeds_and_expansion(spark):
+    rows = [(0, "a1", "a", "op", 50), (1, "a2", "a", "op", 5), (2, "a3", "a", "op", 4), (3, "b1", "b", "op", 3), (4, "c1", "c", "op", None), (5, "cal", "cal", "calendar", 99), (6, "m", "t", "op", 1)]
+    counts = spark.createDataFrame([(p, n, 100) for _, p, _, _, n in rows if n is not None], "predictor string, n_selected long, total_slots long")
+    names = spark.createDataFrame([r[:4] for r in rows], "ordinal int, predictor string, metric string, kind string")
+    cfg = CFG.with_(top=4, min_frequency=0.05)
+    got = {r.predictor: (r.seed, r.expanded, r.in_model, r.forced) for r in models.seed_and_expand(counts, names, cfg, ("m",)).collect()}
+    yes, no = True, False
+    assert got == {"a1": (yes, yes, yes, no), "a2": (yes, yes, yes, no), "a3": (yes, no, no, no), "b1": (yes, no, no, no), "c1": (no, no, no, no), "cal": (no, no, yes, yes), "m": (no, no, yes, no)}
+    bare = {r.predictor: r.in_model for r in models.seed_and_expand(counts, names.drop("kind"), cfg.with_(top=1)).collect()}
+    assert bare["cal"] and not bare["a1"]
 
 
 def test_several_series_do_not_mix(spark, history):

@@ -93,9 +93,12 @@ def significance(correlated: DataFrame, level: float = 0.05) -> DataFrame:
     return correlated.withColumn("p", p("t", "n")).withColumn("significant", F.col("p") < level)
 
 
-def forecast_ids(detail: DataFrame) -> DataFrame:
-    """1-based forecast_id over origins by date; the origins are a short list beside the detail."""
-    ids = detail.select("origin_date").distinct().withColumn("forecast_id", F.row_number().over(Window.orderBy("origin_date")))
+def forecast_ids(detail: DataFrame, origins: DataFrame | None = None) -> DataFrame:
+    """1-based forecast_id over origins by date; the origins are a short list beside the detail.
+
+    origins (origin_date, ...): those that detail has, where they are known without it; detail is then worked out once.
+    """
+    ids = (detail if origins is None else origins).select("origin_date").distinct().withColumn("forecast_id", F.row_number().over(Window.orderBy("origin_date")))
     return detail.drop("forecast_id").join(ids, "origin_date")
 
 

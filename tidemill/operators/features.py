@@ -45,9 +45,9 @@ def rolling(df: DataFrame, value: str, *keys: str, width: int = 7, order: str =
     )
 
 
-def trailing_floor(df: DataFrame, value: str, *keys: str, lookback: int = 90, q: float = 0.05, order: str = "row_idx") -> DataFrame:
-    """The interpolated q-quantile of rows from ``lookback`` + 2 to 3 before each."""
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(-lookback - 2, -3)
+def trailing_floor(df: DataFrame, value: str, *keys: str, lookback: int = 90, q: float = 0.05, order: str = "row_idx", late: int = 3) -> DataFrame:
+    """The interpolated q-quantile of the ``lookback`` rows that end ``late`` before each."""
+    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(1 - lookback - late, -late)
     return df.withColumn("floor", F.expr(f"percentile({value}, {q})").over(w))
 
 
@@ -60,6 +60,13 @@ def targets_ahead(df: DataFrame, value: str, *keys: str, horizon: int = 10, orde
     return rows.select(*df.columns, F.inline("_ahead")).where("target_date is not null")
 
 
+def with_future(rows: DataFrame, ahead: int, *keys: str) -> DataFrame:
+    """rows with ``ahead`` more for each of keys: the calendar days after its last one, all other columns null."""
+    last = rows.groupBy(*keys).agg(F.max("d").alias("_last"))
+    days = last.select(*keys, F.explode(F.sequence(F.lit(1), F.lit(ahead))).alias("_k"), "_last").select(*keys, F.date_add("_last", F.col("_k")).alias("d"))
+    return rows.unionByName(days, allowMissingColumns=True)
+
+
 def training_windows(df: DataFrame, *keys: str, window: int = 90, horizon: int = 10, stride: int = 14) -> DataFrame:
     """Each window's rows: window_start beside the row, for starts 0, stride, ... while window and horizon fit.
 

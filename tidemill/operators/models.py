@@ -1,12 +1,19 @@
 """Fits over many (series, origin, horizon) groups: rolling and global models, selection, ensemble.
 
 A matrix is (series, d, row_idx, y, op, cal): ``op`` is known at the row, ``cal`` (calendar) in advance, so models take
-``op`` at row t and ``cal`` at the target's row t + h. A group of work is a block of consecutive origins of a series
-with the rows their windows need, so a row is copied a few times however many origins and horizons use it.
+``op`` at row t and ``cal`` at the target's row t + h. A matrix may have ``wx`` as well, the weather of its horizons:
+element h - 1 is what row t knows of the target's day (``weather.by_horizon``), so those columns change with h. Rows with
+a null ``op`` are days to come: targets, but no origins. Rows with a null ``y`` teach nothing; an origin may be one. A
+boolean ``origin``, where there is one, says which rows are forecast from.
+
+A group of work is a block of consecutive origins of a series with the rows their windows need, so a row is copied a few
+times however many origins, windows and horizons use it.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -19,7 +26,9 @@ from .features import trailing_floor
 
 DETAIL = "series string, train_win int, origin_date date, horizon int, forecast_date date, actual double, predicted double, floor double, alpha double, coef array<double>"
 #: Origins of a block, and origins whose fits run at once.
-BLOCK, AT_ONCE = 64, 16
+BLOCK, AT_ONCE = 32, 16
+#: Tasks for each shuffle partition of the session: fits are long and groups few, so that small tasks fill the cores evenly.
+TASKS = 4
 
 
 def _blocks(rows: DataFrame, before: int, after: int, size: int) -> DataFrame:
@@ -30,57 +39,104 @@ def _blocks(rows: DataFrame, before: int, after: int, size: int) -> DataFrame:
     low = F.greatest(F.ceil((F.col("row_idx") - after - size + 1) / size), F.lit(0)).cast("int")
     high = F.floor((F.col("row_idx") + before) / size).cast("int")
     spread = rows.withColumn("block", F.explode(F.sequence(low, high)))
-    return spread.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "series", "block")
+    return _dealt(spread, "series", "block")
+
+
+def _dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.repartition(TASKS * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def _matrix(values: pd.Series) -> np.ndarray:
+    """Rows of equally long arrays as a matrix; a null row, and a null element, is 0."""
+    width = next((len(v) for v in values if v is not None), 0)
+    none = np.zeros(width)
+    return np.nan_to_num(np.array([none if v is None else np.asarray(v, dtype=float) for v in values], dtype=float).reshape(len(values), width))
+
+
+class _Rows:
+    """A group's rows in order: op, cal, wx (rows, horizons, columns), y, and which rows can be origins."""
+
+    def __init__(self, pdf: pd.DataFrame):
+        self.op, self.cal, self.y = _matrix(pdf.op), _matrix(pdf.cal), pdf.y.to_numpy(dtype=float)
+        self.real = pdf.op.notna().to_numpy()
+        self.wx = None
+        if "wx" in pdf.columns:
+            flat = _matrix(pdf.wx.map(lambda v: None if v is None else np.concatenate([np.asarray(x, dtype=float) for x in v])))
+            self.wx = flat.reshape(len(pdf), -1 if flat.size else 1, len(next((v[0] for v in pdf.wx if v is not None), [])))
+
+    def later(self, rows: slice, h: int, at_target: bool = True) -> np.ndarray:
+        """What rows know of their targets h rows on: the calendar, and the weather of the horizon."""
+        cal = self.cal[rows.start + h : rows.stop + h] if at_target else self.cal[rows]
+        return cal if self.wx is None else np.hstack([cal, self.wx[rows, h - 1]])
+
+
+def _inputs(matrix: DataFrame, *names: str) -> DataFrame:
+    return matrix.select(*names, *(c for c in ("wx", "origin") if c in matrix.columns))
 
 
-def _arrays(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(op, cal, y) of a group's rows in order."""
-    op, cal = (np.nan_to_num(np.array(pdf[c].tolist(), dtype=float).reshape(len(pdf), -1)) for c in ("op", "cal"))
-    return op, cal, pdf.y.to_numpy(dtype=float)
+def origins(matrix: DataFrame, cfg: ForecastConfig, windows: tuple[int, ...] = (), stride: int = 1) -> DataFrame:
+    """(series, origin_date) of the rows that ``rolling_forecast`` forecasts from, without a fit."""
+    shortest = min(windows, default=cfg.train_window)
+    rows = matrix.withColumn("_n", F.max("row_idx").over(Window.partitionBy("series")))
+    due = [(F.col("row_idx") >= w - 1) & ((F.col("row_idx") - w + 1) % stride == 0) for w in windows or (shortest,)]
+    rows = rows.where(F.col("op").isNotNull() & (F.col("row_idx") + cfg.horizon <= F.col("_n")) & reduce(lambda a, b: a | b, due))
+    if "origin" in matrix.columns:
+        rows = rows.where("origin")
+    if cfg.origin_start:
+        rows = rows.where(F.col("d") >= F.lit(cfg.origin_start).cast("date"))
+    if cfg.origin_end:
+        rows = rows.where(F.col("d") <= F.lit(cfg.origin_end).cast("date"))
+    return rows.select("series", F.col("d").alias("origin_date"))
 
 
-def rolling_forecast(matrix: DataFrame, cfg: ForecastConfig, partial: bool = False, calendar_at_target: bool = True, stride: int = 1) -> DataFrame:
+def rolling_forecast(matrix: DataFrame, cfg: ForecastConfig, partial: bool = False, calendar_at_target: bool = True, stride: int = 1, windows: tuple[int, ...] = ()) -> DataFrame:
     """Forecast detail of the rolling model, not clipped yet: for each origin and horizon a fit on its own window.
 
-    Columns that don't vary in the window get no weight. ``partial`` leaves the calendar unpenalised; without
+    Columns that don't vary in the window get no weight. ``partial`` leaves calendar and weather unpenalised; without
     ``calendar_at_target`` all columns are taken at the row (the baseline). ``coef`` is that of standardised columns,
-    op first. Origins are rows with a full window behind and all targets ahead, every ``stride`` of them.
+    op first, then calendar, then weather. Origins are rows with a full window behind and a row for every horizon
+    ahead, every ``stride`` of them. Several ``windows`` (cfg.train_window if none is given) share one pass over the
+    rows. Days to come have no actual.
     """
-    window, horizon, lag = cfg.train_window, cfg.horizon, cfg.label_lag
+    windows = tuple(windows) or (cfg.train_window,)
+    horizon, lag = cfg.horizon, cfg.label_lag
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("row_idx", ignore_index=True)
-        op, cal, y = _arrays(pdf)
-        n_op = op.shape[1]
-        mask = np.arange(n_op + cal.shape[1]) < n_op if partial and calendar_at_target else None
+        rows = _Rows(pdf)
+        op, y = rows.op, rows.y
+        extra = rows.cal.shape[1] + (0 if rows.wx is None else rows.wx.shape[2])
+        mask = np.arange(op.shape[1] + extra) < op.shape[1] if partial and calendar_at_target else None
         first = int(pdf.row_idx[0])
-        own = pdf.row_idx // BLOCK == pdf.block[0]
-        fits = own & (pdf.row_idx >= window - 1) & ((pdf.row_idx - window + 1) % stride == 0)
+        able = rows.real & (pdf.row_idx // BLOCK == pdf.block[0]).to_numpy()
+        if "origin" in pdf.columns:
+            able &= pdf.origin.to_numpy(dtype=bool)
         if cfg.origin_start:
-            fits &= pdf.d >= pd.Timestamp(cfg.origin_start).date()
+            able &= (pdf.d >= pd.Timestamp(cfg.origin_start).date()).to_numpy()
         if cfg.origin_end:
-            fits &= pdf.d <= pd.Timestamp(cfg.origin_end).date()
-        origins = [o for o in np.flatnonzero(fits) if o + horizon < len(pdf) and pdf.row_idx[o + horizon] == first + o + horizon]
+            able &= (pdf.d <= pd.Timestamp(cfg.origin_end).date()).to_numpy()
+        able = [o for o in np.flatnonzero(able) if o + horizon < len(pdf) and pdf.row_idx[o + horizon] == first + o + horizon]
+        todo = [(w, o) for w in windows for o in able if pdf.row_idx[o] >= w - 1 and (pdf.row_idx[o] - w + 1) % stride == 0]
         out = []
-        for at in range(0, len(origins), AT_ONCE):
+        for at in range(0, len(todo), AT_ONCE):
             keys, xs, ys, news = [], [], [], []
-            for o in origins[at : at + AT_ONCE]:
-                start = o - window + 1
+            for w, o in todo[at : at + AT_ONCE]:
+                start = o - w + 1
                 varies = op[start : o + 1].std(axis=0) > 0
                 for h in range(1, horizon + 1):
                     known = o + 1 - lag  # targets up to the origin less the lag
-                    x = np.where(varies, op[start : known - h], 0.0)
-                    c = cal[start + h : known] if calendar_at_target else cal[start : known - h]
-                    keys.append((o, h))
-                    xs.append(np.hstack([x, c]))
-                    ys.append(y[start + h : known])
-                    news.append(np.concatenate([np.where(varies, op[o], 0.0), cal[o + h] if calendar_at_target else cal[o]]))
-            for (o, h), x, (coef, intercept, alpha, scaled) in zip(keys, news, fit_many(xs, ys, cfg.l1_ratio, cfg.folds, cfg.n_alphas, mask)):
-                out.append((pdf.series[0], window, pdf.d[o], h, pdf.d[o + h], y[o + h], float(x @ coef + intercept), pdf.floor[o], alpha, scaled.tolist()))
+                    train = slice(start, known - h)
+                    use = ~np.isnan(y[start + h : known])
+                    keys.append((w, o, h))
+                    xs.append(np.hstack([np.where(varies, op[train], 0.0), rows.later(train, h, calendar_at_target)])[use])
+                    ys.append(y[start + h : known][use])
+                    news.append(np.concatenate([np.where(varies, op[o], 0.0), rows.later(slice(o, o + 1), h, calendar_at_target)[0]]))
+            for (w, o, h), x, (coef, intercept, alpha, scaled) in zip(keys, news, fit_many(xs, ys, cfg.l1_ratio, cfg.folds, cfg.n_alphas, mask)):
+                out.append((pdf.series[0], w, pdf.d[o], h, pdf.d[o + h], y[o + h], float(x @ coef + intercept), pdf.floor[o], alpha, scaled.tolist()))
         return pd.DataFrame(out, columns=[c.split()[0] for c in DETAIL.split(", ")])
 
-    rows = trailing_floor(matrix, "y", "series", lookback=cfg.floor_lookback, q=cfg.floor_quantile)
-    dealt = _blocks(rows.select("series", "d", "row_idx", "y", "op", "cal", "floor"), window - 1, horizon, BLOCK)
+    rows = trailing_floor(matrix, "y", "series", lookback=cfg.floor_lookback, q=cfg.floor_quantile, late=max(3, lag))
+    dealt = _blocks(_inputs(rows, "series", "d", "row_idx", "y", "op", "cal", "floor"), max(windows) - 1, horizon, BLOCK)
     return dealt.groupBy("series", "block").applyInPandas(run, DETAIL)
 
 
@@ -91,12 +147,8 @@ def clipped(detail: DataFrame, cfg: ForecastConfig) -> DataFrame:
 
 
 def window_sweep(matrix: DataFrame, cfg: ForecastConfig, windows: list[int], **options) -> DataFrame:
-    """Clipped forecast detail for each training window, told apart by train_win."""
-    out = None
-    for w in windows:
-        one = clipped(rolling_forecast(matrix, cfg.with_(train_window=w), **options), cfg)
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Clipped forecast detail for each training window, told apart by train_win; one pass over the rows for all."""
+    return clipped(rolling_forecast(matrix, cfg, windows=tuple(windows), **options), cfg)
 
 
 def coefficient_detail(detail: DataFrame, names: list[str]) -> DataFrame:
@@ -106,54 +158,70 @@ def coefficient_detail(detail: DataFrame, names: list[str]) -> DataFrame:
     return rows.select("series", "train_win", "origin_date", "horizon", predictor.alias("predictor"), "coefficient")
 
 
-def selection_counts(matrix: DataFrame, names: list[str], cfg: ForecastConfig) -> DataFrame:
-    """(series, predictor, n_selected, total_slots): how often each predictor is kept over windows and horizons.
+def selection_ledger(matrix: DataFrame, names: list[str], cfg: ForecastConfig, done: int | None = None) -> DataFrame:
+    """(series, window_start, window_end, predictor, n, slots): how often each window's fits keep a predictor, over horizons.
 
-    names: those of op, then of cal; all columns are taken at the row, and a window's fits see its own rows only.
-    Predictors that are never kept have 0.
+    names: those of op, then of cal; all columns are taken at the row, and a window's fits see its own rows only, so a
+    window's part never changes when days are added. window_end is the day of the last row that the window asks for (its
+    horizons included). Windows up to the start ``done`` are left out: a ledger that is kept has them. Windows that start
+    at rows without op, or reach beyond the last y, don't count.
     """
     span, block = cfg.selection_window, 2 * cfg.stride
-    last = F.max("row_idx").over(Window.partitionBy("series"))
-    rows = matrix.select("series", "row_idx", "y", "op", "cal", (last + 1 - span - cfg.horizon).alias("last"))
+    each = Window.partitionBy("series")
+    rows = matrix.where("op is not null and y is not null")
+    rows = rows.select("series", "row_idx", "d", "y", "op", "cal", (F.max("row_idx").over(each) + 1 - span - cfg.horizon).alias("last"))
+    ends = F.lead("d", span + cfg.horizon - 1).over(each.orderBy("row_idx"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("row_idx", ignore_index=True)
-        op, cal, y = _arrays(pdf)
-        x = np.hstack([op, cal])
-        starts = np.flatnonzero((pdf.row_idx // block == pdf.block[0]) & (pdf.row_idx % cfg.stride == 0) & (pdf.row_idx <= pdf["last"]))
-        kept, slots = np.zeros(len(names), np.int64), 0
-        for i in starts:
+        rows = _Rows(pdf)
+        x, y = np.hstack([rows.op, rows.cal]), rows.y
+        starts = (pdf.row_idx // block == pdf.block[0]) & (pdf.row_idx % cfg.stride == 0) & (pdf.row_idx <= pdf["last"])
+        if done is not None:
+            starts &= pdf.row_idx > done
+        out = []
+        for i in np.flatnonzero(starts):
             train = np.where(x[i : i + span].std(axis=0) > 0, x[i : i + span], 0.0)
             hs = range(1, cfg.horizon + 1)
             fits = fit_many([train[: span - h] for h in hs], [y[i + h : i + span] for h in hs], cfg.l1_ratio, cfg.folds, cfg.n_alphas)
-            kept += sum((b != 0).astype(np.int64) for _, _, _, b in fits)
-            slots += len(fits)
-        out = [(pdf.series[0], name, int(n), slots) for name, n in zip(names, kept)] if slots else []
-        return pd.DataFrame(out, columns=["series", "predictor", "n", "slots"])
+            kept = sum((b != 0).astype(np.int64) for _, _, _, b in fits)
+            out += [(pdf.series[0], int(pdf.row_idx[i]), pdf.end[i], name, int(n), len(fits)) for name, n in zip(names, kept)]
+        return pd.DataFrame(out, columns=["series", "window_start", "window_end", "predictor", "n", "slots"])
+
+    found = _blocks(rows.withColumn("end", ends), 0, span - 1, block).groupBy("series", "block")
+    return found.applyInPandas(run, "series string, window_start int, window_end date, predictor string, n long, slots long")
+
+
+def ledger_counts(ledger: DataFrame, until: str | None = None) -> DataFrame:
+    """(series, predictor, n_selected, total_slots) over a ledger's windows that end by ``until``; never kept ones have 0."""
+    rows = ledger if until is None else ledger.where(F.col("window_end") <= F.lit(until).cast("date"))
+    return rows.groupBy("series", "predictor").agg(F.sum("n").alias("n_selected"), F.sum("slots").alias("total_slots"))
+
 
-    found = _blocks(rows, 0, span - 1, block).groupBy("series", "block").applyInPandas(run, "series string, predictor string, n long, slots long")
-    return found.groupBy("series", "predictor").agg(F.sum("n").alias("n_selected"), F.sum("slots").alias("total_slots"))
+def selection_counts(matrix: DataFrame, names: list[str], cfg: ForecastConfig) -> DataFrame:
+    """(series, predictor, n_selected, total_slots): how often each predictor is kept over windows and horizons."""
+    return ledger_counts(selection_ledger(matrix, names, cfg))
 
 
 def seed_and_expand(counts: DataFrame, dictionary: DataFrame, cfg: ForecastConfig, always: tuple[str, ...] = ()) -> DataFrame:
     """Every predictor of dictionary (ordinal, predictor, metric, kind) with counts, seed, forced, expanded and in_model.
 
     The most frequent predictors of kind "op" are seeds; all variants of a seed's metric in at least min_frequency of
-    the slots join; other kinds are forced, and ``always`` names predictors that join in any case. rank numbers the
-    predictors by frequency. The dictionary is as small as the number of metrics, so one window ranks it.
+    the slots join, the seed itself too only if it reaches that; other kinds are forced, and ``always`` names predictors
+    that join in any case. Without ``kind`` all are "op". rank numbers the predictors by frequency. The dictionary is as
+    small as the number of metrics, so one window ranks it; the counts are read once.
     """
     one = Window.partitionBy(F.lit(1))
     kind = F.col("kind") if "kind" in dictionary.columns else F.lit("op")
     rows = dictionary.withColumn("forced", kind != "op").join(counts.select("predictor", "n_selected", "total_slots"), "predictor", "left")
     rows = rows.withColumn("n_selected", F.coalesce("n_selected", F.lit(0))).withColumn("total_slots", F.coalesce("total_slots", F.max("total_slots").over(one)))
     ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("forced").orderBy(F.desc("n_selected"), "ordinal")))
-    seed = ~F.col("forced") & (F.col("rank") <= cfg.top) & (F.col("n_selected") > 0)
-    seeds = ranked.where(seed).select("metric").distinct()
+    out = ranked.withColumn("seed", ~F.col("forced") & (F.col("rank") <= cfg.top) & (F.col("n_selected") > 0))
+    seeded = F.max(F.col("seed").cast("int")).over(Window.partitionBy("metric")) == 1
     enough = ~F.col("forced") & (F.col("n_selected") >= cfg.min_frequency * F.col("total_slots"))
-    expanded = ranked.where(enough).join(seeds, "metric", "left_semi").select("predictor", F.lit(True).alias("hit"))
-    out = ranked.join(expanded, "predictor", "left").withColumn("seed", seed).withColumn("expanded", F.coalesce("hit", F.lit(False)))
-    in_model = F.col("forced") | F.col("seed") | F.col("expanded") if "kind" not in dictionary.columns else F.col("forced") | F.col("expanded") | F.col("predictor").isin(*always)
-    return out.withColumn("in_model", in_model).withColumn("pct_selected", F.bround(100 * F.col("n_selected") / F.col("total_slots"), 2)).drop("hit")
+    out = out.withColumn("expanded", F.coalesce(enough & seeded & F.col("metric").isNotNull(), F.lit(False)))
+    out = out.withColumn("in_model", F.col("forced") | F.col("expanded") | F.col("predictor").isin(*always))
+    return out.withColumn("pct_selected", F.bround(100 * F.col("n_selected") / F.col("total_slots"), 2))
 
 
 def chosen(matrix: DataFrame, selection: DataFrame) -> tuple[DataFrame, list[str]]:
@@ -166,28 +234,41 @@ def chosen(matrix: DataFrame, selection: DataFrame) -> tuple[DataFrame, list[str
 def global_models(matrix: DataFrame, cfg: ForecastConfig, until: str | None = None) -> DataFrame:
     """(series, horizon, alpha, cv_alpha, intercept, coef, scaled, n_nonzero): one partially penalised model per horizon over all rows to ``until``.
 
-    The penalty is the fully penalised model's by cross-validation and that of horizon 1 at least. A series is one
-    group: its rows are one series' days.
+    The penalty is the fully penalised model's by cross-validation and that of horizon 1 at least. A group is a horizon
+    of a series: first its penalty is found, then, with the penalties of its series known, it is fitted.
     """
-    rows = matrix if until is None else matrix.where(F.col("d") <= F.lit(until).cast("date"))
-    schema = "series string, horizon int, alpha double, cv_alpha double, intercept double, coef array<double>, scaled array<double>, n_nonzero int"
+    rows = matrix.where("op is not null and y is not null")
+    rows = rows if until is None else rows.where(F.col("d") <= F.lit(until).cast("date"))
+    weather = F.col("wx")[F.col("h") - 1] if "wx" in matrix.columns else F.array().cast("array<double>")
+    spread = rows.withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(cfg.horizon))))
+    spread = _dealt(spread.select("series", "h", "row_idx", "y", "op", "cal", weather.alias("wh")), "series", "h")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def problem(pdf: pd.DataFrame) -> tuple:
         pdf = pdf.sort_values("row_idx", ignore_index=True)
-        op, cal, y = _arrays(pdf)
-        mask = np.arange(op.shape[1] + cal.shape[1]) < op.shape[1]
-        hs = [h for h in range(1, cfg.horizon + 1) if len(y) - h >= cfg.folds]
-        scaled = [standardise(np.hstack([op[: len(y) - h], cal[h:]])) for h in hs]
-        problems = [(z, y[h:]) for h, (z, _, _) in zip(hs, scaled)]
-        best = cross_validated(problems, cfg.l1_ratio, cfg.folds, cfg.n_alphas) if hs else np.zeros(0)
-        alphas = np.maximum(best, best[:1]) if len(best) else best
+        h, op, cal, wx, y = int(pdf.h[0]), _matrix(pdf.op), _matrix(pdf.cal), _matrix(pdf.wh), pdf.y.to_numpy(dtype=float)
+        z, mean, scale = standardise(np.hstack([op[: len(y) - h], cal[h:], wx[: len(y) - h]]))
+        return h, z, y[h:], mean, scale, np.arange(z.shape[1]) < op.shape[1]
+
+    def penalty(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for h, a, cv, (b, intercept), (_, mean, scale) in zip(hs, alphas, best, fit_at(problems, alphas, cfg.l1_ratio, mask) if hs else [], scaled):
-            coef = b / scale
-            out.append((pdf.series[0], h, a, cv, float(intercept - coef @ mean), coef.tolist(), b.tolist(), int((b[mask] != 0).sum())))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
+        if len(pdf) - pdf.h[0] >= cfg.folds:
+            h, z, y, *_ = problem(pdf)
+            out = [(pdf.series[0], h, float(cross_validated([(z, y)], cfg.l1_ratio, cfg.folds, cfg.n_alphas)[0]))]
+        return pd.DataFrame(out, columns=["series", "h", "cv_alpha"])
+
+    schema = "series string, horizon int, alpha double, cv_alpha double, intercept double, coef array<double>, scaled array<double>, n_nonzero int"
 
-    return rows.select("series", "row_idx", "y", "op", "cal").groupBy("series").applyInPandas(run, schema)
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        h, z, y, mean, scale, mask = problem(pdf)
+        ((b, intercept),) = fit_at([(z, y)], pdf.alpha.to_numpy()[:1], cfg.l1_ratio, mask)
+        coef = b / scale
+        row = (pdf.series[0], h, pdf.alpha[0], pdf.cv_alpha[0], float(intercept - coef @ mean), coef.tolist(), b.tolist(), int((b[mask] != 0).sum()))
+        return pd.DataFrame([row], columns=[c.split()[0] for c in schema.split(", ")])
+
+    found = spread.groupBy("series", "h").applyInPandas(penalty, "series string, h int, cv_alpha double")
+    least = F.max(F.when(F.col("h") == 1, F.col("cv_alpha"))).over(Window.partitionBy("series"))
+    penalties = found.withColumn("alpha", F.greatest("cv_alpha", least))
+    return spread.join(penalties, ["series", "h"]).groupBy("series", "h").applyInPandas(fit, schema)
 
 
 def ensemble(rolling: DataFrame, general: DataFrame, cfg: ForecastConfig) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import weather_terms
@@ -55,3 +55,30 @@ def mean3(origins: DataFrame, actual: DataFrame, forecast: DataFrame | None, val
     total = sum((F.coalesce(f"_o{k}", F.lit(0.0)) for k in range(3)), F.lit(0.0))
     n = sum((F.col(f"_o{k}").isNotNull().cast("int") for k in range(3)), F.lit(0))
     return rows.withColumn("wx_mean3", F.when(n > 0, total / n)).drop("_o0", "_o1", "_o2")
+
+
+def by_horizon(days: DataFrame, actual: DataFrame, forecast: DataFrame | None, names: list[str], smooth: list[str] = (), horizon: int = 10) -> DataFrame:
+    """(d, wx array<array<double>>): what is known on each day d (column d of days) of the weather of d + 1 .. d + horizon.
+
+    Element h - 1 has the columns ``names`` of day d + h, then the means of ``smooth`` over that day and the two before.
+    A day after d is the forecast of lead min(days ahead, 7) where there is one, else the actual; d and earlier days are
+    actual. actual (date, names ...), forecast (date, lead_day, names ...); a mean leaves missing days out.
+    """
+    values = lambda: F.array(*(F.col(c).cast("double") for c in names))
+    asked = days.select("d").distinct().withColumn("k", F.explode(F.sequence(F.lit(-1), F.lit(horizon)))).withColumn("date", F.expr("date_add(d, k)"))
+    rows = asked.join(actual.select("date", values().alias("_a")), "date", "left").withColumn("lead_day", F.least("k", F.lit(MAX_LEAD)))
+    if forecast is None:
+        rows = rows.withColumn("_v", F.col("_a"))
+    else:
+        rows = rows.join(forecast.select("date", "lead_day", values().alias("_f")), ["date", "lead_day"], "left")
+        rows = rows.withColumn("_v", F.array(*(F.coalesce(F.when(F.col("k") > 0, F.col("_f")[i]), F.col("_a")[i]) for i in range(len(names)))))
+    known = rows.groupBy("d").agg(F.map_from_entries(F.collect_list(F.struct("k", "_v"))).alias("at"))
+
+    def mean(h: int, i: int) -> Column:
+        three = [F.col("at")[F.lit(h - j)][i] for j in range(3)]
+        n = sum((x.isNotNull().cast("int") for x in three), F.lit(0))
+        return F.when(n > 0, sum((F.coalesce(x, F.lit(0.0)) for x in three), F.lit(0.0)) / n)
+
+    place = [names.index(c) for c in smooth]
+    each = [F.array(*(F.col("at")[F.lit(h)][i] for i in range(len(names))), *(mean(h, i) for i in place)) for h in range(1, horizon + 1)]
+    return known.select("d", F.array(*each).alias("wx"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import ForecastConfig
@@ -10,6 +10,7 @@ from ..functions.scalars import dot, fourier, weekday_dummies
 from ..operators import evaluate
 from ..operators import features as ft
 from ..operators import models
+from ..operators import weather as wx
 
 CALENDAR = [*(f"dow_{i}" for i in range(6)), "sin_1", "cos_1", "sin_2", "cos_2"]
 HOLIDAYS = ["is_holiday", "is_day_after_holiday"]
@@ -17,11 +18,35 @@ OWN = ["y0", "mean7", "sd7", "lag3", "mean7_3"]
 NAMES = [*OWN, *CALENDAR]
 
 
-def matrix(days: DataFrame) -> DataFrame:
-    """(series, d, row_idx, y, op, cal) from days (series, d, y): own history and calendar, complete rows only."""
-    rows = ft.rolling(ft.with_row_index(days, "series"), "y", "series").where("mean7 is not null and mean7_3 is not null")
-    rows = rows.select("series", "d", "y", F.col("y").alias("y0"), "mean7", "sd7", "lag3", "mean7_3", *weekday_dummies(F.col("d")), *fourier(F.col("d")))
-    return ft.with_row_index(rows.select("series", "d", "y", F.array(*OWN).alias("op"), F.array(*CALENDAR).alias("cal")), "series")
+WEATHER = ["wx_coldness", "wx_hotness", "wx_coldness2", "wx_below_freezing", "wx_rain_sum", "wx_heavy_rain", "wx_snowfall_sum", "wx_wind_max"]
+#: Weather whose mean over the target's day and the two before is a column as well.
+SMOOTH = ["wx_coldness", "wx_hotness", "wx_coldness2"]
+WEATHER_NAMES = [*WEATHER, *(f"{c}_mean3" for c in SMOOTH)]
+
+
+def matrix(days: DataFrame, lag: int = 0, ahead: int = 0) -> DataFrame:
+    """(series, d, row_idx, y, op, cal) from days (series, d, y): own history and calendar, complete rows only.
+
+    lag: rows whose target isn't reported yet at a row. Own columns then end so many rows before, so days whose y is
+    null still make rows. ahead: so many days to come follow each series, with a calendar and nothing else.
+    """
+    rows = ft.rolling(ft.with_row_index(days, "series"), "y", "series")
+    order = Window.partitionBy("series").orderBy("row_idx")
+    ends = {"y": lag, "mean7": lag, "sd7": lag, "lag3": lag - 3, "mean7_3": lag - 3}  # the last two end 3 rows before by themselves
+    own = [(F.lag(c, n).over(order) if n > 0 else F.col(c)).alias(name) for name, (c, n) in zip(OWN, ends.items())]
+    rows = rows.select("series", "d", "y", *own).where(" and ".join(f"{c} is not null" for c in OWN)).select("series", "d", "y", F.array(*OWN).alias("op"))
+    return _with_calendar(rows, [*weekday_dummies(F.col("d")), *fourier(F.col("d"))], ahead)
+
+
+def _with_calendar(rows: DataFrame, cal: list, ahead: int) -> DataFrame:
+    rows = ft.with_future(rows, ahead, "series") if ahead else rows
+    return ft.with_row_index(rows.select("series", "d", "y", "op", F.array(*cal).alias("cal")), "series")
+
+
+def with_weather(m: DataFrame, actual: DataFrame, forecast: DataFrame | None, names: list[str] | None = None, smooth: list[str] | None = None, horizon: int = 10) -> DataFrame:
+    """The matrix m with ``wx``, the weather of each horizon as its rows know it (``weather.by_horizon``)."""
+    known = wx.by_horizon(m, actual, forecast, WEATHER if names is None else names, SMOOTH if smooth is None else smooth, horizon)
+    return m.join(known, "d", "left")
 
 
 def wide_features(daily: DataFrame, target: DataFrame, dictionary: DataFrame) -> DataFrame:
@@ -46,22 +71,24 @@ def wide_features(daily: DataFrame, target: DataFrame, dictionary: DataFrame) ->
     return corrected.join(target, ["series", "d"]).select("series", "d", "ordinal", "value", "y")
 
 
-def wide_matrix(daily: DataFrame, target: DataFrame, dictionary: DataFrame, weather: DataFrame | None = None, holidays: list | None = None) -> DataFrame:
+def wide_matrix(daily: DataFrame, target: DataFrame, dictionary: DataFrame, weather: DataFrame | None = None, holidays: list | None = None, ahead: int = 0) -> DataFrame:
     """(series, d, row_idx, y, op, cal): the predictors of wide_features as vectors, and the calendar.
 
     weather (d, wx_...) and holidays add columns to the calendar; where they aren't given (the models without weather),
-    it is weekday and season alone. Missing weather is 0, as missing values are in the fits.
+    it is weekday and season alone. Missing weather is 0, as missing values are in the fits. Weather put here counts as
+    known in advance; ``with_weather`` adds what a row knows of it. ahead: days to come, see ``matrix``.
     """
     op = ft.as_vectors(wide_features(daily, target, dictionary), "series", "y")
     cal = [*weekday_dummies(F.col("d")), *fourier(F.col("d"))]
     if holidays is not None:
         days = [F.lit(x).cast("date") for x in holidays]
         cal += [F.col("d").isin(*days).cast("double"), F.date_sub("d", 1).isin(*days).cast("double")]
-    if weather is not None:
-        names = [c for c in weather.columns if c.startswith("wx_")]
-        op = op.join(weather, "d", "left")
-        cal += [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in names]
-    return ft.with_row_index(op.select("series", "d", "y", F.col("features").alias("op"), F.array(*cal).alias("cal")), "series")
+    op = op.withColumnRenamed("features", "op")
+    if weather is None:
+        return _with_calendar(op, cal, ahead)
+    names = [c for c in weather.columns if c.startswith("wx_")]
+    rows = ft.with_future(op, ahead, "series") if ahead else op
+    return _with_calendar(rows.join(weather, "d", "left"), cal + [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in names], 0)
 
 
 def naive(days: DataFrame, cfg: ForecastConfig, season: int | None = None) -> DataFrame:
@@ -78,9 +105,13 @@ def naive(days: DataFrame, cfg: ForecastConfig, season: int | None = None) -> Da
 
 
 def model_inputs(m: DataFrame, horizon: int = 10) -> DataFrame:
-    """(series, origin_date, horizon, forecast_date, actual, op, later): op of the origin and cal of the target's row."""
-    ahead = ft.targets_ahead(m, "y", "series", horizon=horizon, others=("cal",))
-    return ahead.select("series", F.col("d").alias("origin_date"), F.col("h").alias("horizon"), F.col("target_date").alias("forecast_date"), F.col("target").alias("actual"), "op", F.col("target_cal").alias("later"))
+    """(series, origin_date, horizon, forecast_date, actual, op, later): op of the origin, and what it knows of the target:
+    the target's calendar and the weather of the horizon. Days to come are targets without an actual, and no origins."""
+    ahead = ft.targets_ahead(m, "y", "series", horizon=horizon, others=("cal",)).where("op is not null")
+    later = F.col("target_cal")
+    if "wx" in m.columns:
+        later = F.concat(later, F.transform(F.col("wx")[F.col("h") - 1], lambda x: F.coalesce(x, F.lit(0.0))))
+    return ahead.select("series", F.col("d").alias("origin_date"), F.col("h").alias("horizon"), F.col("target_date").alias("forecast_date"), F.col("target").alias("actual"), "op", later.alias("later"))
 
 
 def global_forecast(m: DataFrame, fitted: DataFrame, cfg: ForecastConfig) -> DataFrame:
@@ -100,26 +131,51 @@ def forecast(m: DataFrame, cfg: ForecastConfig, until: str | None = None, rollin
     return models.ensemble(rolling, global_forecast(m, models.global_models(m, cfg, until), cfg), cfg)
 
 
-def selected_forecast(m: DataFrame, dictionary: DataFrame, names: list[str], cfg: ForecastConfig, until: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(forecast detail, selection summary): selection to ``until`` for the global models, over all rows for the rolling one.
+def numbered_forecast(m: DataFrame, cfg: ForecastConfig, until: str | None = None, rolling_matrix: DataFrame | None = None) -> DataFrame:
+    """``forecast`` with forecast_id; the origins come from the matrix, so every model is fitted once."""
+    return evaluate.forecast_ids(forecast(m, cfg, until, rolling_matrix), models.origins(m, cfg))
+
 
-    Without ``until`` both use one selection. ``mean7_3`` always joins.
+def future(m: DataFrame, cfg: ForecastConfig, **options) -> DataFrame:
+    """The ensemble's forecasts of days not seen yet: detail without an actual, from a matrix with days to come.
+
+    Origins are the last rows of each series, as many as have a day to come within the horizon.
+    """
+    last = F.max(F.when(F.col("op").isNotNull(), F.col("row_idx"))).over(Window.partitionBy("series"))
+    back = last - F.col("row_idx")
+    marked = m.withColumn("origin", F.col("op").isNotNull() & (back < cfg.horizon)).withColumn("_back", back)
+    # Each origin's own window and floor, and no row before them.
+    recent = marked.where(F.col("_back") < cfg.horizon + max(cfg.train_window, cfg.floor_lookback + max(3, cfg.label_lag))).drop("_back")
+    rolling = models.rolling_forecast(recent, cfg, **options)
+    found = models.ensemble(rolling, global_forecast(m, models.global_models(m, cfg), cfg), cfg)
+    return found.where("actual is null")
+
+
+def selected_forecast(m: DataFrame, dictionary: DataFrame, names: list[str], cfg: ForecastConfig, until: str | None = None, end: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(forecast detail with forecast_id, selection summary): selection to ``until`` for the global models, to ``end`` for the rolling one.
+
+    Without ``until`` both use one selection; without ``end`` the rolling model's sees all rows. The windows of the first
+    are windows of the second as well, so one ledger serves both and no window is fitted twice; it stays cached, a row
+    for each window and predictor. ``mean7_3`` always joins.
     """
-    n_op = dictionary.where("kind = 'op'").count()
-    every = [*names[:n_op], *names[n_op:]]
+    rows = m if end is None else m.where(F.col("d") <= F.lit(end).cast("date"))
+    ledger = models.selection_ledger(rows, names, cfg).persist()
 
-    def select(rows: DataFrame) -> DataFrame:
-        return models.seed_and_expand(models.selection_counts(rows, every, cfg), dictionary, cfg, ("mean7_3",))
+    def select(last: str | None) -> DataFrame:
+        return models.seed_and_expand(models.ledger_counts(ledger, last), dictionary, cfg, ("mean7_3",))
 
-    early = select(m if until is None else m.where(F.col("d") <= F.lit(until).cast("date")))
+    early = select(until)
     one, _ = models.chosen(m, early)
-    two = one if until is None else models.chosen(m, select(m))[0]
-    return forecast(one, cfg, until, two), early
+    two = one if until is None else models.chosen(m, select(None))[0]
+    return numbered_forecast(one, cfg, until, two), early
 
 
 def holdout(m: DataFrame, cfg: ForecastConfig, until: str) -> DataFrame:
     """Error bands of global models refitted to rows up to ``until``, on the origins after it."""
     fitted = models.global_models(m, cfg, until)
-    detail = global_forecast(m, fitted, cfg).where(F.col("origin_date") > F.lit(until).cast("date"))
+    held = F.lit(until).cast("date")
+    detail = global_forecast(m, fitted, cfg).where(F.col("origin_date") > held)
     floors = ft.trailing_floor(m, "y", "series", lookback=cfg.floor_lookback, q=cfg.floor_quantile).select("series", F.col("d").alias("origin_date"), "floor")
-    return evaluate.mse_bands(evaluate.forecast_ids(models.clipped(detail.join(floors, ["series", "origin_date"]), cfg)), "series")
+    ahead = m.withColumn("_n", F.max("row_idx").over(Window.partitionBy("series"))).where((F.col("d") > held) & (F.col("row_idx") < F.col("_n")) & F.col("op").isNotNull())
+    origins = ahead.select(F.col("d").alias("origin_date"))
+    return evaluate.mse_bands(evaluate.forecast_ids(models.clipped(detail.join(floors, ["series", "origin_date"]), cfg), origins), "series")

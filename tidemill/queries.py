@@ -313,7 +313,7 @@ def coefficient_table(spark, sf_dir):
 @query(
     "WITH c AS (SELECT l_returnflag || '|' || l_linenumber AS predictor, l_returnflag AS metric, count(*) FILTER (l_quantity > 30) AS n_selected, (SELECT count(*) FROM lineitem) // 49 AS total_slots FROM lineitem GROUP BY ALL),"
     " r AS (SELECT *, row_number() OVER (ORDER BY n_selected DESC, predictor) AS rank FROM c), s AS (SELECT DISTINCT metric FROM r WHERE rank <= 5)"
-    " SELECT predictor, n_selected, rank <= 5 AS seed, rank <= 5 OR (metric IN (SELECT metric FROM s) AND n_selected >= 0.05 * total_slots) AS in_model FROM r"
+    " SELECT predictor, n_selected, rank <= 5 AS seed, metric IN (SELECT metric FROM s) AND n_selected >= 0.05 * total_slots AS in_model FROM r"
 )
 def seed_expansion(spark, sf_dir):
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_returnflag", "l_linenumber", "l_quantity")
@@ -587,6 +587,53 @@ def ensemble_arithmetic(spark, sf_dir):
     return models.ensemble(one, two, cfg).select("origin_date", "horizon", _r("predicted").alias("predicted"))
 
 
+# Days not seen yet, and the weather that an origin knows of each horizon.
+
+_SPINE = (
+    f"WITH {_DAYS}, n AS (SELECT max(d) AS last FROM days), s AS (SELECT d, y FROM idx WHERE row_idx >= 7 UNION ALL SELECT CAST(last + CAST(k AS INT) AS DATE), NULL FROM n, range(1, 11) r(k))"
+    " SELECT d, round(y, 6) AS y, y IS NULL AS to_come, CAST(row_number() OVER (ORDER BY d) - 1 AS INT) AS row_idx, CAST(isodow(d) = 1 AS DOUBLE) AS dow_0, CAST(isodow(d) = 6 AS DOUBLE) AS dow_5, round(sin(2 * pi() * dayofyear(d) / 365.25), 6) AS sin_1, round(cos(4 * pi() * dayofyear(d) / 365.25), 6) AS cos_2 FROM s"
+)
+
+
+@query(_SPINE)
+def future_spine(spark, sf_dir):
+    """The rows that models are given, the days to come with them, and their calendar."""
+    at = lambda n: F.col("cal")[plan.CALENDAR.index(n)]
+    m = plan.matrix(order_days(spark, sf_dir), ahead=10)
+    return m.select("d", _r("y").alias("y"), F.col("op").isNull().alias("to_come"), "row_idx", at("dow_0").alias("dow_0"), at("dow_5").alias("dow_5"), _r(at("sin_1")).alias("sin_1"), _r(at("cos_2")).alias("cos_2"))
+
+
+@query(
+    f"WITH {_DAYS}, l AS (SELECT d, y, row_idx, lag(y, 3) OVER (ORDER BY row_idx) AS y0, avg(y) OVER (ORDER BY row_idx ROWS BETWEEN 9 PRECEDING AND 3 PRECEDING) AS mean7,"
+    " stddev_samp(y) OVER (ORDER BY row_idx ROWS BETWEEN 9 PRECEDING AND 3 PRECEDING) AS sd7, avg(y) OVER (ORDER BY row_idx ROWS BETWEEN 7 PRECEDING AND 3 PRECEDING) AS mean7_3 FROM idx)"
+    " SELECT d, " + ", ".join(f"round({c}, 6) AS {c}" for c in ("y0", "mean7", "sd7", "mean7_3")) + ", round(y0, 6) AS lag3 FROM l WHERE row_idx >= 9"
+)
+def lagged_own_columns(spark, sf_dir):
+    """The target's own columns where the last three days aren't reported yet."""
+    m = plan.matrix(order_days(spark, sf_dir), lag=3)
+    return m.select("d", *(_r(F.col("op")[i]).alias(c) for i, c in enumerate(plan.OWN)))
+
+
+def _error_days(spark, sf_dir):
+    e = event_observations(spark, sf_dir).where("metric = 'error'")
+    return daily.cleaned(e).groupBy(F.to_date("ts").alias("d")).agg(F.avg("value").alias("y")).select(F.lit("error").alias("series"), "d", "y")
+
+
+@query(
+    _WX + _FC + f", e AS (SELECT CAST(ts AS DATE) AS d, avg(value) AS y FROM good WHERE metric = 'error' GROUP BY 1), i AS (SELECT d, row_number() OVER (ORDER BY d) - 1 AS r, count(*) OVER () AS n FROM e),"
+    " m AS (SELECT i.d, h, t.d AS forecast_date FROM i, (VALUES (1), (7), (10)) v(h), i t WHERE i.r >= 7 AND t.r = i.r + h),"
+    f" v AS (SELECT d, h, forecast_date, {_AT.format(k=0)} AS a0, {_AT.format(k=1)} AS a1, {_AT.format(k=2)} AS a2 FROM m o)"
+    " SELECT d AS origin_date, CAST(h AS INT) AS horizon, forecast_date, round(coalesce(a0, 0), 6) AS wx, round(coalesce(list_avg(list_filter([a0, a1, a2], lambda x: x IS NOT NULL)), 0), 6) AS wx_mean3 FROM v"
+)
+def weather_model_inputs(spark, sf_dir):
+    """The weather columns of the models at horizons 1, 7 and 10: forecast over actual, and three-day means."""
+    wx, fc, _ = _forecast_weather(spark, sf_dir)
+    m = plan.with_weather(plan.matrix(_error_days(spark, sf_dir)), wx, fc, ["click"], ["click"])
+    rows = plan.model_inputs(m).where(F.col("horizon").isin(1, 7, 10))
+    n = len(plan.CALENDAR)
+    return rows.select("origin_date", "horizon", "forecast_date", _r(F.col("later")[n]).alias("wx"), _r(F.col("later")[n + 1]).alias("wx_mean3"))
+
+
 # Models.
 
 _CFG = ForecastConfig(cap=None)
@@ -615,7 +662,22 @@ def elastic_net_global(spark, sf_dir):
 
 @query()
 def ensemble_forecast(spark, sf_dir):
-    return evaluate.forecast_ids(plan.forecast(plan.matrix(order_days(spark, sf_dir)), _CFG))
+    return plan.numbered_forecast(plan.matrix(order_days(spark, sf_dir)), _CFG)
+
+
+@query()
+def future_forecast(spark, sf_dir):
+    """The ensemble's forecasts of the ten days after the last one, from every origin that reaches them, for each of five series."""
+    return plan.future(plan.matrix(priority_days(spark, sf_dir), ahead=10), _CFG)
+
+
+@query()
+def weather_ensemble(spark, sf_dir):
+    """The ensemble with the weather that each origin knows of its horizons, forecasts of lead days made of orders."""
+    days = order_days(spark, sf_dir)
+    actual = spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy(F.to_date("o_orderdate").alias("date")).agg((F.avg(F.col("o_custkey") % 45) - 8).alias("t"))
+    ahead = actual.withColumn("lead_day", F.explode(F.sequence(F.lit(1), F.lit(7)))).where((F.dayofyear("date") + F.col("lead_day")) % 3 != 0).withColumn("t", F.col("t") + F.col("lead_day") / 10)
+    return plan.numbered_forecast(plan.with_weather(plan.matrix(days), actual, ahead, ["t"], ["t"]), _CFG)
 
 
 @query()
@@ -626,15 +688,15 @@ def partial_rolling(spark, sf_dir):
 
 @query()
 def baseline_forecast(spark, sf_dir):
-    """The baseline: every column at the origin, each tenth window, nothing clipped."""
+    """The baseline: every column at the origin, each tenth window as that method does, nothing clipped."""
     return models.rolling_forecast(plan.matrix(order_days(spark, sf_dir)), _CFG, calendar_at_target=False, stride=10)
 
 
 @query()
 def window_sweep(spark, sf_dir):
-    """Errors by horizon for training windows of 70, 90, 110 and 130 rows, each tenth window."""
+    """Errors by horizon for training windows of 70, 90, 110 and 130 rows, from every origin."""
     windows = [70, 90, 110, 130]
-    return evaluate.horizon_by_window(models.window_sweep(plan.matrix(order_days(spark, sf_dir)), _CFG, windows, stride=10), windows)
+    return evaluate.horizon_by_window(models.window_sweep(plan.matrix(order_days(spark, sf_dir)), _CFG, windows), windows)
 
 
 @query()
