@@ -11,6 +11,7 @@ from .config import ForecastConfig
 from .functions import scalars as sc
 from .operators import daily, evaluate, features, models, weather
 from .plans import forecast as plan
+from .sources import responses
 from .sources.readers import chunk_bounds, event_observations, order_days, order_observations, priority_days
 from .sources.writers import prediction_matrix
 
@@ -441,9 +442,39 @@ def forecast_weather_wide(spark, sf_dir):
     return out.select("date", *(_r(f"{n}_L{k}").alias(f"{n}_L{k}") for n in _BY_LEAD for k in range(1, 8)))
 
 
-@query("SELECT CAST(first AS DATE) AS first, CAST(least(first + INTERVAL 3 MONTH - INTERVAL 1 DAY, DATE '2025-02-10') AS DATE) AS last FROM generate_series(TIMESTAMP '2023-11-15', TIMESTAMP '2025-02-10', INTERVAL 3 MONTH) t(first)")
+@query(
+    "WITH s AS (SELECT CAST(l_shipdate AS DATE) AS d FROM lineitem), e AS (SELECT min(d) AS lo, max(d) AS hi FROM s), c AS (SELECT CAST(lo + INTERVAL 1 MONTH * (3 * k) AS DATE) AS first, least(CAST(lo + INTERVAL 1 MONTH * (3 * k + 3) AS DATE) - 1, hi) AS last FROM e, range(0, 400) r(k) WHERE lo + INTERVAL 1 MONTH * (3 * k) <= hi)"
+    " SELECT first, last, count(d) AS n_rows, count(DISTINCT d) AS n_days FROM c LEFT JOIN s ON d BETWEEN first AND last GROUP BY ALL"
+)
 def weather_chunks(spark, sf_dir):
-    return chunk_bounds(spark, "2023-11-15", "2025-02-10", 3)
+    """The chunks of three months that the days of a table make up, and what falls into each."""
+    days = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy(F.to_date("l_shipdate").alias("d")).agg(F.count("*").alias("n"))
+    lo, hi = days.agg(F.min("d"), F.max("d")).first()
+    chunks = chunk_bounds(spark, str(lo), str(hi), 3)
+    # A chunk names its days, so the range join is a join by day.
+    each = chunks.select("first", "last", F.explode(F.sequence("first", "last")).alias("d")).join(days, "d", "left")
+    return each.groupBy("first", "last").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.count("n").alias("n_days"))
+
+
+@query(
+    f"WITH {_HOURS}, g AS (SELECT DISTINCT CAST(ts AS DATE) AS date, CAST(l AS INT) AS lead_day FROM hr, range(1, 8) r(l))"
+    " SELECT g.date, g.lead_day, round(avg(temp), 6) AS t_mean, round(min(temp), 6) AS t_min, round(coalesce(sum(rain), 0), 6) AS rain, round(coalesce(sum(snow), 0), 6) AS snow, round(max(wind), 6) AS wind"
+    " FROM g LEFT JOIN hr ON CAST(ts AS DATE) = g.date AND hr.lead_day = g.lead_day GROUP BY ALL"
+)
+def weather_responses(spark, sf_dir):
+    """Daily weather by lead from JSON responses with parallel arrays, made of a thousand events each."""
+    e, v = spark.read.parquet(f"{sf_dir}/events.parquet"), F.col("value")
+    part = lambda cond, value: F.when(F.expr(cond), value)
+    values = {"temp": part("event_id % 11 <> 0", v - 40), "rain": part("event_id % 5 <> 0", v / 10), "snow": part("event_id % 13 = 0", v / 50), "wind": v}
+    # Keys with a null keep their place in the arrays, so hours are listed as structs first.
+    cells = {f"{responses.VARIABLES[c]}_previous_day{k}": F.when(F.col("event_id") % 7 + 1 == k, x) for k in range(1, 8) for c, x in values.items()}
+    listed = e.groupBy(F.floor(F.col("event_id") / 1000).alias("part")).agg(
+        F.min(F.to_date("ts")).alias("first"), F.array_sort(F.collect_list(F.struct(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("time"), "event_id", *(x.alias(n) for n, x in cells.items())))).alias("h")
+    )
+    hourly = F.struct(*(F.col(f"h.{n}").alias(n) for n in ("time", *cells)))
+    bodies = listed.select("part", "first", F.to_json(F.struct(hourly.alias("hourly"))).alias("body"))
+    out = weather.hourly_to_daily(responses.hours(bodies))
+    return out.select("date", "lead_day", *(_r(c).alias(c) for c in ("t_mean", "t_min", "rain", "snow", "wind")))
 
 
 # Daily values for charts.
@@ -587,6 +618,19 @@ def ensemble_arithmetic(spark, sf_dir):
     return models.ensemble(one, two, cfg).select("origin_date", "horizon", _r("predicted").alias("predicted"))
 
 
+@query(
+    f"WITH {_DAYS}, {_AHEAD}, {_OWX}, r AS (SELECT actual - predicted AS residual, greatest(10 - t_mean, 0) AS cold, greatest(t_mean - 10, 0) AS hot, CAST(h AS DOUBLE) AS h FROM ahead JOIN owx ON date = forecast_date),"
+    " u AS (SELECT 'wx_coldness' AS variable, cold AS x, residual AS y FROM r UNION ALL SELECT 'wx_hotness', hot, residual FROM r UNION ALL SELECT 'horizon', h, residual FROM r), k AS (SELECT variable, corr(x, y) AS r, count(*) AS n FROM u GROUP BY 1)"
+    " SELECT variable, n, round(r, 6) AS r, abs(r * sqrt((n - 2) / (1 - r * r))) > 1.9605 AS significant FROM k"
+)
+def residual_p_values(spark, sf_dir):
+    """Whether residuals go with a variable at the 5 % level; the SQL has the t of that level for many rows instead of p."""
+    rows = evaluate.with_weather(plan.naive(order_days(spark, sf_dir), ForecastConfig()), _order_weather(spark, sf_dir))
+    rows = rows.where("t_mean is not null").select("residual", F.col("horizon").cast("double").alias("horizon"), *sc.residual_terms(F.col("t_mean")))
+    out = evaluate.significance(evaluate.correlations(rows, ["wx_coldness", "wx_hotness", "horizon"]))
+    return out.select("variable", "n", _r("r").alias("r"), "significant")
+
+
 # Days not seen yet, and the weather that an origin knows of each horizon.
 
 _SPINE = (

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,16 +12,34 @@ from ..operators.weather import hourly_to_daily
 
 OBSERVATIONS = "dt string, metric_name string, coverage string, value double, coverage_label string, variable_type string"
 DETAIL = "forecast_id int, origin_date date, horizon int, forecast_date date, actual double, predicted double"
-SELECTION = "predictor string, metric_name string, n_selected long, total_slots long, pct_selected double, forced boolean, in_model boolean"
+SELECTION = "predictor string, metric_name string, n_selected long, total_slots long, pct_selected double, seed boolean, expanded boolean, forced boolean, in_model boolean"
+COEFFICIENTS = "series string, train_win int, origin_date date, horizon int, predictor string, coefficient double"
 ERRORS = "forecast_id int, origin_date date, mse_1_5 double, mse_6_10 double"
 HOURLY = "ts timestamp, lead_day int, temp double, rain double, snow double, wind double"
 WEATHER = "date date, temperature_2m_mean double, temperature_2m_min double, rain_sum double, snowfall_sum double, wind_speed_10m_max double"
 
 
-def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    if path.rstrip("/").endswith(".parquet"):
-        return spark.read.schema(schema).parquet(path)
-    return spark.read.schema(schema).option("header", True).csv(path)
+def _read(spark: SparkSession, path: str, schema: str, optional: tuple[str, ...] = ()) -> DataFrame:
+    """The columns of schema, found by their names whatever the order in the file, and cast; others are left out.
+
+    A value that doesn't fit its type is null. A column that isn't there raises unless it is optional, which makes it null.
+    """
+    plain = spark.read.parquet(path) if path.rstrip("/").endswith(".parquet") or not _is_csv(spark, path) else spark.read.option("header", True).csv(path)
+    wanted = [c.split() for c in schema.split(", ")]
+    if missing := [n for n, _ in wanted if n not in plain.columns and n not in optional]:
+        raise ValueError(f"{path} has no column {', '.join(missing)}; it has {', '.join(plain.columns)}")
+    return plain.select(*((F.col(f"`{n}`").try_cast(t) if n in plain.columns else F.lit(None).cast(t)).alias(n) for n, t in wanted))
+
+
+def _is_csv(spark: SparkSession, path: str) -> bool:
+    """Whether a file, or the files of a folder that Spark wrote, are CSV by their names."""
+    if path.rstrip("/").endswith(".csv"):
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isFile():
+            return True
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    names = [f.getPath().getName() for f in where.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(where)]
+    return not any(n.endswith(".parquet") for n in names)
 
 
 # Ways in which times come; a date whose first part can be a month is read month first.
@@ -65,35 +85,51 @@ def chunk_bounds(spark: SparkSession, start: str, end: str, months: int = 3) ->
 def forecast_weather(spark: SparkSession, paths: list[str]) -> DataFrame | None:
     """Daily forecast weather by lead from hourly files, a file or folder for each chunk; None if none is there.
 
-    A file has (ts, lead_day, temp, rain, snow, wind); hours that two chunks hold count once, rain and snow that are
-    missing count as 0.
+    A file has (ts, lead_day, temp, rain, snow, wind); hours that two chunks hold count once, as the later path has
+    them; rain and snow that are missing count as 0.
     """
-    found = [_read(spark, p, HOURLY) for p in paths if exists(spark, p)]
-    if not found:
-        return None
-    rows = found[0]
-    for part in found[1:]:
-        rows = rows.unionByName(part, allowMissingColumns=True)
-    return hourly_to_daily(rows.dropDuplicates(["ts", "lead_day"]))
+    found = [_read(spark, p, HOURLY, ("rain", "snow", "wind")).withColumn("chunk", F.lit(i)) for i, p in enumerate(paths) if exists(spark, p)]
+    return hourly_to_daily(once(reduce(DataFrame.unionByName, found), "chunk")) if found else None
+
+
+def once(hours: DataFrame, chunk: str) -> DataFrame:
+    """Hours by time and lead, each as its last chunk has it."""
+    value = F.max_by(F.struct("temp", "rain", "snow", "wind"), chunk).alias("v")
+    return hours.groupBy("ts", "lead_day").agg(value).select("ts", "lead_day", "v.*")
 
 
 def weather(spark: SparkSession, path: str) -> DataFrame:
-    """Observed daily weather; a file with other columns than the six is refused."""
+    """Observed daily weather; a file with other columns than the six is refused (``cache.cached`` rebuilds such a one)."""
     names = [c.split()[0] for c in WEATHER.split(", ")]
-    found = spark.read.option("header", True).csv(path).columns if not path.rstrip("/").endswith(".parquet") else spark.read.parquet(path).columns
+    found = spark.read.option("header", True).csv(path).columns if _is_csv(spark, path) else spark.read.parquet(path).columns
     if set(found) != set(names):
         raise ValueError(f"weather columns are {found}, not {names}")
     return _read(spark, path, WEATHER)
 
 
 def forecast_detail(spark: SparkSession, path: str) -> DataFrame:
+    """Forecast detail that ``writers.write_forecast`` or another model has written."""
     return _read(spark, path, DETAIL)
 
 
+def coefficients(spark: SparkSession, path: str) -> DataFrame:
+    """Weights that ``writers.write_forecast`` has written."""
+    return _read(spark, path, COEFFICIENTS, ("series", "train_win"))
+
+
+def selection(spark: SparkSession, path: str) -> DataFrame:
+    """A selection summary; one without seeds and expansion has nulls there."""
+    return _read(spark, path, SELECTION, ("seed", "expanded"))
+
+
 def selected_features(spark: SparkSession, path: str, dictionary: DataFrame) -> DataFrame:
-    """Selected predictors that aren't forced and that the feature dictionary knows."""
-    rows = _read(spark, path, SELECTION).where("in_model and not forced")
-    return rows.join(dictionary.select(F.col("feature").alias("predictor")), "predictor", "left_semi")
+    """A written selection as ``models.chosen`` takes it: each predictor of dictionary (``features.predictors``) with its
+    ordinal, counts and flags; predictors that the dictionary doesn't know are left out, those it adds are not in the model."""
+    if "predictor" not in dictionary.columns:
+        raise ValueError("the dictionary of predictors is needed, rolling terms and lags included, not that of features")
+    rows = selection(spark, path).drop("metric_name", "forced")
+    found = dictionary.withColumn("forced", F.col("kind") != "op").join(rows, "predictor", "left")
+    return found.withColumn("in_model", F.coalesce("in_model", F.col("forced"))).withColumn("n_selected", F.coalesce("n_selected", F.lit(0)))
 
 
 def event_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
