@@ -1,6 +1,7 @@
 """Model queries against a plain solver that shares no code with the engine's."""
 
 import datetime as dt
+import json
 
 import numpy as np
 import pandas as pd
@@ -328,7 +329,24 @@ def test_command_line(spark, tmp_path):
     rows = [((start + dt.timedelta(days=i)).strftime("%m/%d/%Y %H:%M"), m, s, float(2 + np.sin(i / 4) + r.standard_normal() / 5), s, "x") for i in range(90) for m in ("deaths", "beds", "waits") for s in ("one", "two")]
     spark.createDataFrame(rows, "dt string, metric_name string, coverage string, value double, coverage_label string, variable_type string").write.option("header", True).csv(f"{tmp_path}/in.csv")
     cfg = ForecastConfig(horizon=2, train_window=40, selection_window=40, stride=20, n_alphas=6)
-    cli.run(spark, f"{tmp_path}/in.csv", f"{tmp_path}/out", "deaths", cli.options(["--no-wx", "--until", "2024-03-10", "40"]), cfg)
+    cli.run(spark, f"{tmp_path}/in.csv", f"{tmp_path}/out", "deaths", cli.options(["--no-wx", "--until", "2024-03-10", "--end", "2024-03-20", "40"]), cfg)
     assert spark.read.parquet(f"{tmp_path}/out/nwx_ensemble/pred_matrix").count() > 10
     assert spark.read.parquet(f"{tmp_path}/out/nwx_basic_w40/mse_summary").count() > 10
     assert "forced" in spark.read.parquet(f"{tmp_path}/out/nwx_ensemble/selection").columns
+    ahead = spark.read.parquet(f"{tmp_path}/out/nwx_ensemble/future").collect()
+    assert {(str(r.origin_date), r.horizon, str(r.forecast_date)) for r in ahead} == {("2024-03-29", 2, "2024-03-31"), ("2024-03-30", 1, "2024-03-31"), ("2024-03-30", 2, "2024-04-01")}
+    # With weather: observed and, from a stored response, forecast; holidays, a window, an origin range, the selection from before.
+    days_ = [start.date() + dt.timedelta(days=i) for i in range(90)]
+    (tmp_path / "w.csv").write_text("rain_sum,date,temperature_2m_mean,temperature_2m_min,snowfall_sum,wind_speed_10m_max\n" + "".join(f"{i % 9},{x},{5 + i % 12},{i % 4 - 2},0,{i % 50}\n" for i, x in enumerate(days_)))
+    hours = [f"{start.date() + dt.timedelta(days=i)}T12:00" for i in range(95)]
+    hourly = {"time": hours} | {f"{v}_previous_day{k}": [float(i % 11) for i in range(95)] for v in ("temperature_2m", "rain", "snowfall", "wind_speed_10m") for k in range(1, 8)}
+    (tmp_path / "fc").mkdir()
+    (tmp_path / "fc" / "2024-01-01_2024-03-31.json").write_text(json.dumps({"hourly": hourly}))
+    args = ["--weather", f"{tmp_path}/w.csv", "--forecasts", f"{tmp_path}/fc", "2024-01-01", "2024-04-05", "--holidays", "2024-01-01,2024-03-29", "--partial", "--ead-smooth"]
+    args += ["--origins", "2024-03-01", "2024-03-12", "--selection", f"{tmp_path}/out/nwx_ensemble/selection", "45", "50"]
+    cli.run(spark, f"{tmp_path}/in.csv", f"{tmp_path}/two", "deaths", cli.options(args), cfg)
+    assert spark.read.parquet(f"{tmp_path}/two/ensemble/mse_summary").count() == 12
+    for w in (45, 50):
+        weights = spark.read.parquet(f"{tmp_path}/two/partial_esmooth_w{w}/coefficients")
+        assert {r.predictor for r in weights.select("predictor").distinct().collect()} & set(plan.WEATHER_NAMES)
+        assert spark.read.parquet(f"{tmp_path}/two/partial_esmooth_w{w}/pred_matrix").count() > 0

@@ -1,9 +1,12 @@
-"""Forecasts from files: python -m tidemill.cli INPUT OUTPUT TARGET [--no-wx] [--partial] [--ead-smooth] [--until DAY] [--weather FILE] [WINDOW ...]
+"""Forecasts from files: python -m tidemill.cli INPUT OUTPUT TARGET [--no-wx] [--partial] [--ead-smooth] [--until DAY] [--end DAY] [--origins FIRST LAST] [--weather FILE] [--forecasts FOLDER FIRST LAST] [--holidays DAY,DAY] [--selection FILE] [WINDOW ...]
 
-INPUT is observations in CSV or Parquet, TARGET the metric to forecast. Writes the ensemble with its selection, and the
-rolling model for each window. --until holds the global model's training and selection to days up to DAY, so that the
-days after it are a holdout; --no-wx leaves weather and holidays out; --partial leaves the rolling model's calendar
-unpenalised; --ead-smooth adds the smoothed target to its columns.
+INPUT is observations in CSV or Parquet, TARGET the metric to forecast. Writes the ensemble with its selection, its
+forecasts of the days after the last one, and the rolling model for each window, and prints their errors. --until holds
+the global model's training and selection to days up to DAY, so that the days after it are a holdout; --end holds the
+rolling model's selection to DAY; --origins bounds the origins. --weather is observed daily weather, --forecasts a folder
+of forecast responses by chunk: each origin sees the forecast of its target's day where there is one, observed weather
+only elsewhere. --no-wx leaves weather and holidays out; --partial leaves the rolling model's calendar unpenalised;
+--ead-smooth adds the smoothed target to its columns; --selection takes a summary written before instead of selecting.
 """
 
 from __future__ import annotations
@@ -18,16 +21,18 @@ from .config import ForecastConfig
 from .functions.scalars import weather_terms
 from .operators import daily, evaluate, features, models
 from .plans import forecast as plan
-from .sources import readers, writers
+from .sources import readers, responses, writers
 
 
 def options(args: list[str]) -> argparse.Namespace:
     parser = argparse.ArgumentParser(prog="tidemill")
     for flag in ("--no-wx", "--partial", "--ead-smooth"):
         parser.add_argument(flag, action="store_true")
-    parser.add_argument("--until")
-    parser.add_argument("--weather")
-    parser.add_argument("--holidays", nargs="*", default=[])
+    for name in ("--until", "--end", "--weather", "--selection"):
+        parser.add_argument(name)
+    parser.add_argument("--origins", nargs=2, metavar=("FIRST", "LAST"))
+    parser.add_argument("--forecasts", nargs=3, metavar=("FOLDER", "FIRST", "LAST"))
+    parser.add_argument("--holidays", type=lambda days: [d for d in days.split(",") if d], default=[])
     parser.add_argument("windows", nargs="*", type=int)
     return parser.parse_args(args)
 
@@ -41,38 +46,64 @@ def inputs(spark: SparkSession, path: str, target: str) -> tuple[DataFrame, Data
     return rows, y
 
 
+def known_weather(spark: SparkSession, m: DataFrame, chosen: argparse.Namespace, cfg: ForecastConfig) -> DataFrame:
+    """The matrix with the weather of each horizon, from observed days and stored forecasts."""
+    names = ("t_mean", "t_min", "rain", "snow", "wind")
+    observed = readers.weather(spark, chosen.weather).toDF("date", *names)
+    ahead = responses.forecast_weather(spark, *chosen.forecasts) if chosen.forecasts else None
+    terms = weather_terms(*(F.col(c) for c in names))
+    # A day without a mean temperature has no forecast, so it falls back as a whole.
+    ahead = None if ahead is None else ahead.where("t_mean is not null").select("date", "lead_day", *terms)
+    return plan.with_weather(m, observed.select("date", *terms), ahead, horizon=cfg.horizon)
+
+
 def run(spark: SparkSession, path: str, out: str, target: str, chosen: argparse.Namespace, cfg: ForecastConfig | None = None) -> None:
     cfg = cfg or ForecastConfig()
+    if chosen.origins:
+        cfg = cfg.with_(origin_start=chosen.origins[0], origin_end=chosen.origins[1])
     rows, y = inputs(spark, path, target)
-    weather, calendar = None, list(plan.CALENDAR)
-    if not chosen.no_wx:
-        calendar += plan.HOLIDAYS
-        if chosen.weather:
-            w = readers.weather(spark, chosen.weather)
-            terms = weather_terms(*(F.col(c) for c in ("temperature_2m_mean", "temperature_2m_min", "rain_sum", "snowfall_sum", "wind_speed_10m_max")))
-            weather = w.select(F.col("date").alias("d"), *terms)
-            calendar += [c for c in weather.columns if c.startswith("wx_")]
+    calendar = list(plan.CALENDAR) if chosen.no_wx else [*plan.CALENDAR, *plan.HOLIDAYS]
     dictionary = features.predictors(daily.feature_names(rows, "col_key", "series"), calendar)
-    m = plan.wide_matrix(rows, y, dictionary, weather, None if chosen.no_wx else chosen.holidays).persist()
+    m = plan.wide_matrix(rows, y, dictionary, None, None if chosen.no_wx else chosen.holidays, ahead=cfg.horizon)
+    weathered = bool(chosen.weather) and not chosen.no_wx
+    m = (known_weather(spark, m, chosen, cfg) if weathered else m).persist()
     names = [r.predictor for r in dictionary.orderBy(F.desc("penalised"), "ordinal").select("predictor").collect()]
+    later = [*calendar, *(plan.WEATHER_NAMES if weathered else [])]
+    held = [m]
+
+    def once(df: DataFrame) -> DataFrame:
+        held.append(df.persist())
+        return df
+
     try:
-        forecast, selection = plan.selected_forecast(m, dictionary, names, cfg, chosen.until)
-        selection = selection.persist()
+        if chosen.selection:
+            selection = once(readers.selected_features(spark, chosen.selection, dictionary))
+            detail = once(plan.numbered_forecast(models.chosen(m, selection)[0], cfg, chosen.until))
+        else:
+            found, selection = plan.selected_forecast(m, dictionary, names, cfg, chosen.until, chosen.end)
+            detail, selection = once(found), once(selection)
         name = writers.model_name("ensemble", weather=not chosen.no_wx)
-        writers.write_forecast(evaluate.forecast_ids(forecast), f"{out}/{name}")
+        past = detail.where("actual is not null")
+        writers.write_forecast(past, f"{out}/{name}")
+        writers.write(detail.where("actual is null").drop("coef", "floor", "alpha"), f"{out}/{name}/future")
         writers.write_selection(selection, f"{out}/{name}/selection")
+        print(name, writers.summary(evaluate.mse_bands(past if chosen.until is None else evaluate.since(past, chosen.until, False))), sep="\n")
         own, kept = models.chosen(m, selection)
         if chosen.ead_smooth and "mean7_3" not in kept:
             smooth = names.index("mean7_3")
-            own = own.join(m.select("series", "d", F.col("op")[smooth].alias("_s")), ["series", "d"]).withColumn("op", F.concat("op", F.array("_s"))).drop("_s")
+            own = own.join(m.select("series", "d", F.col("op")[smooth].alias("_s")), ["series", "d"]).withColumn("op", F.when(F.col("op").isNotNull(), F.concat("op", F.array("_s")))).drop("_s")
             kept = [*kept, "mean7_3"]
+        if chosen.windows:
+            sweep = once(models.window_sweep(own, cfg, chosen.windows, partial=chosen.partial))
         for window in chosen.windows:
-            detail = evaluate.forecast_ids(models.window_sweep(own, cfg, [window], partial=chosen.partial))
+            one = sweep.where((F.col("train_win") == window) & F.col("actual").isNotNull())
+            one = evaluate.forecast_ids(one)
             name = writers.model_name("partial" if chosen.partial else "basic", window, not chosen.no_wx, chosen.ead_smooth)
-            writers.write_forecast(detail, f"{out}/{name}", names=[*kept, *calendar])
-            print(name, writers.summary(evaluate.mse_bands(detail)), sep="\n")
+            writers.write_forecast(one, f"{out}/{name}", names=[*kept, *later])
+            print(name, writers.summary(evaluate.mse_bands(one)), sep="\n")
     finally:
-        m.unpersist()
+        for df in held:
+            df.unpersist()
 
 
 if __name__ == "__main__":

@@ -228,7 +228,8 @@ def chosen(matrix: DataFrame, selection: DataFrame) -> tuple[DataFrame, list[str
     """matrix with only the selected columns of op, by frequency, and their names; the list is as short as a model."""
     rows = selection.where("in_model and not forced").orderBy(F.desc("n_selected"), "ordinal").select("ordinal", "predictor").collect()
     at = F.array(*[F.lit(int(r.ordinal)) for r in rows]).cast("array<int>")
-    return matrix.withColumn("op", F.transform(at, lambda i: F.col("op")[i])), [r.predictor for r in rows]
+    picked = F.when(F.col("op").isNotNull(), F.transform(at, lambda i: F.col("op")[i]))
+    return matrix.withColumn("op", picked), [r.predictor for r in rows]
 
 
 def global_models(matrix: DataFrame, cfg: ForecastConfig, until: str | None = None) -> DataFrame:
