@@ -343,6 +343,7 @@ def test_command_line(spark, tmp_path):
     (tmp_path / "fc").mkdir()
     (tmp_path / "fc" / "2024-01-01_2024-03-31.json").write_text(json.dumps({"hourly": hourly}))
     args = ["--weather", f"{tmp_path}/w.csv", "--forecasts", f"{tmp_path}/fc", "2024-01-01", "2024-04-05", "--holidays", "2024-01-01,2024-03-29", "--partial", "--ead-smooth"]
+    assert not [p.name for p in (tmp_path / "out").iterdir() if p.name.startswith("_work")]
     args += ["--origins", "2024-03-01", "2024-03-12", "--selection", f"{tmp_path}/out/nwx_ensemble/selection", "45", "50"]
     cli.run(spark, f"{tmp_path}/in.csv", f"{tmp_path}/two", "deaths", cli.options(args), cfg)
     assert spark.read.parquet(f"{tmp_path}/two/ensemble/mse_summary").count() == 12

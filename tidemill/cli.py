@@ -13,6 +13,8 @@ from __future__ import annotations
 
 import argparse
 import sys
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,49 +63,54 @@ def run(spark: SparkSession, path: str, out: str, target: str, chosen: argparse.
     cfg = cfg or ForecastConfig()
     if chosen.origins:
         cfg = cfg.with_(origin_start=chosen.origins[0], origin_end=chosen.origins[1])
+    work = f"{out.rstrip('/')}/_work-{uuid.uuid4().hex}"
+
+    def once(df: DataFrame, name: str) -> DataFrame:
+        """df written beside the results and read again: worked out once, with a short plan for what is built on it."""
+        df.write.parquet(f"{work}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{work}/{name}")
+
+    try:
+        _run(spark, path, out, target, chosen, cfg, once)
+    finally:
+        where = spark._jvm.org.apache.hadoop.fs.Path(work)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _run(spark: SparkSession, path: str, out: str, target: str, chosen: argparse.Namespace, cfg: ForecastConfig, once: Callable[[DataFrame, str], DataFrame]) -> None:
     rows, y = inputs(spark, path, target)
     calendar = list(plan.CALENDAR) if chosen.no_wx else [*plan.CALENDAR, *plan.HOLIDAYS]
-    dictionary = features.predictors(daily.feature_names(rows, "col_key", "series"), calendar)
-    m = plan.wide_matrix(rows, y, dictionary, None, None if chosen.no_wx else chosen.holidays, ahead=cfg.horizon)
+    dictionary = once(features.predictors(daily.feature_names(rows, "col_key", "series"), calendar), "dictionary")
+    m = once(plan.wide_matrix(rows, y, dictionary, None, None if chosen.no_wx else chosen.holidays, ahead=cfg.horizon), "rows")
     weathered = bool(chosen.weather) and not chosen.no_wx
-    m = (known_weather(spark, m, chosen, cfg) if weathered else m).persist()
+    m = once(known_weather(spark, m, chosen, cfg), "matrix") if weathered else m
     names = [r.predictor for r in dictionary.orderBy(F.desc("penalised"), "ordinal").select("predictor").collect()]
     later = [*calendar, *(plan.WEATHER_NAMES if weathered else [])]
-    held = [m]
-
-    def once(df: DataFrame) -> DataFrame:
-        held.append(df.persist())
-        return df
-
-    try:
-        if chosen.selection:
-            selection = once(readers.selected_features(spark, chosen.selection, dictionary))
-            detail = once(plan.numbered_forecast(models.chosen(m, selection)[0], cfg, chosen.until))
-        else:
-            found, selection = plan.selected_forecast(m, dictionary, names, cfg, chosen.until, chosen.end)
-            detail, selection = once(found), once(selection)
-        name = writers.model_name("ensemble", weather=not chosen.no_wx)
-        past = detail.where("actual is not null")
-        writers.write_forecast(past, f"{out}/{name}")
-        writers.write(detail.where("actual is null").drop("coef", "floor", "alpha"), f"{out}/{name}/future")
-        writers.write_selection(selection, f"{out}/{name}/selection")
-        print(name, writers.summary(evaluate.mse_bands(past if chosen.until is None else evaluate.since(past, chosen.until, False))), sep="\n")
-        own, kept = models.chosen(m, selection)
-        if chosen.ead_smooth and "mean7_3" not in kept:
-            smooth = names.index("mean7_3")
-            own = own.join(m.select("series", "d", F.col("op")[smooth].alias("_s")), ["series", "d"]).withColumn("op", F.when(F.col("op").isNotNull(), F.concat("op", F.array("_s")))).drop("_s")
-            kept = [*kept, "mean7_3"]
-        if chosen.windows:
-            sweep = once(models.window_sweep(own, cfg, chosen.windows, partial=chosen.partial))
-        for window in chosen.windows:
-            one = sweep.where((F.col("train_win") == window) & F.col("actual").isNotNull())
-            one = evaluate.forecast_ids(one)
-            name = writers.model_name("partial" if chosen.partial else "basic", window, not chosen.no_wx, chosen.ead_smooth)
-            writers.write_forecast(one, f"{out}/{name}", names=[*kept, *later])
-            print(name, writers.summary(evaluate.mse_bands(one)), sep="\n")
-    finally:
-        for df in held:
-            df.unpersist()
+    if chosen.selection:
+        selection = once(readers.selected_features(spark, chosen.selection, dictionary), "selection")
+        detail = once(plan.numbered_forecast(models.chosen(m, selection)[0], cfg, chosen.until), "detail")
+    else:
+        found, selection = plan.selected_forecast(m, dictionary, names, cfg, chosen.until, chosen.end)
+        detail, selection = once(found, "detail"), once(selection, "selection")
+    name = writers.model_name("ensemble", weather=not chosen.no_wx)
+    past = detail.where("actual is not null")
+    writers.write_forecast(past, f"{out}/{name}")
+    writers.write(detail.where("actual is null").drop("coef", "floor", "alpha"), f"{out}/{name}/future")
+    writers.write_selection(selection, f"{out}/{name}/selection")
+    print(name, writers.summary(evaluate.mse_bands(past if chosen.until is None else evaluate.since(past, chosen.until, False))), sep="\n")
+    own, kept = models.chosen(m, selection)
+    if chosen.ead_smooth and "mean7_3" not in kept:
+        smooth = names.index("mean7_3")
+        own = own.join(m.select("series", "d", F.col("op")[smooth].alias("_s")), ["series", "d"]).withColumn("op", F.when(F.col("op").isNotNull(), F.concat("op", F.array("_s")))).drop("_s")
+        kept = [*kept, "mean7_3"]
+    if chosen.windows:
+        sweep = once(models.window_sweep(own, cfg, chosen.windows, partial=chosen.partial), "sweep")
+    for window in chosen.windows:
+        one = sweep.where((F.col("train_win") == window) & F.col("actual").isNotNull())
+        one = evaluate.forecast_ids(one)
+        name = writers.model_name("partial" if chosen.partial else "basic", window, not chosen.no_wx, chosen.ead_smooth)
+        writers.write_forecast(one, f"{out}/{name}", names=[*kept, *later])
+        print(name, writers.summary(evaluate.mse_bands(one)), sep="\n")
 
 
 if __name__ == "__main__":
