@@ -196,7 +196,7 @@ def test_language_id(spark):
     got = {r.doc_id: r for r in langid.identify(d).collect()}
     assert all(got[i].lang_pred == ("aa" if i < 100 else "bb") for i in got if i < 300)
     assert [got[i].lang_pred for i in (300, 301, 302)] == ["und"] * 3
-    model = langid.fit(d)
+    (model,) = langid.fit(d)
     p = np.exp2(-model.cost.reshape(-1, 256).astype(float)).sum(axis=1)  # every language's row of every context it has seen
     assert np.allclose(p, 1, atol=1e-3)
     assert langid.identify(d.where("doc_id < 0")).count() == 0
@@ -289,7 +289,7 @@ def test_lm_counts_and_rounds_cover_all_documents(spark):
     assert [vocab.decode(lm.encode(vocab, t)) for t in texts] == [t or "" for t in texts]
     assert all(np.array_equal(lm.unpack(lm.pack(x)), x) for x in (np.array([], "<u4"), np.array([1, 65535], "<u4"), np.array([1, 65536], "<u4")))
     rows = docs(spark, texts).select(F.col("doc_id").alias("row"), "doc_id", F.lit(False).alias("held_out"), "text")
-    coded = [lm.encode(vocab, t).astype(np.int64) for t in texts]
+    coded = [lm.encode(vocab, lm.plain(t)).astype(np.int64) for t in texts]
     one, three = (lm.encoded(rows.repartition(n, "doc_id"), source).persist() for n in (1, 3))
     count = lm.id_counts(three, ids, ids - 1)
     assert np.array_equal(count, np.bincount(np.concatenate([*coded, [ids - 1] * len(coded)]), minlength=ids))
@@ -308,7 +308,7 @@ def test_lm_counts_and_rounds_cover_all_documents(spark):
             f = attention.Fit(start, of, 0.01, seed=part)
             f.learn(own)
             parts.append(f)
-    got = lm.follow(start, of, three, rounds=1, rate=0.01, draw=1)
+    got = lm.follow(start, of, three, rounds=1, rate=0.01, draw=1, least_steps=0)
     n = sum(f.targets for f in parts)
     assert n == alone.targets
     assert all(np.allclose(got[k], sum(f.p[k] * f.targets for f in parts) / n, atol=1e-5) for k in got)
@@ -412,6 +412,85 @@ def test_language_edges(spark):
     assert langid.predict(foreign, model).first().bits_per_byte > 1
 
 
+def plain_ppm(train, text):
+    """Bits of text by escape method C with exclusion, context by context."""
+    from collections import Counter, defaultdict
+
+    seen = defaultdict(Counter)
+    for t in train:
+        b = b"   " + t.encode().lower()
+        for i in range(3, len(b)):
+            for k in range(4):
+                seen[b[i - k : i]][b[i]] += 1
+
+    def shares(context):
+        if context not in seen:
+            return shares(context[1:])
+        c, below = seen[context], shares(context[1:]) if context else [1 / 256] * 256
+        left = sum(below[x] for x in range(256) if x not in c)
+        base = sum(c.values()) + (len(c) if left > 0 else 0)
+        return [c[x] / base if x in c else len(c) / base * below[x] / left for x in range(256)]
+
+    b = b"   " + text.encode().lower()
+    return -sum(np.log2(shares(b[i - 3 : i])[b[i]]) for i in range(3, len(b)))
+
+
+def test_language_codes_against_plain_ppm(spark):
+    groups = {lang: [prose(12, 100 * k + i) for i in range(6)] for k, lang in enumerate(("aa", "bb"))}
+    groups["bb"] = [" ".join(t.split()[::-1]).replace("e", "\u00e9") for t in groups["bb"]]
+    rows = [(i, t, lang) for i, (lang, t) in enumerate((lang, t) for lang, ts in groups.items() for t in ts)]
+    (model,) = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    texts = ["", "a", prose(8, 999), "\u00e9t\u00e9 Alpha", "zzz \u4f60\u597d"]
+    data = [t.encode() for t in texts]
+    got = model.bits(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+    want = [[plain_ppm(groups[lang], t) for lang in ("aa", "bb")] for t in texts]
+    assert np.allclose(got, want, rtol=1e-4, atol=1e-3)
+
+
+def test_language_groups_and_limits(spark):
+    other = [" ".join(w[::-1] for w in prose(60, i).split()) for i in range(40)]
+    rows = [(i, prose(60, i), "aa") for i in range(40)] + [(100 + i, t, "bb") for i, t in enumerate(other)] + [(300 + i, t.upper().replace("E", "\u00df"), "cc") for i, t in enumerate(other)]
+    rows += [(500, None, None), (501, "12", "aa"), (502, "word", None), (500, prose(9, 1), None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    one, several = langid.fit(d), langid.fit(d, group=2)
+    assert [m.langs for m in several] == [["aa", "bb"], ["cc"]] and len(one) == 1
+    a, b = (sorted((str(r.doc_id), r.text or "", r.lang_pred, round(r.score, 6), round(r.bits_per_byte, 5)) for r in langid.predict(d, m).collect()) for m in (one, several))
+    assert a == b and len(a) == len(rows)
+    # A language all of whose texts are held back has no limit; the others keep theirs.
+    back = next(i for i in range(1000, 2000) if d.sparkSession.range(i, i + 1).where("pmod(xxhash64(id, 7), 8) = 0").count())
+    odd = d.unionByName(spark.createDataFrame([(back, "\u4f60\u597d " * 40, "zz")], d.schema))
+    (model,) = langid.fit(odd)
+    assert np.isinf(model.limit[model.langs.index("zz")]) and np.allclose(model.limit[:3], one[0].limit) and np.isfinite(model.limit[:3]).all()
+    # One odd text among those held back doesn't move the limit far: noise stays over it.
+    junk = [(2000 + i, "".join(chr(random.Random(i).randrange(33, 127)) for _ in range(400)), "aa") for i in range(60) if i % 30 == 0]
+    (model,) = langid.fit(d.unionByName(spark.createDataFrame([(back, junk[0][1], "aa")], d.schema)))
+    noise = spark.createDataFrame([(1, "".join(chr(random.Random(77).randrange(161, 1000)) for _ in range(300)))], "doc_id long, text string")
+    assert langid.predict(noise, [model]).first().bits_per_byte > 1
+
+
+def test_results_outlive_a_pipeline_run(spark, tmp_path):
+    import corpus_pipeline
+
+    d = docs(spark, [prose(40, i) for i in range(12)])
+    bench = spark.createDataFrame([(1, prose(12, 3))], "item_id long, text string")
+    found = decontam.leaks(d, bench)
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert found.count() >= 0 and out.count() >= 0
+    empty = tmp_path / "none"
+    d.where("false").write.parquet(f"{empty}/documents.parquet")
+    bench.write.parquet(f"{empty}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(empty)).count() == 0
+
+
+def test_lm_words_alone_make_the_score(spark):
+    a = "Alpha beta\n\n gamma  Delta"
+    d = docs(spark, [a, "alpha beta gamma delta", *(prose(30, i) for i in range(20))])
+    got = {r.doc_id: r for r in lm.score(d, queries.byte_vocabulary_path()).collect()}
+    assert got[0].score == pytest.approx(got[1].score) and lm.plain(a) == "alpha beta gamma delta" and lm.plain(None) == ""
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

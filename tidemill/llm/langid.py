@@ -9,11 +9,14 @@ code length of a text is a sum of table look-ups, the language is that of the sh
 posterior under equal priors.
 
 No gram or context of the sample is dropped: a language has a row of 256 code lengths for every context it has seen,
-and reads the row of the longest shorter one elsewhere. So the tables grow with the sample, whose size is bounded, and
-not with the corpus.
+and reads the row of the longest shorter one elsewhere. So the tables grow with the sample, whose size is bounded for
+each language, and not with the corpus. Any number of languages is told apart: ``GROUP`` of them make one model, so what
+the driver builds and what is broadcast at once has a bound; with more languages the groups score one after the other
+and a document's shortest code over all of them wins.
 
-``bits_per_byte`` of the chosen language beside ``limit`` (the model's own worst case over held-back sample texts of
-that language) tells text of no learned language from text of one.
+``bits_per_byte`` of the chosen language beside ``limit`` (``SLACK`` times a high quantile of the code lengths of held-back
+sample texts of that language, each language by itself) tells text of no learned language from text of one. A language
+without held-back texts of some length has no limit.
 
 Defined results: ``und`` with score 0 for a null text, an empty one or one without a letter, or if no labelled row was
 there to learn from. Ties go to the language first by name. Repeated rows each give a row; texts are never cut.
@@ -25,25 +28,27 @@ from __future__ import annotations
 import json
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import fold, small_batches
+from .shared import cut, fold, keep, small_batches
 from .text import _LOWER, chunks, column_bytes
 
 TRAIN_DOCS = 1000
 TRAIN_BYTES = 8 << 20
-#: Languages that the classifier tells apart: those with most labelled documents, if there are more.
-LANGUAGES = 1000
+#: Languages of one model, some 6 MB of tables each.
+GROUP = 40
 #: Sampled ids are broadcast to the scan for their texts up to this many, else joined by shuffle.
 BROADCAST_IDS = 200_000
 #: One sampled text in so many is held back to learn how long codes of the language's own texts get.
 HELD_BACK = 8
-#: A text may take so many times the largest held-back bits per byte before it counts as of no learned language.
-SLACK = 2.0
+#: A text may take so many times this quantile of the held-back bits per byte before it counts as of no learned language.
+SLACK, QUANTILE = 2.0, 0.95
 #: Bytes from which on a text's bits per byte are steady enough to count.
 STEADY = 64
 #: Bytes of text scored at once.
@@ -161,7 +166,7 @@ def sample_ids(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_bytes: int =
     thousand rows a language from however many documents.
     """
     rows = docs.where("lang is not null and doc_id is not null and text is not null")
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).collect()  # a row for each language
     if not counts:
         return rows.select("lang", "doc_id").limit(0)
     share = F.from_json(F.lit(json.dumps({r.lang: min(1.0, (3 * train_docs + 100) / r.n) for r in counts})), "map<string,double>")
@@ -173,8 +178,8 @@ def sample_ids(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_bytes: int =
     return ranked.where((F.col("n") <= train_docs) & F.coalesce(F.col("before") < train_bytes, F.lit(True))).select("lang", "doc_id").distinct()
 
 
-def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model | None:
-    """The model of the languages of docs (doc_id, text, lang); rows with a null in any of them aren't used.
+def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, group: int = GROUP) -> list[Model]:
+    """The models of the languages of docs (doc_id, text, lang), ``group`` languages each; rows with a null in any of them aren't used.
 
     Seven of eight sampled texts are counted into the trees that set ``limit`` by the eighth's code lengths; the trees
     that are returned count all of them.
@@ -189,7 +194,20 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model | None:
         return small_batches(part).mapInArrow(_count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
     both = counted(chosen.where(~back)).withColumn("part", F.lit(0)).unionByName(counted(chosen.where(back)).withColumn("part", F.lit(1)))
-    grams = both.toArrow()  # as many as a sample of bounded size has
+    langs = sorted(r.lang for r in ids.select("lang").distinct().collect())
+    if len(langs) > group:
+        both = keep(both)
+    out = []
+    for at in range(0, len(langs), group):
+        some = langs[at : at + group]
+        own = F.lit(True) if len(langs) <= group else F.col("lang").isin(some)
+        if model := _fit_group(both.where(own), chosen.where(back & own)):
+            out.append(model)
+    return out
+
+
+def _fit_group(both: DataFrame, held_back: DataFrame) -> Model | None:
+    grams = both.toArrow()  # as many as samples of bounded size of a group's languages have
     if not grams.num_rows:
         return None
     codes = grams.column("lang").combine_chunks().dictionary_encode()
@@ -199,10 +217,10 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model | None:
     lang, gram, n = rank[codes.indices.to_numpy()], grams.column("gram").to_numpy(), grams.column("n").to_numpy()
     main = grams.column("part").to_numpy() == 0
     model = _fit(langs, lang, gram, n)
-    learned = set(np.unique(lang[main]).tolist())
-    if learned == set(range(len(langs))):
-        partial = _fit(langs, lang[main], gram[main], n[main])
-        shared = docs.sparkSession.sparkContext.broadcast(partial)
+    learned = np.unique(lang[main])  # a language all of whose texts are held back has no limit, the others have theirs
+    if len(learned):
+        partial = _fit([langs[i] for i in learned], np.searchsorted(learned, lang[main]), gram[main], n[main])
+        shared = both.sparkSession.sparkContext.broadcast(partial)
 
         def lengths(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             m = shared.value
@@ -214,14 +232,19 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model | None:
                 use = size >= STEADY
                 yield pa.RecordBatch.from_arrays([pa.array(own[use]), pa.array(rate[use])], names=["lang", "rate"])
 
-        held = small_batches(chosen.where(back)).mapInArrow(lengths, "lang long, rate double").groupBy("lang").agg(F.max("rate").alias("rate")).collect()
+        rows = held_back.where(F.col("lang").isin(partial.langs))
+        held = small_batches(rows).mapInArrow(lengths, "lang long, rate double").groupBy("lang").agg(F.percentile("rate", QUANTILE).alias("rate")).collect()
         for r in held:
-            model.limit[r.lang] = SLACK * r.rate
+            model.limit[learned[r.lang]] = SLACK * r.rate
         shared.unpersist()
     return model
 
 
-def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
+def _lettered(texts: list[str | None]) -> np.ndarray:
+    return np.array([t is not None and any(map(str.isalpha, t)) for t in texts], dtype=bool)
+
+
+def predict(docs: DataFrame, models: list[Model], text: str = "text") -> DataFrame:
     """docs with lang_pred string, score double and bits_per_byte double added; every whole text is scored.
 
     bits_per_byte is the code length a byte divided by the language's limit (``Model.limit``), so above 1 the text is
@@ -229,7 +252,9 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
     """
     new = ["lang_pred", "score", "bits_per_byte"]
     docs = docs.drop(*new)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    if len(models) > 1:
+        return _predict_by_group(docs, models, text)
+    shared = docs.sparkSession.sparkContext.broadcast(models[0] if models else None)
     names = [*docs.columns, *new]
     place = docs.columns.index(text)
 
@@ -238,18 +263,14 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
         for batch in chunks(batches, place, CHUNK):
             texts = batch.column(place)
             data, off = column_bytes(texts)
-            lettered = np.array([t is not None and any(map(str.isalpha, t)) for t in texts.to_pylist()], dtype=bool)
+            lettered = _lettered(texts.to_pylist())
             if m is None:
                 lettered[:] = False
             pred, score, rate = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
             if lettered.any():
-                bits = m.bits(data, off)
-                best = bits.argmin(axis=1)
-                gap = np.exp2(np.maximum(bits.min(axis=1, keepdims=True) - bits, -1000))
-                score[lettered] = (1 / gap.sum(axis=1))[lettered]
-                size = np.diff(off)
-                steady = lettered & (size >= STEADY)
-                rate[steady] = (bits.min(axis=1) / np.maximum(size, 1) / m.limit[best])[steady]
+                best, _, rest, rate = _best(m, data, off)
+                rate[~lettered] = 0
+                score[lettered] = 1 / rest[lettered]
                 for i in np.flatnonzero(lettered):
                     pred[i] = m.langs[best[i]]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score), pa.array(rate)], names=names)
@@ -258,9 +279,45 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
     return small_batches(docs).mapInArrow(run, schema)
 
 
+def _best(m: Model, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(language of the shortest code, its bits, sum over languages of 2 ** (those bits - their bits), bits a byte over the limit)."""
+    bits = m.bits(data, off)
+    best, least = bits.argmin(axis=1), bits.min(axis=1)
+    rest = np.exp2(np.maximum(least[:, None] - bits, -1000)).sum(axis=1)
+    size = np.diff(off)
+    return best, least, rest, np.where(size >= STEADY, least / np.maximum(size, 1) / m.limit[best], 0.0)
+
+
+def _predict_by_group(docs: DataFrame, models: list[Model], text: str) -> DataFrame:
+    """``predict`` with several models: each scores all texts by itself, a row a text, and the rows are put together."""
+    rows = cut(docs.select(F.monotonically_increasing_id().alias("row"), F.col(text).alias("text"), F.struct("*").alias("doc")))
+    parts = []
+    for model in models:  # a job each, so that no worker holds the tables of two
+        shared = docs.sparkSession.sparkContext.broadcast(model)
+
+        def run(batches: Iterable[pa.RecordBatch], shared: Broadcast = shared) -> Iterator[pa.RecordBatch]:
+            m = shared.value
+            for batch in chunks(batches, "text", CHUNK):
+                data, off = column_bytes(batch.column("text"))
+                best, least, rest, rate = _best(m, data, off)
+                lettered = _lettered(batch.column("text").to_pylist())
+                lang = pa.array([m.langs[i] if own else None for i, own in zip(best, lettered)], pa.string())
+                yield pa.RecordBatch.from_arrays([batch.column("row"), lang, pa.array(least), pa.array(rest), pa.array(rate)], names=["row", "lang", "least", "rest", "rate"])
+
+        parts.append(cut(small_batches(rows.select("row", "text")).mapInArrow(run, "row long, lang string, least double, rest double, rate double")))
+        shared.unpersist()
+    found = reduce(DataFrame.unionByName, parts).where("lang is not null")
+    each = found.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("least", "lang", "rest", "rate"))).alias("m"))  # a row for each model
+    first = F.col("m")[0]
+    total = F.aggregate("m", F.lit(0.0), lambda s, x: s + x["rest"] * F.pow(F.lit(2.0), F.greatest(first["least"] - x["least"], F.lit(-1000.0))))
+    chosen = each.select("row", first["lang"].alias("lang_pred"), (1 / total).alias("score"), first["rate"].alias("bits_per_byte"))
+    joined = rows.select("row", "doc").join(chosen, "row", "left")
+    return joined.select("doc.*", F.coalesce("lang_pred", F.lit("und")).alias("lang_pred"), F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("bits_per_byte", F.lit(0.0)).alias("bits_per_byte"))
+
+
 def identify(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, lang_pred, score): learns where crc32(doc_id) mod 4 is not 2 and predicts every document."""
     held_out = fold("doc_id", 4) == 2
     rows = docs.select("doc_id", "text", "lang", F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    model = fit(rows.where(~F.col("held_out")))
-    return predict(rows.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
+    models = fit(rows.where(~F.col("held_out")))
+    return predict(rows.select("doc_id", "held_out", "text"), models).select("doc_id", "held_out", "lang_pred", "score")
