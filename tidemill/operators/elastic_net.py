@@ -147,6 +147,46 @@ def fit_at(problems: list[tuple[np.ndarray, np.ndarray]], alphas: np.ndarray, rh
     return out
 
 
+def fit_scaled(problems: list[tuple[np.ndarray, np.ndarray]], folds: list[np.ndarray], rho: float, n_alphas: int, tol: float = TOL) -> list[tuple[np.ndarray, float, float]]:
+    """(coefficients, intercept, penalty) of each (x, y), everything scaled to deviation 1 in each fit and y with it.
+
+    folds: each row's fold. The penalty is that of the least squared error over all held-out rows, on a grid down to a
+    ten-thousandth of the largest (a hundredth with fewer rows than columns); penalties are in units of y, so a fold
+    whose y varies less is held to as much. A constant y gets its mean and no weight.
+    """
+    parts, alphas = [], []
+
+    def scaled(x: np.ndarray, y: np.ndarray) -> tuple:
+        z, mean, scale = standardise(x)
+        spread = y.std()
+        spread = spread if spread > 1e-12 * max(1.0, abs(y.mean())) else np.inf
+        return (z, (y - y.mean()) / spread), mean, scale, spread
+
+    whole = [scaled(x, y) for x, y in problems]
+    for ((z, t), *_, spread), (x, y), f in zip(whole, problems, folds):
+        top = np.abs(z.T @ t).max(initial=0.0) / (len(y) * rho)
+        grid = np.logspace(0, -4 if len(y) > x.shape[1] else -2, n_alphas) * max(top, 1e-12)
+        alphas.append(grid * (spread if np.isfinite(spread) else 1.0))
+        for k in np.unique(f):
+            parts.append((len(alphas) - 1, f == k, scaled(x[f != k], y[f != k])))
+    down = np.array([alphas[i] / s[3] if np.isfinite(s[3]) else np.ones(n_alphas) for i, _, s in parts]).T
+    paths = _path_many([s[0] for _, _, s in parts], down, rho, tol)
+    errors = np.zeros((len(problems), n_alphas))
+    for k, (i, out, (_, mean, scale, spread)) in enumerate(parts):
+        x, y = problems[i]
+        told = (x[out] - mean) / scale @ paths[:, :, k].T * (spread if np.isfinite(spread) else 0.0)
+        errors[i] += ((y[out, None] - y[~out].mean() - told) ** 2).sum(axis=0)
+    least = errors.argmin(axis=1)
+    best = np.array([a[j] for a, j in zip(alphas, least)])
+    full = np.array([a / (w[3] if np.isfinite(w[3]) else 1.0) for a, w in zip(alphas, whole)]).T
+    coefs = _path_many([w[0] for w in whole], full, rho, tol)
+    result = []
+    for i, ((_, mean, scale, spread), (x, y)) in enumerate(zip(whole, problems)):
+        coef = coefs[least[i], :, i] / scale * (spread if np.isfinite(spread) else 0.0)
+        result.append((coef, float(y.mean() - coef @ mean), float(best[i])))
+    return result
+
+
 def partial_cross_validated(x: np.ndarray, y: np.ndarray, mask: np.ndarray, rho: float = 0.5, folds: int = 5, n_alphas: int = 50) -> float:
     """The penalty of least mean error for a partially penalised model; folds of n // folds rows, the last takes the rest."""
     alphas = alpha_grid(x, y, rho, n_alphas, mask)

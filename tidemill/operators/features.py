@@ -15,16 +15,29 @@ def with_row_index(df: DataFrame, *keys: str, order: str = "d") -> DataFrame:
     return df.withColumn("row_idx", F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1)
 
 
-def interpolated(df: DataFrame, value: str, *keys: str, order: str = "row_idx") -> DataFrame:
-    """value with gaps filled on a line between the nearest rows that have one, edges with the nearest."""
+def neighbours(df: DataFrame, value: str, *keys: str, order: str = "row_idx") -> DataFrame:
+    """df with _b and _a, the nearest rows with a value at or before each row and at or after it, as structs (i, v)."""
     w = Window.partitionBy(*keys).orderBy(order)
     known = F.when(F.col(value).isNotNull(), F.struct(F.col(order).alias("i"), F.col(value).alias("v")))
     before = F.last(known, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     after = F.first(known, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    rows = df.select("*", before.alias("_b"), after.alias("_a"))
-    line = F.col("_b.v") + (F.col("_a.v") - F.col("_b.v")) * (F.col(order) - F.col("_b.i")) / (F.col("_a.i") - F.col("_b.i"))
-    filled = F.when(F.col("_b").isNull(), F.col("_a.v")).when(F.col("_a").isNull(), F.col("_b.v")).when(F.col("_a.i") == F.col("_b.i"), F.col("_a.v")).otherwise(line)
-    return rows.withColumn(value, filled).drop("_a", "_b")
+    return df.select("*", before.alias("_b"), after.alias("_a"))
+
+
+def on_line(order: str = "row_idx", until: str | None = None) -> Column:
+    """The value between the ``neighbours`` of a row, at an edge that of the nearest.
+
+    until: the column of the last row that may be known; a neighbour beyond it counts as not there.
+    """
+    after = F.col("_a") if until is None else F.when(F.col("_a.i") <= F.col(until), F.col("_a"))
+    b, ai, av = F.col("_b"), after.getField("i"), after.getField("v")
+    line = b["v"] + (av - b["v"]) * (F.col(order) - b["i"]) / (ai - b["i"])
+    return F.when(b.isNull(), av).when(after.isNull(), b["v"]).when(ai == b["i"], av).otherwise(line)
+
+
+def interpolated(df: DataFrame, value: str, *keys: str, order: str = "row_idx") -> DataFrame:
+    """value with gaps filled on a line between the nearest rows that have one, edges with the nearest."""
+    return neighbours(df, value, *keys, order=order).withColumn(value, on_line(order)).drop("_a", "_b")
 
 
 def _full(f: Column, value: str, w, n: int) -> Column:
@@ -80,12 +93,43 @@ def training_windows(df: DataFrame, *keys: str, window: int = 90, horizon: int =
     return rows.select(*df.columns, F.explode(starts).alias("window_start"))
 
 
-def skew_corrected(daily: DataFrame, *keys: str, value: str = "value") -> DataFrame:
-    """Values transformed by the skewness and minimum of their own feature; (keys, d, value)."""
-    stats = daily.groupBy(*keys).agg(F.skewness(value).alias("skew"), F.min(value).alias("low"))
+def skew_corrected(daily: DataFrame, *keys: str, value: str = "value", sample: bool = False) -> DataFrame:
+    """Values transformed by the skewness and minimum of their own feature; (keys, d, value).
+
+    sample: the skewness over the sample variance (that of n rows shrinks by ((n - 1) / n) ** 1.5).
+    """
+    skew = F.skewness(value)
+    if sample:
+        skew = skew * F.pow((F.count(value) - 1) / F.count(value), F.lit(1.5))
+    stats = daily.groupBy(*keys).agg(skew.alias("skew"), F.min(value).alias("low"))
     return daily.join(stats, list(keys)).withColumn(value, skew_transform(F.col(value), F.col("skew"), F.col("low")))
 
 
+def so_far(df: DataFrame, value: str, *keys: str, order: str = "row_idx") -> DataFrame:
+    """df with n, skew and low of value over its feature's rows up to each row: statistics that don't look ahead.
+
+    Moments of a prefix follow from those of the prefix before, so one pass over a feature's rows gives all of them.
+    """
+    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return df.select("*", F.count(value).over(w).alias("n"), F.skewness(value).over(w).alias("skew"), F.min(value).over(w).alias("low"))
+
+
+def windows_so_far(df: DataFrame, value: str, *keys: str, window: int = 90, horizon: int = 10, stride: int = 14) -> DataFrame:
+    """``training_windows`` with value filled and transformed as its window's last row knows it; (keys, d, row_idx, window_start, value).
+
+    df (keys, d, row_idx, value) has gaps. What is imputed at a window's end rests on rows up to it: a gap that is still
+    open there keeps its last value, and one before the first value that the window knows stays null. Skewness and
+    minimum are those of the feature's values, not filled, from its first row to the window's end; so a window never
+    changes when rows are added, unlike with ``interpolated`` and ``skew_corrected``, which follow the published method.
+    """
+    known = so_far(neighbours(df, value, *keys), value, *keys)
+    spread = training_windows(known, *keys, window=window, horizon=horizon, stride=stride).withColumn("_end", F.col("window_start") + window - 1)
+    # A window's last row has the statistics for all its rows.
+    last = Window.partitionBy(*keys, "window_start").orderBy("row_idx").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    at_end = spread.select("*", F.last("skew").over(last).alias("_skew"), F.last("low").over(last).alias("_low"))
+    return at_end.select(*keys, "d", "row_idx", "window_start", skew_transform(on_line(until="_end"), F.col("_skew"), F.col("_low")).alias(value))
+
+
 def predictors(names: DataFrame, calendar: list[str]) -> DataFrame:
     """The feature dictionary (series, ordinal, predictor, metric, kind, col_key, base, variant, penalised).
 

@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from ..config import ForecastConfig
 from ..functions.scalars import clip
-from .elastic_net import cross_validated, fit_at, fit_many, standardise
-from .features import trailing_floor
+from .elastic_net import cross_validated, fit_scaled, fit_at, fit_many, standardise
+from .features import trailing_floor, with_row_index
 
 DETAIL = "series string, train_win int, origin_date date, horizon int, forecast_date date, actual double, predicted double, floor double, alpha double, coef array<double>"
 #: Origins of a block, and origins whose fits run at once.
@@ -140,6 +140,45 @@ def rolling_forecast(matrix: DataFrame, cfg: ForecastConfig, partial: bool = Fal
     return dealt.groupBy("series", "block").applyInPandas(run, DETAIL)
 
 
+def same_day_forecast(matrix: DataFrame, cfg: ForecastConfig, folds: int = 10, seed: int = 123, stride: int = 1) -> DataFrame:
+    """Forecast detail of the original baseline: one model a window, applied to the later days' own columns.
+
+    That model explains a day's y by the same day's ``op``, so its detail is a nowcast and no real forecast: predictions
+    need the columns of the days they are for. Folds are random but follow a hash of (seed, series, day): a window's rows
+    in the order of their hash take the folds in turn, so a rerun, or another partitioning, gives the same ones. Columns
+    that don't vary in the window get no weight; ``coef`` is that of columns divided by their sample deviation. Rows
+    without op or y are left out first; nothing is clipped, and there is no floor. A constant y is forecast as it is.
+    """
+    window, horizon = cfg.train_window, cfg.horizon
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("row_idx", ignore_index=True)
+        op, y, key = _matrix(pdf.op), pdf.y.to_numpy(dtype=float), pdf.key.to_numpy()
+        index = pdf.row_idx.to_numpy()
+        mine = (index // BLOCK == pdf.block[0]) & (index >= window - 1) & ((index - window + 1) % stride == 0)
+        todo = [o for o in np.flatnonzero(mine) if o + horizon < len(pdf)]
+        out = []
+        for at in range(0, len(todo), AT_ONCE):
+            problems, dealt, varies = [], [], []
+            for o in todo[at : at + AT_ONCE]:
+                x = op[o - window + 1 : o + 1]
+                deviation = x.std(axis=0, ddof=1)
+                varies.append(np.where(deviation > 1e-12 * np.maximum(1, np.abs(x.mean(axis=0))), deviation, 0.0))
+                fold = np.empty(window, dtype=int)
+                fold[np.argsort(key[o - window + 1 : o + 1], kind="stable")] = np.arange(window) % folds
+                problems.append((np.where(varies[-1] > 0, x, 0.0), y[o - window + 1 : o + 1]))
+                dealt.append(fold)
+            for o, sd, (coef, intercept, alpha) in zip(todo[at : at + AT_ONCE], varies, fit_scaled(problems, dealt, cfg.l1_ratio, cfg.n_alphas)):
+                told = op[o + 1 : o + 1 + horizon] @ coef + intercept
+                weights = (coef * sd).tolist()
+                out += [(pdf.series[0], window, pdf.d[o], h, pdf.d[o + h], y[o + h], float(told[h - 1]), None, alpha, weights) for h in range(1, horizon + 1)]
+        return pd.DataFrame(out, columns=[c.split()[0] for c in DETAIL.split(", ")])
+
+    rows = with_row_index(matrix.where("op is not null and y is not null"), "series")
+    rows = rows.select("series", "d", "row_idx", "y", "op", F.xxhash64(F.lit(seed), "series", "d").alias("key"))
+    return _blocks(rows, window - 1, horizon, BLOCK).groupBy("series", "block").applyInPandas(run, DETAIL)
+
+
 def clipped(detail: DataFrame, cfg: ForecastConfig) -> DataFrame:
     """The predictions held to [floor, cap]; a missing floor or cap holds nothing."""
     p = F.greatest(F.col("predicted"), F.coalesce("floor", "predicted"))

@@ -11,6 +11,7 @@ from ..operators import evaluate
 from ..operators import features as ft
 from ..operators import models
 from ..operators import weather as wx
+from ..operators.kalman import imputed
 
 CALENDAR = [*(f"dow_{i}" for i in range(6)), "sin_1", "cos_1", "sin_2", "cos_2"]
 HOLIDAYS = ["is_holiday", "is_day_after_holiday"]
@@ -49,25 +50,27 @@ def with_weather(m: DataFrame, actual: DataFrame, forecast: DataFrame | None, na
     return m.join(known, "d", "left")
 
 
-def wide_features(daily: DataFrame, target: DataFrame, dictionary: DataFrame) -> DataFrame:
+def wide_features(daily: DataFrame, target: DataFrame, dictionary: DataFrame, kalman: bool = False) -> DataFrame:
     """(series, d, ordinal, value, y): every predictor of every day with a target, in long form, skew-corrected.
 
     daily (series, d, col_key, value) and target (series, d, y) by noon day; dictionary of ``ft.predictors``. Days are
     those of the features; missing values are filled by position before days without a target go, rolling terms come
-    after that; days that lack a predictor go.
+    after that; days that lack a predictor go. kalman: as the original baseline does it, filled by the smoother of a
+    state-space model, and with the sample's skewness.
     """
     days = daily.select("series", "d").distinct().join(target, ["series", "d"], "left")
     base = dictionary.where("kind = 'op' and variant = 'value'").select("series", "col_key", F.col("ordinal").alias("base"))
     # The grid of days and features is the table that models read; it is as large as they need and no larger.
     grid = days.join(base, "series").join(daily, ["series", "d", "col_key"], "left")
-    grid = ft.interpolated(ft.with_row_index(grid, "series", "base"), "value", "series", "base").where("y is not null")
+    fill = imputed if kalman else ft.interpolated
+    grid = fill(ft.with_row_index(grid, "series", "base"), "value", "series", "base").where("y is not null")
     grid = ft.rolling(ft.with_row_index(grid, "series", "base"), "value", "series", "base").select("series", "d", "base", "value", F.col("mean7").alias("roll_mean7"), F.col("sd7").alias("roll_sd7"))
     own = ft.rolling(ft.with_row_index(days.where("y is not null"), "series"), "y", "series").select("series", "d", "lag3", "mean7_3")
     stacked = grid.select("series", "d", F.col("base"), F.expr("stack(3, 'value', value, 'roll_mean7', roll_mean7, 'roll_sd7', roll_sd7) as (variant, value)"))
     stacked = stacked.unionByName(own.select("series", "d", F.lit(-1).alias("base"), F.expr("stack(2, 'lag3', lag3, 'mean7_3', mean7_3) as (variant, value)")))
     rows = stacked.join(dictionary.where("kind = 'op'").select("series", "base", "variant", "ordinal"), ["series", "base", "variant"])
     whole = ft.complete_days(rows.select("series", "d", "ordinal", "value"), "series")
-    corrected = ft.skew_corrected(whole, "series", "ordinal")
+    corrected = ft.skew_corrected(whole, "series", "ordinal", sample=kalman)
     return corrected.join(target, ["series", "d"]).select("series", "d", "ordinal", "value", "y")
 
 
@@ -91,6 +94,12 @@ def wide_matrix(daily: DataFrame, target: DataFrame, dictionary: DataFrame, weat
     return _with_calendar(rows.join(weather, "d", "left"), cal + [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in names], 0)
 
 
+def same_day_baseline(daily: DataFrame, target: DataFrame, dictionary: DataFrame, cfg: ForecastConfig, **options) -> DataFrame:
+    """Detail of the original baseline (``models.same_day_forecast``): features, their rolling terms and lag 3 of the target, no calendar."""
+    own = dictionary.where("variant <> 'mean7_3'")
+    return models.same_day_forecast(ft.as_vectors(wide_features(daily, target, own, kalman=True), "series", "y").withColumnRenamed("features", "op"), cfg, **options)
+
+
 def naive(days: DataFrame, cfg: ForecastConfig, season: int | None = None) -> DataFrame:
     """Forecast detail of the last value, or of the value ``season`` rows before the target."""
     rows = ft.with_row_index(days, "series")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .config import ForecastConfig
 from .functions import scalars as sc
-from .operators import daily, evaluate, features, models, weather
+from .operators import daily, evaluate, features, kalman, models, weather
 from .plans import forecast as plan
 from .sources import responses
 from .sources.readers import chunk_bounds, event_observations, order_days, order_observations, priority_days
@@ -169,6 +169,48 @@ def skew_corrected(spark, sf_dir):
     return features.skew_corrected(f, "metric", "site").select("d", "metric", "site", _r("value").alias("v"))
 
 
+@query(
+    f"WITH {_OBS}, f AS (SELECT nd AS d, metric, site, avg(value) AS v FROM good GROUP BY ALL), m AS (SELECT metric, site, avg(v) AS mu, min(v) AS low, count(v) AS n FROM f GROUP BY ALL),"
+    " s AS (SELECT f.metric, f.site, any_value(low) AS low, avg((v - mu) ** 3) / nullif(avg((v - mu) ** 2), 0) ** 1.5 * ((any_value(n) - 1) / any_value(n)) ** 1.5 AS skew FROM f JOIN m ON f.metric = m.metric AND f.site = m.site GROUP BY ALL)"
+    " SELECT d, f.metric, f.site, round(CASE WHEN skew > 1 AND low > 0 THEN ln(1 + v) WHEN skew > 1 THEN sqrt(v - low + 1) WHEN skew < -1 THEN v * v ELSE v END, 6) AS v FROM f JOIN s ON f.metric = s.metric AND f.site = s.site"
+)
+def sample_skew_corrected(spark, sf_dir):
+    """skew_corrected with the sample's skewness."""
+    f = daily.by_noon_day(event_observations(spark, sf_dir), "metric", "site")
+    return features.skew_corrected(f, "metric", "site", sample=True).select("d", "metric", "site", _r("value").alias("v"))
+
+
+# Statistics and imputation that don't look ahead.
+
+@query(
+    f"WITH {_OBS}, f AS (SELECT nd AS d, metric, site, avg(value) AS v FROM good WHERE metric IS NOT NULL AND site IS NOT NULL GROUP BY ALL),"
+    " p AS (SELECT a.d, a.metric, a.site, count(b.v) AS n, avg(b.v) AS mu, min(b.v) AS low FROM f a JOIN f b ON b.metric = a.metric AND b.site = a.site AND b.d <= a.d GROUP BY ALL)"
+    " SELECT p.d, p.metric, p.site, any_value(n) AS n, round(any_value(low), 6) AS low, CASE WHEN any_value(n) > 2 THEN round(avg((b.v - mu) ** 3) / nullif(avg((b.v - mu) ** 2), 0) ** 1.5, 6) END AS skew FROM p JOIN f b ON b.metric = p.metric AND b.site = p.site AND b.d <= p.d GROUP BY p.d, p.metric, p.site"
+)
+def skewness_so_far(spark, sf_dir):
+    f = daily.by_noon_day(event_observations(spark, sf_dir), "metric", "site")
+    rows = features.so_far(f, "value", "metric", "site", order="d")
+    return rows.select("d", "metric", "site", "n", _r("low").alias("low"), F.when(F.col("n") > 2, _r("skew")).alias("skew"))
+
+
+@query(
+    "WITH f AS (SELECT o_orderpriority AS metric, CAST(o_orderdate AS DATE) AS d, power(avg(CASE WHEN o_orderkey % 3 <> 0 THEN o_totalprice END) / 100000, 3) AS v FROM orders GROUP BY ALL),"
+    " i AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY d) - 1 AS r, count(*) OVER (PARTITION BY metric) AS n FROM f),"
+    " w AS MATERIALIZED (SELECT DISTINCT metric, s FROM i, range(0, 100000, 28) t(s) WHERE s + 70 <= n), st AS (SELECT w.metric, s, avg(v) AS mu, min(v) AS low FROM w JOIN i ON i.metric = w.metric AND i.r <= s + 59 GROUP BY ALL),"
+    " sk AS MATERIALIZED (SELECT st.metric, s, any_value(low) AS low, avg((v - mu) ** 3) / nullif(avg((v - mu) ** 2), 0) ** 1.5 AS skew FROM st JOIN i ON i.metric = st.metric AND i.r <= s + 59 GROUP BY ALL),"
+    " x AS (SELECT i.metric, i.d, i.r, sk.s, skew, low, max(k.r) FILTER (k.r <= i.r) AS bi, arg_max(k.v, k.r) FILTER (k.r <= i.r) AS bv, min(k.r) FILTER (k.r >= i.r) AS ai, arg_min(k.v, k.r) FILTER (k.r >= i.r) AS av"
+    " FROM sk JOIN i ON i.metric = sk.metric AND i.r BETWEEN sk.s AND sk.s + 59 LEFT JOIN i k ON k.metric = sk.metric AND k.r <= sk.s + 59 AND k.v IS NOT NULL GROUP BY ALL),"
+    " l AS (SELECT *, CASE WHEN bi IS NULL THEN av WHEN ai IS NULL THEN bv WHEN ai = bi THEN av ELSE bv + (av - bv) * (r - bi) / (ai - bi) END AS v FROM x)"
+    " SELECT metric, d, CAST(s AS INT) AS window_start, round(CASE WHEN skew > 1 AND low > 0 THEN ln(1 + v) WHEN skew > 1 THEN sqrt(v - low + 1) WHEN skew < -1 THEN v * v ELSE v END, 6) AS v FROM l"
+)
+def windows_so_far(spark, sf_dir):
+    """The values of training windows of 60 rows, every 28 rows, filled and transformed as their last row knows them."""
+    value = F.pow(F.avg(F.when(F.col("o_orderkey") % 3 != 0, F.col("o_totalprice"))) / 100000, F.lit(3.0))
+    f = spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy(F.col("o_orderpriority").alias("metric"), F.to_date("o_orderdate").alias("d")).agg(value.alias("v"))
+    out = features.windows_so_far(features.with_row_index(f, "metric"), "v", "metric", window=60, stride=28)
+    return out.select("metric", "d", F.col("window_start").cast("int").alias("window_start"), _r("v").alias("v"))
+
+
 @query(f"WITH {_DAYS} SELECT d, round(quantile_cont(y, 0.05) OVER (ORDER BY row_idx ROWS BETWEEN 92 PRECEDING AND 3 PRECEDING), 6) AS floor FROM idx")
 def trailing_floor(spark, sf_dir):
     return features.trailing_floor(features.with_row_index(order_days(spark, sf_dir), "series"), "y", "series").select("d", _r("floor").alias("floor"))
@@ -297,12 +339,14 @@ def trend_by_value(spark, sf_dir):
     return out.select("d", _r("y").alias("x"), _r("trend", 4).alias("trend"))
 
 
-_COEF = "WITH c AS (SELECT event_type AS predictor, user_id % 10 + 1 AS horizon, avg(value) - 50 AS c FROM events WHERE user_id % 10 + 1 <> 4 OR event_type <> 'error' GROUP BY ALL)"
+_COEF = "WITH c AS (SELECT event_type AS predictor, user_id % 10 + 1 AS horizon, avg(CASE WHEN user_id % 10 + 1 <> 4 OR event_type <> 'error' THEN value END) - 50 AS c FROM events GROUP BY ALL)"
 
 
 def _coefficients(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("user_id % 10 + 1 <> 4 or event_type <> 'error'")
-    return e.groupBy(F.col("event_type").alias("predictor"), (F.col("user_id") % 10 + 1).cast("int").alias("horizon")).agg((F.avg("value") - 50).alias("coefficient"))
+    """Weights by predictor and horizon; one is missing."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    value = F.when(F.expr("user_id % 10 + 1 <> 4 or event_type <> 'error'"), F.col("value"))
+    return e.groupBy(F.col("event_type").alias("predictor"), (F.col("user_id") % 10 + 1).cast("int").alias("horizon")).agg((F.avg(value) - 50).alias("coefficient"))
 
 
 @query(_COEF + " SELECT predictor, " + ", ".join(f"round(coalesce(max(c) FILTER (horizon = {h}), 0), 6) AS h{h}" for h in range(1, 11)) + ", round(sum(abs(c)) / 10, 6) AS mean_abs FROM c GROUP BY predictor")
@@ -374,13 +418,13 @@ def model_comparison(spark, sf_dir):
     return out.select("model", *(_r(c).alias(c) for c in out.columns if c != "model"))
 
 
-_OWX = "owx AS (SELECT CAST(o_orderdate AS DATE) AS date, avg(o_custkey % 45 - 8) AS t_mean FROM orders WHERE o_orderkey % 3 <> 0 GROUP BY 1)"
+_OWX = "owx AS (SELECT CAST(o_orderdate AS DATE) AS date, avg(CASE WHEN o_orderkey % 3 <> 0 THEN o_custkey % 45 - 8 END) AS t_mean FROM orders GROUP BY 1)"
 
 
 def _order_weather(spark, sf_dir):
     """Daily temperatures made of orders; some days have none."""
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey % 3 <> 0")
-    return o.groupBy(F.to_date("o_orderdate").alias("date")).agg(F.avg(F.col("o_custkey") % 45 - 8).alias("t_mean"))
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return o.groupBy(F.to_date("o_orderdate").alias("date")).agg(F.avg(F.when(F.col("o_orderkey") % 3 != 0, F.col("o_custkey") % 45 - 8)).alias("t_mean"))
 
 
 _TERMS = " CASE WHEN t_mean IS NOT NULL THEN round(greatest(10 - t_mean, 0), 6) END AS wx_coldness, CASE WHEN t_mean IS NOT NULL THEN round(greatest(t_mean - 10, 0), 6) END AS wx_hotness, CASE WHEN t_mean IS NOT NULL THEN round(greatest(5 - t_mean, 0), 6) END AS wx_coldness2, CASE WHEN t_mean IS NOT NULL THEN round(greatest(t_mean - 25, 0), 6) END AS wx_hotness2"
@@ -394,7 +438,7 @@ def residuals_with_weather(spark, sf_dir):
 
 
 @query(
-    f"WITH {_DAYS}, {_AHEAD}, {_OWX}, r AS (SELECT actual - predicted AS residual, greatest(10 - t_mean, 0) AS cold, greatest(t_mean - 10, 0) AS hot FROM ahead JOIN owx ON date = forecast_date),"
+    f"WITH {_DAYS}, {_AHEAD}, {_OWX}, r AS (SELECT actual - predicted AS residual, greatest(10 - t_mean, 0) AS cold, greatest(t_mean - 10, 0) AS hot FROM ahead JOIN owx ON date = forecast_date WHERE t_mean IS NOT NULL),"
     " u AS (SELECT 'wx_coldness' AS variable, cold AS x, residual AS y FROM r UNION ALL SELECT 'wx_hotness', hot, residual FROM r), k AS (SELECT variable, corr(x, y) AS r, count(*) AS n FROM u GROUP BY 1)"
     " SELECT variable, round(r, 6) AS r, n, round(r * sqrt((n - 2) / (1 - r * r)), 4) AS t FROM k"
 )
@@ -549,7 +593,7 @@ def coefficients_by_magnitude(spark, sf_dir):
 
 _WIDE = (
     "WITH o AS MATERIALIZED (SELECT CAST(o_orderdate AS DATE) AS d, o_orderpriority AS metric, o_orderpriority || '|' || c_mktsegment AS col_key, o_totalprice / 100000 AS value FROM orders JOIN customer ON o_custkey = c_custkey),"
-    " f AS (SELECT d, col_key, avg(value) AS v FROM o GROUP BY ALL), t AS (SELECT CAST(o_orderdate AS DATE) AS d, avg(o_totalprice) / 100000 AS y FROM orders WHERE o_orderkey % 50 <> 0 GROUP BY 1),"
+    " f AS (SELECT d, col_key, avg(value) AS v FROM o GROUP BY ALL), t AS (SELECT CAST(o_orderdate AS DATE) AS d, avg(CASE WHEN o_orderkey % 50 <> 0 THEN o_totalprice END) / 100000 AS y FROM orders GROUP BY 1),"
     " k AS MATERIALIZED (SELECT col_key, any_value(metric) AS metric, row_number() OVER (ORDER BY col_key) - 1 AS base, trim(lower(regexp_replace(replace(regexp_replace(regexp_replace(col_key, '[0-9()]', '', 'g'), '[ \\-|]', '_', 'g'), '%', 'pct'), '[^A-Za-z_]', '', 'g')), '_') AS name FROM o GROUP BY col_key),"
     " dict AS MATERIALIZED (SELECT *, CASE WHEN row_number() OVER (PARTITION BY name ORDER BY base) > 1 THEN name || '_' || (row_number() OVER (PARTITION BY name ORDER BY base) - 1) ELSE name END AS feature, (SELECT count(*) FROM k) AS n FROM k)"
 )
@@ -559,12 +603,18 @@ _PREDICTORS = (
 )
 
 
+def _gapped_target(spark, sf_dir):
+    """Mean order value by day without each fiftieth order; a day of such orders alone has no target."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    value = F.avg(F.when(F.col("o_orderkey") % 50 != 0, F.col("o_totalprice"))) / 100000
+    return o.groupBy(F.lit("orders").alias("series"), F.to_date("o_orderdate").alias("d")).agg(value.alias("y"))
+
+
 def _wide(spark, sf_dir, calendar=None):
     """(daily, target, dictionary) of order values by priority and segment; some days have no target."""
     obs = order_observations(spark, sf_dir)
     rows = obs.groupBy("series", "d", F.concat("metric", F.lit("|"), "site").alias("col_key")).agg(F.avg("value").alias("value"))
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey % 50 <> 0")
-    target = o.groupBy(F.lit("orders").alias("series"), F.to_date("o_orderdate").alias("d")).agg((F.avg("o_totalprice") / 100000).alias("y"))
+    target = _gapped_target(spark, sf_dir)
     return rows, target, features.predictors(daily.feature_names(rows, "col_key", "series"), plan.CALENDAR if calendar is None else calendar)
 
 
@@ -619,7 +669,7 @@ def ensemble_arithmetic(spark, sf_dir):
 
 
 @query(
-    f"WITH {_DAYS}, {_AHEAD}, {_OWX}, r AS (SELECT actual - predicted AS residual, greatest(10 - t_mean, 0) AS cold, greatest(t_mean - 10, 0) AS hot, CAST(h AS DOUBLE) AS h FROM ahead JOIN owx ON date = forecast_date),"
+    f"WITH {_DAYS}, {_AHEAD}, {_OWX}, r AS (SELECT actual - predicted AS residual, greatest(10 - t_mean, 0) AS cold, greatest(t_mean - 10, 0) AS hot, CAST(h AS DOUBLE) AS h FROM ahead JOIN owx ON date = forecast_date WHERE t_mean IS NOT NULL),"
     " u AS (SELECT 'wx_coldness' AS variable, cold AS x, residual AS y FROM r UNION ALL SELECT 'wx_hotness', hot, residual FROM r UNION ALL SELECT 'horizon', h, residual FROM r), k AS (SELECT variable, corr(x, y) AS r, count(*) AS n FROM u GROUP BY 1)"
     " SELECT variable, n, round(r, 6) AS r, abs(r * sqrt((n - 2) / (1 - r * r))) > 1.9605 AS significant FROM k"
 )
@@ -736,6 +786,24 @@ def baseline_forecast(spark, sf_dir):
     return models.rolling_forecast(plan.matrix(order_days(spark, sf_dir)), _CFG, calendar_at_target=False, stride=10)
 
 
+@query()
+def kalman_imputation(spark, sf_dir):
+    """Daily order values by priority and segment, the days without one filled by the state-space smoother."""
+    rows = order_observations(spark, sf_dir).groupBy("series", "d", "metric", "site").agg(F.avg("value").alias("value"))
+    grid = rows.select("series", "d").distinct().join(rows.select("series", "metric", "site").distinct(), "series")
+    grid = grid.join(rows, ["series", "d", "metric", "site"], "left").withColumn("imputed", F.col("value").isNull())
+    return kalman.imputed(grid, "value", "metric", "site", order="d").select("d", "metric", "site", "value", "imputed")
+
+
+@query()
+def same_day_baseline(spark, sf_dir):
+    """The original baseline from order values by priority: Kalman imputation, ten random folds, one model a window, every window."""
+    obs = order_observations(spark, sf_dir)
+    rows = obs.groupBy("series", "d", F.col("metric").alias("col_key")).agg(F.avg("value").alias("value"))
+    dictionary = features.predictors(daily.feature_names(rows, "col_key", "series"), [])
+    return plan.same_day_baseline(rows, _gapped_target(spark, sf_dir), dictionary, _CFG)
+
+
 @query()
 def window_sweep(spark, sf_dir):
     """Errors by horizon for training windows of 70, 90, 110 and 130 rows, from every origin."""
