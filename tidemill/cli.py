@@ -1,4 +1,4 @@
-"""Forecasts from files: python -m tidemill.cli INPUT OUTPUT TARGET [--no-wx] [--partial] [--ead-smooth] [--until DAY] [--end DAY] [--origins FIRST LAST] [--weather FILE] [--forecasts FOLDER FIRST LAST] [--holidays DAY,DAY] [--selection FILE] [WINDOW ...]
+"""Forecasts from files: python -m tidemill.cli INPUT OUTPUT TARGET [--no-wx] [--partial] [--ead-smooth] [--as-known] [--until DAY] [--end DAY] [--origins FIRST LAST] [--weather FILE] [--forecasts FOLDER FIRST LAST] [--holidays DAY,DAY] [--selection FILE] [WINDOW ...]
 
 INPUT is observations in CSV or Parquet, TARGET the metric to forecast. Writes the ensemble with its selection, its
 forecasts of the days after the last one, and the rolling model for each window, and prints their errors. --until holds
@@ -7,6 +7,7 @@ rolling model's selection to DAY; --origins bounds the origins. --weather is obs
 of forecast responses by chunk: each origin sees the forecast of its target's day where there is one, observed weather
 only elsewhere. --no-wx leaves weather and holidays out; --partial leaves the rolling model's calendar unpenalised;
 --ead-smooth adds the smoothed target to its columns; --selection takes a summary written before instead of selecting.
+--as-known fills gaps and corrects skewness by what each origin knows, instead of by all rows.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from .sources import readers, responses, writers
 
 def options(args: list[str]) -> argparse.Namespace:
     parser = argparse.ArgumentParser(prog="tidemill")
-    for flag in ("--no-wx", "--partial", "--ead-smooth"):
+    for flag in ("--no-wx", "--partial", "--ead-smooth", "--as-known"):
         parser.add_argument(flag, action="store_true")
     for name in ("--until", "--end", "--weather", "--selection"):
         parser.add_argument(name)
@@ -81,7 +82,7 @@ def _run(spark: SparkSession, path: str, out: str, target: str, chosen: argparse
     rows, y = inputs(spark, path, target)
     calendar = list(plan.CALENDAR) if chosen.no_wx else [*plan.CALENDAR, *plan.HOLIDAYS]
     dictionary = once(features.predictors(daily.feature_names(rows, "col_key", "series"), calendar), "dictionary")
-    m = once(plan.wide_matrix(rows, y, dictionary, None, None if chosen.no_wx else chosen.holidays, ahead=cfg.horizon), "rows")
+    m = once(plan.wide_matrix(rows, y, dictionary, None, None if chosen.no_wx else chosen.holidays, ahead=cfg.horizon, as_known=chosen.as_known), "rows")
     weathered = bool(chosen.weather) and not chosen.no_wx
     m = once(known_weather(spark, m, chosen, cfg), "matrix") if weathered else m
     names = [r.predictor for r in dictionary.orderBy(F.desc("penalised"), "ordinal").select("predictor").collect()]
@@ -101,7 +102,9 @@ def _run(spark: SparkSession, path: str, out: str, target: str, chosen: argparse
     own, kept = models.chosen(m, selection)
     if chosen.ead_smooth and "mean7_3" not in kept:
         smooth = names.index("mean7_3")
-        own = own.join(m.select("series", "d", F.col("op")[smooth].alias("_s")), ["series", "d"]).withColumn("op", F.when(F.col("op").isNotNull(), F.concat("op", F.array("_s")))).drop("_s")
+        parts = [c for c in ("op", *models.KNOWN) if c in m.columns]
+        own = own.join(m.select("series", "d", *(F.col(c)[smooth].alias(f"_{c}") for c in parts)), ["series", "d"])
+        own = own.withColumns({c: F.when(F.col(c).isNotNull(), F.concat(c, F.array(f"_{c}"))) for c in parts}).drop(*(f"_{c}" for c in parts))
         kept = [*kept, "mean7_3"]
     if chosen.windows:
         sweep = once(models.window_sweep(own, cfg, chosen.windows, partial=chosen.partial), "sweep")

@@ -69,6 +69,17 @@ def skew_transform(value: Column, skew: Column, low: Column) -> Column:
     )
 
 
+def known_transform(values: Column, skew: Column, low: Column) -> Column:
+    """skew_transform for arrays, by statistics of earlier rows: a value under their minimum counts as it where that matters."""
+    rows = F.arrays_zip(values.alias("v"), skew.alias("skew"), low.alias("low"))
+
+    def one(x: Column) -> Column:
+        v = F.when(no_nan(x["skew"]) > 1, F.greatest(x["v"], x["low"])).otherwise(x["v"])
+        return skew_transform(v, x["skew"], x["low"])
+
+    return F.transform(rows, one)
+
+
 def weather_terms(
     t_mean: Column, t_min: Column, rain: Column, snow: Column, wind: Column, cold: float = 10, colder: float = 5, hot: float = 25, rain_cap: float = 25, wind_cap: float = 42, heavy: float = 20
 ) -> list[Column]:

@@ -40,6 +40,12 @@ def interpolated(df: DataFrame, value: str, *keys: str, order: str = "row_idx")
     return neighbours(df, value, *keys, order=order).withColumn(value, on_line(order)).drop("_a", "_b")
 
 
+def carried(df: DataFrame, value: str, *keys: str, order: str = "row_idx") -> DataFrame:
+    """value with gaps filled by the last value before; null before the first. A row's value never rests on later rows."""
+    before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return df.withColumn(value, F.last(value, ignorenulls=True).over(before))
+
+
 def _full(f: Column, value: str, w, n: int) -> Column:
     """f over w, or null where fewer than n rows have a value."""
     return F.when(F.count(value).over(w) == n, f.over(w))
@@ -166,7 +172,7 @@ def complete_days(rows: DataFrame, *keys: str) -> DataFrame:
     return have.join(full, [*keys, "d"], "left_semi")
 
 
-def as_vectors(rows: DataFrame, *keys: str) -> DataFrame:
-    """(keys, d, features array<double>) of rows (keys, d, ordinal, value), in the order of the ordinals."""
-    out = rows.groupBy(*keys, "d").agg(F.array_sort(F.collect_list(F.struct("ordinal", "value"))).alias("x"))
-    return out.select(*keys, "d", F.col("x.value").alias("features"))
+def as_vectors(rows: DataFrame, *keys: str, others: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, d, features array<double>) of rows (keys, d, ordinal, value), in the order of the ordinals; others likewise."""
+    out = rows.groupBy(*keys, "d").agg(F.array_sort(F.collect_list(F.struct("ordinal", "value", *others))).alias("x"))
+    return out.select(*keys, "d", F.col("x.value").alias("features"), *(F.col(f"x.{c}").alias(c) for c in others))

@@ -4,7 +4,9 @@ A matrix is (series, d, row_idx, y, op, cal): ``op`` is known at the row, ``cal`
 ``op`` at row t and ``cal`` at the target's row t + h. A matrix may have ``wx`` as well, the weather of its horizons:
 element h - 1 is what row t knows of the target's day (``weather.by_horizon``), so those columns change with h. Rows with
 a null ``op`` are days to come: targets, but no origins. Rows with a null ``y`` teach nothing; an origin may be one. A
-boolean ``origin``, where there is one, says which rows are forecast from.
+boolean ``origin``, where there is one, says which rows are forecast from. Where there are ``skew`` and ``low``, each
+row's statistics of op's columns up to it, op isn't transformed yet: a rolling fit transforms it as its origin knows it,
+a selection window as its last row does, a global model as the last row it learns from does.
 
 A group of work is a block of consecutive origins of a series with the rows their windows need, so a row is copied a few
 times however many origins, windows and horizons use it.
@@ -16,15 +18,17 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import ForecastConfig
-from ..functions.scalars import clip
+from ..functions.scalars import clip, known_transform
 from .elastic_net import cross_validated, fit_scaled, fit_at, fit_many, standardise
 from .features import trailing_floor, with_row_index
 
 DETAIL = "series string, train_win int, origin_date date, horizon int, forecast_date date, actual double, predicted double, floor double, alpha double, coef array<double>"
+#: Statistics beside op.
+KNOWN = ("skew", "low")
 #: Origins of a block, and origins whose fits run at once.
 BLOCK, AT_ONCE = 32, 16
 #: Tasks for each shuffle partition of the session: fits are long and groups few, so that small tasks fill the cores evenly.
@@ -53,17 +57,28 @@ def _matrix(values: pd.Series) -> np.ndarray:
     return np.nan_to_num(np.array([none if v is None else np.asarray(v, dtype=float) for v in values], dtype=float).reshape(len(values), width))
 
 
+def _transformed(x: np.ndarray, skew: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Rows of op by the statistics of a row at or after them all."""
+    held = np.maximum(x, low)
+    return np.select([(skew > 1) & (low > 0), skew > 1, skew < -1], [np.log1p(np.maximum(held, 0.0)), np.sqrt(held - low + 1), x * x], x)
+
+
 class _Rows:
     """A group's rows in order: op, cal, wx (rows, horizons, columns), y, and which rows can be origins."""
 
     def __init__(self, pdf: pd.DataFrame):
         self.op, self.cal, self.y = _matrix(pdf.op), _matrix(pdf.cal), pdf.y.to_numpy(dtype=float)
         self.real = pdf.op.notna().to_numpy()
+        self.known = [_matrix(pdf[c]) for c in KNOWN] if KNOWN[0] in pdf.columns else None
         self.wx = None
         if "wx" in pdf.columns:
             flat = _matrix(pdf.wx.map(lambda v: None if v is None else np.concatenate([np.asarray(x, dtype=float) for x in v])))
             self.wx = flat.reshape(len(pdf), -1 if flat.size else 1, len(next((v[0] for v in pdf.wx if v is not None), [])))
 
+    def until(self, start: int, at: int) -> np.ndarray:
+        """op from row start to row at, as row at knows it."""
+        return self.op[start : at + 1] if self.known is None else _transformed(self.op[start : at + 1], *(v[at] for v in self.known))
+
     def later(self, rows: slice, h: int, at_target: bool = True) -> np.ndarray:
         """What rows know of their targets h rows on: the calendar, and the weather of the horizon."""
         cal = self.cal[rows.start + h : rows.stop + h] if at_target else self.cal[rows]
@@ -71,7 +86,7 @@ class _Rows:
 
 
 def _inputs(matrix: DataFrame, *names: str) -> DataFrame:
-    return matrix.select(*names, *(c for c in ("wx", "origin") if c in matrix.columns))
+    return matrix.select(*names, *(c for c in ("wx", "origin", *KNOWN) if c in matrix.columns))
 
 
 def origins(matrix: DataFrame, cfg: ForecastConfig, windows: tuple[int, ...] = (), stride: int = 1) -> DataFrame:
@@ -122,15 +137,16 @@ def rolling_forecast(matrix: DataFrame, cfg: ForecastConfig, partial: bool = Fal
             keys, xs, ys, news = [], [], [], []
             for w, o in todo[at : at + AT_ONCE]:
                 start = o - w + 1
-                varies = op[start : o + 1].std(axis=0) > 0
+                own = rows.until(start, o)
+                own = np.where(own.std(axis=0) > 0, own, 0.0)
                 for h in range(1, horizon + 1):
                     known = o + 1 - lag  # targets up to the origin less the lag
                     train = slice(start, known - h)
                     use = ~np.isnan(y[start + h : known])
                     keys.append((w, o, h))
-                    xs.append(np.hstack([np.where(varies, op[train], 0.0), rows.later(train, h, calendar_at_target)])[use])
+                    xs.append(np.hstack([own[: train.stop - start], rows.later(train, h, calendar_at_target)])[use])
                     ys.append(y[start + h : known][use])
-                    news.append(np.concatenate([np.where(varies, op[o], 0.0), rows.later(slice(o, o + 1), h, calendar_at_target)[0]]))
+                    news.append(np.concatenate([own[-1], rows.later(slice(o, o + 1), h, calendar_at_target)[0]]))
             for (w, o, h), x, (coef, intercept, alpha, scaled) in zip(keys, news, fit_many(xs, ys, cfg.l1_ratio, cfg.folds, cfg.n_alphas, mask)):
                 out.append((pdf.series[0], w, pdf.d[o], h, pdf.d[o + h], y[o + h], float(x @ coef + intercept), pdf.floor[o], alpha, scaled.tolist()))
         return pd.DataFrame(out, columns=[c.split()[0] for c in DETAIL.split(", ")])
@@ -208,19 +224,21 @@ def selection_ledger(matrix: DataFrame, names: list[str], cfg: ForecastConfig, d
     span, block = cfg.selection_window, 2 * cfg.stride
     each = Window.partitionBy("series")
     rows = matrix.where("op is not null and y is not null")
-    rows = rows.select("series", "row_idx", "d", "y", "op", "cal", (F.max("row_idx").over(each) + 1 - span - cfg.horizon).alias("last"))
+    known = [c for c in KNOWN if c in rows.columns]
+    rows = rows.select("series", "row_idx", "d", "y", "op", "cal", *known, (F.max("row_idx").over(each) + 1 - span - cfg.horizon).alias("last"))
     ends = F.lead("d", span + cfg.horizon - 1).over(each.orderBy("row_idx"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("row_idx", ignore_index=True)
         rows = _Rows(pdf)
-        x, y = np.hstack([rows.op, rows.cal]), rows.y
+        y = rows.y
         starts = (pdf.row_idx // block == pdf.block[0]) & (pdf.row_idx % cfg.stride == 0) & (pdf.row_idx <= pdf["last"])
         if done is not None:
             starts &= pdf.row_idx > done
         out = []
         for i in np.flatnonzero(starts):
-            train = np.where(x[i : i + span].std(axis=0) > 0, x[i : i + span], 0.0)
+            x = np.hstack([rows.until(i, i + span - 1), rows.cal[i : i + span]])
+            train = np.where(x.std(axis=0) > 0, x, 0.0)
             hs = range(1, cfg.horizon + 1)
             fits = fit_many([train[: span - h] for h in hs], [y[i + h : i + span] for h in hs], cfg.l1_ratio, cfg.folds, cfg.n_alphas)
             kept = sum((b != 0).astype(np.int64) for _, _, _, b in fits)
@@ -267,8 +285,11 @@ def chosen(matrix: DataFrame, selection: DataFrame) -> tuple[DataFrame, list[str
     """matrix with only the selected columns of op, by frequency, and their names; the list is as short as a model."""
     rows = selection.where("in_model and not forced").orderBy(F.desc("n_selected"), "ordinal").select("ordinal", "predictor").collect()
     at = F.array(*[F.lit(int(r.ordinal)) for r in rows]).cast("array<int>")
-    picked = F.when(F.col("op").isNotNull(), F.transform(at, lambda i: F.col("op")[i]))
-    return matrix.withColumn("op", picked), [r.predictor for r in rows]
+
+    def picked(c: str) -> Column:
+        return F.when(F.col(c).isNotNull(), F.transform(at, lambda i: F.col(c)[i]))
+
+    return matrix.withColumns({c: picked(c) for c in ("op", *KNOWN) if c in matrix.columns}), [r.predictor for r in rows]
 
 
 def global_models(matrix: DataFrame, cfg: ForecastConfig, until: str | None = None) -> DataFrame:
@@ -279,6 +300,10 @@ def global_models(matrix: DataFrame, cfg: ForecastConfig, until: str | None = No
     """
     rows = matrix.where("op is not null and y is not null")
     rows = rows if until is None else rows.where(F.col("d") <= F.lit(until).cast("date"))
+    known = [c for c in KNOWN if c in matrix.columns]
+    if known:  # a row for each series
+        last = rows.groupBy("series").agg(*(F.max_by(c, "row_idx").alias(c) for c in known))
+        rows = rows.drop(*known).join(last, "series").withColumn("op", known_transform(F.col("op"), *map(F.col, known)))
     weather = F.col("wx")[F.col("h") - 1] if "wx" in matrix.columns else F.array().cast("array<double>")
     spread = rows.withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(cfg.horizon))))
     spread = _dealt(spread.select("series", "h", "row_idx", "y", "op", "cal", weather.alias("wh")), "series", "h")
@@ -308,7 +333,8 @@ def global_models(matrix: DataFrame, cfg: ForecastConfig, until: str | None = No
     found = spread.groupBy("series", "h").applyInPandas(penalty, "series string, h int, cv_alpha double")
     least = F.max(F.when(F.col("h") == 1, F.col("cv_alpha"))).over(Window.partitionBy("series"))
     penalties = found.withColumn("alpha", F.greatest("cv_alpha", least))
-    return spread.join(penalties, ["series", "h"]).groupBy("series", "h").applyInPandas(fit, schema)
+    fitted = spread.join(penalties, ["series", "h"]).groupBy("series", "h").applyInPandas(fit, schema)
+    return fitted.join(last, "series") if known else fitted
 
 
 def ensemble(rolling: DataFrame, general: DataFrame, cfg: ForecastConfig) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import ForecastConfig
-from ..functions.scalars import dot, fourier, weekday_dummies
+from ..functions.scalars import dot, fourier, known_transform, weekday_dummies
 from ..operators import evaluate
 from ..operators import features as ft
 from ..operators import models
@@ -41,7 +41,8 @@ def matrix(days: DataFrame, lag: int = 0, ahead: int = 0) -> DataFrame:
 
 def _with_calendar(rows: DataFrame, cal: list, ahead: int) -> DataFrame:
     rows = ft.with_future(rows, ahead, "series") if ahead else rows
-    return ft.with_row_index(rows.select("series", "d", "y", "op", F.array(*cal).alias("cal")), "series")
+    known = [c for c in models.KNOWN if c in rows.columns]
+    return ft.with_row_index(rows.select("series", "d", "y", "op", F.array(*cal).alias("cal"), *known), "series")
 
 
 def with_weather(m: DataFrame, actual: DataFrame, forecast: DataFrame | None, names: list[str] | None = None, smooth: list[str] | None = None, horizon: int = 10) -> DataFrame:
@@ -50,19 +51,20 @@ def with_weather(m: DataFrame, actual: DataFrame, forecast: DataFrame | None, na
     return m.join(known, "d", "left")
 
 
-def wide_features(daily: DataFrame, target: DataFrame, dictionary: DataFrame, kalman: bool = False) -> DataFrame:
+def wide_features(daily: DataFrame, target: DataFrame, dictionary: DataFrame, kalman: bool = False, as_known: bool = False) -> DataFrame:
     """(series, d, ordinal, value, y): every predictor of every day with a target, in long form, skew-corrected.
 
     daily (series, d, col_key, value) and target (series, d, y) by noon day; dictionary of ``ft.predictors``. Days are
     those of the features; missing values are filled by position before days without a target go, rolling terms come
     after that; days that lack a predictor go. kalman: as the original baseline does it, filled by the smoother of a
-    state-space model, and with the sample's skewness.
+    state-space model, and with the sample's skewness. as_known: nothing rests on later rows; gaps take the last value
+    before, values aren't corrected, and skew and low, the statistics of the rows up to each, stand beside them.
     """
     days = daily.select("series", "d").distinct().join(target, ["series", "d"], "left")
     base = dictionary.where("kind = 'op' and variant = 'value'").select("series", "col_key", F.col("ordinal").alias("base"))
     # The grid of days and features is the table that models read; it is as large as they need and no larger.
     grid = days.join(base, "series").join(daily, ["series", "d", "col_key"], "left")
-    fill = imputed if kalman else ft.interpolated
+    fill = imputed if kalman else ft.carried if as_known else ft.interpolated
     grid = fill(ft.with_row_index(grid, "series", "base"), "value", "series", "base").where("y is not null")
     grid = ft.rolling(ft.with_row_index(grid, "series", "base"), "value", "series", "base").select("series", "d", "base", "value", F.col("mean7").alias("roll_mean7"), F.col("sd7").alias("roll_sd7"))
     own = ft.rolling(ft.with_row_index(days.where("y is not null"), "series"), "y", "series").select("series", "d", "lag3", "mean7_3")
@@ -70,18 +72,23 @@ def wide_features(daily: DataFrame, target: DataFrame, dictionary: DataFrame, ka
     stacked = stacked.unionByName(own.select("series", "d", F.lit(-1).alias("base"), F.expr("stack(2, 'lag3', lag3, 'mean7_3', mean7_3) as (variant, value)")))
     rows = stacked.join(dictionary.where("kind = 'op'").select("series", "base", "variant", "ordinal"), ["series", "base", "variant"])
     whole = ft.complete_days(rows.select("series", "d", "ordinal", "value"), "series")
+    if as_known:
+        known = ft.so_far(whole, "value", "series", "ordinal", order="d")
+        return known.join(target, ["series", "d"]).select("series", "d", "ordinal", "value", *models.KNOWN, "y")
     corrected = ft.skew_corrected(whole, "series", "ordinal", sample=kalman)
     return corrected.join(target, ["series", "d"]).select("series", "d", "ordinal", "value", "y")
 
 
-def wide_matrix(daily: DataFrame, target: DataFrame, dictionary: DataFrame, weather: DataFrame | None = None, holidays: list | None = None, ahead: int = 0) -> DataFrame:
+def wide_matrix(daily: DataFrame, target: DataFrame, dictionary: DataFrame, weather: DataFrame | None = None, holidays: list | None = None, ahead: int = 0, as_known: bool = False) -> DataFrame:
     """(series, d, row_idx, y, op, cal): the predictors of wide_features as vectors, and the calendar.
 
     weather (d, wx_...) and holidays add columns to the calendar; where they aren't given (the models without weather),
     it is weekday and season alone. Missing weather is 0, as missing values are in the fits. Weather put here counts as
-    known in advance; ``with_weather`` adds what a row knows of it. ahead: days to come, see ``matrix``.
+    known in advance; ``with_weather`` adds what a row knows of it. ahead: days to come, see ``matrix``. as_known: with
+    the columns skew and low, by which models transform op as each origin, window or training span knows it; rows and
+    forecasts then stay the same when rows are added, for the same dictionary.
     """
-    op = ft.as_vectors(wide_features(daily, target, dictionary), "series", "y")
+    op = ft.as_vectors(wide_features(daily, target, dictionary, as_known=as_known), "series", "y", others=models.KNOWN if as_known else ())
     cal = [*weekday_dummies(F.col("d")), *fourier(F.col("d"))]
     if holidays is not None:
         days = [F.lit(x).cast("date") for x in holidays]
@@ -126,7 +133,9 @@ def model_inputs(m: DataFrame, horizon: int = 10) -> DataFrame:
 def global_forecast(m: DataFrame, fitted: DataFrame, cfg: ForecastConfig) -> DataFrame:
     """Forecast detail of global models: penalised columns at the origin, calendar columns at the target."""
     # A model is one row for each series and horizon.
-    rows = model_inputs(m, cfg.horizon).join(fitted.select("series", "horizon", "coef", "intercept"), ["series", "horizon"])
+    known = [c for c in models.KNOWN if c in fitted.columns]
+    rows = model_inputs(m, cfg.horizon).join(fitted.select("series", "horizon", "coef", "intercept", *known), ["series", "horizon"])
+    rows = rows.withColumn("op", known_transform(F.col("op"), *map(F.col, known))) if known else rows
     x = F.concat("op", "later")
     return rows.select("series", "origin_date", "horizon", "forecast_date", "actual", dot(x, F.col("coef"), F.col("intercept")).alias("predicted"))
 

@@ -639,6 +639,22 @@ def wide_feature_matrix(spark, sf_dir):
     return plan.wide_features(*_wide(spark, sf_dir)).select("d", "ordinal", _r(F.col("value") * F.pi(), 5).alias("value_pi"), _r("y").alias("y"))
 
 
+@query(
+    _WIDE + ", days AS MATERIALIZED (SELECT DISTINCT f.d, y FROM f LEFT JOIN t USING (d)), grid AS MATERIALIZED (SELECT days.d, y, base, n, last_value(v IGNORE NULLS) OVER (PARTITION BY base ORDER BY days.d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS v FROM days CROSS JOIN dict LEFT JOIN f ON f.d = days.d AND f.col_key = dict.col_key),"
+    " r AS MATERIALIZED (SELECT *, CASE WHEN count(v) OVER w = 7 THEN avg(v) OVER w END AS m, CASE WHEN count(v) OVER w = 7 THEN stddev_samp(v) OVER w END AS s FROM grid WHERE y IS NOT NULL WINDOW w AS (PARTITION BY base ORDER BY d ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)),"
+    " own AS (SELECT d, lag(y, 3) OVER (ORDER BY d) AS l, CASE WHEN count(y) OVER z = 5 THEN avg(y) OVER z END AS m FROM days WHERE y IS NOT NULL WINDOW z AS (ORDER BY d ROWS BETWEEN 7 PRECEDING AND 3 PRECEDING)),"
+    " u AS MATERIALIZED (SELECT d, base AS ordinal, v FROM r UNION ALL SELECT d, n + 2 * base, m FROM r UNION ALL SELECT d, n + 2 * base + 1, s FROM r UNION ALL SELECT d, 3 * (SELECT max(n) FROM dict), l FROM own UNION ALL SELECT d, 3 * (SELECT max(n) FROM dict) + 1, m FROM own),"
+    " bad AS MATERIALIZED (SELECT DISTINCT d FROM u WHERE v IS NULL), h AS MATERIALIZED (SELECT u.* FROM u ANTI JOIN bad ON u.d = bad.d), p AS MATERIALIZED (SELECT d, ordinal, v, count(v) OVER w AS k, avg(v) OVER w AS mu, min(v) OVER w AS low FROM h WINDOW w AS (PARTITION BY ordinal ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"
+    " SELECT p.d, CAST(p.ordinal AS INT) AS ordinal, round(any_value(p.v) * pi(), 5) AS value_pi, round(any_value(low) * pi(), 5) AS low_pi, CASE WHEN any_value(k) > 2 AND min(b.v) < max(b.v) THEN round(avg((b.v - mu) ** 3) / avg((b.v - mu) ** 2) ** 1.5, 5) END AS skew FROM p JOIN h b ON b.ordinal = p.ordinal AND b.d <= p.d GROUP BY p.d, p.ordinal"
+)
+def wide_features_as_known(spark, sf_dir):
+    """wide_feature_matrix without a look ahead: gaps carried forward, the statistics of each row's own past beside the values."""
+    rows = plan.wide_features(*_wide(spark, sf_dir), as_known=True)
+    third = F.row_number().over(Window.partitionBy("series", "ordinal").orderBy("d")) > 2
+    skew = F.when(third & ~F.isnan("skew"), _r("skew", 5))  # equal values have none
+    return rows.select("d", "ordinal", _r(F.col("value") * F.pi(), 5).alias("value_pi"), _r(F.col("low") * F.pi(), 5).alias("low_pi"), skew.alias("skew"))
+
+
 _INPUTS = (
     f"WITH {_DAYS}, a AS (SELECT *, lag(y, 3) OVER (ORDER BY row_idx) AS lag3 FROM idx), m AS (SELECT *, row_number() OVER (ORDER BY d) - 1 AS i FROM a WHERE row_idx >= 7)"
     " SELECT o.d AS origin_date, CAST(h AS INT) AS horizon, t.d AS forecast_date, round(t.y, 6) AS actual, round(o.y, 6) AS y0, round(o.lag3, 6) AS lag3, CAST(isodow(t.d) = 1 AS DOUBLE) AS dow_0, round(sin(2 * pi() * dayofyear(t.d) / 365.25), 6) AS sin_1"
@@ -774,6 +790,14 @@ def weather_ensemble(spark, sf_dir):
     return plan.numbered_forecast(plan.with_weather(plan.matrix(days), actual, ahead, ["t"], ["t"]), _CFG)
 
 
+@query()
+def ensemble_as_known(spark, sf_dir):
+    """The ensemble from order values by priority, gaps filled and skewness corrected as each origin knows them; global models learn to 2000-09-30."""
+    rows = order_observations(spark, sf_dir).groupBy("series", "d", F.col("metric").alias("col_key")).agg(F.avg("value").alias("value"))
+    dictionary = features.predictors(daily.feature_names(rows, "col_key", "series"), plan.CALENDAR)
+    return plan.numbered_forecast(plan.wide_matrix(rows, _gapped_target(spark, sf_dir), dictionary, as_known=True), _CFG, "2000-09-30")
+
+
 @query()
 def partial_rolling(spark, sf_dir):
     """The rolling model with an unpenalised calendar."""
