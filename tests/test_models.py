@@ -321,6 +321,17 @@ def test_t_probability():
     assert [round(evaluate.t_probability(t, n), 4) for t, n in ((2.2281, 10), (2.0423, 30), (4.0321, 5), (0.0, 7))] == [0.05, 0.05, 0.01, 1.0]
 
 
+def test_correlations_of_equal_values(spark):
+    rows = spark.createDataFrame([(0.0, float(i), float(i * i), 2.0 * i) for i in range(9)], "flat double, x double, square double, residual double")
+    got = {r.variable: r for r in evaluate.significance(evaluate.correlations(rows, ["flat", "x", "square"])).collect()}
+    assert np.isnan(got["flat"].r) and np.isnan(got["flat"].t) and got["flat"].n == 9 and got["flat"].significant is None
+    assert got["x"].r == pytest.approx(1) and got["x"].t > 1e6 and got["x"].significant
+    r = np.corrcoef(np.arange(9), np.arange(9) ** 2)[0, 1]
+    assert (got["square"].r, got["square"].t) == pytest.approx((r, r * np.sqrt(7 / (1 - r * r))))
+    assert np.isnan(evaluate.correlations(rows.limit(1), ["x"]).first().r)  # one pair
+    assert np.isnan(evaluate.correlations(rows.limit(2), ["x"]).first().t)  # two pairs leave no freedom
+
+
 def test_command_line(spark, tmp_path):
     from tidemill import cli
 
