@@ -318,6 +318,29 @@ def test_lm_counts_and_rounds_cover_all_documents(spark):
     three.unpersist()
 
 
+def test_lm_learns_from_every_window(spark, monkeypatch):
+    """Each target of each training text is in one step of one round, as ``score`` runs them."""
+    texts = [prose(n, i) for i, n in enumerate((1, 5, 40, 400, 1500) * 8)]
+    d = spark.createDataFrame([(i, i, False, t) for i, t in enumerate(texts)], "row long, doc_id long, held_out boolean, text string")
+    with open(queries.byte_vocabulary_path(), "rb") as f:
+        source = f.read()
+    vocab = lm.vocabulary(source)
+    ids = vocab.n_vocab + 2
+    coded = lm.encoded(d.repartition(3, "doc_id"), source).persist()
+    of = attention.layout(lm.id_counts(coded, ids, ids - 1), ids - 2, ids - 1)
+    summed, seen = lm._summed, []
+
+    def watched(rows, key, *others):
+        if key == "part":
+            seen.extend(r.n for r in rows.where("slot = 0").select("n").collect())
+        return summed(rows, key, *others)
+
+    monkeypatch.setattr(lm, "_summed", watched)
+    lm.follow(attention.untrained(of), of, coded)
+    assert sum(seen) == sum(len(lm.encode(vocab, lm.plain(t))) + 1 for t in texts)
+    coded.unpersist()
+
+
 def test_top_words_are_bounded(spark):
     counts = spark.createDataFrame([(f"w{i}", 1000 // (i + 1) + 1) for i in range(500)], "word string, n long")
     got = {w for w in lm.top_words(counts, 50).column("word").to_pylist()}

@@ -130,11 +130,24 @@ def _by_class(classes: np.ndarray, spans: list[tuple[int, int]]) -> list[tuple[i
     return [(a, b, order[cut[a] : cut[b]]) for a, b in spans if cut[b] > cut[a]]
 
 
+def _less_target(z: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sums of rows of exponentials and those at the columns ``which``, from which the sums are then taken off.
+
+    Divided by the sums, z then is the gradient of the cross-entropy at the logits.
+    """
+    total = z @ np.ones(z.shape[1], dtype=z.dtype)
+    flat, place = z.reshape(-1), np.arange(0, z.size, z.shape[1]) + which
+    picked = flat.take(place)
+    flat[place] = picked - total
+    return total, picked
+
+
 def gradients(p: dict[str, np.ndarray], of: Layout, inputs: np.ndarray, targets: np.ndarray, use: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
     """Mean cross-entropy in nats over the targets in use, and its gradient for each parameter."""
     b, dim = len(inputs), p["query"].shape[0]
     kind = p["query"].dtype
-    x = p["embed"][inputs] + p["place"]
+    x = p["embed"].take(inputs, axis=0)
+    x += p["place"]
     flat_x = x.reshape(-1, dim)
     joint = np.concatenate([p["query"], p["key"], p["value"]], axis=1)
     q, k, v = np.split((flat_x @ joint).reshape(b, WINDOW, 3 * dim), 3, axis=2)
@@ -144,38 +157,47 @@ def gradients(p: dict[str, np.ndarray], of: Layout, inputs: np.ndarray, targets:
     h = flat_x + c.reshape(-1, dim) @ p["mix"]
     own = np.flatnonzero(use.ravel())
     n = max(len(own), 1)
+    # The targets in order of their classes, so that those of neighbouring classes are next to each other.
+    out = targets.ravel().take(own)
+    order = np.argsort(of.of_output.take(out), kind="stable")
+    own, out = own.take(order), out.take(order)
+    classes = of.of_output.take(out)
+    cut, first = np.searchsorted(classes, np.arange(CLASSES + 1)).tolist(), of.first.tolist()
     rows = np.ones((len(own), dim + 1), dtype=kind)  # the last column takes the bias
-    rows[:, :dim] = h[own]
-    out = targets.ravel()[own]
-    classes = of.of_output[out]
-    every = np.arange(len(own))
+    rows[:, :dim] = h.take(own, axis=0)
     z = rows @ p["top"]
     np.clip(z, -LIMIT, LIMIT, out=z)
     np.exp(z, out=z)
-    picked = z[every, classes]
-    total = z.sum(axis=1)
-    loss = float(np.log(total).sum() - np.log(picked).sum())
-    z /= (total * kind.type(n))[:, None]
-    z[every, classes] -= kind.type(1 / n)
-    g = {"top": rows.T @ z, "low": np.zeros_like(p["low"])}
+    total, picked = _less_target(z, classes)
+    totals, targeted = [total], [picked]
+    scale = (1 / (total * kind.type(n)))[:, None]
+    low, g_low = p["low"].T, np.zeros(p["low"].shape[::-1], dtype=kind)
+    g = {"top": (rows * scale).T @ z, "low": g_low.T}
     d = z @ p["top"].T
-    for first, after, at in _by_class(classes, of.spans):
-        lo, hi = of.first[first], of.first[after]
-        if hi - lo < 2:
+    d *= scale
+    for begin, after in of.spans:
+        at, lo, hi = slice(cut[begin], cut[after]), first[begin], first[after]
+        if at.start == at.stop or hi - lo < 2:
             continue
-        mine, weights = rows.take(at, axis=0), p["low"][:, lo:hi]
-        z = mine @ weights
+        mine, weights = rows[at], low[lo:hi]
+        z = mine @ weights.T
         np.clip(z, -LIMIT, LIMIT, out=z)
-        np.exp(z, out=z)
-        if after > first + 1:  # only the outputs of a target's own class compete for it
-            z *= of.of_output[lo:hi] == classes.take(at)[:, None]
-        place = (np.arange(len(at)), out[at] - lo)
-        total = z.sum(axis=1)
-        loss += float(np.log(total).sum() - np.log(z[place]).sum())
-        z /= (total * kind.type(n))[:, None]
-        z[place] -= kind.type(1 / n)
-        g["low"][:, lo:hi] = mine.T @ z
-        d[at] += z @ weights.T
+        for i in range(begin, after):  # only the outputs of a target's own class compete for it
+            block = z[cut[i] - at.start : cut[i + 1] - at.start]
+            if len(block):
+                inside = block[:, first[i] - lo : first[i + 1] - lo]
+                np.exp(inside, out=inside)
+                block[:, : first[i] - lo] = 0
+                block[:, first[i + 1] - lo :] = 0
+        total, picked = _less_target(z, out[at] - lo)
+        totals.append(total)
+        targeted.append(picked)
+        scale = (1 / (total * kind.type(n)))[:, None]
+        np.matmul(z.T, mine * scale, out=g_low[lo:hi])
+        more = z @ weights
+        more *= scale
+        d[at] += more
+    loss = float(np.log(np.concatenate(totals)).sum() - np.log(np.concatenate(targeted)).sum())
     dh = np.zeros((b * WINDOW, dim), dtype=kind)
     dh[own] = d[:, :dim]
     g["mix"] = c.reshape(-1, dim).T @ dh
@@ -197,7 +219,10 @@ def gradients(p: dict[str, np.ndarray], of: Layout, inputs: np.ndarray, targets:
 
 
 class Adam:
-    """Adam steps on parameters p, in place, at a rate that the caller gives."""
+    """Adam steps on parameters p, in place, at a rate that the caller gives.
+
+    ``first`` and ``second`` are the moments' sums without their constant factors, which the step takes in.
+    """
 
     def __init__(self, p: dict[str, np.ndarray]):
         self.p, self.step = p, 0
@@ -205,18 +230,16 @@ class Adam:
 
     def take(self, g: dict[str, np.ndarray], rate: float) -> None:
         self.step += 1
-        scale = np.float32(rate / (1 - 0.9**self.step))
-        back = np.float32(1 / (1 - 0.99**self.step))
+        root = (0.01 / (1 - 0.99**self.step)) ** 0.5
+        scale, least = np.float32(0.1 * rate / (1 - 0.9**self.step) / root), np.float32(1e-8 / root)
         for n, first in self.first.items():
             second, d, some = self.second[n], g[n], self.some[n]
             first *= np.float32(0.9)
-            first += np.multiply(d, np.float32(0.1), out=some)
+            first += d
             second *= np.float32(0.99)
-            np.multiply(d, d, out=some)
-            some *= np.float32(0.01)
-            second += some
-            np.sqrt(np.multiply(second, back, out=some), out=some)
-            some += np.float32(1e-8)
+            second += np.multiply(d, d, out=some)
+            np.sqrt(second, out=some)
+            some += least
             np.divide(first, some, out=some)
             some *= scale
             self.p[n] -= some
@@ -226,7 +249,7 @@ class Fit:
     """Weights that follow the texts they are shown, a step for each BATCH windows in a fixed shuffled order."""
 
     def __init__(self, p: dict[str, np.ndarray], of: Layout, rate: float, seed: int = 0):
-        self.p = {n: v.copy() for n, v in p.items()}
+        self.p = {n: v.copy(order="F" if n == "low" else "C") for n, v in p.items()}  # an output's weights are next to each other
         self.of, self.rate, self.targets = of, rate, 0
         self.adam, self.random = Adam(self.p), np.random.default_rng(seed)
 

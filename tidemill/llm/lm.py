@@ -6,11 +6,10 @@ probability is that of the words. Texts are encoded once and kept on disk. The a
 counts ids over all training documents, in tasks and then by a shuffle. Its weights start from a short fit on the
 driver to at most ``START_DOCS`` documents of the smallest id hash. Then come ``ROUNDS`` rounds over the corpus: every
 training document belongs to one of them by its id's hash, each task follows all its documents of the round by steps
-of its own (one window in ``DRAW`` of each piece of whole texts is drawn for a step), and the weights of all tasks,
-weighted by their numbers of targets, are averaged by a shuffle and are where the next round begins. So what the
-weights learn from grows with the corpus; of a text of one window, seven in eight aren't drawn, and a text's other
-windows only count as ids. A round has as many tasks as can take ``LEAST_STEPS`` steps each, at most the corpus's
-partitions: a mean of tasks that hardly moved would learn less the more tasks there are.
+of its own, which take every window of every text once, and the weights of all tasks, weighted by their numbers of
+targets, are averaged by a shuffle and are where the next round begins. So the weights learn from every target of the
+corpus. A round has as many tasks as can take ``LEAST_STEPS`` steps each, at most the corpus's partitions: a mean of
+tasks that hardly moved would learn less the more tasks there are.
 
 The base counts words over all training documents: counts are summed in tasks, then by word in a shuffle. The
 ``TOP_WORDS`` most frequent counts (a fixed bound, found by a histogram of the counts) are broadcast; what a document
@@ -44,10 +43,9 @@ from .text import chunks
 START_DOCS = 1000
 START_PASSES = 2
 START_RATE = 0.02
-#: Rounds over the corpus, their rate at first, and how many windows there are to one that is drawn.
+#: Rounds over the corpus, and their rate at first.
 ROUNDS = 4
 RATE = 0.008
-DRAW = 8
 #: Steps that a task of a round should take at least; with fewer there are fewer tasks.
 LEAST_STEPS = 48
 #: Parameters in one row of a task's weights, and groups of tasks that are summed before the groups are.
@@ -181,8 +179,11 @@ def _summed(rows: DataFrame, key: str, *others: str) -> DataFrame:
     return rows.groupBy("slot", *others).applyInArrow(add, schema)
 
 
-def follow(p: dict[str, np.ndarray], of: attention.Layout, train: DataFrame, rounds: int = ROUNDS, rate: float = RATE, draw: int = DRAW, least_steps: int = LEAST_STEPS) -> dict[str, np.ndarray]:
-    """Weights p fitted on to all texts of train (doc_id, ids), by rounds of local steps and averaging."""
+def follow(p: dict[str, np.ndarray], of: attention.Layout, train: DataFrame, rounds: int = ROUNDS, rate: float = RATE, draw: int = 1, least_steps: int = LEAST_STEPS) -> dict[str, np.ndarray]:
+    """Weights p fitted on to all texts of train (doc_id, ids), by rounds of local steps and averaging.
+
+    draw: 1 learns from every window, k from each k-th.
+    """
     spark = train.sparkSession
     layout = spark.sparkContext.broadcast(of)
     steps = of.total.sum() / rounds / draw / (attention.BATCH * attention.WINDOW)
