@@ -158,6 +158,15 @@ def test_html(spark):
     assert len(html.shared_lines(["a", "b", "c", "b"], ["b", "a", "b", "c"])) == 2  # the first b meets the first b only
 
 
+def test_html_articles_of_the_template(spark):
+    """An article element that the neighbour has too is template beside an own one; an own article's shared lines stay."""
+    page = "<body><article><h2>Read next</h2><p>Ten tips</p></article><article><h1>Page {0}</h1><p>A passage of both</p><p>Text {0}</p></article></body>"
+    alone = "<body><article><p>Same in both</p></article><div>Only {0} here</div></body>"
+    rows = [(i, f"http://a.x/p/{i}", page.format(i)) for i in (1, 2)] + [(i, f"http://b.x/p/{i}", alone.format(i)) for i in (3, 4)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)).collect()}
+    assert got == {1: "Page 1 A passage of both Text 1", 2: "Page 2 A passage of both Text 2", 3: "Same in both", 4: "Same in both"}
+
+
 def test_syncmers(spark):
     texts = [*EDGES, prose(200, 1), prose(200, 2)]
     rows = {r.doc_id: r for r in syncmers.edited_fingerprints(docs(spark, texts)).collect()}

@@ -6,8 +6,9 @@ the pages are dealt. A page is paired with the neighbour of its host whose path
 no copy of it (a page that holds all the same lines tells nothing about the site's template). The text lines of both (a
 line is the text of one block) are aligned by longest common subsequence, and shared lines are deleted as template.
 
-Differencing decides about every line outside a page's ``article`` element. Lines inside it are kept: the article is
-what is asked for whole, and pages of one host do share passages of articles, so deleting those would lose text.
+Differencing decides about every line outside ``article`` elements, and which of these elements are the page's own: one
+whose lines are all shared (a teaser on every page) goes as template if another one has lines of its own. An own article
+is kept whole, shared lines included: it is what is asked for, and pages of one host do share passages of articles.
 Menus, page headers, footers, sidebars, notices, adverts, forms and comments that no neighbour shares word for word
 are recognised by element, role, class or id, and where a page has an ``article``, or else a ``main``, what stands
 outside it goes.
@@ -59,11 +60,12 @@ MARKS = frozenset(
 
 @dataclass
 class Page:
-    """A page's lines in order; per line whether it is boilerplate by structure, in an article, in a main element."""
+    """A page's lines in order; per line whether it is boilerplate by structure, in an article (and which), in a main element."""
 
     lines: list[str] = field(default_factory=list)
     dropped: list[bool] = field(default_factory=list)
     zone: list[str] = field(default_factory=list)
+    article: list[int] = field(default_factory=list)  # the number of the outermost article element, from 1
 
 
 def _marked(tag: str, attributes: str, inside: str) -> bool:
@@ -92,7 +94,7 @@ def parse(source: str) -> Page:
     """The text lines of a page: markup removed, character references decoded, white space made one space."""
     page, text = Page(), []
     stack: list[tuple[str, bool, str]] = []  # tag, boilerplate from here on, zone
-    drop, zone, at = False, "", 0
+    drop, zone, at, articles = False, "", 0, 0
 
     def flush() -> None:
         line = " ".join(html.unescape("".join(text)).split())
@@ -101,6 +103,7 @@ def parse(source: str) -> Page:
             page.lines.append(line)
             page.dropped.append(drop)
             page.zone.append(zone)
+            page.article.append(articles)
 
     def leave(n: int) -> None:
         nonlocal drop, zone
@@ -143,6 +146,7 @@ def parse(source: str) -> Page:
         drop = drop or _marked(tag, m[3], zone)
         if tag in ("article", "main") and zone != "article":
             zone = tag
+            articles += tag == "article"
         stack.append((tag, drop, zone))
     text.append(source[at:])
     flush()
@@ -185,10 +189,12 @@ def main_text(page: Page, other: Page | None) -> str:
     zone = "article" if "article" in zones else "main" if "main" in zones else ""
     inside = {"article": ("article",), "main": ("article", "main"), "": ("", "article", "main")}[zone]
     shared = shared_lines(page.lines, other.lines) if other is not None else ()
+    every = {n for n, z, d in zip(page.article, page.zone, page.dropped) if z == "article" and not d}
+    own = {n for i, (n, z, d) in enumerate(zip(page.article, page.zone, page.dropped)) if z == "article" and not d and i not in shared} or every
     return " ".join(
         line
         for i, (line, dropped, z) in enumerate(zip(page.lines, page.dropped, page.zone))
-        if not dropped and z in inside and (z == "article" or i not in shared)
+        if not dropped and z in inside and (page.article[i] in own if z == "article" else i not in shared)
     )
 
 
