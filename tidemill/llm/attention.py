@@ -1,6 +1,6 @@
 """A small causal self-attention language model in numpy: gradients, fitting by Adam, and batched scoring.
 
-Inputs are subword ids. One block: embedding plus position, one masked attention head and a residual give a hidden
+Inputs are ids of words and subwords. One block: embedding plus position, one masked attention head and a residual give a hidden
 state; from it come the probability of the next id's class (``CLASSES`` classes, the ``OWN_CLASS`` most frequent ids
 being a class each) and, from the same state by weights of their own, that of the output within its class. The
 ``OUTPUTS`` most frequent ids are outputs; all rarer ids share ``BANDS`` further outputs, in which an id has its
@@ -24,7 +24,6 @@ OWN_CLASS = 64
 OUTPUTS = 4096
 BANDS = 16
 BATCH = 32  # windows of a step
-SPAN = 256  # neighbouring classes of so many outputs in all are worked out together in a step
 LIMIT = 60.0  # attention scores and logits are kept within this, so their exponentials are finite and positive
 
 
@@ -34,20 +33,16 @@ class Layout:
 
     begin: int
     end: int
-    to_output: np.ndarray  # id -> output; outputs stand in order of their class
+    to_output: np.ndarray  # id -> output; outputs stand in order of their count and so of their class
     share: np.ndarray  # id -> natural log of its share of its output, 0 for an output of one id
     of_output: np.ndarray  # output -> class
     first: np.ndarray  # class -> its first output, and the number of outputs at the end
     total: np.ndarray  # output -> count
 
     @cached_property
-    def spans(self) -> list[tuple[int, int]]:
-        """Runs [a, b) of the classes of several outputs: of SPAN outputs at most, or of one class."""
-        cuts = [OWN_CLASS]
-        for c in range(OWN_CLASS + 1, CLASSES):
-            if self.first[c + 1] - self.first[cuts[-1]] > SPAN:
-                cuts.append(c)
-        return list(zip(cuts, [*cuts[1:], CLASSES]))
+    def shared(self) -> np.ndarray:
+        """output -> whether its class has further outputs."""
+        return (np.diff(self.first) > 1)[self.of_output]
 
 
 def layout(count: np.ndarray, begin: int, end: int) -> Layout:
@@ -65,6 +60,11 @@ def layout(count: np.ndarray, begin: int, end: int) -> Layout:
     total = np.bincount(to_output, weights=smooth)
     share = np.log(smooth / total[to_output])
     share[order[:have]] = 0.0
+    # A band may have more counts than most outputs, so it has its place among them.
+    rank = np.argsort(-total, kind="stable")
+    place = np.empty(len(rank), dtype=np.int32)
+    place[rank] = np.arange(len(rank))
+    to_output, total = place[to_output], total[rank]
     # The outputs after the most frequent ones share the other classes, with like sums of the counts' square roots: that
     # keeps the mean number of outputs that a target is compared with low.
     of_output = np.minimum(np.arange(len(total)), OWN_CLASS)
@@ -123,99 +123,120 @@ def _attend(q: np.ndarray, k: np.ndarray) -> np.ndarray:
     return a
 
 
-def _by_class(classes: np.ndarray, spans: list[tuple[int, int]]) -> list[tuple[int, int, np.ndarray]]:
-    """(a, b, places) for each run [a, b) of classes that is among the targets' classes."""
+def _by_class(classes: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """(class, places) for each class from OWN_CLASS on that is among the targets' classes."""
     order = np.argsort(classes, kind="stable")
     cut = np.searchsorted(classes.take(order), np.arange(CLASSES + 1))
-    return [(a, b, order[cut[a] : cut[b]]) for a, b in spans if cut[b] > cut[a]]
+    return [(i, order[cut[i] : cut[i + 1]]) for i in range(OWN_CLASS, CLASSES) if cut[i + 1] > cut[i]]
 
 
-def _less_target(z: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The sums of rows of exponentials and those at the columns ``which``, from which the sums are then taken off.
+def _order(keys: np.ndarray) -> np.ndarray:
+    """The stable order of outputs; by counting, which numpy does for short integers, where they are short."""
+    return np.argsort(keys.astype(np.uint16) if OUTPUTS + BANDS < 1 << 16 else keys, kind="stable")
+
+
+def _within(rows: np.ndarray, weights: np.ndarray) -> bool:
+    """Whether no product of a row (its last place 1) and a row of weights can be beyond LIMIT, by their lengths."""
+    longest = [float(np.einsum("ij,ij->i", x[:, :-1], x[:, :-1]).max()) for x in (rows, weights)]
+    return (longest[0] * longest[1]) ** 0.5 + float(np.abs(weights[:, -1]).max()) < LIMIT
+
+
+def _group_sums(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, which stand in order, and the sums of their rows."""
+    first = np.append(0, np.flatnonzero(keys[1:] != keys[:-1]) + 1)
+    return keys.take(first), np.add.reduceat(rows, first, axis=0)
 
-    Divided by the sums, z then is the gradient of the cross-entropy at the logits.
-    """
-    total = z @ np.ones(z.shape[1], dtype=z.dtype)
-    flat, place = z.reshape(-1), np.arange(0, z.size, z.shape[1]) + which
-    picked = flat.take(place)
-    flat[place] = picked - total
-    return total, picked
 
+def gradients(
+    p: dict[str, np.ndarray], of: Layout, inputs: np.ndarray, targets: np.ndarray, use: np.ndarray, into: dict[str, np.ndarray] | None = None
+) -> tuple[float, dict[str, np.ndarray]]:
+    """Mean cross-entropy in nats over the targets in use (one at least), and its gradient for each parameter.
 
-def gradients(p: dict[str, np.ndarray], of: Layout, inputs: np.ndarray, targets: np.ndarray, use: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-    """Mean cross-entropy in nats over the targets in use, and its gradient for each parameter."""
+    into: arrays like p for the gradient, where there are some to be written over.
+    """
     b, dim = len(inputs), p["query"].shape[0]
     kind = p["query"].dtype
+    g = {name: np.empty_like(v) for name, v in p.items()} if into is None else into
     x = p["embed"].take(inputs, axis=0)
     x += p["place"]
     flat_x = x.reshape(-1, dim)
     joint = np.concatenate([p["query"], p["key"], p["value"]], axis=1)
     q, k, v = np.split((flat_x @ joint).reshape(b, WINDOW, 3 * dim), 3, axis=2)
     a = _attend(q, k)
-    a /= a.sum(axis=2, keepdims=True)
+    a /= (a @ np.ones(WINDOW, dtype=kind))[:, :, None]
     c = np.matmul(a, v)
     h = flat_x + c.reshape(-1, dim) @ p["mix"]
     own = np.flatnonzero(use.ravel())
-    n = max(len(own), 1)
-    # The targets in order of their classes, so that those of neighbouring classes are next to each other.
+    part = kind.type(1 / len(own))
+    # The targets in order of their outputs, so that those of an output, and of a class, are next to each other.
     out = targets.ravel().take(own)
-    order = np.argsort(of.of_output.take(out), kind="stable")
+    order = _order(out)
     own, out = own.take(order), out.take(order)
     classes = of.of_output.take(out)
-    cut, first = np.searchsorted(classes, np.arange(CLASSES + 1)).tolist(), of.first.tolist()
+    cut, first = np.searchsorted(out, of.first).tolist(), of.first.tolist()
     rows = np.ones((len(own), dim + 1), dtype=kind)  # the last column takes the bias
     rows[:, :dim] = h.take(own, axis=0)
+    parts = rows * part
+    # What the targets themselves add to the gradients is taken off for all of them at once.
+    outputs, sums = _group_sums(out, parts)
+    top, low, g_low = p["top"].T, p["low"].T, g["low"].T
+    wanted = low.take(out, axis=0)
+    wanted *= of.shared.take(out)[:, None]
+    wanted += top.take(classes, axis=0)
+    loss = -float(np.einsum("ij,ij->", rows, wanted))
     z = rows @ p["top"]
-    np.clip(z, -LIMIT, LIMIT, out=z)
+    if not _within(rows, top):
+        np.clip(z, -LIMIT, LIMIT, out=z)
     np.exp(z, out=z)
-    total, picked = _less_target(z, classes)
-    totals, targeted = [total], [picked]
-    scale = (1 / (total * kind.type(n)))[:, None]
-    low, g_low = p["low"].T, np.zeros(p["low"].shape[::-1], dtype=kind)
-    g = {"top": (rows * scale).T @ z, "low": g_low.T}
-    d = z @ p["top"].T
-    d *= scale
-    for begin, after in of.spans:
-        at, lo, hi = slice(cut[begin], cut[after]), first[begin], first[after]
-        if at.start == at.stop or hi - lo < 2:
+    total = z @ np.ones(CLASSES, dtype=kind)
+    loss += float(np.log(total).sum())
+    np.matmul((parts / total[:, None]).T, z, out=g["top"])
+    which, of_class = _group_sums(of.of_output.take(outputs), sums)
+    g["top"][:, which] -= of_class.T
+    d = z @ top
+    d /= total[:, None]
+    total, more = np.ones(len(own), dtype=kind), np.zeros_like(d)
+    ones = np.ones(max(j - i for i, j in zip(first, first[1:])), dtype=kind)
+    g_low.fill(0)
+    within = _within(rows, low)
+    for i, j, lo, hi in zip(cut, cut[1:], first, first[1:]):  # only the outputs of a target's own class compete for it
+        if i == j or hi - lo < 2:
             continue
-        mine, weights = rows[at], low[lo:hi]
-        z = mine @ weights.T
-        np.clip(z, -LIMIT, LIMIT, out=z)
-        for i in range(begin, after):  # only the outputs of a target's own class compete for it
-            block = z[cut[i] - at.start : cut[i + 1] - at.start]
-            if len(block):
-                inside = block[:, first[i] - lo : first[i + 1] - lo]
-                np.exp(inside, out=inside)
-                block[:, : first[i] - lo] = 0
-                block[:, first[i + 1] - lo :] = 0
-        total, picked = _less_target(z, out[at] - lo)
-        totals.append(total)
-        targeted.append(picked)
-        scale = (1 / (total * kind.type(n)))[:, None]
-        np.matmul(z.T, mine * scale, out=g_low[lo:hi])
-        more = z @ weights
-        more *= scale
-        d[at] += more
-    loss = float(np.log(np.concatenate(totals)).sum() - np.log(np.concatenate(targeted)).sum())
+        weights, t = low[lo:hi], total[i:j]
+        z = rows[i:j] @ weights.T
+        if not within:
+            np.clip(z, -LIMIT, LIMIT, out=z)
+        np.exp(z, out=z)
+        np.matmul(z, ones[: hi - lo], out=t)
+        np.matmul(z.T, parts[i:j] / t[:, None], out=g_low[lo:hi])
+        np.matmul(z, weights, out=more[i:j])
+    loss += float(np.log(total).sum())
+    shared = of.shared.take(outputs)
+    g_low[outputs[shared]] -= sums[shared]
+    more /= total[:, None]
+    d += more
+    d -= wanted
+    d *= part
     dh = np.zeros((b * WINDOW, dim), dtype=kind)
     dh[own] = d[:, :dim]
-    g["mix"] = c.reshape(-1, dim).T @ dh
+    np.matmul(c.reshape(-1, dim).T, dh, out=g["mix"])
     dc = (dh @ p["mix"].T).reshape(b, WINDOW, dim)
     da = np.matmul(dc, v.transpose(0, 2, 1))
     dqkv = np.empty((b, WINDOW, 3 * dim), dtype=kind)
     dqkv[:, :, 2 * dim :] = np.matmul(a.transpose(0, 2, 1), dc)
-    da -= np.einsum("bij,bij->bi", da, a)[:, :, None]
+    da -= np.einsum("bij,bij->bi", dc, c)[:, :, None]
     da *= a
     np.matmul(da, k, out=dqkv[:, :, :dim])
     np.matmul(da.transpose(0, 2, 1), q, out=dqkv[:, :, dim : 2 * dim])
     dqkv = dqkv.reshape(-1, 3 * dim)
-    g["query"], g["key"], g["value"] = np.split(flat_x.T @ dqkv, 3, axis=1)
+    g["query"][:], g["key"][:], g["value"][:] = np.split(flat_x.T @ dqkv, 3, axis=1)
     dx = dh + dqkv @ joint.T
-    g["place"] = dx.reshape(b, WINDOW, dim).sum(axis=0)
-    cell = (inputs.reshape(-1, 1) * dim + np.arange(dim)).ravel()
-    g["embed"] = np.bincount(cell, weights=dx.ravel(), minlength=p["embed"].size).reshape(p["embed"].shape).astype(kind)
-    return loss / n, g
+    np.sum(dx.reshape(b, WINDOW, dim), axis=0, out=g["place"])
+    order = _order(inputs.ravel())
+    seen, sums = _group_sums(inputs.ravel().take(order), dx.take(order, axis=0))
+    g["embed"].fill(0)
+    g["embed"][seen] = sums
+    return loss * float(part), g
 
 
 class Adam:
@@ -252,6 +273,7 @@ class Fit:
         self.p = {n: v.copy(order="F" if n == "low" else "C") for n, v in p.items()}  # an output's weights are next to each other
         self.of, self.rate, self.targets = of, rate, 0
         self.adam, self.random = Adam(self.p), np.random.default_rng(seed)
+        self.g = {n: np.empty_like(v) for n, v in self.p.items()}
 
     def learn(self, texts: list[np.ndarray], every: int = 1) -> None:
         """One step for each BATCH windows drawn from the whole texts: one in ``every``, the first of each draw at random."""
@@ -263,7 +285,7 @@ class Fit:
             n = int(use.sum())
             # A short batch is a weaker opinion, so its step is shorter; the first steps of a fit are short as well.
             warm = min(1.0, (self.adam.step + 1) / 10)
-            self.adam.take(gradients(self.p, self.of, inputs, targets, use)[1], self.rate * warm * min(1.0, n / (BATCH * WINDOW / 2)))
+            self.adam.take(gradients(self.p, self.of, inputs, targets, use, self.g)[1], self.rate * warm * min(1.0, n / (BATCH * WINDOW / 2)))
             self.targets += n
 
 
@@ -320,7 +342,7 @@ class Model:
                 seen = inputs.take(start[at + i : at + min(i + FEW, len(grid)), None] + np.arange(WINDOW))
                 rows[few] = _hidden(tables, seen, lo)
                 logs[few] = _picked(rows[few], self.p["top"], classes[few])
-            for i, _, own in _by_class(classes, [(i, i + 1) for i in range(OWN_CLASS, CLASSES)]):
+            for i, own in _by_class(classes):
                 a, b = self.of.first[i], self.of.first[i + 1]
                 if b - a > 1:
                     logs[own] += _picked(rows.take(own, axis=0), self.p["low"][:, a:b], which.take(own) - a)

@@ -1,8 +1,9 @@
-"""Language-model scoring: a causal self-attention model on subword ids, beside a corpus-wide word unigram base.
+"""Language-model scoring: a causal self-attention model on word and subword ids, beside a corpus-wide word unigram base.
 
-A text is its sequence of words, A-Z lower-cased and split at ASCII white space, for the model as for the base: joined by
-single spaces it is cut into ids of a public byte-level vocabulary, from which the words can be had back, so the model's
-probability is that of the words. Texts are encoded once and kept on disk. The attention model (attention.py)
+A text is its sequence of words, A-Z lower-cased and split at ASCII white space, for the model as for the base. A word
+that is counted ``WORD_LEAST`` times at least in the training texts, and is among the ``TOP_WORDS`` most frequent, is an id
+of its own; any other is spelled by ids of a public byte-level vocabulary, with the space before it. The words can be had
+back from the ids, so the model's probability is that of the words. Texts are encoded once and kept on disk. The attention model (attention.py)
 counts ids over all training documents, in tasks and then by a shuffle. Its weights start from a short fit on the
 driver to at most ``START_DOCS`` documents of the smallest id hash. Then come ``ROUNDS`` rounds over the corpus: every
 training document belongs to one of them by its id's hash, each task follows all its documents of the round by steps
@@ -30,6 +31,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame
@@ -52,6 +54,8 @@ LEAST_STEPS = 48
 SLOT = 4096
 GROUPS = 256
 TOP_WORDS = 1 << 17
+#: Times that a word is counted in the training texts to be an id of its own; rarer ones teach how words are spelled.
+WORD_LEAST = 8
 #: Distinct words that a counting task holds before it hands them on.
 FLUSH_WORDS = 300_000
 #: Bytes of text scored at once; a longer text is scored whole.
@@ -133,14 +137,41 @@ def _pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
             yield texts
 
 
-def encoded(rows: DataFrame, source: bytes) -> DataFrame:
-    """rows (row, doc_id, held_out, text) with the column ids: the text's ids, packed."""
-    shared = rows.sparkSession.sparkContext.broadcast(source)  # a vocabulary's size, under 1 MB
+class _Spelling(dict):
+    """word -> its ids as bytes: those that are there, and for any other word those of the vocabulary, not kept."""
+
+    def __init__(self, vocab: tiktoken.Encoding, words: list[bytes]):
+        super().__init__(zip(words, (i.tobytes() for i in np.arange(vocab.n_vocab, vocab.n_vocab + len(words), dtype="<u4"))))
+        self.vocab = vocab
+
+    def __missing__(self, word: bytes) -> bytes:
+        return encode(self.vocab, " " + word.decode()).tobytes()
+
+
+def encode_words(spelling: _Spelling, text: str | None) -> np.ndarray:
+    """The ids of a text's words, one after the other."""
+    return np.frombuffer(b"".join(map(spelling.__getitem__, _words(text))), "<u4")
+
+
+def own_words(top: pa.Table, least: int = WORD_LEAST) -> list[bytes]:
+    """The words of top (word, n) that are ids of their own, most frequent first; never the empty one, which ends a text."""
+    found = top.filter((pc.field("n") >= least) & (pc.field("word") != "")).sort_by([("n", "descending"), ("word", "ascending")])
+    return found.column("word").cast(pa.binary()).to_pylist()
+
+
+def encoded(rows: DataFrame, source: bytes, words: list[bytes] | None = None) -> DataFrame:
+    """rows (row, doc_id, held_out, text) with the column ids: the text's ids, packed.
+
+    words: those with ids of their own, after the vocabulary's; without any, the vocabulary cuts the text.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast((source, words))  # a vocabulary and TOP_WORDS words, a few MB
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = vocabulary(shared.value)
+        vocab, own = vocabulary(shared.value[0]), shared.value[1]
+        spelling = _Spelling(vocab, own) if own else None
         for batch in chunks(batches, "text", 1 << 20):
-            ids = [pack(encode(vocab, plain(t))) for t in batch.column("text").to_pylist()]
+            texts = batch.column("text").to_pylist()
+            ids = [pack(encode_words(spelling, t) if own else encode(vocab, plain(t))) for t in texts]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary())], names=[*batch.schema.names, "ids"])
 
     return small_batches(rows).mapInArrow(run, "row long, doc_id long, held_out boolean, text string, ids binary")
@@ -257,15 +288,16 @@ def score(docs: DataFrame, path: str) -> DataFrame:
     spark = docs.sparkSession
     with open(path, "rb") as f:
         source = f.read()
-    ids = vocabulary(source).n_vocab + 2
     held_out = F.coalesce(fold("doc_id", 7) == 2, F.lit(False))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), "text")
     train = rows.where(~F.col("held_out"))
     counts = keep(word_counts(train))
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     top = top_words(counts)
+    words = own_words(top)
+    ids = vocabulary(source).n_vocab + len(words) + 2
     numbered = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text")
-    coded = keep(encoded(numbered, source), StorageLevel.DISK_ONLY)
+    coded = keep(encoded(numbered, source, words), StorageLevel.DISK_ONLY)
     shared = spark.sparkContext.broadcast((top, fit(coded.where(~F.col("held_out")), ids)))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
