@@ -238,6 +238,25 @@ def test_spelling_roots_and_emptiness(spark):
     assert spelling.variants(table(spark, [(1, None, "s"), (2, "ab", "s")])).count() == 0
 
 
+def test_spelling_broadcasts_nothing(spark, monkeypatch):
+    """Small files of many words: no join sends them, or their exploded keys, through the driver."""
+    plans, cut = [], spelling.cut
+
+    def watched(df):
+        df.collect()  # so that the plan is the one that ran
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df)
+
+    monkeypatch.setattr(spelling, "cut", watched)
+    rows = [(i, "bread breed breads broads bread breads lengthy", "s") for i in range(300)]
+    assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").rstrip("b")) == 10 << 20
+    found = spelling.variants(table(spark, rows))
+    assert {r.word: r.root for r in found.collect()}["broads"] == "breads"
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    joins = [p for p in plans if "Join" in p]
+    assert len(joins) >= 3 and all("Final Plan" in p and "SortMergeJoin" in p and "Broadcast" not in p for p in joins)
+
+
 # Resampling.
 
 

@@ -16,6 +16,10 @@ short; roots are found by joining each root with its own root until nothing chan
 
 Texts are counted in tasks, so a frequent word is one row a task before the shuffle.
 
+Every join is asked for as a sort-merge join. Spark takes an exploded table to be as large as what it was exploded from, and
+a Parquet table to be as large as its files, so from sizes alone it would send all words, or all their keys, through the
+driver to every task where the words' files are small but their rows many.
+
 Defined results: a null or empty text has no words; a null doc_id counts as an empty one in the hash; rows that repeat a
 document count again; other columns are ignored; an empty table, or one without words, gives an empty result.
 """
@@ -94,14 +98,14 @@ def near(words: DataFrame) -> DataFrame:
     """(word, n, other, other_n): the ordered pairs of words (word, n) that are one edit apart, each once."""
     emitted = keys(words)
     others = emitted.select("key", F.col("word").alias("other"), F.col("n").alias("other_n"))
-    return emitted.join(others, "key").where((F.col("word") != F.col("other")) & (F.levenshtein("word", "other", 1) == 1)).select("word", "n", "other", "other_n")
+    return emitted.join(others.hint("merge"), "key").where((F.col("word") != F.col("other")) & (F.levenshtein("word", "other", 1) == 1)).select("word", "n", "other", "other_n")
 
 
 def forms(words: DataFrame, ratio: int = RATIO) -> DataFrame:
     """(word, n, n_near, form, form_n) of every word."""
     best = F.min(F.struct((-F.col("other_n")).alias("less"), F.col("other").alias("form")))
     found = near(words).groupBy("word").agg(F.count("*").alias("n_near"), best.alias("best"))
-    joined = words.join(found, "word", "left")
+    joined = words.join(found.hint("merge"), "word", "left")
     enough = -F.col("best.less") >= ratio * F.col("n")
     return joined.select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(enough, F.col("best.form")).alias("form"), F.when(enough, -F.col("best.less")).alias("form_n"))
 
@@ -114,7 +118,7 @@ def roots(links: DataFrame, max_rounds: int = 64) -> DataFrame:
     found = cut(links.select("word", F.col("form").alias("root")))
     for _ in range(max_rounds):
         on = found.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        stepped = found.join(on, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved"))
+        stepped = found.join(on.hint("merge"), "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved"))
         found = cut(stepped)
         moved = found.agg(F.count_if("moved")).first()[0]
         found = found.drop("moved")
@@ -127,4 +131,4 @@ def variants(docs: DataFrame) -> DataFrame:
     """(word, form, root, n, n_near, form_n) of every word of docs (doc_id, text)."""
     table = cut(forms(cut(vocabulary(docs))))
     ends = roots(table.where("form is not null"))
-    return table.join(ends, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return table.join(ends.hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
