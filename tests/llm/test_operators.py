@@ -263,6 +263,28 @@ def test_attention_gradients_and_total(monkeypatch):
         assert np.isclose((up - attention.gradients(q, of, inputs, targets, use)[0]) / 2e-5, g[name][1, 2], rtol=1e-3, atol=1e-6), name
 
 
+def test_attention_step_works_out_own_classes_only(monkeypatch):
+    """The logits of a training step: all classes, and within classes no output beside those of a target's own class."""
+    r = np.random.default_rng(5)
+    ids = 3000
+    texts = [np.minimum(r.zipf(1.2, n), ids - 3) for n in (5, 40, 300, 900)]
+    count = np.bincount(np.concatenate([*texts, [ids - 1] * len(texts)]), minlength=ids).astype(float)
+    of = attention.layout(count, ids - 2, ids - 1)
+    inputs, targets, use = attention.windows(of, texts)
+    clip, seen = np.clip, []
+    monkeypatch.setattr(attention.np, "clip", lambda x, *a, **k: (seen.append(x.size), clip(x, *a, **k))[1])
+    p = attention.untrained(of)
+    loss, g = attention.gradients(p, of, inputs, targets, use)
+    classes = of.of_output[targets[use]]
+    inside = np.diff(of.first)[classes][classes >= attention.OWN_CLASS].sum()
+    assert inside > 0 and sum(seen) == inputs.size * attention.WINDOW + len(classes) * attention.CLASSES + inside
+    # Written over by other windows' gradient and again by these, the arrays are the same.
+    first = {k: v.copy() for k, v in g.items()}
+    for part in (slice(0, 2), slice(None)):
+        attention.gradients(p, of, inputs[part], targets[part], use[part], g)
+    assert loss > 0 and all(np.array_equal(first[k], g[k]) for k in g)
+
+
 def test_attention_learns_more_than_counts():
     """Ids that follow from those before: the network finds what counts of single ids can't."""
     r = np.random.default_rng(3)

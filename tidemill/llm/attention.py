@@ -12,7 +12,7 @@ its last ``STRIDE`` targets, so each target is scored once, with ``WINDOW - STRI
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import cached_property
+from functools import lru_cache
 
 import numpy as np
 
@@ -24,7 +24,6 @@ OWN_CLASS = 64
 OUTPUTS = 4096
 BANDS = 16
 BATCH = 32  # windows of a step
-SPAN = 256  # neighbouring classes of so many outputs in all are worked out together in a step
 LIMIT = 60.0  # attention scores and logits are kept within this, so their exponentials are finite and positive
 
 
@@ -40,15 +39,6 @@ class Layout:
     first: np.ndarray  # class -> its first output, and the number of outputs at the end
     total: np.ndarray  # output -> count
 
-    @cached_property
-    def spans(self) -> list[tuple[int, int]]:
-        """Runs [a, b) of the classes of several outputs: of SPAN outputs at most, or of one class."""
-        cuts = [OWN_CLASS]
-        for c in range(OWN_CLASS + 1, CLASSES):
-            if self.first[c + 1] - self.first[cuts[-1]] > SPAN:
-                cuts.append(c)
-        return list(zip(cuts, [*cuts[1:], CLASSES]))
-
 
 def layout(count: np.ndarray, begin: int, end: int) -> Layout:
     """The layout for the counts of all ids (the ends of texts included)."""
@@ -90,6 +80,13 @@ def untrained(of: Layout) -> dict[str, np.ndarray]:
     return {"embed": normal(outputs, DIM), "place": normal(WINDOW, DIM) * np.float32(0.1), **weights, "top": top, "low": low}
 
 
+def flat(p: dict[str, np.ndarray]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """One array of zeros for all parameters p, and each parameter's view of it; an output's weights are next to each other."""
+    every = np.zeros(sum(v.size for v in p.values()), dtype=p["query"].dtype)
+    parts = np.split(every, np.cumsum([v.size for v in p.values()])[:-1])
+    return every, {n: x.reshape(v.shape[::-1]).T if n == "low" else x.reshape(v.shape) for (n, v), x in zip(p.items(), parts)}
+
+
 def laid_out(texts: list[np.ndarray], begin: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The inputs and targets of all texts, one after the other, and each text's number of them."""
     size = np.array([len(t) + 1 for t in texts], dtype=np.int64)
@@ -130,34 +127,31 @@ def _by_class(classes: np.ndarray, spans: list[tuple[int, int]]) -> list[tuple[i
     return [(a, b, order[cut[a] : cut[b]]) for a, b in spans if cut[b] > cut[a]]
 
 
-def _less_target(z: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The sums of rows of exponentials and those at the columns ``which``, from which the sums are then taken off.
+@lru_cache(maxsize=1)
+def _cells(n: int, dim: int) -> np.ndarray:
+    return np.arange(n * dim).reshape(n, dim)
 
-    Divided by the sums, z then is the gradient of the cross-entropy at the logits.
-    """
-    total = z @ np.ones(z.shape[1], dtype=z.dtype)
-    flat, place = z.reshape(-1), np.arange(0, z.size, z.shape[1]) + which
-    picked = flat.take(place)
-    flat[place] = picked - total
-    return total, picked
 
+def gradients(p: dict[str, np.ndarray], of: Layout, inputs: np.ndarray, targets: np.ndarray, use: np.ndarray, g: dict[str, np.ndarray] | None = None) -> tuple[float, dict[str, np.ndarray]]:
+    """Mean cross-entropy in nats over the targets in use, and its gradient for each parameter.
 
-def gradients(p: dict[str, np.ndarray], of: Layout, inputs: np.ndarray, targets: np.ndarray, use: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-    """Mean cross-entropy in nats over the targets in use, and its gradient for each parameter."""
+    g: what an earlier call for such parameters gave, to be written over; the cross-entropy isn't worked out then (0).
+    """
     b, dim = len(inputs), p["query"].shape[0]
     kind = p["query"].dtype
+    again, g = g is not None, flat(p)[1] if g is None else g
     x = p["embed"].take(inputs, axis=0)
     x += p["place"]
     flat_x = x.reshape(-1, dim)
     joint = np.concatenate([p["query"], p["key"], p["value"]], axis=1)
     q, k, v = np.split((flat_x @ joint).reshape(b, WINDOW, 3 * dim), 3, axis=2)
     a = _attend(q, k)
-    a /= a.sum(axis=2, keepdims=True)
-    c = np.matmul(a, v)
-    h = flat_x + c.reshape(-1, dim) @ p["mix"]
+    a *= (1 / (a.reshape(-1, WINDOW) @ np.ones(WINDOW, dtype=kind))).reshape(b, WINDOW, 1)
+    c = np.matmul(a, v).reshape(-1, dim)
+    h = flat_x + c @ p["mix"]
     own = np.flatnonzero(use.ravel())
     n = max(len(own), 1)
-    # The targets in order of their classes, so that those of neighbouring classes are next to each other.
+    # The targets in order of their classes, so that those of a class are next to each other.
     out = targets.ravel().take(own)
     order = np.argsort(of.of_output.take(out), kind="stable")
     own, out = own.take(order), out.take(order)
@@ -168,90 +162,104 @@ def gradients(p: dict[str, np.ndarray], of: Layout, inputs: np.ndarray, targets:
     z = rows @ p["top"]
     np.clip(z, -LIMIT, LIMIT, out=z)
     np.exp(z, out=z)
-    total, picked = _less_target(z, classes)
-    totals, targeted = [total], [picked]
-    scale = (1 / (total * kind.type(n)))[:, None]
-    low, g_low = p["low"].T, np.zeros(p["low"].shape[::-1], dtype=kind)
-    g = {"top": (rows * scale).T @ z, "low": g_low.T}
-    d = z @ p["top"].T
-    d *= scale
-    for begin, after in of.spans:
-        at, lo, hi = slice(cut[begin], cut[after]), first[begin], first[after]
-        if at.start == at.stop or hi - lo < 2:
-            continue
-        mine, weights = rows[at], low[lo:hi]
-        z = mine @ weights.T
+    total = z @ np.ones(CLASSES, dtype=kind)
+    place = np.arange(0, z.size, CLASSES) + classes
+    picked = z.reshape(-1).take(place)
+    loss = 0.0 if again else np.log(total).sum() - np.log(picked).sum()
+    z.reshape(-1)[place] = picked - total  # divided by the sums, z then is the gradient of the cross-entropy at the logits
+    z *= (1 / (total * kind.type(n)))[:, None]
+    g["top"][:dim] = (z.T @ rows[:, :dim]).T
+    np.matmul(np.ones(len(z), dtype=kind), z, out=g["top"][dim])
+    d = z @ p["top"][:dim].T
+    # Only the outputs of a target's own class compete for it: a block of targets by outputs for each class, all blocks one
+    # after the other in one array, so that what isn't a product is done for all of them at once.
+    low, g_low, inner = p["low"].T, g["low"].T, cut[OWN_CLASS]
+    width = np.diff(of.first).take(classes[inner:])
+    begins = np.cumsum(width) - width
+    z = np.empty(int(width.sum()), dtype=kind)
+    blocks, at = [], 0
+    for own_class in range(OWN_CLASS, CLASSES):
+        start, stop, lo, hi = cut[own_class], cut[own_class + 1], first[own_class], first[own_class + 1]
+        if start < stop:
+            block = z[at : at + (stop - start) * (hi - lo)].reshape(stop - start, hi - lo)
+            np.dot(rows[start:stop], low[lo:hi].T, out=block)
+            blocks.append((start, stop, lo, hi, block))
+            at += block.size
+        else:
+            g_low[lo:hi] = 0
+    if blocks:
         np.clip(z, -LIMIT, LIMIT, out=z)
-        for i in range(begin, after):  # only the outputs of a target's own class compete for it
-            block = z[cut[i] - at.start : cut[i + 1] - at.start]
-            if len(block):
-                inside = block[:, first[i] - lo : first[i + 1] - lo]
-                np.exp(inside, out=inside)
-                block[:, : first[i] - lo] = 0
-                block[:, first[i + 1] - lo :] = 0
-        total, picked = _less_target(z, out[at] - lo)
-        totals.append(total)
-        targeted.append(picked)
-        scale = (1 / (total * kind.type(n)))[:, None]
-        np.matmul(z.T, mine * scale, out=g_low[lo:hi])
-        more = z @ weights
-        more *= scale
-        d[at] += more
-    loss = float(np.log(np.concatenate(totals)).sum() - np.log(np.concatenate(targeted)).sum())
+        np.exp(z, out=z)
+        total = np.add.reduceat(z, begins)
+        place = begins + out[inner:] - of.first.take(classes[inner:])
+        picked = z.take(place)
+        if not again:
+            loss += np.log(total).sum() - np.log(picked).sum()
+        z[place] = picked - total
+        z *= np.repeat(1 / (total * kind.type(n)), width)
+        more = np.empty((len(out) - inner, dim + 1), dtype=kind)
+        for start, stop, lo, hi, block in blocks:
+            np.dot(block.T, rows[start:stop], out=g_low[lo:hi])
+            np.dot(block, low[lo:hi], out=more[start - inner : stop - inner])
+        d[inner:] += more[:, :dim]
     dh = np.zeros((b * WINDOW, dim), dtype=kind)
-    dh[own] = d[:, :dim]
-    g["mix"] = c.reshape(-1, dim).T @ dh
-    dc = (dh @ p["mix"].T).reshape(b, WINDOW, dim)
+    dh[own] = d
+    np.matmul(c.T, dh, out=g["mix"])
+    dc = dh @ p["mix"].T
+    through = np.einsum("ij,ij->i", dc, c).reshape(b, WINDOW, 1)
+    dc = dc.reshape(b, WINDOW, dim)
     da = np.matmul(dc, v.transpose(0, 2, 1))
     dqkv = np.empty((b, WINDOW, 3 * dim), dtype=kind)
-    dqkv[:, :, 2 * dim :] = np.matmul(a.transpose(0, 2, 1), dc)
-    da -= np.einsum("bij,bij->bi", da, a)[:, :, None]
+    np.matmul(a.transpose(0, 2, 1), dc, out=dqkv[:, :, 2 * dim :])
+    da -= through
     da *= a
     np.matmul(da, k, out=dqkv[:, :, :dim])
     np.matmul(da.transpose(0, 2, 1), q, out=dqkv[:, :, dim : 2 * dim])
     dqkv = dqkv.reshape(-1, 3 * dim)
-    g["query"], g["key"], g["value"] = np.split(flat_x.T @ dqkv, 3, axis=1)
+    g["query"][:], g["key"][:], g["value"][:] = np.split(flat_x.T @ dqkv, 3, axis=1)
     dx = dh + dqkv @ joint.T
-    g["place"] = dx.reshape(b, WINDOW, dim).sum(axis=0)
-    cell = (inputs.reshape(-1, 1) * dim + np.arange(dim)).ravel()
-    g["embed"] = np.bincount(cell, weights=dx.ravel(), minlength=p["embed"].size).reshape(p["embed"].shape).astype(kind)
-    return loss / n, g
+    np.sum(dx.reshape(b, WINDOW, dim), axis=0, out=g["place"])
+    cells = _cells(*p["embed"].shape).take(inputs, axis=0).ravel()
+    g["embed"].reshape(-1)[:] = np.bincount(cells, weights=dx.ravel(), minlength=p["embed"].size)
+    return float(loss) / n, g
 
 
 class Adam:
-    """Adam steps on parameters p, in place, at a rate that the caller gives.
+    """Adam steps on an array p of parameters, in place, at a rate that the caller gives.
 
     ``first`` and ``second`` are the moments' sums without their constant factors, which the step takes in.
     """
 
-    def __init__(self, p: dict[str, np.ndarray]):
+    def __init__(self, p: np.ndarray):
         self.p, self.step = p, 0
-        self.first, self.second, self.some = ({n: np.zeros_like(v) for n, v in p.items()} for _ in range(3))
+        self.first, self.second, self.some = (np.zeros_like(p) for _ in range(3))
 
-    def take(self, g: dict[str, np.ndarray], rate: float) -> None:
+    def take(self, g: np.ndarray, rate: float) -> None:
         self.step += 1
         root = (0.01 / (1 - 0.99**self.step)) ** 0.5
         scale, least = np.float32(0.1 * rate / (1 - 0.9**self.step) / root), np.float32(1e-8 / root)
-        for n, first in self.first.items():
-            second, d, some = self.second[n], g[n], self.some[n]
-            first *= np.float32(0.9)
-            first += d
-            second *= np.float32(0.99)
-            second += np.multiply(d, d, out=some)
-            np.sqrt(second, out=some)
-            some += least
-            np.divide(first, some, out=some)
-            some *= scale
-            self.p[n] -= some
+        first, second, some = self.first, self.second, self.some
+        first *= np.float32(0.9)
+        first += g
+        second *= np.float32(0.99)
+        second += np.multiply(g, g, out=some)
+        np.sqrt(second, out=some)
+        some += least
+        np.divide(first, some, out=some)
+        some *= scale
+        self.p -= some
 
 
 class Fit:
     """Weights that follow the texts they are shown, a step for each BATCH windows in a fixed shuffled order."""
 
     def __init__(self, p: dict[str, np.ndarray], of: Layout, rate: float, seed: int = 0):
-        self.p = {n: v.copy(order="F" if n == "low" else "C") for n, v in p.items()}  # an output's weights are next to each other
+        every, self.p = flat(p)
+        for n, v in p.items():
+            self.p[n][:] = v
+        self.all_g, self.g = flat(p)
         self.of, self.rate, self.targets = of, rate, 0
-        self.adam, self.random = Adam(self.p), np.random.default_rng(seed)
+        self.adam, self.random = Adam(every), np.random.default_rng(seed)
 
     def learn(self, texts: list[np.ndarray], every: int = 1) -> None:
         """One step for each BATCH windows drawn from the whole texts: one in ``every``, the first of each draw at random."""
@@ -263,7 +271,8 @@ class Fit:
             n = int(use.sum())
             # A short batch is a weaker opinion, so its step is shorter; the first steps of a fit are short as well.
             warm = min(1.0, (self.adam.step + 1) / 10)
-            self.adam.take(gradients(self.p, self.of, inputs, targets, use)[1], self.rate * warm * min(1.0, n / (BATCH * WINDOW / 2)))
+            gradients(self.p, self.of, inputs, targets, use, self.g)
+            self.adam.take(self.all_g, self.rate * warm * min(1.0, n / (BATCH * WINDOW / 2)))
             self.targets += n
 
 
@@ -329,8 +338,8 @@ class Model:
 
 
 #: Windows whose attention is worked out at once in scoring, and windows whose targets are looked up by class at once.
-FEW = 48
-MANY = 1536
+FEW = 64
+MANY = 3072
 
 
 def _hidden(tables: tuple[np.ndarray, np.ndarray], inputs: np.ndarray, lo: int) -> np.ndarray:
